@@ -32,9 +32,11 @@ def unpack_all(blobs, *kinds) -> list[np.ndarray]:
 
 def by_bucket(bucket: np.ndarray, *arrays: np.ndarray):
     """(bucket, packed arrays) for each bucket that has rows; order inside a bucket is kept."""
+    if not len(bucket):
+        return
     order = np.argsort(bucket, kind="stable")
     bucket = bucket[order]
-    cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, np.int64)
+    cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
     arrays = [a[order] for a in arrays]
     for lo, hi in zip(cuts, np.r_[cuts[1:], len(bucket)], strict=True):
         yield int(bucket[lo]), pack(*(a[lo:hi] for a in arrays))

@@ -3,7 +3,16 @@
 from __future__ import annotations
 
 from blockalloc.llm.exact_dedup import OP2_SQL, op2_exact_dedup
+from blockalloc.llm.packing import op6_packing
 from blockalloc.llm.simhash import op4_simhash
+from blockalloc.llm.substrings import op3_suffix_dedup
+from blockalloc.llm.tokens import op8_byte_bpe
 
-QUERIES = {"op2_exact_dedup": op2_exact_dedup, "op4_simhash": op4_simhash}
+QUERIES = {
+    "op2_exact_dedup": op2_exact_dedup,
+    "op3_suffix_dedup": op3_suffix_dedup,
+    "op4_simhash": op4_simhash,
+    "op6_packing": op6_packing,
+    "op8_byte_bpe": op8_byte_bpe,
+}
 SQL = {"op2_exact_dedup": OP2_SQL}
