@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from blockalloc.llm.exact_dedup import OP2_SQL, op2_exact_dedup
+from blockalloc.llm.html_text import op9_main_text
 from blockalloc.llm.language_model import op7_lm_score
 from blockalloc.llm.packing import op6_packing
 from blockalloc.llm.quality import op10_quality
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_packing": op6_packing,
     "op7_lm_score": op7_lm_score,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_main_text": op9_main_text,
     "op10_quality": op10_quality,
 }
 SQL = {"op1_top_k": OP1_SQL, "op2_exact_dedup": OP2_SQL}
