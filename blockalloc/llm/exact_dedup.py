@@ -205,6 +205,18 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def one_of_each_text(docs: DataFrame) -> DataFrame:
+    """The kept rows of ``exact_dedup`` with all their columns; of rows that repeat id and text, one.
+
+    Rows meet their group's keeper by (doc_id, digest), which no large group shares.
+    """
+    digest = F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256))
+    kept = text_groups(docs).select(F.col("keep_id").alias("_keep_id"), F.col("digest").alias("_keep_digest"))
+    rows = docs.withColumn("_digest", digest)
+    rows = rows.join(kept, rows["doc_id"].cast("long").eqNullSafe(kept["_keep_id"]) & (rows["_digest"] == kept["_keep_digest"]), "left_semi")
+    return rows.dropDuplicates(["doc_id", "_digest"]).drop("_digest")
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 

@@ -104,17 +104,17 @@ def chunks(offsets: np.ndarray, size: int = CHUNK):
 
 
 def sorted_docs(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Ids (null first), bytes, offsets and the order of a block's rows: by id, then text."""
+    """Ids (null first), bytes and offsets of a block's rows by id, then text; and where each row stood."""
     t = t.select(["doc_id", "data"]).append_column("place", pa.array(np.arange(len(t))))
     t = t.sort_by([("doc_id", "ascending"), ("data", "ascending")])
     data, offsets = binary_parts(t["data"])
     ids = t["doc_id"].combine_chunks().fill_null(NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
-    order = np.lexsort((t["place"].to_numpy(), np.arange(len(ids)), ids))
+    order = np.argsort(ids, kind="stable")
     if (order != np.arange(len(ids))).any():  # nulls were sorted last
         lens = np.diff(offsets)[order]
         data = np.concatenate([data[offsets[i] : offsets[i + 1]] for i in order])
         offsets, ids = np.r_[0, np.cumsum(lens)], ids[order]
-    return ids, data, offsets, t["doc_id"].combine_chunks().take(pa.array(order))
+    return ids, data, offsets, t["place"].to_numpy()[order]
 
 
 def find_seeds(length: int, buckets: int):
@@ -382,11 +382,11 @@ def own_seeds(length: int):
     return run
 
 
-def cut_spans(keep_text: bool):
+def cut_spans(keep_text: bool, carry: list[str]):
     """A block's documents without their spans."""
 
     def run(docs: pa.Table, spans: pa.Table) -> pa.Table:
-        ids, data, offsets, doc_id = sorted_docs(docs) if len(docs) else (np.zeros(0), np.zeros(0, np.uint8), np.zeros(1, np.int64), pa.array([], pa.int64()))
+        _, data, offsets, place = sorted_docs(docs)
         gone = np.zeros(len(data) + 1, np.int32)
         row, lo, hi = unpack_all(spans["blob"].to_pylist(), *SPAN)
         np.add.at(gone, offsets[row] + lo, 1)
@@ -401,13 +401,14 @@ def cut_spans(keep_text: bool):
             digests.append(hashlib.sha256(kept).hexdigest())
             if keep_text:
                 texts.append(kept)
-        out = {"doc_id": doc_id, "n_bytes": pa.array(np.diff(offsets)), "n_removed": pa.array(total[offsets[1:]] - total[offsets[:-1]]), "n_spans": pa.array(runs[offsets[1:]] - runs[offsets[:-1]]), "kept_sha256": pa.array(digests, pa.string())}
-        return pa.table(out | ({"kept": pa.array(texts, pa.binary())} if keep_text else {}))
+        same = docs.select(["doc_id", *carry]).take(pa.array(place))
+        out = {"doc_id": same["doc_id"], "n_bytes": pa.array(np.diff(offsets)), "n_removed": pa.array(total[offsets[1:]] - total[offsets[:-1]]), "n_spans": pa.array(runs[offsets[1:]] - runs[offsets[:-1]]), "kept_sha256": pa.array(digests, pa.string())}
+        return pa.table(out | ({"kept": pa.array(texts, pa.binary())} if keep_text else {}) | {c: same[c] for c in carry})
 
     return run
 
 
-def drop_repeats(docs: DataFrame, length: int = 100, keep_text: bool = False) -> DataFrame:
+def drop_repeats(docs: DataFrame, length: int = 100, keep_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """Remove from ``docs(doc_id, text, ...)`` each byte of a ``length``-byte string that also starts earlier.
 
     Earlier means in a document with a smaller id, or earlier in the same one; strings
@@ -420,23 +421,29 @@ def drop_repeats(docs: DataFrame, length: int = 100, keep_text: bool = False) ->
     Result per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with
     ``keep_text`` the remaining bytes as ``kept``. Null text counts as empty; a null
     doc_id stands before all others; rows that share a doc_id are ordered by their text
-    and count as different documents. Other columns are not read.
+    and count as different documents. Columns named in ``carry`` come along unchanged;
+    others are not read.
     """
     if length < 2:
         raise ValueError("length must be at least 2")
+    # a block sends each owner one packed row, so few large blocks make fewer and larger rows
     n = 4 * shuffle_partitions(docs.sparkSession)
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("data"),
         F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(n)).alias("block"),
+        *(F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry)),
     )
+    carried = [f"carried_{i}" for i in range(len(carry))]
     by_block = rows.groupBy("block")
     found = by_block.applyInArrow(find_seeds(length, n), "bucket long, block long, blob binary")
     replies = found.groupBy("bucket").applyInArrow(repeated_seeds, "block long, blob binary")
     around = by_block.cogroup(replies.groupBy("block")).applyInArrow(around_seeds(length, n), "bucket long, block long, blob binary")
     spans = around.groupBy("bucket").applyInArrow(own_seeds(length), "block long, blob binary")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
-    return by_block.cogroup(spans.groupBy("block")).applyInArrow(cut_spans(keep_text), schema)
+    schema += "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in carried)
+    out = by_block.cogroup(spans.groupBy("block")).applyInArrow(cut_spans(keep_text, carried), schema)
+    return out.withColumnsRenamed(dict(zip(carried, carry, strict=True)))
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
