@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from blockalloc.jobs import statistics
+from blockalloc.jobs import blocks, cues, integrity, statistics
 
-ALL = {**statistics.QUERIES}
+ALL = {**statistics.QUERIES, **blocks.QUERIES, **cues.QUERIES, **integrity.QUERIES}
 QUERIES = {name: f for name, (f, _) in ALL.items()}
 SQL = {name: sql for name, (_, sql) in ALL.items() if sql}

@@ -12,6 +12,8 @@ from blockalloc.sources.views import RUNS_SQL, runs
 M = S.METRICS
 PAIRS = [("AF", "NO"), ("AF", "RF"), ("NO", "RF"), ("NF", "AF")]
 SUITE_SEED = 20260906
+#: Means of several runs carry rounding noise, so the queries call differences of up to 1e-12 ties.
+TIES = {"tie": 1e-12, "tie_in_test": 1e-12}
 
 
 def rounded(df: DataFrame, *names: str) -> DataFrame:
@@ -37,7 +39,7 @@ def diff_sql(by: str = "", pairs=PAIRS, metrics=M, source: str = "runs", collaps
 SIGN = "least(1, 2 * list_sum(list_transform(range(0, least(w, x) + 1), lambda i: exp(lgamma(w + x + 1) - lgamma(i + 1) - lgamma(w + x - i + 1) - (w + x) * ln(2)))))"
 
 
-def table_sql(by: str = "", tie: str = "0", direction: int = 1, tie_in_test: str = "0") -> str:
+def table_sql(by: str = "", tie: str = "1e-12", direction: int = 1, tie_in_test: str = "1e-12") -> str:
     keys = "".join(f"{b.strip()}, " for b in by.split(",") if b)
     s = direction
     return f"""t AS (SELECT {keys}comparison, metric, count(*) AS paired_units,
@@ -106,19 +108,19 @@ CANDIDATES = [*PAIRS, ("AF", "missing policy"), ("RF", "NF")]
 
 
 def h17(spark: SparkSession, d: str, metrics=("cover", "raw_errshare")) -> DataFrame:
-    """Candidate comparisons of whose policies both exist, with a tie tolerance in the counts and none in the test."""
-    return rounded(S.paired_table(S.paired_differences(S.grouped_means(runs(spark, d), ["video_id", "policy"]), CANDIDATES, metrics=metrics), tie=1e-12))
+    """Candidate comparisons of whose policies both exist, with a tie tolerance."""
+    return rounded(S.paired_table(S.paired_differences(S.grouped_means(runs(spark, d), ["video_id", "policy"]), CANDIDATES, metrics=metrics), **TIES))
 
 
 def h19(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(S.pair_lookup(S.paired_table(e1(spark, d)), [("AF", "NO"), ("RF", "AF"), ("RF", "NO")]))
+    return rounded(S.pair_lookup(S.paired_table(e1(spark, d), **TIES), [("AF", "NO"), ("RF", "AF"), ("RF", "NO")]))
 
 
 def h20(spark: SparkSession, d: str) -> DataFrame:
     """Method summary in display order beside the mean difference to the first method, over all metrics."""
     m = S.grouped_means(runs(spark, d), ["video_id", "policy"])
     summary = S.in_order(S.aggregate_table(m, ["policy"]), "policy", ["NO", "AF", "RF", "NF"])
-    pairs = S.paired_table(S.paired_differences(m, [("NO", "AF"), ("NO", "RF"), ("NO", "NF")]))
+    pairs = S.paired_table(S.paired_differences(m, [("NO", "AF"), ("NO", "RF"), ("NO", "NF")]), **TIES)
     against = pairs.groupBy(F.substring_index("comparison", " vs ", -1).alias("policy")).agg(*(F.max(F.when(F.col("metric") == x, F.col("mean_diff"))).alias(f"{x}_diff") for x in M))
     return rounded(summary.join(against, "policy", "left").orderBy("rank"))
 
@@ -160,12 +162,12 @@ QUERIES = {
     ),
     "h7_paired_differences": (lambda s, d: rounded(e1(s, d)), f"{D1} SELECT video_id, comparison, metric, round(left_value, 6) AS left_value, round(right_value, 6) AS right_value, round(difference, 6) AS difference FROM d"),
     "h8_wins_lower_is_better": (
-        lambda s, d: rounded(S.paired_table(e1(s, d), tie=0.001, direction="lower")),
+        lambda s, d: rounded(S.paired_table(e1(s, d), tie=0.001, direction="lower", tie_in_test=1e-12)),
         f"{D1}, {table_sql(tie='0.001e0', direction=-1)} {pick()}",
     ),
-    "h9_sign_test": (lambda s, d: rounded(S.paired_table(e1(s, d)).select("comparison", "metric", "exact_sign_p")), f"{D1}, {table_sql()} SELECT comparison, metric, round(exact_sign_p, 6) AS exact_sign_p FROM t2"),
+    "h9_sign_test": (lambda s, d: rounded(S.paired_table(e1(s, d), **TIES).select("comparison", "metric", "exact_sign_p")), f"{D1}, {table_sql()} SELECT comparison, metric, round(exact_sign_p, 6) AS exact_sign_p FROM t2"),
     "h9_sign_test_large": (
-        lambda s, d: rounded(S.paired_table(e1(s, d)).select("comparison", "metric", S.sign_p_large("left_wins", "right_wins").alias("exact_sign_p"))),
+        lambda s, d: rounded(S.paired_table(e1(s, d), **TIES).select("comparison", "metric", S.sign_p_large("left_wins", "right_wins").alias("exact_sign_p"))),
         f"{D1}, {table_sql()} SELECT comparison, metric, round(exact_sign_p, 6) AS exact_sign_p FROM t2",
     ),
     "h10_bootstrap_mean": (h10, None),
@@ -181,9 +183,9 @@ QUERIES = {
         CAST(sum(CASE WHEN difference < 0 THEN 1 ELSE 0 END) AS BIGINT) AS negative_pairs, CAST(sum(CASE WHEN abs(difference) <= 1e-12 THEN 1 ELSE 0 END) AS BIGINT) AS ties, CAST(sum(CASE WHEN difference > 1e-12 THEN 1 ELSE 0 END) AS BIGINT) AS w, CAST(sum(CASE WHEN difference < -1e-12 THEN 1 ELSE 0 END) AS BIGINT) AS x FROM d GROUP BY ALL)
         SELECT comparison, metric, n, round(m, 6) AS mean_difference, round(md, 6) AS median_difference, round(sd, 6) AS difference_sd, positive_pairs, negative_pairs, ties, round(m / sd, 6) AS cohen_dz, round(m / sd * (1 - 3e0 / (4 * n - 9)), 6) AS hedges_gz, round(CASE WHEN w + x = 0 THEN 1 ELSE {SIGN} END, 6) AS exact_sign_p FROM t""",
     ),
-    "h14_e1_paired": (lambda s, d: rounded(S.paired_table(e1(s, d))), f"{D1}, {table_sql()} {pick()}"),
-    "h15_e2_paired": (lambda s, d: rounded(S.paired_table(e2(s, d), by=["top_k"])), f"{R}, {diff_sql('top_k')}, {table_sql('top_k')} {pick('top_k')}"),
-    "h16_seed_deltas": (lambda s, d: rounded(S.paired_table(per_seed(s, d), by=["seed"])), f"{R}, {diff_sql('seed')}, {table_sql('seed')} {pick('seed')}"),
+    "h14_e1_paired": (lambda s, d: rounded(S.paired_table(e1(s, d), **TIES)), f"{D1}, {table_sql()} {pick()}"),
+    "h15_e2_paired": (lambda s, d: rounded(S.paired_table(e2(s, d), by=["top_k"], **TIES)), f"{R}, {diff_sql('top_k')}, {table_sql('top_k')} {pick('top_k')}"),
+    "h16_seed_deltas": (lambda s, d: rounded(S.paired_table(per_seed(s, d), by=["seed"], **TIES)), f"{R}, {diff_sql('seed')}, {table_sql('seed')} {pick('seed')}"),
     "h17_main_paired": (h17, f"{R}, {diff_sql(pairs=CANDIDATES, metrics=('cover', 'raw_errshare'))}, {table_sql(tie='1e-12')} {pick()}"),
     "h18_incremental_paired": (lambda s, d: h17(s, d, ("inc_errshare",)), f"{R}, {diff_sql(pairs=CANDIDATES, metrics=('inc_errshare',))}, {table_sql(tie='1e-12')} {pick()}"),
     "h19_pair_lookup": (

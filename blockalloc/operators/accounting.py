@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 ALPHAS = (2, 128)
 
@@ -33,7 +34,7 @@ def seed_mix(seeds: np.ndarray, parts: np.ndarray) -> np.ndarray:
     return h % np.uint64(2**32 - 1)
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def mixed_seed(seed: pd.Series, frame: pd.Series, segment: pd.Series, bi: pd.Series, bj: pd.Series, channel: pd.Series) -> pd.Series:
     """A seed for each block and channel of a frame; vectorised, since 64-bit wrapping isn't to be had in ANSI SQL."""
     parts = np.stack([x.to_numpy(np.int64).view(np.uint64) for x in (frame, segment, bi, bj, channel)], axis=1)

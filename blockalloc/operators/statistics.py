@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 METRICS = ("cover", "raw_errshare", "inc_errshare")
 
@@ -91,7 +92,7 @@ def sign_p(wins: Column, losses: Column) -> Column:
     return F.least(F.lit(1.0), 2 * F.aggregate(steps, start, step, lambda s: s["total"]))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sign_p_large(wins: pd.Series, losses: pd.Series) -> pd.Series:
     """The same in logarithms, for any number of pairs: terms are added from the largest down until they no longer count."""
     out = []
