@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import os
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 from blockalloc.session import table
 
 #: Pieces of text whose ids a worker remembers; past that it starts anew, with the same ids.
-REMEMBERED = 300_000
+REMEMBERED = 800_000
 
 
 class Remembered:
@@ -28,26 +30,41 @@ class Remembered:
     once. ``encode`` gives the ids of a list of parts.
     """
 
-    def __init__(self, encode):
+    def __init__(self, encode, after_space=None):
+        # known: of parts after a space, which is left off the key; no other part is kept
         self.encode, self.known = encode, {}
+        self.after_space = after_space or (lambda parts: encode([f" {p}" for p in parts]))
 
     def ids(self, text: str) -> bytes:
-        if not text:
-            return b""
-        parts = text.split(" ")
-        if not all(parts) or any(map(str.isspace, {p[0] for p in parts} | {p[-1] for p in parts})):
-            parts = self.parts(text)
-        else:
-            parts = [parts[0], *map(" ".__add__, parts[1:])]
-        found = list(map(self.known.get, parts))
-        if None in found:
-            missing = list({p for p, f in zip(parts, found, strict=True) if f is None})
-            if len(self.known) + len(missing) > REMEMBERED:
+        return next(self.ids_of([text]))
+
+    def ids_of(self, texts: Iterable[str], together: int = 256) -> Iterator[bytes]:
+        """Ids of each text; what isn't known yet is encoded for many texts at once."""
+        for some in batched(texts, together):
+            plans, missing, others = [], set(), []
+            for text in some:
+                first, *parts = text.split(" ")
+                found = list(map(self.known.get, parts))
+                gaps = [i for i, f in enumerate(found) if f is None] if None in found else []
+                new = {parts[i] for i in gaps}
+                if parts and (not first or first[-1].isspace()) or not all(new) or any(p[0].isspace() or p[-1].isspace() for p in new):
+                    whole = self.parts(text)
+                    plans.append((len(others), len(others) + len(whole), None, None, None))
+                    others += whole
+                    continue
+                missing |= new
+                plans.append((len(others), len(others) + bool(first), parts, found, gaps))
+                if first:
+                    others.append(first)
+            missing = list(missing)
+            got, others = dict(zip(missing, self.after_space(missing), strict=True)), self.encode(others)
+            if len(self.known) + len(got) > REMEMBERED:
                 self.known.clear()
-                missing = list(set(parts))
-            self.known.update(zip(missing, self.encode(missing), strict=True))
-            found = list(map(self.known.__getitem__, parts))
-        return b"".join(found)
+            self.known.update(got)
+            for lo, hi, parts, found, gaps in plans:
+                for i in gaps or ():
+                    found[i] = got[parts[i]]
+                yield b"".join([*others[lo:hi], *(found or ())])
 
     @staticmethod
     def parts(text: str) -> list[str]:
@@ -153,14 +170,65 @@ def byte_bpe(path: str, pattern: str) -> Remembered:
     return Remembered(encode)
 
 
+def byte_of() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary file stands for: printable ones themselves, the rest from U+0100 on."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+def ranks_of(path: str) -> tuple[dict[bytes, int], dict[str, int]] | None:
+    """Ranks and special tokens of a tokenizers file, if its merges are ranked by their ids and it splits texts by the byte-level pattern."""
+    with open(path, encoding="utf-8") as f:
+        d = json.load(f)
+    model, split = d["model"], d.get("pre_tokenizer") or {}
+    if model.get("type") != "BPE" or d.get("normalizer") or d.get("post_processor") or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
+        return None
+    vocab, byte = model["vocab"], byte_of()
+    special = {t["content"]: t["id"] for t in d["added_tokens"]}
+    merged = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+    if merged != sorted(merged) or any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in d["added_tokens"]):
+        return None
+    return {bytes(byte[c] for c in t): i for t, i in vocab.items() if t not in special}, special
+
+
 @lru_cache(2)
 def library_ids(path: str) -> Remembered:
-    """Ids by the tokenizers library."""
+    """Ids of a tokenizers file.
+
+    Where its merges are ranked by their ids, the same merges run in tiktoken, which
+    gives the same ids at several times the speed; any other file is left to tokenizers.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+    found = ranks_of(path)
+    if not found:
+        from tokenizers import Tokenizer
+
+        t = Tokenizer.from_file(path)
+        return Remembered(lambda parts: [np.array(e.ids, np.uint32).tobytes() for e in t.encode_batch(parts, add_special_tokens=False)])
+    import public_tokenizers
+    import tiktoken
+
+    ranks, special = found
+    t = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+    opens = np.zeros(max([*ranks.values(), *special.values()]) + 1, bool)
+    opens[[i for token, i in ranks.items() if token[:1] == b" "]] = True
+
+    def one(text: str) -> bytes:
+        return np.array(t.encode(text, allowed_special="all"), np.uint32).tobytes()
+
+    def after_space(parts: list[str]) -> list[bytes]:
+        # each part begins with its only space, so all are encoded in one go and their first ids tell them apart
+        if not parts:
+            return []
+        ids = np.array(t.encode(" " + " ".join(parts), allowed_special="all"), np.uint32)
+        at = np.flatnonzero(opens[ids])
+        if len(at) != len(parts):
+            return [one(f" {p}") for p in parts]
+        raw, at = ids.tobytes(), (4 * at).tolist()
+        return [raw[a:b] for a, b in zip(at, [*at[1:], len(raw)], strict=True)]
 
-    t = Tokenizer.from_file(path)
-    return Remembered(lambda parts: [np.array(e.ids, np.uint32).tobytes() for e in t.encode_batch(parts, add_special_tokens=False)])
+    return Remembered(lambda parts: list(map(one, parts)), after_space)
 
 
 def texts_of(docs: DataFrame, *more: str) -> DataFrame:
@@ -178,8 +246,7 @@ def encode_texts(path: str, pattern: str):
         bpe, (_, back) = byte_bpe(path, pattern), read_ranks(path)
         for b in batches:
             counts, ids_sha, text_sha = [], [], []
-            for text in strings(b.column(1)):
-                ids = bpe.ids(text)
+            for ids in bpe.ids_of(strings(b.column(1))):
                 counts.append(len(ids) // 4)
                 ids_sha.append(hashlib.sha256(ids).hexdigest())
                 text_sha.append(hashlib.sha256(b"".join(map(back.__getitem__, np.frombuffer(ids, "<u4").tolist()))).hexdigest())
@@ -194,7 +261,7 @@ def encode_ids(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = byte_bpe(path, pattern)
         for b in batches:
-            ids = [np.frombuffer(bpe.ids(t), "<u4").astype(np.int32) for t in strings(b.column(1))]
+            ids = [np.frombuffer(i, "<u4").astype(np.int32) for i in bpe.ids_of(strings(b.column(1)))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return texts_of(docs).mapInArrow(run, "doc_id long, ids array<int>")
@@ -217,8 +284,9 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     Each match of ``pattern`` is encoded separately: a segment tree over its byte
     positions holds the leftmost least pair rank, and each merge makes logarithmic
-    point updates on the live neighbours, so a match of any length stays n log n. No
-    shuffle: a narrow map over the scan.
+    point updates on the live neighbours, so a match of any length stays n log n. New
+    matches of many texts merge side by side, one tree each. No shuffle: a narrow map
+    over the scan.
 
     Result per row: doc_id, n_tokens, ids_sha256 (of little-endian unsigned 32-bit
     ids), decoded_sha256 (of the decoded bytes). Null and empty text give no ids.
