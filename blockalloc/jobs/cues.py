@@ -23,20 +23,20 @@ def cue_table(spark: SparkSession, d: str) -> DataFrame:
 CUES_SQL = f"""{FLOWS_SQL}, cues AS (SELECT video_id, clip_idx, flow_idx AS u, CAST(b // 4 AS INTEGER) AS bi, CAST(b % 4 AS INTEGER) AS bj, round(dx, 6) AS attn, round(dy, 6) AS temp, round(dx * dy, 6) AS tex, round(dx + dy, 6) AS flow FROM flows WHERE flow_idx < 8)"""
 
 
-def risk(spark: SparkSession, d: str) -> DataFrame:
+def risk(spark: SparkSession, d: str, digits: int = 6) -> DataFrame:
     """(…, u, block, score) in 0..1, from the flows."""
-    return flows(spark, d).where("flow_idx < 8").select("video_id", "clip_idx", F.col("flow_idx").alias("u"), F.col("b").alias("block"), C.unit(F.round(0.5 + F.col("dx") / 32, 4)).alias("score"))
+    return flows(spark, d).where("flow_idx < 8").select("video_id", "clip_idx", F.col("flow_idx").alias("u"), F.col("b").alias("block"), C.unit(F.round(0.5 + F.col("dx") / 32, digits)).alias("score"))
 
 
-RISK_SQL = "risk AS (SELECT video_id, clip_idx, flow_idx AS u, b AS block, least(1, greatest(0, round(0.5e0 + dx / 32, 4))) AS score FROM flows WHERE flow_idx < 8)"
+RISK_SQL = "risk AS (SELECT video_id, clip_idx, flow_idx AS u, b AS block, least(1, greatest(0, round(0.5e0 + dx / 32, 6))) AS score FROM flows WHERE flow_idx < 8)"
 
 
 def maps(spark: SparkSession, d: str) -> DataFrame:
-    r = risk(spark, d)
+    r = risk(spark, d, 4)  # four digits: halves and quarters of them never end between two roundings
     return r.select("video_id", "clip_idx", "u", F.floor(F.col("block") / GRID).cast("int").alias("bi"), (F.col("block") % GRID).alias("bj"), "score")
 
 
-MAPS_SQL = f"{FLOWS_SQL}, {RISK_SQL}, maps AS (SELECT video_id, clip_idx, u, CAST(block // 4 AS INTEGER) AS bi, CAST(block % 4 AS INTEGER) AS bj, score FROM risk)"
+MAPS_SQL = f"{FLOWS_SQL}, {RISK_SQL.replace('32, 6', '32, 4')}, maps AS (SELECT video_id, clip_idx, u, CAST(block // 4 AS INTEGER) AS bi, CAST(block % 4 AS INTEGER) AS bj, score FROM risk)"
 
 
 def mirror_sql(i: str, n: int = GRID) -> str:
