@@ -82,55 +82,100 @@ class Remembered:
         return out
 
 
-class MergeTree:
-    """A segment tree over byte positions: the leftmost least rank of a pair that starts there."""
-
-    def __init__(self, values: list[int], none: int):
-        self.size = 1 << max(0, len(values) - 1).bit_length()
-        self.tree = [none] * self.size + values + [none] * (self.size - len(values))
-        for i in range(self.size - 1, 0, -1):
-            self.tree[i] = min(self.tree[2 * i], self.tree[2 * i + 1])
-
-    def put(self, at: int, value: int) -> None:
-        tree, i = self.tree, at + self.size
-        tree[i] = value
-        while i > 1:
-            i >>= 1
-            low = min(tree[2 * i], tree[2 * i + 1])
-            if tree[i] == low:
-                return
-            tree[i] = low
-
-
-def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """BPE ids of one piece. The tree holds rank * length + position, so its root is the leftmost least pair."""
-    whole = ranks.get(piece)
-    if whole is not None:
-        return [whole]
-    n = len(piece)
-    none = 1 << 62
-    after, ahead, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
-
-    def value(i: int) -> int:
-        j = after[i]
-        r = ranks.get(piece[i : end[j]]) if j < n else None
-        return none if r is None else r * n + i
-
-    tree = MergeTree([value(i) for i in range(n)], none)
-    while tree.tree[1] != none:
-        i = tree.tree[1] % n
-        j = after[i]
-        end[i], after[i] = end[j], after[j]
-        if after[j] < n:
-            ahead[after[j]] = i
-        tree.put(j, none)
-        tree.put(i, value(i))
-        if ahead[i] >= 0:
-            tree.put(ahead[i], value(ahead[i]))
-    out, i = [], 0
-    while i < n:
-        out.append(ranks[piece[i : end[i]]])
-        i = after[i]
+class PairRanks:
+    """What two neighbouring tokens merge into: every split of a token into two tokens, sorted by the pair."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        get = ranks.get
+        found = [(a, b, r) for token, r in ranks.items() for i in range(1, len(token)) if (a := get(token[:i])) is not None and (b := get(token[i:])) is not None]
+        a, b, r = (np.array(x, np.int64) for x in zip(*found, strict=True)) if found else [np.zeros(0, np.int64)] * 3
+        order = np.argsort(a << 32 | b)
+        self.pair, self.rank = np.r_[(a << 32 | b)[order], np.int64(1) << 62], np.r_[r[order], 0]
+        self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
+
+    def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The rank, or -1 where the two don't merge."""
+        key = a << 32 | b
+        at = np.searchsorted(self.pair, key)
+        return np.where(self.pair[at] == key, self.rank[at], -1)
+
+
+def merge_trees(pieces: list[bytes], pairs: PairRanks, width: int) -> list[bytes]:
+    """Ids of pieces of up to ``width`` bytes (a power of two), all of which merge side by side.
+
+    Each piece has a segment tree over its byte positions. A leaf holds rank * width +
+    position of the pair that starts there, so the root is the leftmost least pair; a
+    merge updates the leaves of the merged token, of its live neighbour to the left, and
+    of the one that is gone, each along its path to the root.
+    """
+    n, none = len(pieces), np.int64(1) << 62
+    sizes = np.fromiter(map(len, pieces), np.int64, n)
+    place = np.arange(width)
+    ids = np.full((n, width), -1, np.int64)
+    ids[place < sizes[:, None]] = pairs.byte[np.frombuffer(b"".join(pieces), np.uint8)]
+    after, ahead = np.tile(place + 1, (n, 1)), np.tile(place - 1, (n, 1))
+    tree = np.full((n, 2 * width), none)
+    row, at = np.nonzero(place < sizes[:, None] - 1)
+    rank = pairs(ids[row, at], ids[row, at + 1])
+    tree[row, width + at] = np.where(rank >= 0, rank * width + at, none)
+    for level in range(width.bit_length() - 2, -1, -1):
+        lo = 1 << level
+        tree[:, lo : 2 * lo] = np.minimum(tree[:, 2 * lo : 4 * lo : 2], tree[:, 2 * lo + 1 : 4 * lo : 2])
+    flat = tree.reshape(-1)
+
+    def put(row, at, value):
+        node = row * (2 * width) + width + at
+        flat[node] = value
+        base = row * (2 * width)
+        at = width + at
+        while at.size and at[0] > 1:
+            at = at >> 1
+            flat[base + at] = np.minimum(flat[base + 2 * at], flat[base + 2 * at + 1])
+
+    live = np.arange(n)
+    while True:
+        live = live[tree[live, 1] < none]
+        if not len(live):
+            break
+        top = tree[live, 1]
+        i = top % width
+        j = after[live, i]
+        k = after[live, j]
+        ids[live, i], ids[live, j] = top // width, -1
+        after[live, i] = k
+        more = k < sizes[live]
+        ahead[live[more], k[more]] = i[more]
+        put(live, j, none)
+        rank = np.full(len(live), -1)
+        rank[more] = pairs(ids[live[more], i[more]], ids[live[more], k[more]])
+        put(live, i, np.where(rank >= 0, rank * width + i, none))
+        h = ahead[live, i]
+        some = h >= 0
+        h, who = h[some], live[some]
+        rank = pairs(ids[who, h], ids[who, i[some]])
+        put(who, h, np.where(rank >= 0, rank * width + h, none))
+    keep = ids >= 0
+    raw = ids[keep].astype("<u4").tobytes()
+    ends = 4 * np.cumsum(keep.sum(1))
+    return [raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+
+
+def merge_all(pieces: list[bytes], ranks: dict[bytes, int], pairs: PairRanks) -> list[bytes]:
+    """Ids of each piece: itself where it is a token, else merged among pieces of like length, a bounded number at a time."""
+    out: list[bytes | None] = [None] * len(pieces)
+    by_width: dict[int, list[int]] = {}
+    for i, p in enumerate(pieces):
+        whole = ranks.get(p)
+        if whole is not None:
+            out[i] = whole.to_bytes(4, "little")
+        else:
+            by_width.setdefault(1 << (len(p) - 1).bit_length(), []).append(i)
+    for width, members in by_width.items():
+        step = max(1, (1 << 18) // width)
+        for lo in range(0, len(members), step):
+            some = members[lo : lo + step]
+            for i, ids in zip(some, merge_trees([pieces[i] for i in some], pairs, width), strict=True):
+                out[i] = ids
     return out
 
 
@@ -148,23 +193,17 @@ def read_ranks(path: str) -> tuple[dict[bytes, int], list[bytes]]:
 @lru_cache(2)
 def byte_bpe(path: str, pattern: str) -> Remembered:
     ranks, _ = read_ranks(path)
-    find = regex.compile(pattern).findall
-    pieces: dict[str, bytes] = {}
+    pairs, find = PairRanks(ranks), regex.compile(pattern).findall
+    known: dict[str, bytes] = {}
 
     def encode(parts: list[str]) -> list[bytes]:
-        out = []
-        for part in parts:
-            ids = []
-            for m in find(part):
-                got = pieces.get(m)
-                if got is None:
-                    got = np.array(merge(m.encode(), ranks), np.uint32).tobytes()
-                    if len(pieces) >= REMEMBERED:
-                        pieces.clear()
-                    if len(m) <= 64:
-                        pieces[m] = got
-                ids.append(got)
-            out.append(b"".join(ids))
+        cut = list(map(find, parts))
+        new = list({m for c in cut for m in c if m not in known})
+        got = dict(zip(new, merge_all([m.encode() for m in new], ranks, pairs), strict=True))
+        out = [b"".join([known[m] if m in known else got[m] for m in c]) for c in cut]
+        if len(known) + len(got) > REMEMBERED:
+            known.clear()
+        known.update((m, ids) for m, ids in got.items() if len(m) <= 64)
         return out
 
     return Remembered(encode)
