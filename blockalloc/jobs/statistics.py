@@ -16,10 +16,15 @@ SUITE_SEED = 20260906
 TIES = {"tie": 1e-12, "tie_in_test": 1e-12}
 
 
-def rounded(df: DataFrame, *names: str) -> DataFrame:
-    """Named columns (all doubles unless told) to six places."""
+def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
+    """Named columns (all doubles unless told) to some places."""
     names = names or [n for n, t in df.dtypes if t == "double"]
-    return df.withColumns({n: F.round(n, 6) for n in names})
+    return df.withColumns({n: F.round(n, digits) for n in names})
+
+
+def nine(df: DataFrame) -> DataFrame:
+    """Nine places: means of two-digit numbers over few runs end in a five at the seventh."""
+    return rounded(df, digits=9)
 
 
 def each(expr: str, metrics=M) -> str:
@@ -49,7 +54,7 @@ def table_sql(by: str = "", tie: str = "1e-12", direction: int = 1, tie_in_test:
     t2 AS (SELECT {keys}comparison, metric, paired_units, left_wins, right_wins, ties, mean_diff, CASE WHEN w + x = 0 THEN 1 ELSE {SIGN} END AS exact_sign_p FROM t)"""
 
 
-def pick(by: str = "", digits: int = 6) -> str:
+def pick(by: str = "", digits: int = 9) -> str:
     keys = "".join(f"{b.strip()}, " for b in by.split(",") if b)
     return f"SELECT {keys}comparison, metric, paired_units, left_wins, right_wins, ties, round(mean_diff, {digits}) AS mean_diff, round(exact_sign_p, {digits}) AS exact_sign_p FROM t2"
 
@@ -85,23 +90,23 @@ def h6(spark: SparkSession, d: str) -> DataFrame:
 def h10(spark: SparkSession, d: str) -> DataFrame:
     """Exact resampling of each comparison, seeded by its names."""
     seeds = lambda c, m: B.stable_seed(SUITE_SEED, "E1", *c.split(" vs "), m)
-    return rounded(B.exact_intervals(e1(spark, d), ["comparison", "metric"], "video_id", seeds))
+    return nine(B.exact_intervals(e1(spark, d), ["comparison", "metric"], "video_id", seeds))
 
 
 def h10_large(spark: SparkSession, d: str) -> DataFrame:
     """Poisson resampling by partial sums, for comparisons over millions of videos."""
-    return rounded(B.poisson_intervals(e1(spark, d), ["comparison", "metric"], "video_id", resamples=200))
+    return nine(B.poisson_intervals(e1(spark, d), ["comparison", "metric"], "video_id", resamples=200))
 
 
 def h11(spark: SparkSession, d: str) -> DataFrame:
     seeds = lambda c, m: B.stable_seed(SUITE_SEED, "median", c, m)
-    return rounded(B.exact_intervals(e1(spark, d), ["comparison", "metric"], "video_id", seeds, "median", 2000))
+    return nine(B.exact_intervals(e1(spark, d), ["comparison", "metric"], "video_id", seeds, "median", 2000))
 
 
 def h12(spark: SparkSession, d: str) -> DataFrame:
     s = e1(spark, d).groupBy("comparison", "metric").agg(F.avg("difference").alias("m"), F.stddev_samp("difference").alias("s"), F.count("*").alias("n"))
     dz, gz = S.effect_sizes(F.col("m"), F.col("s"), F.col("n"))
-    return rounded(s.select("comparison", "metric", "n", dz.alias("cohen_dz"), gz.alias("hedges_gz")))
+    return nine(s.select("comparison", "metric", "n", dz.alias("cohen_dz"), gz.alias("hedges_gz")))
 
 
 CANDIDATES = [*PAIRS, ("AF", "missing policy"), ("RF", "NF")]
@@ -109,11 +114,11 @@ CANDIDATES = [*PAIRS, ("AF", "missing policy"), ("RF", "NF")]
 
 def h17(spark: SparkSession, d: str, metrics=("cover", "raw_errshare")) -> DataFrame:
     """Candidate comparisons of whose policies both exist, with a tie tolerance."""
-    return rounded(S.paired_table(S.paired_differences(S.grouped_means(runs(spark, d), ["video_id", "policy"]), CANDIDATES, metrics=metrics), **TIES))
+    return nine(S.paired_table(S.paired_differences(S.grouped_means(runs(spark, d), ["video_id", "policy"]), CANDIDATES, metrics=metrics), **TIES))
 
 
 def h19(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(S.pair_lookup(S.paired_table(e1(spark, d), **TIES), [("AF", "NO"), ("RF", "AF"), ("RF", "NO")]))
+    return nine(S.pair_lookup(S.paired_table(e1(spark, d), **TIES), [("AF", "NO"), ("RF", "AF"), ("RF", "NO")]))
 
 
 def h20(spark: SparkSession, d: str) -> DataFrame:
@@ -122,12 +127,12 @@ def h20(spark: SparkSession, d: str) -> DataFrame:
     summary = S.in_order(S.aggregate_table(m, ["policy"]), "policy", ["NO", "AF", "RF", "NF"])
     pairs = S.paired_table(S.paired_differences(m, [("NO", "AF"), ("NO", "RF"), ("NO", "NF")]), **TIES)
     against = pairs.groupBy(F.substring_index("comparison", " vs ", -1).alias("policy")).agg(*(F.max(F.when(F.col("metric") == x, F.col("mean_diff"))).alias(f"{x}_diff") for x in M))
-    return rounded(summary.join(against, "policy", "left").orderBy("rank"))
+    return nine(summary.join(against, "policy", "left").orderBy("rank"))
 
 
 def h21(spark: SparkSession, d: str) -> DataFrame:
     a = S.finite_aggregate(holed(spark, d), ["seed", "policy"])
-    return a.select("seed", "policy", *(S.fixed(F.round(f"{m}_avg", 9), 4).alias(m) for m in M), S.p_text(F.lit(1) / F.col("n") / 16).alias("p"))
+    return a.select("seed", "policy", *(S.fixed(F.col(f"{m}_avg"), 9).alias(m) for m in M), S.p_text(F.lit(1) / F.col("n") / 16).alias("p"))
 
 
 def h22(spark: SparkSession, d: str) -> DataFrame:
@@ -138,71 +143,71 @@ def h22(spark: SparkSession, d: str) -> DataFrame:
     return k.select("seed", "top_k", F.dense_rank().over(Window.partitionBy("top_k").orderBy(F.col("seed").cast("string"))).alias("seed_rank"), F.dense_rank().over(Window.partitionBy("seed").orderBy("top_k")).alias("k_rank")).orderBy(F.col("seed").cast("string"), "top_k")
 
 
-AGG = each("round(avg({m}), 6) AS {m}_mean, round(stddev_pop({m}), 6) AS {m}_std")
-FIN = each("round(coalesce(avg({m}) FILTER (isfinite({m})), 'NaN'), 6) AS {m}_avg, round(coalesce(stddev_pop({m}) FILTER (isfinite({m})), 'NaN'), 6) AS {m}_std")
+AGG = each("round(avg({m}), 9) AS {m}_mean, round(stddev_pop({m}), 9) AS {m}_std")
+FIN = each("round(coalesce(avg({m}) FILTER (isfinite({m})), 'NaN'), 9) AS {m}_avg, round(coalesce(stddev_pop({m}) FILTER (isfinite({m})), 'NaN'), 9) AS {m}_std")
 R = f"WITH {RUNS_SQL}"
 D1 = f"{R}, {diff_sql()}"
 
 QUERIES = {
-    "h1_grouped_means": (lambda s, d: rounded(S.grouped_means(runs(s, d), ["video_id", "policy"])), f"{R} SELECT video_id, policy, {each('round(avg({m}), 6) AS {m}')} FROM runs GROUP BY ALL"),
-    "h2_aggregate_by_seed": (lambda s, d: rounded(S.aggregate_table(runs(s, d), ["seed", "policy"])), f"{R} SELECT seed, policy, count(*) AS n, {AGG} FROM runs GROUP BY ALL"),
-    "h2_aggregate_by_budget": (lambda s, d: rounded(S.aggregate_table(runs(s, d), ["top_k", "policy"])), f"{R} SELECT top_k, policy, count(*) AS n, {AGG} FROM runs GROUP BY ALL"),
-    "h3_finite_aggregate": (lambda s, d: rounded(S.finite_aggregate(holed(s, d), ["seed", "policy"])), f"WITH {HOLED_SQL} SELECT seed, policy, count(*) AS n, {FIN} FROM holed GROUP BY ALL"),
+    "h1_grouped_means": (lambda s, d: nine(S.grouped_means(runs(s, d), ["video_id", "policy"])), f"{R} SELECT video_id, policy, {each('round(avg({m}), 9) AS {m}')} FROM runs GROUP BY ALL"),
+    "h2_aggregate_by_seed": (lambda s, d: nine(S.aggregate_table(runs(s, d), ["seed", "policy"])), f"{R} SELECT seed, policy, count(*) AS n, {AGG} FROM runs GROUP BY ALL"),
+    "h2_aggregate_by_budget": (lambda s, d: nine(S.aggregate_table(runs(s, d), ["top_k", "policy"])), f"{R} SELECT top_k, policy, count(*) AS n, {AGG} FROM runs GROUP BY ALL"),
+    "h3_finite_aggregate": (lambda s, d: nine(S.finite_aggregate(holed(s, d), ["seed", "policy"])), f"WITH {HOLED_SQL} SELECT seed, policy, count(*) AS n, {FIN} FROM holed GROUP BY ALL"),
     "h4_fixed_order": (
-        lambda s, d: rounded(S.in_order(S.aggregate_table(runs(s, d), ["policy"]), "policy", ["RF", "absent", "NO", "AF"]).orderBy("rank")),
+        lambda s, d: nine(S.in_order(S.aggregate_table(runs(s, d), ["policy"]), "policy", ["RF", "absent", "NO", "AF"]).orderBy("rank")),
         f"{R} SELECT * FROM (SELECT policy, count(*) AS n, {AGG}, CAST(list_position(['RF', 'absent', 'NO', 'AF'], policy) AS INTEGER) AS rank FROM runs GROUP BY policy) WHERE rank > 0",
     ),
     "h5_seed_aggregate": (
-        lambda s, d: rounded(S.seed_aggregate(runs(s, d))),
-        f"{R} SELECT video_id, policy, count(*) AS n_seeds, {each('round(avg({m}), 6) AS {m}_mean, round(stddev_pop({m}), 6) AS {m}_std, round(min({m}), 6) AS {m}_min, round(max({m}), 6) AS {m}_max')} FROM runs GROUP BY ALL",
+        lambda s, d: nine(S.seed_aggregate(runs(s, d))),
+        f"{R} SELECT video_id, policy, count(*) AS n_seeds, {each('round(avg({m}), 9) AS {m}_mean, round(stddev_pop({m}), 9) AS {m}_std, round(min({m}), 9) AS {m}_min, round(max({m}), 9) AS {m}_max')} FROM runs GROUP BY ALL",
     ),
     "h6_checked_merge": (
         h6,
         f"{R}, m AS (SELECT video_id, policy FROM runs GROUP BY ALL) SELECT 'duplicate on the left' AS problem, video_id || '/' || policy AS key FROM m WHERE video_id = 'v1' UNION ALL SELECT 'missing metric', video_id || '/' || policy FROM (SELECT * FROM m UNION ALL SELECT * FROM m WHERE video_id = 'v1') WHERE video_id LIKE '%7'",
     ),
-    "h7_paired_differences": (lambda s, d: rounded(e1(s, d)), f"{D1} SELECT video_id, comparison, metric, round(left_value, 6) AS left_value, round(right_value, 6) AS right_value, round(difference, 6) AS difference FROM d"),
+    "h7_paired_differences": (lambda s, d: nine(e1(s, d)), f"{D1} SELECT video_id, comparison, metric, round(left_value, 9) AS left_value, round(right_value, 9) AS right_value, round(difference, 9) AS difference FROM d"),
     "h8_wins_lower_is_better": (
-        lambda s, d: rounded(S.paired_table(e1(s, d), tie=0.001, direction="lower", tie_in_test=1e-12)),
+        lambda s, d: nine(S.paired_table(e1(s, d), tie=0.001, direction="lower", tie_in_test=1e-12)),
         f"{D1}, {table_sql(tie='0.001e0', direction=-1)} {pick()}",
     ),
-    "h9_sign_test": (lambda s, d: rounded(S.paired_table(e1(s, d), **TIES).select("comparison", "metric", "exact_sign_p")), f"{D1}, {table_sql()} SELECT comparison, metric, round(exact_sign_p, 6) AS exact_sign_p FROM t2"),
+    "h9_sign_test": (lambda s, d: nine(S.paired_table(e1(s, d), **TIES).select("comparison", "metric", "exact_sign_p")), f"{D1}, {table_sql()} SELECT comparison, metric, round(exact_sign_p, 9) AS exact_sign_p FROM t2"),
     "h9_sign_test_large": (
-        lambda s, d: rounded(S.paired_table(e1(s, d), **TIES).select("comparison", "metric", S.sign_p_large("left_wins", "right_wins").alias("exact_sign_p"))),
-        f"{D1}, {table_sql()} SELECT comparison, metric, round(exact_sign_p, 6) AS exact_sign_p FROM t2",
+        lambda s, d: nine(S.paired_table(e1(s, d), **TIES).select("comparison", "metric", S.sign_p_large("left_wins", "right_wins").alias("exact_sign_p"))),
+        f"{D1}, {table_sql()} SELECT comparison, metric, round(exact_sign_p, 9) AS exact_sign_p FROM t2",
     ),
     "h10_bootstrap_mean": (h10, None),
     "h10_bootstrap_mean_large": (h10_large, None),
     "h11_bootstrap_median": (h11, None),
     "h12_effect_sizes": (
         h12,
-        f"{D1} SELECT comparison, metric, count(*) AS n, round(CASE WHEN stddev_samp(difference) > 0 THEN avg(difference) / stddev_samp(difference) ELSE 'NaN' END, 6) AS cohen_dz, round(CASE WHEN stddev_samp(difference) > 0 THEN avg(difference) / stddev_samp(difference) ELSE 'NaN' END * (1 - 3e0 / (4 * count(*) - 9)), 6) AS hedges_gz FROM d GROUP BY ALL",
+        f"{D1} SELECT comparison, metric, count(*) AS n, round(CASE WHEN stddev_samp(difference) > 0 THEN avg(difference) / stddev_samp(difference) ELSE 'NaN' END, 9) AS cohen_dz, round(CASE WHEN stddev_samp(difference) > 0 THEN avg(difference) / stddev_samp(difference) ELSE 'NaN' END * (1 - 3e0 / (4 * count(*) - 9)), 9) AS hedges_gz FROM d GROUP BY ALL",
     ),
     "h13_summary": (
-        lambda s, d: rounded(S.summary_table(e1(s, d))),
+        lambda s, d: nine(S.summary_table(e1(s, d))),
         f"""{D1}, t AS (SELECT comparison, metric, count(*) AS n, avg(difference) AS m, median(difference) AS md, stddev_samp(difference) AS sd, CAST(sum(CASE WHEN difference > 0 THEN 1 ELSE 0 END) AS BIGINT) AS positive_pairs,
         CAST(sum(CASE WHEN difference < 0 THEN 1 ELSE 0 END) AS BIGINT) AS negative_pairs, CAST(sum(CASE WHEN abs(difference) <= 1e-12 THEN 1 ELSE 0 END) AS BIGINT) AS ties, CAST(sum(CASE WHEN difference > 1e-12 THEN 1 ELSE 0 END) AS BIGINT) AS w, CAST(sum(CASE WHEN difference < -1e-12 THEN 1 ELSE 0 END) AS BIGINT) AS x FROM d GROUP BY ALL)
-        SELECT comparison, metric, n, round(m, 6) AS mean_difference, round(md, 6) AS median_difference, round(sd, 6) AS difference_sd, positive_pairs, negative_pairs, ties, round(m / sd, 6) AS cohen_dz, round(m / sd * (1 - 3e0 / (4 * n - 9)), 6) AS hedges_gz, round(CASE WHEN w + x = 0 THEN 1 ELSE {SIGN} END, 6) AS exact_sign_p FROM t""",
+        SELECT comparison, metric, n, round(m, 9) AS mean_difference, round(md, 9) AS median_difference, round(sd, 9) AS difference_sd, positive_pairs, negative_pairs, ties, round(m / sd, 9) AS cohen_dz, round(m / sd * (1 - 3e0 / (4 * n - 9)), 9) AS hedges_gz, round(CASE WHEN w + x = 0 THEN 1 ELSE {SIGN} END, 9) AS exact_sign_p FROM t""",
     ),
-    "h14_e1_paired": (lambda s, d: rounded(S.paired_table(e1(s, d), **TIES)), f"{D1}, {table_sql()} {pick()}"),
-    "h15_e2_paired": (lambda s, d: rounded(S.paired_table(e2(s, d), by=["top_k"], **TIES)), f"{R}, {diff_sql('top_k')}, {table_sql('top_k')} {pick('top_k')}"),
-    "h16_seed_deltas": (lambda s, d: rounded(S.paired_table(per_seed(s, d), by=["seed"], **TIES)), f"{R}, {diff_sql('seed')}, {table_sql('seed')} {pick('seed')}"),
+    "h14_e1_paired": (lambda s, d: nine(S.paired_table(e1(s, d), **TIES)), f"{D1}, {table_sql()} {pick()}"),
+    "h15_e2_paired": (lambda s, d: nine(S.paired_table(e2(s, d), by=["top_k"], **TIES)), f"{R}, {diff_sql('top_k')}, {table_sql('top_k')} {pick('top_k')}"),
+    "h16_seed_deltas": (lambda s, d: nine(S.paired_table(per_seed(s, d), by=["seed"], **TIES)), f"{R}, {diff_sql('seed')}, {table_sql('seed')} {pick('seed')}"),
     "h17_main_paired": (h17, f"{R}, {diff_sql(pairs=CANDIDATES, metrics=('cover', 'raw_errshare'))}, {table_sql(tie='1e-12')} {pick()}"),
     "h18_incremental_paired": (lambda s, d: h17(s, d, ("inc_errshare",)), f"{R}, {diff_sql(pairs=CANDIDATES, metrics=('inc_errshare',))}, {table_sql(tie='1e-12')} {pick()}"),
     "h19_pair_lookup": (
         h19,
         f"""{D1}, {table_sql()}, b AS (SELECT *, 0 AS turned FROM t2 UNION ALL SELECT split_part(comparison, ' vs ', 2) || ' vs ' || split_part(comparison, ' vs ', 1), metric, paired_units, right_wins, left_wins, ties, -mean_diff, exact_sign_p, 1 FROM t2)
-        SELECT comparison, metric, paired_units, left_wins, right_wins, ties, round(mean_diff, 6) AS mean_diff, round(exact_sign_p, 6) AS exact_sign_p, CAST(turned AS INTEGER) AS turned FROM b
+        SELECT comparison, metric, paired_units, left_wins, right_wins, ties, round(mean_diff, 9) AS mean_diff, round(exact_sign_p, 9) AS exact_sign_p, CAST(turned AS INTEGER) AS turned FROM b
         WHERE comparison IN ('AF vs NO', 'RF vs AF', 'RF vs NO') QUALIFY row_number() OVER (PARTITION BY comparison, metric ORDER BY turned) = 1""",
     ),
     "h20_report_tables": (
         h20,
         f"""{R}, {diff_sql(pairs=[("NO", "AF"), ("NO", "RF"), ("NO", "NF")])}, s AS (SELECT policy, count(*) AS n, {AGG}, CAST(list_position(['NO', 'AF', 'RF', 'NF'], policy) AS INTEGER) AS rank FROM means GROUP BY policy),
-        a AS (SELECT split_part(comparison, ' vs ', 2) AS policy, {each("round(avg(difference) FILTER (metric = '{m}'), 6) AS {m}_diff")} FROM d GROUP BY 1) SELECT s.*, a.* EXCLUDE (policy) FROM s LEFT JOIN a USING (policy) WHERE rank > 0""",
+        a AS (SELECT split_part(comparison, ' vs ', 2) AS policy, {each("round(avg(difference) FILTER (metric = '{m}'), 9) AS {m}_diff")} FROM d GROUP BY 1) SELECT s.*, a.* EXCLUDE (policy) FROM s LEFT JOIN a USING (policy) WHERE rank > 0""",
     ),
     "h21_formatting": (
         h21,
-        f"""WITH {HOLED_SQL}, a AS (SELECT seed, policy, count(*) AS n, {each("round(coalesce(avg({m}) FILTER (isfinite({m})), 'NaN'), 9) AS {m}")} FROM holed GROUP BY ALL)
-        SELECT seed, policy, {each("CASE WHEN isnan({m}) THEN 'nan' WHEN isinf({m}) THEN 'inf' ELSE format('{{:.4f}}', {m}) END AS {m}")}, CASE WHEN 1e0 / n / 16 < 0.001 THEN format('{{:.2e}}', 1e0 / n / 16) ELSE format('{{:.6f}}', 1e0 / n / 16) END AS p FROM a""",
+        f"""WITH {HOLED_SQL}, a AS (SELECT seed, policy, count(*) AS n, {each("coalesce(avg({m}) FILTER (isfinite({m})), 'NaN') AS {m}")} FROM holed GROUP BY ALL)
+        SELECT seed, policy, {each("CASE WHEN isnan({m}) THEN 'nan' WHEN isinf({m}) THEN 'inf' ELSE format('{{:.9f}}', {m}) END AS {m}")}, CASE WHEN 1e0 / n / 16 < 0.001 THEN format('{{:.2e}}', 1e0 / n / 16) ELSE format('{{:.6f}}', 1e0 / n / 16) END AS p FROM a""",
     ),
     "h22_result_order": (
         h22,
