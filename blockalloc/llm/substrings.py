@@ -427,7 +427,7 @@ def drop_repeats(docs: DataFrame, length: int = 100, keep_text: bool = False, ca
     if length < 2:
         raise ValueError("length must be at least 2")
     # a block sends each owner one packed row, so few large blocks make fewer and larger rows
-    n = 4 * shuffle_partitions(docs.sparkSession)
+    n = 2 * shuffle_partitions(docs.sparkSession)
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("data"),
