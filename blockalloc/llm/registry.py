@@ -8,7 +8,7 @@ from blockalloc.llm.language_model import op7_lm_score
 from blockalloc.llm.packing import op6_packing
 from blockalloc.llm.quality import op10_quality
 from blockalloc.llm.simhash import op4_simhash
-from blockalloc.llm.substrings import op3_suffix_dedup
+from blockalloc.llm.substrings import OP3_SQL, op3_suffix_dedup
 from blockalloc.llm.tokens import op8_byte_bpe
 from blockalloc.llm.topk import OP1_SQL, op1_top_k
 from blockalloc.llm.toxicity import op5_toxicity
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_main_text": op9_main_text,
     "op10_quality": op10_quality,
 }
-SQL = {"op1_top_k": OP1_SQL, "op2_exact_dedup": OP2_SQL}
+SQL = {"op1_top_k": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op3_suffix_dedup": OP3_SQL}
