@@ -12,15 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from blockalloc.llm.packed import by_bucket, unpack_all
+from blockalloc.llm.packed import by_bucket, pack, unpack_all
 from blockalloc.llm.tokens import strings
-from blockalloc.session import table
+from blockalloc.session import shuffle_partitions, table
 
 WORD = re.compile(r"\w+|[^\w\s]")
 #: Rows of the shared vocabulary and of the table of word pairs; words and pairs share a row when their hashes agree.
 WORDS, PAIRS = 1 << 19, 1 << 21
 #: Parts in which the counts are added up.
-SLICES = 256
+SLICES = 64
 #: How many pairs' worth of trust a word gives to the model without context.
 TRUST = 4.0
 
@@ -75,12 +75,22 @@ def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.binary())], ["slice", "blob"])
 
 
-def add_up(t: pa.Table) -> pa.Table:
-    at, everything, target = unpack_all(t["blob"].to_pylist(), np.int64, np.int64, np.int64)
-    u, back = np.unique(at, return_inverse=True)
-    sums = [np.bincount(back, x, len(u)).astype(np.int64) for x in (everything, target)]
-    (_, blob), = by_bucket(np.zeros(len(u), np.int64), u, *sums)
-    return pa.table({"blob": pa.array([blob], pa.binary())})
+def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums a partition's counts as they come: what is held is a table of the slices met, however many parts there are."""
+    size = 2 * WORDS + PAIRS
+    starts = [-(-s * size // SLICES) for s in range(SLICES + 1)]
+    held: dict[int, np.ndarray] = {}
+    for b in batches:
+        for s, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            at, everything, target = unpack_all([blob.as_py()], np.int64, np.int64, np.int64)
+            sums = held.setdefault(s, np.zeros((2, starts[s + 1] - starts[s]), np.int64))
+            sums[0][at - starts[s]] += everything
+            sums[1][at - starts[s]] += target
+    rows = []
+    for s, sums in held.items():
+        live = np.flatnonzero(sums[0])
+        rows.append((s, pack(live + starts[s], sums[0][live], sums[1][live])))
+    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["slice", "blob"])
 
 
 class Model:
@@ -100,7 +110,12 @@ class Model:
 
 def fit(rows: DataFrame) -> tuple[Model, Model]:
     """Background and target models of ``rows(text, target)``; their tables have a fixed size, whatever the input's."""
-    parts = rows.mapInArrow(tally, "slice long, blob binary").groupBy("slice").applyInArrow(add_up, "blob binary")
+    kind = "slice long, blob binary"
+    parts = rows.mapInArrow(tally, kind)
+    lots = shuffle_partitions(rows.sparkSession) // SLICES
+    if lots > 1:  # a slice's parts meet in lots first, so that no task adds up all of them
+        parts = parts.repartition("slice", F.spark_partition_id() % lots).mapInArrow(add_up, kind)
+    parts = parts.repartition("slice").mapInArrow(add_up, kind).select("blob")
     at, everything, target = unpack_all(parts.toArrow()["blob"].to_pylist(), np.int64, np.int64, np.int64)
     counts = np.zeros((2, 2 * WORDS + PAIRS), np.int64)
     counts[0][at], counts[1][at] = everything, target
@@ -119,7 +134,7 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame) -> DataFram
     The background is all documents, the target those with an id in ``target_ids``.
     Both are word-pair models over one vocabulary and with one smoothing. Counts cover
     every document: each task adds up its own, slices of the tables are summed on the
-    executors, and the finished tables, of a fixed size, are broadcast.
+    executors as they arrive, and the finished tables, of a fixed size, are broadcast.
 
     Result per row: doc_id, n_tokens, target_loss and background_loss (mean natural
     logarithms a token), score = background_loss - target_loss. Null or empty text has
