@@ -452,10 +452,10 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP3_SQL = """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
-w AS (SELECT doc_id, p, md5(substring(h, 2 * p + 1, 200)) AS s FROM (SELECT doc_id, h, unnest(range(n - 99)) AS p FROM d WHERE n >= 100)),
+w AS (SELECT doc_id, unnest(range(n - 99)) AS p, unnest(list_transform(range(n - 99), lambda p: md5(substring(h, 2 * p + 1, 200)))) AS s FROM d WHERE n >= 100),
 again AS (SELECT doc_id, p, p AS q FROM w QUALIFY row_number() OVER (PARTITION BY s ORDER BY doc_id, p) > 1),
-b AS (SELECT doc_id, h, unnest(range(n)) AS p FROM d),
-m AS (SELECT doc_id, p, substring(h, 2 * p + 1, 2) AS x, coalesce(max(q) OVER (PARTITION BY doc_id ORDER BY p) >= p - 99, false) AS gone FROM b LEFT JOIN again USING (doc_id, p)),
+b AS (SELECT doc_id, unnest(range(n)) AS p, unnest(regexp_extract_all(h, '..')) AS x FROM d),
+m AS (SELECT doc_id, p, x, coalesce(max(q) OVER (PARTITION BY doc_id ORDER BY p) >= p - 99, false) AS gone FROM b LEFT JOIN again USING (doc_id, p)),
 s AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), false) AS begins FROM m),
 g AS (SELECT doc_id, sum(CASE WHEN gone THEN 1 ELSE 0 END) AS r, sum(CASE WHEN begins THEN 1 ELSE 0 END) AS k, string_agg(x, '' ORDER BY p) FILTER (NOT gone) AS x FROM s GROUP BY 1)
 SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(r, 0) AS BIGINT) AS n_removed, CAST(coalesce(k, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(x, ''))) AS kept_sha256
