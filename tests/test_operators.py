@@ -222,3 +222,23 @@ def test_completeness_counts(spark):
 def test_number_formats(spark):
     got = one(spark, *(S.fixed(F.lit(float(x)), 6) for x in ("nan", "inf", "-inf", "0.5")), S.p_text(F.lit(0.0000019)), S.p_text(F.lit(0.25)))
     assert list(got) == ["nan", "inf", "inf", "0.500000", "1.90e-06", "0.250000"]
+
+
+#: Published differences in coverage of 20 videos, in order of their ids, and the seed of their interval.
+COVER = [
+    0.106581, 0.320654, 0.336321, 0.321459, 0.063062, 0.221784, 0.225846, 0.073988, 0.190250, 0.112027,
+    0.197464, 0.089422, 0.082794, 0.035201, 0.024554, 0.100018, 0.179949, 0.183800, 0.012812, 0.162118,
+]
+COVER_SEED = 2734175551
+
+
+def test_published_paired_statistics(spark):
+    rows = [("L vs R", "cover", f"v{i:02}", x) for i, x in enumerate(COVER)]
+    d = spark.createDataFrame(rows, "comparison string, metric string, video_id string, difference double")
+    s = S.summary_table(d).first()
+    assert s.n == s.positive_pairs == 20 and s.negative_pairs == s.ties == 0
+    want = {"mean_difference": 0.1520052, "median_difference": 0.1370725, "difference_sd": 0.098729975, "cohen_dz": 1.539605373, "hedges_gz": 1.474551625, "exact_sign_p": 0.000001907}
+    for name, x in want.items():
+        assert s[name] == pytest.approx(x, abs=1e-9)
+    ci = B.exact_intervals(d, ["comparison", "metric"], "video_id", lambda *_: COVER_SEED).first()
+    assert (round(ci.ci95_low, 6), round(ci.ci95_high, 6)) == (0.111120, 0.195839)
