@@ -217,6 +217,27 @@ def e1_bounds(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+def channel_sql(c: str) -> str:
+    return f"floor(least(1, greatest(0, {c})) * 255 + 1e-9)"
+
+
+RELEASE_SQL = f"""WITH {query_sql(1.0)}, c AS (SELECT *, v / 255e0 AS r, (v * 3 % 256) / 255e0 AS g, (v * 7 % 256) / 255e0 AS b, CAST({at_sql('y', 4)} * 4 + {at_sql('x', 4)} AS INTEGER) AS block FROM pixels),
+j AS (SELECT video_id, frame_idx, scale, coalesce(scale, 1) * (0.299e0 * r + 0.587e0 * g + 0.114e0 * b) AS l, CASE WHEN scale IS NULL THEN -0.168736e0 * r - 0.331264e0 * g + 0.5e0 * b ELSE 0 END AS cb,
+  CASE WHEN scale IS NULL THEN 0.5e0 * r - 0.418688e0 * g - 0.081312e0 * b ELSE 0 END AS cr FROM c LEFT JOIN sc USING (video_id, frame_idx, block))
+SELECT video_id, frame_idx, CAST(sum({channel_sql('l + 1.402e0 * cr')} + {channel_sql('l - 0.344136e0 * cb - 0.714136e0 * cr')} + {channel_sql('l + 1.772e0 * cb')}) AS INTEGER) AS total, round(max(scale), 6) AS scale FROM j GROUP BY ALL"""
+
+
+def recurrence_sql(carry: str, out: str) -> str:
+    """Digests of frames after a recurrence: ``carry`` from r.carry and s.v, ``out`` from carry."""
+    return f"""WITH RECURSIVE {PIXELS_SQL.strip()}, rec AS (SELECT video_id, frame_idx, y, x, CAST(v AS DOUBLE) AS carry FROM pixels WHERE frame_idx = 0
+  UNION ALL SELECT s.video_id, s.frame_idx, s.y, s.x, {carry} FROM rec r JOIN pixels s ON s.video_id = r.video_id AND s.y = r.y AND s.x = r.x AND s.frame_idx = r.frame_idx + 1)
+SELECT video_id, frame_idx, 8 AS height, 8 AS width, sha256(string_agg(CAST(CAST({out} AS INTEGER) AS VARCHAR), ',' ORDER BY y, x)) AS digest FROM rec GROUP BY video_id, frame_idx"""
+
+
+EMA_SQL = recurrence_sql("0.4e0 * r.carry + 0.6e0 * s.v", "least(255, greatest(0, round_even(carry, 0)))")
+ONCE = "round_even(0.72e0 * s.v + (1 - 0.72e0) * r.carry, 0)"
+CAUSAL_SQL = recurrence_sql(f"least(255, greatest(0, round_even(0.82e0 * {ONCE} + (1 - 0.82e0) * r.carry, 0)))", "carry")
+
 P, S4 = f"WITH {PIXELS_SQL}", f"WITH {scores_sql(4)}"
 CELLS = "video_id, frame_idx, bi, bj, round(score, 6) AS score"
 YCC_SQL = "WITH {p}, c AS (SELECT *, v / 255e0 AS r, (v * 3 % 256) / 255e0 AS g, (v * 7 % 256) / 255e0 AS b FROM pixels)"
@@ -315,14 +336,14 @@ QUERIES = {
         f"{S4} SELECT {CELLS}, 'motion' AS policy, CAST(NULL AS INTEGER) AS offset_row, CAST(NULL AS INTEGER) AS offset_col FROM scores UNION ALL SELECT video_id, frame_idx, CAST((bi + 1) % 4 AS INTEGER), CAST((bj + 1) % 4 AS INTEGER), round(score, 6), 'shifted', 1, 1 FROM scores",
     ),
     "f1_low_frequency_query": (f1, f"WITH {query_sql(1.0)} SELECT video_id, frame_idx, block, round(q00 * scale, 6) AS q00, round(q01 * scale, 6) AS q01, round(q10 * scale, 6) AS q10, round(q11 * scale, 6) AS q11, round(scale, 6) AS scale FROM sc"),
-    "f2_release_without_noise": (f2, None),
+    "f2_release_without_noise": (f2, RELEASE_SQL),
     "f2_f3_release_with_noise": (f2_noise, None),
-    "f4_temporal_ema": (lambda s, d: plain(R.temporal_ema(frames(s, d), 0.4)), None),
+    "f4_temporal_ema": (lambda s, d: plain(R.temporal_ema(frames(s, d), 0.4)), EMA_SQL),
     "f9_full_block_perturbation": (lambda s, d: plain(R.perturb_blocks(with_blocks(s, d), 3, 0.1, 42, 0.18, 2.0, 1.0), "rgb"), None),
     "d9_clip_scales": (
         lambda s, d: rounded(R.low_frequency_queries(with_blocks(s, d), 4, 1.0).groupBy("video_id").agg(F.avg("scale").alias("avg_clip_scale"), F.count("*").alias("selected_blocks"), F.count_distinct("frame_idx").alias("frames"))),
         f"WITH {query_sql(1.0)} SELECT video_id, round(avg(scale), 6) AS avg_clip_scale, count(*) AS selected_blocks, count(DISTINCT frame_idx) AS frames FROM sc GROUP BY 1",
     ),
-    "g22_causal_smoothing": (lambda s, d: plain(R.causal_smoothing(frames(s, d))), None),
+    "g22_causal_smoothing": (lambda s, d: plain(R.causal_smoothing(frames(s, d))), CAUSAL_SQL),
     "g23_warp": (lambda s, d: plain(R.warp(frames(s, d).withColumns({"dx": F.transform("v", lambda v, i: (i % 5 - 2) * 0.5), "dy": F.transform("v", lambda v, i: (i % 3 - 1) * 0.75)}))), None),
 }

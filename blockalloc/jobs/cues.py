@@ -96,6 +96,16 @@ def g17(spark: SparkSession, d: str) -> DataFrame:
     return rounded(C.path_smoothing(w, raw, C.confidence(steps(spark, d), base=0.0), 0.25, GRID))
 
 
+G17_SQL = f"""WITH {SCATTER_SQL}, cf AS (SELECT video_id, clip_idx, u, dest AS block, greatest(0, max(conf)) AS c FROM step GROUP BY ALL),
+pw AS (SELECT w.video_id, w.clip_idx, w.traj_id, w.u, w.block, m.score AS w, coalesce(cf.c, 1) AS c FROM walk w JOIN rawmap m ON m.video_id = w.video_id AND m.clip_idx = w.clip_idx AND m.u = w.u AND m.bi * 4 + m.bj = w.block
+  LEFT JOIN cf ON cf.video_id = w.video_id AND cf.clip_idx = w.clip_idx AND cf.u = w.u AND cf.block = w.block),
+bars AS (SELECT video_id, clip_idx, traj_id, u, block, w AS bar FROM pw WHERE u = 0 UNION ALL SELECT p.video_id, p.clip_idx, p.traj_id, p.u, p.block, 0.25e0 * p.c * p.w + (1 - 0.25e0 * p.c) * b.bar
+  FROM bars b JOIN pw p ON p.video_id = b.video_id AND p.clip_idx = b.clip_idx AND p.traj_id = b.traj_id AND p.u = b.u + 1),
+mb AS (SELECT video_id, clip_idx, u, block, avg(bar) AS bar FROM bars GROUP BY ALL),
+sb AS (SELECT m.video_id, m.clip_idx, m.u, m.bi, m.bj, least(1, greatest(0, coalesce(bar, score))) AS score FROM rawmap m LEFT JOIN mb ON mb.video_id = m.video_id AND mb.clip_idx = m.clip_idx AND mb.u = m.u AND mb.block = m.bi * 4 + m.bj), {smooth_sql('sb', 'done')}
+SELECT video_id, clip_idx, CAST(u AS INTEGER) AS u, bi, bj, round(score, 6) AS score FROM done"""
+
+
 def clip_frames(spark: SparkSession, d: str) -> DataFrame:
     return C.to_frames(maps(spark, d), TUBELET, 16)
 
@@ -189,7 +199,7 @@ QUERIES = {
     "g14_path_scores": (lambda s, d: rounded(C.path_scores(walk(s, d), risk(s, d), 0.6)), f"WITH {SCORE_SQL} SELECT video_id, clip_idx, traj_id, round(score, 6) AS score FROM ts"),
     "g15_softmax_weights": (lambda s, d: rounded(weights(s, d)), f"WITH {SCORE_SQL} SELECT video_id, clip_idx, traj_id, round(score, 6) AS score, round(weight, 6) AS weight FROM tw"),
     "g16_scatter_mean": (lambda s, d: rounded(raw_map(s, d)), f"WITH {SCATTER_SQL} SELECT video_id, clip_idx, CAST(u AS INTEGER) AS u, bi, bj, round(score, 6) AS score FROM rawmap"),
-    "g17_path_smoothing": (g17, None),
+    "g17_path_smoothing": (g17, G17_SQL),
     "g18_frame_interpolation": (lambda s, d: rounded(clip_frames(s, d)), f"WITH {FRAMES_SQL} SELECT video_id, clip_idx, local_i, bi, bj, round(score, 6) AS score FROM fs"),
     "g19_merge_weighted": (
         lambda s, d: rounded(C.merge_overlaps(clip_frames(s, d), 16, 8)),
