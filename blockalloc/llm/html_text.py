@@ -363,8 +363,16 @@ def training_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def fit(pages: DataFrame, most: int = TRAIN_PAGES) -> tuple[dict[str, float], Trees | None]:
-    """Token values and trees from at most ``most`` pages, chosen by a hash of the page's id and url."""
-    chosen = pages.select("page_id", "url", "html").where("html is not null").orderBy(F.xxhash64("page_id", "url"), "page_id").limit(most).select("html")
+    """Token values and trees from at most ``most`` pages, chosen by a hash of the page's id and url.
+
+    Only pages whose hash is low enough that some four times as many are left enter the
+    sort, so what it reads doesn't grow with the input.
+    """
+    share = 4 * most / max(1, pages.count())
+    low = pages.withColumn("_h", F.xxhash64("page_id", "url")).where("html is not null")
+    if share < 1:
+        low = low.where(F.col("_h") < F.lit(int(2**64 * share) - 2**63))
+    chosen = low.orderBy("_h", "page_id").limit(most).select("html")
     data = chosen.mapInArrow(training_rows, "html string, y array<double>, tokens array<array<string>>").toPandas().sort_values("html")
     seen = defaultdict(lambda: [0.0, 0.0])
     for ys, ts in zip(data["y"], data["tokens"], strict=True):
