@@ -30,10 +30,16 @@ class Remembered:
     once. ``encode`` gives the ids of a list of parts.
     """
 
-    def __init__(self, encode, after_space=None):
+    def __init__(self, encode, after_space=None, pieces: dict | None = None):
         # known: of parts after a space, which is left off the key; no other part is kept
         self.encode, self.known = encode, {}
         self.after_space = after_space or (lambda parts: encode([f" {p}" for p in parts]))
+        self.pieces = pieces if pieces is not None else {}
+
+    def forget(self) -> None:
+        """Free what is remembered: workers outlive their tasks and go on to other stages."""
+        self.known.clear()
+        self.pieces.clear()
 
     def ids(self, text: str) -> bytes:
         return next(self.ids_of([text]))
@@ -206,7 +212,7 @@ def byte_bpe(path: str, pattern: str) -> Remembered:
         known.update((m, ids) for m, ids in got.items() if len(m) <= 64)
         return out
 
-    return Remembered(encode)
+    return Remembered(encode, pieces=known)
 
 
 def byte_of() -> dict[str, int]:
@@ -290,6 +296,7 @@ def encode_texts(path: str, pattern: str):
                 ids_sha.append(hashlib.sha256(ids).hexdigest())
                 text_sha.append(hashlib.sha256(b"".join(map(back.__getitem__, np.frombuffer(ids, "<u4").tolist()))).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        bpe.forget()
 
     return run
 
@@ -302,6 +309,7 @@ def encode_ids(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         for b in batches:
             ids = [np.frombuffer(i, "<u4").astype(np.int32) for i in bpe.ids_of(strings(b.column(1)))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+        bpe.forget()
 
     return texts_of(docs).mapInArrow(run, "doc_id long, ids array<int>")
 
