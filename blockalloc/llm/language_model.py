@@ -8,156 +8,241 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
+from xxhash import xxh3_128_intdigest
 
-from blockalloc.llm.packed import by_bucket, pack, unpack_all
 from blockalloc.llm.tokens import strings
 from blockalloc.session import shuffle_partitions, table
 
 WORD = re.compile(r"\w+|[^\w\s]")
-#: Rows of the shared vocabulary and of the table of word pairs; words and pairs share a row when their hashes agree.
-WORDS, PAIRS = 1 << 19, 1 << 21
-#: Parts in which the counts are added up.
-SLICES = 64
+#: The uniform choice is among the different words of all documents, but at least among this many.
+WORDS = 1 << 19
+#: Tokens of the documents that are counted and scored together.
+CHUNK = 1 << 22
+#: Least number of parts of the count table.
+BUCKETS = 512
 #: How many pairs' worth of trust a word gives to the model without context.
 TRUST = 4.0
+ROWS = "chunk long, bucket int, n long, everything long, target long, blob binary"
 
 
-class Terms:
-    """Vocabulary rows of words, remembered. Row 0 stands before a text."""
+def squeeze(*arrays: np.ndarray) -> bytes:
+    """Arrays of any lengths as one byte string, compressed by byte planes."""
+    body = b"".join(np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T).tobytes() for a in arrays)
+    return np.array([len(a) for a in arrays], np.int64).tobytes() + pa.Codec("zstd", 1).compress(body, asbytes=True)
 
-    def __init__(self, most: int = 1_000_000):
-        self.known, self.most = {}, most
 
-    def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        docs = [WORD.findall(t.lower()) for t in texts]
-        flat = np.array([w for d in docs for w in d], object)
-        sizes = np.fromiter(map(len, docs), np.int64, len(docs))
-        if not len(flat):
-            return np.zeros(0, np.int64), sizes
-        code, kinds = pd.factorize(flat)
-        if len(self.known) > self.most:
-            self.known.clear()
-        found = list(map(self.known.get, kinds))
-        for i, f in enumerate(found):
-            if f is None:
-                found[i] = self.known[kinds[i]] = 1 + xxh64_intdigest(kinds[i].encode("utf-8", "surrogatepass")) % (WORDS - 1)
-        return np.array(found, np.int64)[code], sizes
-
-
-def pairs(words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The word before each word (0 at a text's start) and the table row of the two."""
-    before = np.r_[0, words[:-1]] if len(words) else words
-    starts = (np.cumsum(sizes) - sizes)[sizes > 0]
-    before[starts] = 0
-    h = (before.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (words.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+def loosen(blob: bytes, *kinds: type) -> list[np.ndarray]:
+    """The arrays again."""
+    sizes, out, at = np.frombuffer(blob, np.int64, len(kinds)), [], 0
+    width = [np.dtype(k).itemsize for k in kinds]
+    body = np.frombuffer(pa.Codec("zstd").decompress(blob[8 * len(kinds) :], int(sizes @ width), asbytes=True), np.uint8)
+    for n, w, kind in zip(sizes.tolist(), width, kinds, strict=True):
+        out.append(np.ascontiguousarray(body[at : at + n * w].reshape(w, n).T).view(kind).ravel())
+        at += n * w
+    return out
+
+
+def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    h = (a * np.uint64(0x9E3779B97F4A7C15)) ^ (b * np.uint64(0xC2B2AE3D27D4EB4F))
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
-    return before, ((h >> np.uint64(32)) % np.uint64(PAIRS)).astype(np.int64)
+    return h ^ (h >> np.uint64(32))
 
 
-def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A task's counts of words, contexts and pairs, of all texts and of the target's, packed by slice of the tables."""
-    size = 2 * WORDS + PAIRS
-    counts, terms = np.zeros((2, size), np.int64), Terms()
-    for b in batches:
-        texts, target = list(strings(b.column(0))), b.column(1).to_numpy(zero_copy_only=False).astype(bool)
-        for lo in range(0, len(texts), 500):
-            words, sizes = terms.of(texts[lo : lo + 500])
-            before, pair = pairs(words, sizes)
-            key = np.concatenate([words, WORDS + before, 2 * WORDS + pair])
-            mine = np.tile(np.repeat(target[lo : lo + 500], sizes), 3)
-            counts[0] += np.bincount(key, minlength=size)
-            counts[1] += np.bincount(key[mine], minlength=size)
-    live = np.flatnonzero(counts[0])
-    rows = list(by_bucket(live * SLICES // size, live, counts[0][live], counts[1][live]))
-    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.binary())], ["slice", "blob"])
-
-
-def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums a partition's counts as they come: what is held is a table of the slices met, however many parts there are."""
-    size = 2 * WORDS + PAIRS
-    starts = [-(-s * size // SLICES) for s in range(SLICES + 1)]
-    held: dict[int, np.ndarray] = {}
+def pairs(words: np.ndarray, sizes: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different pairs (word before, 0 at a text's start, times ``base`` plus word) in order, and each token's place among them."""
+    before = np.r_[0, words[:-1]] if len(words) else words
+    before[(np.cumsum(sizes) - sizes)[sizes > 0]] = 0
+    code, kinds = pd.factorize(before * base + words)
+    order = np.argsort(kinds)
+    rank = np.empty_like(order)
+    rank[order] = np.arange(len(order))
+    return kinds[order], rank[code]
+
+
+def keys(names: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """Keys of all words, all contexts and the pairs of a chunk; ``names`` holds 64 bits a word, 0 for a text's start."""
+    before, word = kinds // len(names), kinds % len(names)
+    one, context = np.array([[0xA0761D6478BD642F], [0xE7037ED1A0B428DB]], np.uint64)
+    return np.concatenate([mix(one, names[1:]), mix(names, context), mix(names[before], names[word])])
+
+
+class Chunk:
+    """Documents of a task with their words by number, in order of appearance."""
+
+    def __init__(self):
+        self.known, self.parts, self.tokens = {}, [], 0
+
+    def add(self, ids: pa.Array, texts: list[str], target: np.ndarray) -> None:
+        docs = [WORD.findall(t.lower()) for t in texts]
+        sizes = np.fromiter(map(len, docs), np.int64, len(docs))
+        words = np.zeros(0, np.int64)
+        if sizes.sum():
+            code, kinds = pd.factorize(np.array([w for d in docs for w in d], object))
+            words = np.array([self.known.setdefault(k, len(self.known) + 1) for k in kinds], np.int64)[code]
+        null = ids.is_null().to_numpy(zero_copy_only=False)
+        self.parts.append((ids.fill_null(0).to_numpy(zero_copy_only=False), null, sizes, words, target))
+        self.tokens += len(words)
+
+    def rows(self, chunk: int, buckets: int) -> Iterator[pa.RecordBatch]:
+        """The documents, and for each bucket the chunk's keys there in order with their counts in all texts and in the target's."""
+        ids, null, sizes, words, target = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        hashes = [xxh3_128_intdigest(w.encode("utf-8", "surrogatepass")) for w in self.known]
+        names = np.array([0, *(h & (2**64 - 1) for h in hashes)], np.uint64)
+        more = np.array([0, *(h >> 64 for h in hashes)], np.uint64)
+        kinds, place = pairs(words, sizes, len(names))
+        mine = np.repeat(target, sizes)
+        yield batch([(chunk, -1 - chunk % buckets, len(sizes), 0, 0, squeeze(ids, null, sizes.astype(np.int32), words.astype(np.int32), names))])
+        key, extra = keys(names, kinds), keys(more, kinds).astype(np.uint16) >> np.uint16(1)
+        extra[: len(names) - 1] |= np.uint16(1 << 15)  # marks words, so that owners can tell how many differ
+        counts = []
+        for here in (np.bincount(place, minlength=len(kinds)), np.bincount(place[mine], minlength=len(kinds))):
+            one = np.bincount(kinds % len(names), here, len(names))[1:]
+            context = np.bincount(kinds // len(names), here, len(names))
+            counts.append(np.concatenate([one, context, here]).astype(np.int64))
+        order = np.argsort(key, kind="stable")
+        key, extra, everything, inside = key[order], extra[order], counts[0][order], counts[1][order]
+        cuts = np.searchsorted(bucket_of(key, buckets), np.arange(buckets + 1))
+        for first in range(0, buckets, 128):
+            out = []
+            for b in range(first, min(first + 128, buckets)):
+                s = slice(cuts[b], cuts[b + 1])
+                steps = np.diff(key[s], prepend=np.uint64(0))
+                out.append((chunk, b, cuts[b + 1] - cuts[b], len(words), int(mine.sum()), squeeze(steps, extra[s], everything[s], inside[s])))
+            yield batch(out)
+
+
+def bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
+    """Parts of the key range, which rise with the key."""
+    return (((key >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+
+
+def batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    names = [c.split()[0] for c in ROWS.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+
+def by_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     for b in batches:
-        for s, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            at, everything, target = unpack_all([blob.as_py()], np.int64, np.int64, np.int64)
-            sums = held.setdefault(s, np.zeros((2, starts[s + 1] - starts[s]), np.int64))
-            sums[0][at - starts[s]] += everything
-            sums[1][at - starts[s]] += target
-    rows = []
-    for s, sums in held.items():
-        live = np.flatnonzero(sums[0])
-        rows.append((s, pack(live + starts[s], sums[0][live], sums[1][live])))
-    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["slice", "blob"])
-
-
-class Model:
-    """Pair probabilities that lean on single words, which lean on the uniform choice from the shared vocabulary."""
-
-    def __init__(self, counts: np.ndarray):
-        words, contexts, self.pairs = counts[:WORDS], counts[WORDS : 2 * WORDS], counts[2 * WORDS :]
-        self.single = ((words + 1) / (words.sum() + WORDS)).astype(np.float32)
-        self.contexts = contexts.astype(np.float32)
-        self.pairs = self.pairs.astype(np.float32)
-
-    def loss(self, words: np.ndarray, before: np.ndarray, pair: np.ndarray) -> np.ndarray:
-        # rows that words share never make a pair commoner than its context
-        own = np.minimum(self.pairs[pair], self.contexts[before]).astype(float)
-        return -np.log((own + TRUST * self.single[words]) / (self.contexts[before] + TRUST))
-
-
-def fit(rows: DataFrame) -> tuple[Model, Model]:
-    """Background and target models of ``rows(text, target)``; their tables have a fixed size, whatever the input's."""
-    kind = "slice long, blob binary"
-    parts = rows.mapInArrow(tally, kind)
-    lots = shuffle_partitions(rows.sparkSession) // SLICES
-    if lots > 1:  # a slice's parts meet in lots first, so that no task adds up all of them
-        parts = parts.repartition("slice", F.spark_partition_id() % lots).mapInArrow(add_up, kind)
-    parts = parts.repartition("slice").mapInArrow(add_up, kind).select("blob")
-    at, everything, target = unpack_all(parts.toArrow()["blob"].to_pylist(), np.int64, np.int64, np.int64)
-    counts = np.zeros((2, 2 * WORDS + PAIRS), np.int64)
-    counts[0][at], counts[1][at] = everything, target
-    return Model(counts[0]), Model(counts[1])
+        heads = zip(*(b.column(i).to_pylist() for i in range(5)), strict=True)
+        for head, blob in zip(heads, b.column(5), strict=True):
+            yield (*head, blob.as_py())
+
+
+def total(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """A bucket's sums over all chunks, for each chunk in the order of its keys, with the words in the bucket and the tokens of all chunks."""
+    steps, extra, *counts = (list(x) for x in zip(*(loosen(p[5], np.uint64, np.uint16, np.int64, np.int64) for p in parts), strict=True))
+    ends = np.cumsum([len(e) for e in extra])[:-1]
+    key, extra = np.concatenate([np.cumsum(s, dtype=np.uint64) for s in steps]), np.concatenate(extra)
+    order = np.lexsort((extra, key))
+    key, extra = key[order], extra[order]
+    new = np.r_[True, (key[1:] != key[:-1]) | (extra[1:] != extra[:-1])][: len(key)]
+    group = np.empty(len(key), np.int64)
+    group[order] = np.cumsum(new) - 1
+    sums = []
+    for c in counts:
+        c = np.concatenate(c)
+        of_key = np.zeros(int(new.sum()), np.int64)
+        np.add.at(of_key, group, c)
+        sums.append(np.split(of_key[group], ends))
+    words = int((extra[new] >> np.uint16(15)).sum())
+    everything, target = sum(p[3] for p in parts), sum(p[4] for p in parts)
+    for i in range(0, len(parts), 128):
+        yield batch([(p[0], p[1], words, everything, target, squeeze(a, t)) for p, a, t in zip(parts[i : i + 128], sums[0][i : i + 128], sums[1][i : i + 128], strict=True)])
+
+
+def owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Buckets come one after another; documents (negative buckets) pass."""
+    parts: list[tuple] = []
+    for row in by_rows(batches):
+        if row[1] < 0:
+            yield batch([row])
+            continue
+        if parts and parts[0][1] != row[1]:
+            yield from total(parts)
+            parts = []
+        parts.append(row)
+    if parts:
+        yield from total(parts)
+
+
+def losses(parts: list[tuple], buckets: int) -> pa.RecordBatch:
+    """Scores of a chunk's documents from the sums of its keys."""
+    if [p[1] for p in parts[1:]] != list(range(buckets)):
+        raise RuntimeError("a chunk's counts are not those of its documents")
+    ids, null, sizes, words, names = loosen(parts[0][5], np.int64, np.bool_, np.int32, np.int32, np.uint64)
+    kinds, place = pairs(words.astype(np.int64), sizes.astype(np.int64), len(names))
+    order = np.argsort(keys(names, kinds), kind="stable")
+    doc, vocabulary = np.repeat(np.arange(len(sizes)), sizes), max(WORDS, sum(p[2] for p in parts[1:]))
+    found = [np.concatenate(x) for x in zip(*(loosen(p[5], np.int64, np.int64) for p in parts[1:]), strict=True)]
+    out = []
+    for tokens, here in zip((parts[1][3], parts[1][4]), found, strict=True):
+        counts = np.empty(len(order))
+        counts[order] = here
+        one, context, pair = np.split(counts, [len(names) - 1, 2 * len(names) - 1])
+        single = np.r_[0, (one + 1) / (tokens + vocabulary)]
+        loss = -np.log((pair + TRUST * single[kinds % len(names)]) / (context[kinds // len(names)] + TRUST))
+        out.append(np.bincount(doc, loss[place], len(sizes)) / np.maximum(sizes, 1))
+    background, target = out
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64(), mask=null), pa.array(sizes.astype(np.int64)), pa.array(target), pa.array(background), pa.array(background - target)], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
 
 
 def marked(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
     ids = target_ids.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().withColumn("target", F.lit(True))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return texts.join(ids.hint("shuffle_hash"), "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
+    return texts.join(ids.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target"))
 
 
 def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
     """Score ``docs(doc_id, text, ...)`` by how much likelier the target's model finds each token than the background's.
 
     The background is all documents, the target those with an id in ``target_ids``.
-    Both are word-pair models over one vocabulary and with one smoothing. Counts cover
-    every document: each task adds up its own, slices of the tables are summed on the
-    executors as they arrive, and the finished tables, of a fixed size, are broadcast.
+    Both are word-pair models over one vocabulary and with one smoothing. Every word,
+    context and pair of the input has its own count: tasks count chunks of documents and
+    send each different key once to the owner of its bucket, owners add up over all chunks
+    and send the sums back, and each chunk scores its documents by them. A hot word so
+    costs its owner one entry a chunk, and nothing is broadcast or sent to the driver.
+    Keys are 79 bits of hashes: among 2 * 10^9 different keys the chance that any two
+    agree is about 1 in 300,000. Memory follows a chunk and a bucket; buckets grow with
+    ``spark.sql.shuffle.partitions``.
 
     Result per row: doc_id, n_tokens, target_loss and background_loss (mean natural
     logarithms a token), score = background_loss - target_loss. Null or empty text has
     no tokens and scores 0. Rows without doc_id belong to the background only. Repeated
     rows each count and get a row; other columns are not read.
     """
-    models = docs.sparkSession.sparkContext.broadcast(fit(marked(docs, target_ids)))
+    buckets = max(BUCKETS, 4 * shuffle_partitions(docs.sparkSession))
+    most = CHUNK
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (background, target), terms = models.value, Terms()
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, chunk = TaskContext.get().partitionId() << 32, Chunk()
         for b in batches:
-            texts, out = list(strings(b.column(1))), []
+            texts, target = list(strings(b.column(1))), b.column(2).to_numpy(zero_copy_only=False).astype(bool)
             for lo in range(0, len(texts), 500):
-                words, sizes = terms.of(texts[lo : lo + 500])
-                before, pair = pairs(words, sizes)
-                doc = np.repeat(np.arange(len(sizes)), sizes)
-                loss = [np.bincount(doc, m.loss(words, before, pair), len(sizes)) / np.maximum(sizes, 1) for m in (target, background)]
-                out.append((sizes, *loss))
-            n, t, g = (np.concatenate(x) for x in zip(*out, strict=True)) if out else [np.zeros(0)] * 3
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n.astype(np.int64)), pa.array(t.astype(float)), pa.array(g.astype(float)), pa.array((g - t).astype(float))], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return texts.mapInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+                chunk.add(b.column(0)[lo : lo + 500], texts[lo : lo + 500], target[lo : lo + 500])
+                if chunk.tokens >= most:
+                    yield from chunk.rows(number, buckets)
+                    number, chunk = number + 1, Chunk()
+        if chunk.parts:
+            yield from chunk.rows(number, buckets)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple] = []
+        for row in by_rows(batches):
+            if parts and parts[0][0] != row[0]:
+                yield losses(parts, buckets)
+                parts = []
+            parts.append(row)
+        if parts:
+            yield losses(parts, buckets)
+
+    # sorted, so that a task that is run again makes the same chunks
+    rows = marked(docs, target_ids).sortWithinPartitions("doc_id", "text").mapInArrow(count, ROWS)
+    sums = rows.repartition("bucket").sortWithinPartitions("bucket", "chunk").mapInArrow(owners, ROWS)
+    return sums.repartition("chunk").sortWithinPartitions("chunk", "bucket").mapInArrow(score, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
 
 
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -293,6 +293,29 @@ def test_losses_against_brute_force(spark):
     assert LM.cross_entropy_difference(docs(spark, []), spark.createDataFrame([], "doc_id long")).count() == 0
 
 
+def test_losses_are_exact_beyond_any_table_size(spark, monkeypatch):
+    # 540,000 different words, more than 2^19: in hashed rows most would share counts
+    for name, small in (("CHUNK", 100_000), ("BUCKETS", 16)):
+        monkeypatch.setattr(LM, name, small, raising=False)
+    rows = [(i, " ".join(f"w{i * 900 + j}" for j in range(900)) + f" x{i % 7} x{i % 5}") for i in range(600)]
+    got = LM.cross_entropy_difference(docs(spark, rows), spark.createDataFrame([(i,) for i in range(0, 600, 3)], "doc_id long")).toPandas().set_index("doc_id")
+
+    def loss(some):
+        one, pair, ctx = Counter(), Counter(), Counter()
+        for _, t in some:
+            w = t.split()
+            one.update(w)
+            ctx.update(["", *w[:-1]])
+            pair.update(zip(["", *w], w, strict=False))
+        n = sum(one.values()) + 540_007
+        return lambda w: np.mean([-np.log((pair[a, b] + LM.TRUST * (one[b] + 1) / n) / (ctx[a] + LM.TRUST)) for a, b in zip(["", *w], w, strict=False)])
+
+    everything, target = loss(rows), loss(rows[::3])
+    for i in (0, 1, 300, 301, 599):
+        w = rows[i][1].split()
+        assert got.loc[i, "background_loss"] == pytest.approx(everything(w), rel=1e-9) and got.loc[i, "target_loss"] == pytest.approx(target(w), rel=1e-9)
+
+
 # tokens
 
 
