@@ -81,7 +81,7 @@ def paired_differences(rows: DataFrame, pairs: Sequence[tuple[str, str]], unit:
 
 
 def sign_p(wins: Column, losses: Column) -> Column:
-    """Exact two-sided sign-test p of up to about 1,000 pairs; 1 where no pair differs.
+    """Exact two-sided sign-test p of up to about 1,000 pairs; 1 where no pair differs. Tables take ``sign_p_large``.
 
     Binomial terms follow each other by a recurrence that starts at 2^-n.
     """
@@ -102,7 +102,8 @@ def sign_p_large(wins: pd.Series, losses: pd.Series) -> pd.Series:
         # log C(n, tail) by Stirling's series is exact enough beyond 1,000, but sums of logarithms are exact
         i = np.arange(1, tail + 1)
         top = half + np.sum(np.log(n - tail + i) - np.log(i))
-        k = tail - np.arange(min(tail, 100_000))
+        # terms fall at least as exp(-2 j^2 / n), so those left out are below exp(-50) of the first
+        k = tail - np.arange(min(tail, 100 + int(5 * np.sqrt(n))))
         down = np.r_[0.0, np.cumsum(np.log(k) - np.log(n - k + 1))]
         out.append(min(1.0, 2 * float(np.exp(top + np.log(np.exp(down).sum())))))
     return pd.Series(out)
@@ -120,7 +121,7 @@ def paired_table(differences: DataFrame, by: Sequence[str] = (), tie: float = 0.
     w, x, t = outcomes(tie, direction)
     tw, tx, _ = outcomes(tie_in_test)
     out = differences.groupBy(*by, "comparison", "metric").agg(F.count("*").alias("paired_units"), w.alias("left_wins"), x.alias("right_wins"), t.alias("ties"), F.avg("difference").alias("mean_diff"), tw.alias("_w"), tx.alias("_x"))
-    return out.withColumn("exact_sign_p", sign_p(F.col("_w"), F.col("_x"))).drop("_w", "_x")
+    return out.withColumn("exact_sign_p", sign_p_large("_w", "_x")).drop("_w", "_x")
 
 
 def effect_sizes(mean: Column, sd: Column, n: Column) -> tuple[Column, Column]:
@@ -138,7 +139,7 @@ def summary_table(differences: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         F.sum((F.col("difference") > 0).cast("int")).alias("positive_pairs"), F.sum((F.col("difference") < 0).cast("int")).alias("negative_pairs"), t.alias("ties"), w.alias("_w"), x.alias("_x"),
     )
     dz, gz = effect_sizes(F.col("mean_difference"), F.col("difference_sd"), F.col("n"))
-    return out.withColumns({"cohen_dz": dz, "hedges_gz": gz, "exact_sign_p": sign_p(F.col("_w"), F.col("_x"))}).drop("_w", "_x")
+    return out.withColumns({"cohen_dz": dz, "hedges_gz": gz, "exact_sign_p": sign_p_large("_w", "_x")}).drop("_w", "_x")
 
 
 def pair_lookup(stats: DataFrame, wanted: Sequence[tuple[str, str]]) -> DataFrame:

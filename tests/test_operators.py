@@ -75,6 +75,30 @@ def test_bootstrap_edges_and_large_form(spark):
     assert m["ci95_low"] == pytest.approx(lo, abs=0.06) and m["ci95_high"] == pytest.approx(hi, abs=0.06)
 
 
+def test_tables_take_the_sign_test_of_many_pairs(spark):
+    n, wins = 3000, 1450
+    d = spark.range(n).select(F.lit("L vs R").alias("comparison"), F.lit("m").alias("metric"), F.when(F.col("id") < wins, 1.0).otherwise(-1.0).alias("difference"))
+    exact = 2 * sum(math.comb(n, i) for i in range(wins + 1)) / 2**n
+    for table in (S.paired_table(d), S.summary_table(d)):
+        assert table.first()["exact_sign_p"] == pytest.approx(exact, rel=1e-9)
+
+
+def test_intervals_draw_in_blocks_and_leave_many_pairs_to_partial_sums(spark, monkeypatch):
+    values = np.random.default_rng(5).normal(0.2, 1, 501)
+    whole = np.random.default_rng(7).choice(values, size=(3000, 501), replace=True).mean(axis=1)
+    monkeypatch.setattr(B, "BLOCK", 10_000)
+    assert B.exact_interval(values, 7, resamples=3000) == tuple(np.quantile(whole, [0.025, 0.975]))
+    rows = [(k, f"v{i:03}", float(x)) for k, size in (("few", 50), ("many", 501)) for i, x in enumerate(values[:size])]
+    d = spark.createDataFrame(rows, "k string, u string, difference double").repartition(3)
+    monkeypatch.setattr(B, "EXACT", 100)
+    for statistic in ("mean", "median"):
+        got = {r["k"]: r for r in B.intervals(d, ["k"], "u", lambda _: 7, statistic, 400).collect()}
+        assert (got["few"]["ci95_low"], got["few"]["ci95_high"]) == B.exact_interval(values[:50], 7, statistic, 400)
+        lo, hi = B.exact_interval(values, 7, statistic, 400)
+        assert got["many"]["n"] == 501 and got["many"]["ci95_low"] == pytest.approx(lo, abs=0.06) and got["many"]["ci95_high"] == pytest.approx(hi, abs=0.06)
+        assert got["many"]["ci95_low"] != lo
+
+
 def test_paired_differences_skip_gaps_and_nan(spark):
     nan, inf = float("nan"), float("inf")
     rows = [("a", "L", 1.0), ("a", "R", 0.5), ("b", "L", nan), ("b", "R", 1.0), ("c", "L", 1.0), ("d", "L", inf), ("d", "R", 0.0)]
