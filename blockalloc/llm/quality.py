@@ -24,6 +24,8 @@ TABLE = 1 << 16
 #: Ones in a sparse random index vector.
 ONES = 6
 WINDOW = 2
+#: Pairs of neighbours that a task holds before it adds them up.
+PAIRS = 3_000_000
 #: Labelled rows of each class that the model is fitted on, at most.
 PER_CLASS = 6000
 HIDDEN = 32
@@ -79,19 +81,34 @@ class Rows:
         return rows[order], np.bincount(at, minlength=len(docs))
 
 
+def index_places() -> list[tuple[np.ndarray, np.ndarray]]:
+    """Where the ones of each row's sparse index vector stand, and their signs."""
+    rng = np.random.default_rng(11)
+    return [(rng.integers(0, DIM, TABLE), rng.choice(np.array([-1, 1], np.float32), TABLE)) for _ in range(ONES)]
+
+
 def index_vectors() -> np.ndarray:
     """Sparse ternary index vectors, one a row of the table."""
-    rng = np.random.default_rng(11)
     out = np.zeros((TABLE, DIM), np.float32)
-    for _ in range(ONES):
-        out[np.arange(TABLE), rng.integers(0, DIM, TABLE)] += rng.choice(np.array([-1, 1], np.float32), TABLE)
+    for place, sign in index_places():
+        out[np.arange(TABLE), place] += sign
     return out
 
 
 def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Summed index vectors of what stands around each term in a batch: left neighbours rolled one way, right ones the other."""
-    index, rows = index_vectors(), Rows()
-    total, count = np.zeros((TABLE, DIM), np.float32), np.zeros(TABLE, np.int64)
+    """A task's summed index vectors of what stands around each term: left neighbours rolled one way, right ones the other."""
+    index, rows = index_places(), Rows()
+    total, count = np.zeros(TABLE * DIM), np.zeros(TABLE, np.int64)
+    held: list[np.ndarray] = []
+
+    def add_up():
+        pairs, n = np.unique(np.concatenate(held), return_counts=True)
+        a, c = pairs // TABLE, pairs % TABLE
+        for place, sign in index:
+            total[:] += np.bincount(a * DIM + (place[c] + 1) % DIM, n * sign[c], TABLE * DIM)
+            total[:] += np.bincount(c * DIM + (place[a] - 1) % DIM, n * sign[a], TABLE * DIM)
+        held.clear()
+
     for b in batches:
         texts = list(strings(b.column(0)))
         for lo in range(0, len(texts), 500):
@@ -100,13 +117,15 @@ def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             count += np.bincount(r, minlength=TABLE)
             for back in range(1, WINDOW + 1):
                 ok = doc[back:] == doc[:-back]
-                a, c = r[back:][ok], r[:-back][ok]
-                pairs, n = np.unique(a * np.int64(TABLE) + c, return_counts=True)
-                a, c, n = pairs // TABLE, pairs % TABLE, n[:, None].astype(np.float32)
-                np.add.at(total, a, np.roll(index, 1, axis=1)[c] * n)
-                np.add.at(total, c, np.roll(index, -1, axis=1)[a] * n)
+                held.append(r[back:][ok] * np.int64(TABLE) + r[:-back][ok])
+            if sum(map(len, held)) > PAIRS:
+                add_up()
+    if held:
+        add_up()
     live = np.flatnonzero(count)
-    yield pa.RecordBatch.from_arrays([pa.array(live), pa.array(count[live]), pa.array(list(total[live]), pa.list_(pa.float32()))], ["row", "n", "vec"])
+    vec = pa.ListArray.from_arrays(np.arange(len(live) + 1, dtype=np.int32) * DIM, total.reshape(TABLE, DIM)[live].astype(np.int64).ravel())
+    for lo in range(0, len(live), 5000):
+        yield pa.RecordBatch.from_arrays([pa.array(live[lo : lo + 5000]), pa.array(count[live[lo : lo + 5000]]), vec[lo : lo + 5000].cast(pa.list_(pa.int32()))], ["row", "n", "vec"])
 
 
 def pooled(texts: list[str], rows: Rows, vectors: np.ndarray) -> np.ndarray:
@@ -172,9 +191,10 @@ class Network:
 
 
 def fit(docs: DataFrame, labels: DataFrame, modulus: int, held_out: int, per_class: int) -> tuple[np.ndarray, Network | None]:
-    """Word vectors and network from a bounded sample of labelled rows."""
+    """Word vectors from all documents, and a network from a bounded sample of labelled rows."""
     rows = sample(docs, labels, "quality", modulus, held_out, per_class).checkpoint()
-    parts = rows.select("text").mapInArrow(contexts, "row long, n long, vec array<float>")
+    texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    parts = texts.mapInArrow(contexts, "row long, n long, vec array<int>")
     total, count = np.zeros((TABLE, DIM), np.float64), np.zeros(TABLE)
     summed = parts.groupBy("row").agg(F.sum("n").alias("n"), F.array(*(F.sum(F.col("vec")[i].cast("double")) for i in range(DIM))).alias("vec")).toPandas()
     if len(summed):
@@ -203,7 +223,8 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, modulus:
     Random indexing: each term has a sparse ternary index vector, and its word vector
     sums those of its neighbours, rolled by side. A document pools the vectors of all
     its terms; a two-layer network scores the pool, and a temperature chosen on rows
-    that it wasn't trained on calibrates the probabilities. All is fitted on at most
+    that it wasn't trained on calibrates the probabilities. Word vectors come from all
+    documents, without their labels. Network and temperature are fitted on at most
     ``per_class`` labelled rows of each class, never on rows whose crc32(doc_id) mod
     ``modulus`` is ``held_out``; the table of vectors has a fixed size.
 

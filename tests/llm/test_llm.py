@@ -16,6 +16,7 @@ public_tokenizers = pytest.importorskip("public_tokenizers")
 from blockalloc.llm import html_text as H
 from blockalloc.llm import language_model as LM
 from blockalloc.llm import packing as P
+from blockalloc.llm import quality as Q
 from blockalloc.llm import simhash as SH
 from blockalloc.llm import substrings as SU
 from blockalloc.llm import tokens as T
@@ -435,3 +436,24 @@ def test_pipeline_stages(spark, data):
         assert want[r.doc_id][1] or hashlib.sha256(r.text.encode()).hexdigest() == want[r.doc_id][3]
     assert cp.run(spark, data).count() >= cut.count()
     assert [n for n, _ in cp.STAGES] == ["toxicity", "exact_dedup", "simhash_dedup", "suffix_dedup", "best_fit_packing"]
+
+
+def test_word_vectors_come_from_all_documents(spark):
+    texts = ["alpha beta gamma", "beta gamma, delta delta", "gamma omega"]
+    rows = [(i, texts[i % 2]) for i in range(40)] + [(100 + i, texts[2]) for i in range(20)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], LABELS)
+    vectors, network = Q.fit(docs(spark, rows), labels, 5, 0, 10)
+    index, total, count = Q.index_vectors(), np.zeros((Q.TABLE, Q.DIM)), np.zeros(Q.TABLE)
+    for _, text in rows:
+        r, _ = Q.Rows().of([text])
+        np.add.at(count, r, 1)
+        for back in (1, 2):
+            for a, c in zip(r[back:], r[:-back], strict=True):
+                total[a] += np.roll(index[c], 1)
+                total[c] += np.roll(index[a], -1)
+    for word in ("alpha", "gamma", "omega", ","):  # omega stands in no labelled document
+        i = Q.row_of(word)
+        n = count[i]
+        assert n >= 20
+        assert vectors[i] == pytest.approx(total[i] / np.linalg.norm(total[i]) * n / (n + 3) + index[i] / np.sqrt(Q.ONES) * 3 / (n + 3), abs=1e-6)
+    assert network is not None
