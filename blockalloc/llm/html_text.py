@@ -25,10 +25,13 @@ ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s
 NAME = re.compile(r"[a-z]+")
 SPACE = re.compile(r"\s+")
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "math", "object", "title", "select"}
+RAW = {"script", "style", "template", "textarea", "iframe", "title", "select"}
 #: What never holds main text, whatever the trees say.
-NEVER = {"head", "script", "style", "noscript", "template", "textarea", "iframe", "svg", "math", "object", "title", "select", "button", "option", "datalist"}
+NEVER = {"head", "script", "style", "template", "textarea", "iframe", "title", "select", "button", "option", "datalist"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "ruby", "rb", "rp", "rt", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var"}
+#: Formulas and drawings stand in the text that holds them; only inside them does "/>" end an element.
+FOREIGN = {"math", "svg"}
+INLINE |= FOREIGN | {"mi", "mn", "mo", "ms", "mtext", "mrow", "mfrac", "msqrt", "mroot", "msub", "msup", "msubsup", "munder", "mover", "munderover", "mstyle", "mpadded", "mspace", "semantics", "g", "path", "tspan"}
 #: A start tag in a set ends an open element of the set's key, unless one of the barriers stands between.
 CLOSES = {
     "p": {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul", "figure", "details"},
@@ -98,6 +101,8 @@ class Page:
                 if name in ("br", "hr"):
                     self.text.append((block, " " if name == "br" else None))
                 continue
+            if m[0].endswith("/>") and (name in FOREIGN or any(t in FOREIGN for t, _ in stack)):
+                continue
             if name in RAW:
                 end = re.compile(rf"</{name}(?![a-z0-9])[^>]*>", re.I).search(source, at)
                 at = end.end() if end else size if name in ("script", "style") else at
@@ -146,7 +151,7 @@ def tokens_of(tag: str, attributes: str) -> tuple[str, ...]:
         for m in ATTRIBUTE.finditer(attributes):
             if m[1].lower() in ("class", "id", "role", "itemprop"):
                 out += NAME.findall((m[2] or m[3] or m[4] or "").lower())
-    return tuple(out[:12])
+    return tuple(out)
 
 
 FEATURES = 26
@@ -362,17 +367,27 @@ def training_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(pages, pa.string()), pa.array(ys, pa.list_(pa.float64())), pa.array(tokens, pa.list_(pa.list_(pa.string())))], ["html", "y", "tokens"])
 
 
+def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages that mark their main part."""
+    for b in batches:
+        yield b.filter(pa.array([bool((labels_of(Page(t)) >= 0).all()) for t in strings(b.column(0))], pa.bool_()))
+
+
 def fit(pages: DataFrame, most: int = TRAIN_PAGES) -> tuple[dict[str, float], Trees | None]:
-    """Token values and trees from at most ``most`` pages, chosen by a hash of the page's id and url.
+    """Token values and trees from at most ``most`` pages that mark their main part, chosen by a hash of the page's id and url.
 
-    Only pages whose hash is low enough that some four times as many are left enter the
-    sort, so what it reads doesn't grow with the input.
+    Only pages that name the mark and whose hash is low enough that some four times as
+    many are left are parsed and enter the sort, so what it reads doesn't grow with the
+    input. Where too few of them turn out to be marked, more are let in, up to all.
     """
-    share = 4 * most / max(1, pages.count())
-    low = pages.withColumn("_h", F.xxhash64("page_id", "url")).where("html is not null")
-    if share < 1:
-        low = low.where(F.col("_h") < F.lit(int(2**64 * share) - 2**63))
-    chosen = low.orderBy("_h", "page_id").limit(most).select("html")
+    named = pages.where(F.col("html").rlike("(?i)<(article|main)")).select("html", F.xxhash64("page_id", "url").alias("_h"), "page_id")
+    share = 4 * most / max(1, named.count())
+    while True:
+        low = named.where(F.col("_h") < F.lit(int(2**64 * share) - 2**63)) if share < 1 else named
+        chosen = low.mapInArrow(marked, "html string, _h long, page_id long").orderBy("_h", "page_id").limit(most).select("html").checkpoint()
+        if share >= 1 or chosen.count() >= most:
+            break
+        share *= 8
     data = chosen.mapInArrow(training_rows, "html string, y array<double>, tokens array<array<string>>").toPandas().sort_values("html")
     seen = defaultdict(lambda: [0.0, 0.0])
     for ys, ts in zip(data["y"], data["tokens"], strict=True):
@@ -444,8 +459,8 @@ def main_text(pages: DataFrame, most: int = TRAIN_PAGES) -> DataFrame:
     Each block element of the DOM gets features of its own text, its subtree's density,
     the tag and attribute names on its path, depth, place and siblings; gradient-boosted
     trees score it, and a dynamic programme over the DOM keeps ancestors and descendants
-    consistent. The trees are fitted on at most ``most`` pages that name their main part
-    by <article> or <main>, as they are and rearranged under other names.
+    consistent. The trees are fitted on at most ``most`` pages, chosen among all that name
+    their main part by <article> or <main>, as they are and rearranged under other names.
 
     Result per row: page_id, url, text (blocks in page order, white space reduced,
     joined by a space), n_chars. Null, empty and markup-free html work like any other;

@@ -457,3 +457,18 @@ def test_word_vectors_come_from_all_documents(spark):
         assert n >= 20
         assert vectors[i] == pytest.approx(total[i] / np.linalg.norm(total[i]) * n / (n + 3) + index[i] / np.sqrt(Q.ONES) * 3 / (n + 3), abs=1e-6)
     assert network is not None
+
+
+def test_pages_keep_all_names_and_formulas():
+    assert "comments" in H.tokens_of("div", ' class="a-b c-d e-f g-h i-j k-l m-n" id="comments"')
+    p = H.Page("<p>Let <math><mspace/><mi>x</mi><mo>=</mo><mn>1</mn></math> be</p><svg><path d='z'/><text>s</text></svg><noscript><p>n</p></noscript><object>o</object><script>no</script>")
+    assert [t for _, t in p.segments()] == ["Let x=1 be", "s", "n", "o"]
+
+
+def test_rare_marked_pages_are_found(spark):
+    body = "".join(f"<p>Sentence {i} of a longer text, with more words.</p>" for i in range(8))
+    page = "<html><body><nav><a href=#>Home</a></nav>{}</body></html>"
+    rows = [(i, "u", page.format(f"<!-- <article> --><div>{body}</div>")) for i in range(200)]
+    rows += [(1000 + i, "u", page.format(f"<article>{body}</article>")) for i in range(3)]
+    _, trees = H.fit(spark.createDataFrame(rows, "page_id long, url string, html string"), 2)
+    assert trees is not None
