@@ -216,17 +216,66 @@ def test_classifiers_on_held_out_rows(spark):
     assert TX.toxicity(docs(spark, []), y).count() == 0
 
 
-def test_kneser_ney_sums_to_one():
-    m = TX.KneserNey(["abba", "abc", "cab"], np.array([3.0, 1, 2]), np.array([0.0, 5, 1]))
-    p = None
-    for n, (key, context, of) in enumerate(TX.grams(["ab" + c for c in "abc"] + ["ab"])):
-        p = np.full(len(of), 1 / m.alphabet) if p is None else p
-        if n < TX.ORDER - 1:
-            p = m.shared[n].apply(key, context, p)
-    for level in m.top:
-        q = level.apply(key, context, p)
-        after_ab = [q[2], q[6], q[10], q[14]]  # a, b, c or the end after "ab"
-        assert 0.85 < sum(after_ab) <= 1.0001
+def kneser_ney_by_hand(weights, word, order, class_discounts, shared_discounts):
+    """Log-likelihood of a word from dictionaries of counts: ``weights`` has the words of all classes, then of one."""
+    def gram_list(w, n):
+        x = "\0" * order + w + "\0"
+        return [x[i - n + 1 : i + 1] for i in range(order, len(x))]
+
+    everything, own = weights
+    alphabet = {c for w in everything for c in w} | {"\0"}
+    levels = []
+    for n in range(1, order):
+        longer = {g for w in everything for g in gram_list(w, n + 1)}
+        levels.append((Counter(g[1:] for g in longer), shared_discounts))
+    top = Counter()
+    for w, k in own.items():
+        for g in gram_list(w, order):
+            top[g] += k
+    levels.append((top, class_discounts))
+
+    def p(gram):
+        below, n = 1 / (len(alphabet) + 1), len(gram)
+        for size in range(1, n + 1):
+            counts, discounts = levels[size - 1]
+            off = lambda c: min(c, discounts[min(max(int(c) - 1, 0), 2)])
+            here = gram[n - size :]
+            row = {g: c for g, c in counts.items() if g[:-1] == here[:-1] and c}
+            if row:
+                below = (row.get(here, 0) - (off(row[here]) if here in row else 0) + sum(map(off, row.values())) * below) / sum(row.values())
+        return below
+
+    return sum(np.log(p(g)) for g in gram_list(word, order)), p
+
+
+def test_kneser_ney_against_brute_force():
+    ordinary, toxic = {"abba": 3, "abc": 1, "cab": 2, "bac": 1}, {"abc": 5, "cab": 1, "cabba": 2}
+    batch = sorted({*ordinary, *toxic})
+    m = TX.KneserNey(batch, *(np.array([c.get(w, 0) for w in batch], float) for c in (ordinary, toxic)))
+    asked = [*batch, "ab", "zzz", "cabc", "a"]
+    got, args = m.differences(asked), (TX.ORDER, TX.CLASS_DISCOUNTS, TX.SHARED_DISCOUNTS)
+    for w, d in zip(asked, got, strict=True):
+        assert d == pytest.approx(kneser_ney_by_hand((batch, toxic), w, *args)[0] - kneser_ney_by_hand((batch, ordinary), w, *args)[0], abs=1e-5)
+    _, p = kneser_ney_by_hand((batch, toxic), "a", *args)
+    assert sum(p("\0" * 6 + "a" + c) for c in "abc\0z") == pytest.approx(1)
+
+
+def test_toxicity_compares_by_length():
+    m = TX.KneserNey(["good", "fine", "bad"], np.array([5.0, 5, 0]), np.array([5.0, 5, 9]))
+    one, two = TX.Scorer(m).features(["good bad", "good bad " * 40])
+    assert one == pytest.approx(m.differences(["good", "bad"]).mean()) and two[-1] == pytest.approx(one[-1])
+    assert two[0] == two[1] == pytest.approx(m.differences(["bad"])[0], rel=1e-6)
+    assert (TX.Scorer(m).features(["", " \n", "..."]) == 0).all()
+
+
+def test_each_sampled_row_may_stand_alone(spark):
+    rows = [(i, t) for i, t in enumerate(["", None, "...", "mean word", "kind word", " "] * 8)]
+    d = docs(spark, rows).repartition(len(rows))
+    labels = spark.createDataFrame([(i, 1, int(t == "mean word")) for i, t in rows], LABELS)
+    got = TX.toxicity(d, labels).toPandas()
+    assert len(got) == len(rows) and got["score"].between(0, 1).all()
+    empty = list(TX.count_words(iter([pa.RecordBatch.from_arrays([pa.array([], pa.string()), pa.array([], pa.int32()), pa.array([], pa.int32())], ["text", "y", "fold"])])))
+    assert empty[0].num_rows == 0
 
 
 # packing
