@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,15 +14,19 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 def ready(spark: SparkSession) -> SparkSession:
     """Make this package importable in Python workers and a checkpoint folder known.
 
-    A folder named in ``spark.checkpoint.dir`` is used as it is; only where none is
-    set (tests, a laptop) does a local one take its place.
+    A folder named in ``spark.checkpoint.dir`` is used as it is. Where none is set, a
+    local one takes its place if the session runs on this machine alone; on a cluster
+    executors couldn't share it, so that is an error.
     """
     sc = spark.sparkContext
     have = sc.environment.get("PYTHONPATH", "")
     if ROOT not in have.split(os.pathsep):
         sc.environment["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, have) if x)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return spark
 
 
