@@ -8,11 +8,13 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of an Arrow batch between the JVM and a Python worker; some copies of it are held on both sides.
+BATCH_BYTES = 4 << 20
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Make this package importable in Python workers and a checkpoint folder known.
+    """Make this package importable in Python workers, Arrow batches bounded in bytes, and a checkpoint folder known.
 
     A folder named in ``spark.checkpoint.dir`` is used as it is. Where none is set, a
     local one takes its place if the session runs on this machine alone; on a cluster
@@ -22,6 +24,9 @@ def ready(spark: SparkSession) -> SparkSession:
     have = sc.environment.get("PYTHONPATH", "")
     if ROOT not in have.split(os.pathsep):
         sc.environment["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, have) if x)
+    most = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    if int(re.sub(r"\D", "", most) or 0) == 64 << 20:  # the default; another value is the user's choice
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
