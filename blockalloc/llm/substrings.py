@@ -400,10 +400,10 @@ def cut_spans(keep_text: bool, carry: list[str]):
             kept = data[a:b][~gone[a:b]].tobytes() if total[a] < total[b] else data[a:b].tobytes()
             digests.append(hashlib.sha256(kept).hexdigest())
             if keep_text:
-                texts.append(kept)
+                texts.append(kept.decode("utf-8", "ignore"))
         same = docs.select(["doc_id", *carry]).take(pa.array(place))
         out = {"doc_id": same["doc_id"], "n_bytes": pa.array(np.diff(offsets)), "n_removed": pa.array(total[offsets[1:]] - total[offsets[:-1]]), "n_spans": pa.array(runs[offsets[1:]] - runs[offsets[:-1]]), "kept_sha256": pa.array(digests, pa.string())}
-        return pa.table(out | ({"kept": pa.array(texts, pa.binary())} if keep_text else {}) | {c: same[c] for c in carry})
+        return pa.table(out | ({"kept": pa.array(texts, pa.string())} if keep_text else {}) | {c: same[c] for c in carry})
 
     return run
 
@@ -419,7 +419,8 @@ def drop_repeats(docs: DataFrame, length: int = 100, keep_text: bool = False, ca
     once.
 
     Result per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with
-    ``keep_text`` the remaining bytes as ``kept``. Null text counts as empty; a null
+    ``keep_text`` the remaining text as ``kept``: a character that lost some of its bytes
+    goes whole there. Null text counts as empty; a null
     doc_id stands before all others; rows that share a doc_id are ordered by their text
     and count as different documents. Columns named in ``carry`` come along unchanged;
     others are not read.
@@ -440,7 +441,7 @@ def drop_repeats(docs: DataFrame, length: int = 100, keep_text: bool = False, ca
     replies = found.groupBy("bucket").applyInArrow(repeated_seeds, "block long, blob binary")
     around = by_block.cogroup(replies.groupBy("block")).applyInArrow(around_seeds(length, n), "bucket long, block long, blob binary")
     spans = around.groupBy("bucket").applyInArrow(own_seeds(length), "block long, blob binary")
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * keep_text
     schema += "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in carried)
     out = by_block.cogroup(spans.groupBy("block")).applyInArrow(cut_spans(keep_text, carried), schema)
     return out.withColumnsRenamed(dict(zip(carried, carry, strict=True)))

@@ -68,6 +68,30 @@ def test_trie_spills_by_subtree(budget):
     assert {k: v[:2] for k, v in trie.items()} == want
 
 
+@pytest.mark.parametrize("budget", [10_000, 50_000])
+def test_trie_spills_below_shared_prefixes(budget):
+    rnd = random.Random(2)
+    shared = rnd.randbytes(5000)
+    keys = [shared + rnd.randbytes(40) for _ in range(300)] + [shared[:k] for k in range(0, 5000, 50)] + [b"%d" % i for i in range(3000)] + [b"y" * 200_000]
+    trie, want = RadixTrie(budget), defaultdict(int)
+    for key in keys * 2:
+        trie.add(key, 1, 1, hashlib.sha256(key).digest())
+        want[key] += 1
+    assert len(trie.files) > 1
+    assert Counter({k: v[1] for k, v in trie.items()}) == want
+
+
+def test_copies_merge_before_the_shuffle(monkeypatch):
+    from blockalloc.llm import exact_dedup as E
+
+    monkeypatch.setattr(E, "HELD_BYTES", 1000)
+    rows = [(i, b"copy" if i % 3 else b"%d" % i) for i in range(300)] + [(None, b"copy")]
+    batches = [pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows[k : k + 50]], pa.int64()), pa.array([t for _, t in rows[k : k + 50]], pa.binary())], ["doc_id", "data"]) for k in range(0, 301, 50)]
+    out = pa.Table.from_batches(list(E.local_texts(iter(batches)))).to_pylist()
+    assert sum(r["rows"] for r in out) == 301 and max(r["keep_id"] or 0 for r in out if r["data"] == b"copy") == 299
+    assert sum(r["data"] == b"copy" for r in out) < 10 and all(r["digest"] == hashlib.sha256(r["data"]).digest() and r["n_bytes"] == len(r["data"]) for r in out)
+
+
 # repeated passages
 
 
