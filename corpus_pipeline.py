@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,13 +17,13 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents predicted toxic go."""
+    """Documents predicted toxic go. Null text counts as empty; a null doc_id is scored like any other."""
     ready(spark)
     return without_toxic(docs.select(*COLUMNS), table(spark, sf_dir, "labels"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each text stays: the one with the largest id."""
+    """One document of each text stays: the one with the largest id; null text counts as empty, a null id as the smallest."""
     ready(spark)
     return one_of_each_text(docs.select(*COLUMNS))
 
@@ -37,22 +36,19 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return rows.join(kept, rows["doc_id"].cast("long").eqNullSafe(kept["_kept"]), "left_semi")
 
 
-def whole_characters(batches):
-    """Remaining bytes as text: a character that lost some of its bytes goes; n_chars counts what stays."""
-    for b in batches:
-        texts = [x.as_buffer().to_pybytes().decode("utf-8", "ignore") for x in b.column(1)]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), b.column(2), b.column(3), pa.array(list(map(len, texts)), pa.int64())], list(COLUMNS))
-
-
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes of 100-byte strings that also start earlier go; every document stays."""
+    """Bytes of 100-byte strings that also start earlier go; every document stays.
+
+    A character that loses some of its bytes goes whole; n_chars counts what stays. Null
+    text becomes empty.
+    """
     ready(spark)
-    left = drop_repeats(docs, keep_text=True, carry=("lang", "source")).select("doc_id", "kept", F.col("lang").cast("string"), F.col("source").cast("string"))
-    return left.mapInArrow(whole_characters, "doc_id long, text string, lang string, source string, n_chars long")
+    left = drop_repeats(docs, keep_text=True, carry=("lang", "source"))
+    return left.select("doc_id", F.col("kept").alias("text"), F.col("lang").cast("string"), F.col("source").cast("string"), F.length("kept").cast("long").alias("n_chars"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of the remaining texts, packed into sequences."""
+    """Token pieces of the remaining texts, packed into sequences; null and empty text are a piece of one token."""
     ready(spark)
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
