@@ -8,24 +8,25 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_intdigest
 
+from blockalloc.llm.packed import block_count
 from blockalloc.llm.tokens import strings
-from blockalloc.session import shuffle_partitions, table
+from blockalloc.session import table
 
 WORD = re.compile(r"\w+|[^\w\s]")
 #: The uniform choice is among the different words of all documents, but at least among this many.
 WORDS = 1 << 19
-#: Tokens of the documents that are counted and scored together.
-CHUNK = 1 << 22
-#: Least number of parts of the count table.
-BUCKETS = 512
+#: Bytes of text in a block of documents, and so about what an owner of counts holds.
+BLOCK_BYTES = 8 << 20
 #: How many pairs' worth of trust a word gives to the model without context.
 TRUST = 4.0
-ROWS = "chunk long, bucket int, n long, everything long, target long, blob binary"
+#: Documents that are split into words together.
+TOGETHER = 500
+COUNTS = "bucket int, block long, tokens long, inside long, blob binary"
+SUMS = "block long, bucket int, words long, tokens long, inside long, blob binary"
 
 
 def squeeze(*arrays: np.ndarray) -> bytes:
@@ -51,90 +52,91 @@ def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def pairs(words: np.ndarray, sizes: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
-    """The different pairs (word before, 0 at a text's start, times ``base`` plus word) in order, and each token's place among them."""
-    before = np.r_[0, words[:-1]] if len(words) else words
-    before[(np.cumsum(sizes) - sizes)[sizes > 0]] = 0
-    code, kinds = pd.factorize(before * base + words)
-    order = np.argsort(kinds)
-    rank = np.empty_like(order)
-    rank[order] = np.arange(len(order))
-    return kinds[order], rank[code]
-
-
-def keys(names: np.ndarray, kinds: np.ndarray) -> np.ndarray:
-    """Keys of all words, all contexts and the pairs of a chunk; ``names`` holds 64 bits a word, 0 for a text's start."""
-    before, word = kinds // len(names), kinds % len(names)
-    one, context = np.array([[0xA0761D6478BD642F], [0xE7037ED1A0B428DB]], np.uint64)
-    return np.concatenate([mix(one, names[1:]), mix(names, context), mix(names[before], names[word])])
-
-
-class Chunk:
-    """Documents of a task with their words by number, in order of appearance."""
-
-    def __init__(self):
-        self.known, self.parts, self.tokens = {}, [], 0
-
-    def add(self, ids: pa.Array, texts: list[str], target: np.ndarray) -> None:
-        docs = [WORD.findall(t.lower()) for t in texts]
-        sizes = np.fromiter(map(len, docs), np.int64, len(docs))
-        words = np.zeros(0, np.int64)
-        if sizes.sum():
-            code, kinds = pd.factorize(np.array([w for d in docs for w in d], object))
-            words = np.array([self.known.setdefault(k, len(self.known) + 1) for k in kinds], np.int64)[code]
-        null = ids.is_null().to_numpy(zero_copy_only=False)
-        self.parts.append((ids.fill_null(0).to_numpy(zero_copy_only=False), null, sizes, words, target))
-        self.tokens += len(words)
-
-    def rows(self, chunk: int, buckets: int) -> Iterator[pa.RecordBatch]:
-        """The documents, and for each bucket the chunk's keys there in order with their counts in all texts and in the target's."""
-        ids, null, sizes, words, target = (np.concatenate(x) for x in zip(*self.parts, strict=True))
-        hashes = [xxh3_128_intdigest(w.encode("utf-8", "surrogatepass")) for w in self.known]
-        names = np.array([0, *(h & (2**64 - 1) for h in hashes)], np.uint64)
-        more = np.array([0, *(h >> 64 for h in hashes)], np.uint64)
-        kinds, place = pairs(words, sizes, len(names))
-        mine = np.repeat(target, sizes)
-        yield batch([(chunk, -1 - chunk % buckets, len(sizes), 0, 0, squeeze(ids, null, sizes.astype(np.int32), words.astype(np.int32), names))])
-        key, extra = keys(names, kinds), keys(more, kinds).astype(np.uint16) >> np.uint16(1)
-        extra[: len(names) - 1] |= np.uint16(1 << 15)  # marks words, so that owners can tell how many differ
-        counts = []
-        for here in (np.bincount(place, minlength=len(kinds)), np.bincount(place[mine], minlength=len(kinds))):
-            one = np.bincount(kinds % len(names), here, len(names))[1:]
-            context = np.bincount(kinds // len(names), here, len(names))
-            counts.append(np.concatenate([one, context, here]).astype(np.int64))
-        order = np.argsort(key, kind="stable")
-        key, extra, everything, inside = key[order], extra[order], counts[0][order], counts[1][order]
-        cuts = np.searchsorted(bucket_of(key, buckets), np.arange(buckets + 1))
-        for first in range(0, buckets, 128):
-            out = []
-            for b in range(first, min(first + 128, buckets)):
-                s = slice(cuts[b], cuts[b + 1])
-                steps = np.diff(key[s], prepend=np.uint64(0))
-                out.append((chunk, b, cuts[b + 1] - cuts[b], len(words), int(mine.sum()), squeeze(steps, extra[s], everything[s], inside[s])))
-            yield batch(out)
-
+class Block:
+    """A block of documents: their words by number, and the keys of its words, contexts and pairs.
 
-def bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
-    """Parts of the key range, which rise with the key."""
-    return (((key >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+    Words count from 1; 0 stands before a text's first word. ``pair`` is each token's
+    place among ``kinds``, the different pairs (word before, word).
+    """
 
+    def __init__(self, texts: pa.ChunkedArray | pa.Array):
+        known: dict[str, int] = {}
+        sizes, words, some = [], [], []
+
+        def add() -> None:
+            code, kinds = pd.factorize(np.array([w for d in some for w in d], object))
+            words.append(np.array([known.setdefault(k, len(known) + 1) for k in kinds], np.int64)[code])
+            some.clear()
+
+        for t in strings(texts):
+            some.append(WORD.findall(t.lower()))
+            sizes.append(len(some[-1]))
+            if len(some) == TOGETHER:
+                add()
+        if some:
+            add()
+        self.sizes = np.array(sizes, np.int64)
+        tokens = np.concatenate(words) if words else np.zeros(0, np.int64)
+        before = np.r_[0, tokens[:-1]] if len(tokens) else tokens
+        before[(np.cumsum(self.sizes) - self.sizes)[self.sizes > 0]] = 0
+        hashes = [xxh3_128_intdigest(w.encode("utf-8", "surrogatepass")) for w in known]
+        self.names = np.array([0, *(h & (2**64 - 1) for h in hashes)], np.uint64)
+        more = np.array([0, *(h >> 64 for h in hashes)], np.uint64)
+        self.pair, self.kinds = pd.factorize(before * len(self.names) + tokens)
+        key, extra = self.keys(self.names), self.keys(more).astype(np.uint16) >> np.uint16(1)
+        extra[: len(self.names) - 1] |= np.uint16(1 << 15)  # marks words, so that owners can tell how many differ
+        self.order = np.argsort(key, kind="stable")
+        self.key, self.extra = key[self.order], extra[self.order]
+
+    def keys(self, names: np.ndarray) -> np.ndarray:
+        """Keys of all words, all contexts and all pairs, from 64 bits a word."""
+        before, word = self.kinds // len(names), self.kinds % len(names)
+        one, context = np.array([[0xA0761D6478BD642F], [0xE7037ED1A0B428DB]], np.uint64)
+        return np.concatenate([mix(one, names[1:]), mix(names, context), mix(names[before], names[word])])
+
+    def counts(self, some: np.ndarray) -> np.ndarray:
+        """How often each key, in order, occurs in some of the documents."""
+        here = np.bincount(self.pair[np.repeat(some, self.sizes)], minlength=len(self.kinds))
+        n = len(self.names)
+        one, context = np.bincount(self.kinds % n, here, n)[1:], np.bincount(self.kinds // n, here, n)
+        return np.concatenate([one, context, here]).astype(np.int64)[self.order]
+
+    def cuts(self, buckets: int) -> np.ndarray:
+        """Where the keys of each part of the key range begin."""
+        return np.searchsorted(((self.key >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32), np.arange(buckets + 1))
+
+
+def count_block(buckets: int):
+    """A block's keys with their counts in all its documents and in those of the target, dealt to the owners of the key range."""
+
+    def run(docs: pa.Table, target: pa.Table) -> pa.Table:
+        out = []
+        if len(docs):
+            block = Block(docs["text"])
+            wanted = set(zip(target["id"].to_pylist(), target["hash"].to_pylist(), strict=True))
+            inside = np.fromiter((x in wanted for x in zip(docs["doc_id"].to_pylist(), docs["text_hash"].to_pylist(), strict=True)), bool, len(docs))
+            everything, own = block.counts(np.ones(len(docs), bool)), block.counts(inside)
+            cuts, name = block.cuts(buckets), docs["block"][0].as_py()
+            total, mine = int(block.sizes.sum()), int(block.sizes[inside].sum())
+            for b in np.flatnonzero(np.diff(cuts) > 0).tolist():
+                s = slice(cuts[b], cuts[b + 1])
+                out.append((b, name, total, mine, squeeze(np.diff(block.key[s], prepend=np.uint64(0)), block.extra[s], everything[s], own[s])))
+        return rows_of(out, COUNTS)
 
-def batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-    names = [c.split()[0] for c in ROWS.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+    return run
 
 
-def by_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    for b in batches:
-        heads = zip(*(b.column(i).to_pylist() for i in range(5)), strict=True)
-        for head, blob in zip(heads, b.column(5), strict=True):
-            yield (*head, blob.as_py())
+def rows_of(rows: list[tuple], schema: str) -> pa.Table:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    fields = [c.split() for c in schema.split(", ")]
+    cols = list(zip(*rows, strict=True)) or [()] * len(fields)
+    return pa.table({n: pa.array(c, kinds[k]) for c, (n, k) in zip(cols, fields, strict=True)})
 
 
-def total(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
-    """A bucket's sums over all chunks, for each chunk in the order of its keys, with the words in the bucket and the tokens of all chunks."""
-    steps, extra, *counts = (list(x) for x in zip(*(loosen(p[5], np.uint64, np.uint16, np.int64, np.int64) for p in parts), strict=True))
+def add_up(t: pa.Table) -> pa.Table:
+    """A bucket's sums over all blocks, for each block in the order of its keys, with how many words the bucket has."""
+    parts = [loosen(b, np.uint64, np.uint16, np.int64, np.int64) for b in t["blob"].to_pylist()]
+    steps, extra, *counts = (list(x) for x in zip(*parts, strict=True))
     ends = np.cumsum([len(e) for e in extra])[:-1]
     key, extra = np.concatenate([np.cumsum(s, dtype=np.uint64) for s in steps]), np.concatenate(extra)
     order = np.lexsort((extra, key))
@@ -144,105 +146,77 @@ def total(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
     group[order] = np.cumsum(new) - 1
     sums = []
     for c in counts:
-        c = np.concatenate(c)
         of_key = np.zeros(int(new.sum()), np.int64)
-        np.add.at(of_key, group, c)
+        np.add.at(of_key, group, np.concatenate(c))
         sums.append(np.split(of_key[group], ends))
-    words = int((extra[new] >> np.uint16(15)).sum())
-    everything, target = sum(p[3] for p in parts), sum(p[4] for p in parts)
-    for i in range(0, len(parts), 128):
-        yield batch([(p[0], p[1], words, everything, target, squeeze(a, t)) for p, a, t in zip(parts[i : i + 128], sums[0][i : i + 128], sums[1][i : i + 128], strict=True)])
-
-
-def owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Buckets come one after another; documents (negative buckets) pass."""
-    parts: list[tuple] = []
-    for row in by_rows(batches):
-        if row[1] < 0:
-            yield batch([row])
-            continue
-        if parts and parts[0][1] != row[1]:
-            yield from total(parts)
-            parts = []
-        parts.append(row)
-    if parts:
-        yield from total(parts)
-
-
-def losses(parts: list[tuple], buckets: int) -> pa.RecordBatch:
-    """Scores of a chunk's documents from the sums of its keys."""
-    if [p[1] for p in parts[1:]] != list(range(buckets)):
-        raise RuntimeError("a chunk's counts are not those of its documents")
-    ids, null, sizes, words, names = loosen(parts[0][5], np.int64, np.bool_, np.int32, np.int32, np.uint64)
-    kinds, place = pairs(words.astype(np.int64), sizes.astype(np.int64), len(names))
-    order = np.argsort(keys(names, kinds), kind="stable")
-    doc, vocabulary = np.repeat(np.arange(len(sizes)), sizes), max(WORDS, sum(p[2] for p in parts[1:]))
-    found = [np.concatenate(x) for x in zip(*(loosen(p[5], np.int64, np.int64) for p in parts[1:]), strict=True)]
-    out = []
-    for tokens, here in zip((parts[1][3], parts[1][4]), found, strict=True):
-        counts = np.empty(len(order))
-        counts[order] = here
-        one, context, pair = np.split(counts, [len(names) - 1, 2 * len(names) - 1])
-        single = np.r_[0, (one + 1) / (tokens + vocabulary)]
-        loss = -np.log((pair + TRUST * single[kinds % len(names)]) / (context[kinds // len(names)] + TRUST))
-        out.append(np.bincount(doc, loss[place], len(sizes)) / np.maximum(sizes, 1))
-    background, target = out
-    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64(), mask=null), pa.array(sizes.astype(np.int64)), pa.array(target), pa.array(background), pa.array(background - target)], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
-
-
-def marked(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
-    ids = target_ids.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().withColumn("target", F.lit(True))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return texts.join(ids.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target"))
-
-
-def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
+    words, bucket = int((extra[new] >> np.uint16(15)).sum()), t["bucket"][0].as_py()
+    blobs = [squeeze(a, i) for a, i in zip(*sums, strict=True)]
+    heads = zip(*(t[c].to_pylist() for c in ("block", "tokens", "inside")), strict=True)
+    return rows_of([(block, bucket, words, tokens, inside, blob) for (block, tokens, inside), blob in zip(heads, blobs, strict=True)], SUMS)
+
+
+def score_block(everything: dict[str, int]):
+    """Losses of a block's documents from the sums of its keys."""
+
+    def run(docs: pa.Table, sums: pa.Table) -> pa.Table:
+        cols = [np.zeros(0, np.int64), *[np.zeros(0)] * 3]
+        if len(docs):
+            block = Block(docs["text"])
+            sums = sums.sort_by("bucket")
+            found = [np.concatenate(x) for x in zip(*(loosen(b, np.int64, np.int64) for b in sums["blob"].to_pylist()), strict=True)] or [np.zeros(0, np.int64)] * 2
+            if len(found[0]) != len(block.key):
+                raise RuntimeError("a block's sums are not those of its documents")
+            n, doc = len(block.names), np.repeat(np.arange(len(docs)), block.sizes)
+            before, word = block.kinds // n, block.kinds % n
+            mean = []
+            for tokens, here in zip((everything["tokens"], everything["inside"]), found, strict=True):
+                counts = np.empty(len(here))
+                counts[block.order] = here
+                one, context, pair = np.split(counts, [n - 1, 2 * n - 1])
+                single = np.r_[0, (one + 1) / (tokens + max(WORDS, everything["words"]))]
+                loss = -np.log((pair + TRUST * single[word]) / (context[before] + TRUST))
+                mean.append(np.bincount(doc, loss[block.pair], len(docs)) / np.maximum(block.sizes, 1))
+            cols = [block.sizes, mean[1], mean[0], mean[0] - mean[1]]
+        return pa.table({"doc_id": docs["doc_id"]} | dict(zip(("n_tokens", "target_loss", "background_loss", "score"), map(pa.array, cols), strict=True)))
+
+    return run
+
+
+def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Score ``docs(doc_id, text, ...)`` by how much likelier the target's model finds each token than the background's.
 
     The background is all documents, the target those with an id in ``target_ids``.
     Both are word-pair models over one vocabulary and with one smoothing. Every word,
-    context and pair of the input has its own count: tasks count chunks of documents and
-    send each different key once to the owner of its bucket, owners add up over all chunks
-    and send the sums back, and each chunk scores its documents by them. A hot word so
-    costs its owner one entry a chunk, and nothing is broadcast or sent to the driver.
-    Keys are 79 bits of hashes: among 2 * 10^9 different keys the chance that any two
-    agree is about 1 in 300,000. Memory follows a chunk and a bucket; buckets grow with
-    ``spark.sql.shuffle.partitions``.
+    context and pair of the input has its own count. Texts are dealt once, by a hash of
+    id and text, to blocks of about ``block_bytes``; each block counts its own keys and
+    sends each different one once to the owner of its part of the key range, owners add
+    up over all blocks and send the sums back, and each block scores its documents by
+    them. A hot word so costs its owner one entry a block, and nothing is broadcast or
+    sent to the driver but three totals. Which documents belong to the target is found
+    by a join of ids without texts. Keys are 79 bits of hashes: among 2 * 10^9 different
+    keys the chance that any two agree is about 1 in 300,000. The number of blocks and
+    of owners follows the bytes of text, so memory doesn't grow with the input.
 
     Result per row: doc_id, n_tokens, target_loss and background_loss (mean natural
     logarithms a token), score = background_loss - target_loss. Null or empty text has
     no tokens and scores 0. Rows without doc_id belong to the background only. Repeated
     rows each count and get a row; other columns are not read.
     """
-    buckets = max(BUCKETS, 4 * shuffle_partitions(docs.sparkSession))
-    most = CHUNK
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, chunk = TaskContext.get().partitionId() << 32, Chunk()
-        for b in batches:
-            texts, target = list(strings(b.column(1))), b.column(2).to_numpy(zero_copy_only=False).astype(bool)
-            for lo in range(0, len(texts), 500):
-                chunk.add(b.column(0)[lo : lo + 500], texts[lo : lo + 500], target[lo : lo + 500])
-                if chunk.tokens >= most:
-                    yield from chunk.rows(number, buckets)
-                    number, chunk = number + 1, Chunk()
-        if chunk.parts:
-            yield from chunk.rows(number, buckets)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[tuple] = []
-        for row in by_rows(batches):
-            if parts and parts[0][0] != row[0]:
-                yield losses(parts, buckets)
-                parts = []
-            parts.append(row)
-        if parts:
-            yield losses(parts, buckets)
-
-    # sorted, so that a task that is run again makes the same chunks
-    rows = marked(docs, target_ids).sortWithinPartitions("doc_id", "text").mapInArrow(count, ROWS)
-    sums = rows.repartition("bucket").sortWithinPartitions("bucket", "chunk").mapInArrow(owners, ROWS)
-    return sums.repartition("chunk").sortWithinPartitions("chunk", "bucket").mapInArrow(score, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    n = block_count(texts, block_bytes)
+    block = F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(n)).alias("block")
+    by_block = texts.withColumn("text_hash", F.xxhash64("text")).select("doc_id", "text", "text_hash", block).groupBy("block")
+    ids = target_ids.select(F.col("doc_id").cast("long").alias("id"))
+    own = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("hash"))
+    target = own.join(ids, "id", "left_semi").select("id", "hash", F.pmod(F.xxhash64("id", "hash"), F.lit(n)).alias("target_block")).groupBy("target_block")
+    counted = by_block.cogroup(target).applyInArrow(count_block(n), COUNTS)
+    # the sums give the totals before they give the scores, so they are kept
+    sums = counted.groupBy("bucket").applyInArrow(add_up, SUMS).checkpoint()
+    sizes = sums.groupBy("block").agg(F.max("tokens").alias("tokens"), F.max("inside").alias("inside")).agg(F.sum("tokens").alias("tokens"), F.sum("inside").alias("inside")).first()
+    words = sums.groupBy("bucket").agg(F.max("words").alias("words")).agg(F.sum("words").alias("words")).first()
+    totals = {k: v or 0 for k, v in (sizes.asDict() | words.asDict()).items()}
+    schema = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
+    return by_block.cogroup(sums.groupBy("block")).applyInArrow(score_block(totals), schema)
 
 
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

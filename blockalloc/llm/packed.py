@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from blockalloc.session import shuffle_partitions
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -68,3 +72,9 @@ def components(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
             if (up == label).all():
                 break
             label = up
+
+
+def block_count(texts: DataFrame, block_bytes: int) -> int:
+    """Into how many blocks of about ``block_bytes`` the column ``text`` is dealt; at least one a shuffle partition."""
+    held = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(shuffle_partitions(texts.sparkSession), -(-held // block_bytes))
