@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import batched
 
 import numpy as np
 import pandas as pd
@@ -16,9 +17,11 @@ from blockalloc.llm.labelled import bucket, sample, sigmoid
 from blockalloc.llm.tokens import strings, texts_of
 from blockalloc.session import table
 
-#: Terms: runs of letters, runs of digits, line ends, and each other sign by itself.
-TERM = re.compile(r"[^\W\d_]+|\d+|\n|[^\w\s]|_")
-DIM = 64
+#: Terms: words, runs of other signs, line ends.
+TERM = re.compile(r"\w+|[^\w\s]+|\n")
+DIM = 32
+#: A term that repeats one of so many before it is followed by a mark, which is a term itself.
+NEAR = 4
 #: Rows of the word-vector table; terms share a row when their hashes agree.
 TABLE = 1 << 16
 #: Ones in a sparse random index vector.
@@ -32,53 +35,34 @@ HIDDEN = 32
 
 
 def row_of(term: str) -> int:
-    return 8 + zlib.crc32(term.encode("utf-8", "surrogatepass")) % (TABLE - 8)
+    """The table row of a term; row 0 is the mark's."""
+    return 1 + zlib.crc32(term.encode("utf-8", "surrogatepass")) % (TABLE - 1)
 
 
 class Rows:
     """Table rows of terms, remembered."""
 
-    def __init__(self, most: int = 1_000_000):
+    def __init__(self, most: int = 200_000):
         self.known, self.most = {}, most
 
     def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Rows of all terms of the texts, and how many each text has.
-
-        Rows 0 to 3 stand for what no hash tells: a term that repeats the one before
-        (0), one of the seven before that (1), a sign after a letter or digit (2), and a
-        word of more than 20 letters (3).
-        """
+        """Rows of all terms and marks of the texts in order, and how many each text has."""
         docs = [TERM.findall(t.lower()) for t in texts]
-        flat = np.array([w for d in docs for w in d], object)
         sizes = np.fromiter(map(len, docs), np.int64, len(docs))
-        if not len(flat):
-            return np.zeros(0, np.int64), sizes
-        code, kinds = pd.factorize(flat)
+        code, kinds = pd.factorize(np.array([w for d in docs for w in d], object))
         if len(self.known) > self.most:
             self.known.clear()
         found = list(map(self.known.get, kinds))
         for i, f in enumerate(found):
             if f is None:
-                w = kinds[i]
-                found[i] = self.known[w] = (row_of(w), not w[0].isalnum(), len(w) > 20)
-        table, sign, long = (np.array([f[k] for f in found])[code] for k in range(3))
-        doc = np.repeat(np.arange(len(docs)), sizes)
-        extra = []
-        same = np.zeros(len(flat), bool)
-        near = same.copy()
-        for back in range(1, 9):
-            hit = np.r_[np.zeros(back, bool), (code[back:] == code[:-back]) & (doc[back:] == doc[:-back])][: len(flat)]
-            if back == 1:
-                same = hit
-            else:
-                near |= hit
-        after = np.r_[False, sign[1:] & ~sign[:-1] & (doc[1:] == doc[:-1])]
-        for row, hit in ((0, same), (1, near & ~same), (2, after), (3, long)):
-            extra.append((doc[hit], np.full(hit.sum(), row)))
-        at = np.concatenate([doc, *(e[0] for e in extra)])
-        rows = np.concatenate([table, *(e[1] for e in extra)])
-        order = np.argsort(at, kind="stable")
-        return rows[order], np.bincount(at, minlength=len(docs))
+                found[i] = self.known[kinds[i]] = row_of(kinds[i])
+        code, doc = code.astype(np.int32), np.repeat(np.arange(len(docs), dtype=np.int32), sizes)
+        near = np.zeros(len(code), bool)
+        for back in range(1, NEAR + 1):
+            near[back:] |= (code[back:] == code[:-back]) & (doc[back:] == doc[:-back])
+        out = np.zeros(len(code) + int(near.sum()), np.int64)
+        out[np.arange(len(code)) + np.cumsum(near) - near] = np.array(found, np.int64)[code]
+        return out, sizes + np.bincount(doc[near], minlength=len(docs))
 
 
 def index_places() -> list[tuple[np.ndarray, np.ndarray]]:
@@ -110,9 +94,8 @@ def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held.clear()
 
     for b in batches:
-        texts = list(strings(b.column(0)))
-        for lo in range(0, len(texts), 500):
-            r, sizes = rows.of(texts[lo : lo + 500])
+        for some in batched(strings(b.column(0)), 500):
+            r, sizes = rows.of(list(some))
             doc = np.repeat(np.arange(len(sizes)), sizes)
             count += np.bincount(r, minlength=TABLE)
             for back in range(1, WINDOW + 1):
@@ -129,25 +112,26 @@ def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def pooled(texts: list[str], rows: Rows, vectors: np.ndarray) -> np.ndarray:
-    """Mean word vector of each text, its share of special rows, and the logarithm of its length."""
+    """The mean word vector of each text; zero for a text without terms."""
     r, sizes = rows.of(texts)
-    out = np.zeros((len(texts), vectors.shape[1] + 5), np.float32)
+    out = np.zeros((len(texts), vectors.shape[1]), np.float32)
     full = np.flatnonzero(sizes)
-    if len(full):
-        starts = (np.cumsum(sizes) - sizes)[full]
-        lo = 0
-        while lo < len(full):  # a bounded number of terms at a time
-            hi = max(lo + 1, int(np.searchsorted(starts, starts[lo] + (1 << 19), "left")))
-            a, z = starts[lo], starts[hi] if hi < len(full) else len(r)
-            out[full[lo:hi], : vectors.shape[1]] = np.add.reduceat(vectors[r[a:z]], starts[lo:hi] - a, axis=0)
-            for k in range(4):
-                out[full[lo:hi], vectors.shape[1] + k] = np.add.reduceat((r[a:z] == k).astype(np.float32), starts[lo:hi] - a)
-            lo = hi
-        out[full] /= sizes[full, None]
-    out[:, -1] = np.log1p(sizes) / 10
+    starts = (np.cumsum(sizes) - sizes)[full]
+    lo = 0
+    while lo < len(full):  # a bounded number of terms at a time
+        hi = max(lo + 1, int(np.searchsorted(starts, starts[lo] + (1 << 19), "left")))
+        a, z = starts[lo], starts[hi] if hi < len(full) else len(r)
+        out[full[lo:hi]] = np.add.reduceat(vectors[r[a:z]], starts[lo:hi] - a, axis=0)
+        lo = hi
+    out[full] /= sizes[full, None]
     return out
 
 
+def pool_all(texts: Iterator[str], rows: Rows, vectors: np.ndarray) -> np.ndarray:
+    parts = [pooled(list(some), rows, vectors) for some in batched(texts, 500)]
+    return np.concatenate(parts) if parts else np.zeros((0, vectors.shape[1]), np.float32)
+
+
 class Network:
     """One hidden layer, trained by Adam on half of the rows and cooled on the rest."""
 
@@ -204,13 +188,16 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int, held_out: int, per_cla
     own = index_vectors()
     vectors = (total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-9) * (count / (count + 3))[:, None] + own / np.sqrt(ONES) * (3 / (count + 3))[:, None]).astype(np.float32)
 
+    shipped = docs.sparkSession.sparkContext.broadcast(vectors)
+
     def features(batches):
         known = Rows()
         for b in batches:
-            x = pooled(list(strings(b.column(0))), known, vectors)
+            x = pool_all(strings(b.column(0)), known, shipped.value)
             yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), b.column(3), pa.array(list(x), pa.list_(pa.float32()))], ["doc_id", "y", "fold", "x"])
 
     data = rows.select("text", "doc_id", "y", F.pmod(F.xxhash64("doc_id", F.lit("check")), F.lit(5)).cast("int").alias("fold")).mapInArrow(features, "doc_id long, y int, fold int, x array<float>").toPandas().sort_values(["doc_id"])
+    shipped.destroy()
     if data["y"].nunique() < 2:
         return vectors, None
     y = data["y"].to_numpy(float)
@@ -221,8 +208,9 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, modulus:
     """Score every whole text of ``docs(doc_id, text, ...)`` for quality as ``labels(doc_id, quality)`` marks it.
 
     Random indexing: each term has a sparse ternary index vector, and its word vector
-    sums those of its neighbours, rolled by side. A document pools the vectors of all
-    its terms; a two-layer network scores the pool, and a temperature chosen on rows
+    sums those of its neighbours, rolled by side. A term that repeats one just before it
+    is followed by a mark, a term like any other. A document pools the vectors of all its
+    terms and nothing else; a two-layer network scores the pool, and a temperature chosen on rows
     that it wasn't trained on calibrates the probabilities. Word vectors come from all
     documents, without their labels. Network and temperature are fitted on at most
     ``per_class`` labelled rows of each class, never on rows whose crc32(doc_id) mod
@@ -239,9 +227,7 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, modulus:
         vectors, network = model.value
         rows = Rows()
         for b in batches:
-            texts = list(strings(b.column(1)))
-            parts = [pooled(texts[i : i + 500], rows, vectors) for i in range(0, len(texts), 500)]
-            x = np.concatenate(parts) if parts else np.zeros((0, DIM + 5))
+            x = pool_all(strings(b.column(1)), rows, vectors)
             score = network.score(x) if network else np.full(len(x), 0.5)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score.astype(float)), pa.array((score >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 

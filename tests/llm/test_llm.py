@@ -367,12 +367,10 @@ def test_losses_against_brute_force(spark):
     assert LM.cross_entropy_difference(docs(spark, []), spark.createDataFrame([], "doc_id long")).count() == 0
 
 
-def test_losses_are_exact_beyond_any_table_size(spark, monkeypatch):
+def test_losses_are_exact_beyond_any_table_size(spark):
     # 540,000 different words, more than 2^19: in hashed rows most would share counts
-    for name, small in (("CHUNK", 100_000), ("BUCKETS", 16)):
-        monkeypatch.setattr(LM, name, small, raising=False)
     rows = [(i, " ".join(f"w{i * 900 + j}" for j in range(900)) + f" x{i % 7} x{i % 5}") for i in range(600)]
-    got = LM.cross_entropy_difference(docs(spark, rows), spark.createDataFrame([(i,) for i in range(0, 600, 3)], "doc_id long")).toPandas().set_index("doc_id")
+    got = LM.cross_entropy_difference(docs(spark, rows), spark.createDataFrame([(i,) for i in range(0, 600, 3)], "doc_id long"), 100_000).toPandas().set_index("doc_id")
 
     def loss(some):
         one, pair, ctx = Counter(), Counter(), Counter()
@@ -532,6 +530,24 @@ def test_word_vectors_come_from_all_documents(spark):
     assert network is not None
 
 
+def test_pooling_by_hand():
+    vectors = np.random.default_rng(1).normal(size=(Q.TABLE, Q.DIM)).astype(np.float32)
+    texts = ["", "One two, one\nthree three", "***", "a b c d e a"]
+    got = Q.pooled(texts, Q.Rows(), vectors)
+    for text, g in zip(texts, got, strict=True):
+        terms, rows = Q.TERM.findall(text.lower()), []
+        for i, t in enumerate(terms):
+            rows += [Q.row_of(t)] + [0] * (t in terms[max(0, i - Q.NEAR) : i])
+        assert g == pytest.approx(vectors[rows].mean(0) if rows else np.zeros(Q.DIM), abs=1e-5)
+    assert len(Q.pool_all(iter([]), Q.Rows(), vectors)) == 0
+
+
+def test_quality_of_an_empty_table(spark):
+    labels = spark.createDataFrame([(1, 1, 0)], LABELS)
+    assert quality(docs(spark, []), labels).count() == 0
+    assert quality(docs(spark, [(1, None), (None, "x")]), labels).count() == 2
+
+
 def test_pages_keep_all_names_and_formulas():
     assert "comments" in H.tokens_of("div", ' class="a-b c-d e-f g-h i-j k-l m-n" id="comments"')
     p = H.Page("<p>Let <math><mspace/><mi>x</mi><mo>=</mo><mn>1</mn></math> be</p><svg><path d='z'/><text>s</text></svg><noscript><p>n</p></noscript><object>o</object><script>no</script>")
