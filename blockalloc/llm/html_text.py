@@ -5,7 +5,7 @@ from __future__ import annotations
 import html
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,8 +20,11 @@ from blockalloc.session import table
 #: Pages that the trees are fitted on, at most.
 TRAIN_PAGES = 800
 
-MARK = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+#: What begins markup; any other "<" is text.
+START = re.compile(r"<(?:!--|!\[CDATA\[|[!?/]|[a-zA-Z])")
+#: A tag: no attempt reads a character twice, and quotes count only where a value begins.
+TAG = re.compile(r"</?([a-zA-Z][^\s/>]*+)((?>[\s/]++|=?[^\s/>=]++(?>\s*+=\s*+(?>\"[^\"]*+\"|'[^']*+'|(?![\"'])[^\s>]++)?+)?+|=)*+)>")
+ATTRIBUTE = re.compile(r"([^\s=/>]+)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 NAME = re.compile(r"[a-z]+")
 SPACE = re.compile(r"\s+")
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -57,57 +60,63 @@ class Page:
         self.text: list[tuple[int, str]] = []  # block, text
         self.links, self.tags = defaultdict(int), defaultdict(int)  # characters in links, inline tags
         stack: list[tuple[str, int]] = [("#", 0)]  # open elements and their block
-        never, links, at = 0, 0, 0
-        size = len(source)
+        opened: Counter[str] = Counter()  # how many of each are open
+        never, at, size = 0, 0, len(source)
+        unended: set[str] = set()  # raw elements that no end tag follows
+
+        def close(depth: int) -> None:
+            nonlocal never
+            for tag, _ in stack[depth:]:
+                never -= tag in NEVER
+                opened[tag] -= 1
+            del stack[depth:]
+
         while at < size:
-            m = MARK.search(source, at)
+            m = START.search(source, at)
             stop = m.start() if m else size
             if stop > at and not never:
-                self.say(stack[-1][1], source[at:stop], links)
+                self.say(stack[-1][1], source[at:stop], opened["a"])
             if not m:
                 break
-            at = m.end()
-            name = m[2]
-            if name is None:
-                if m[0].startswith("<![CDATA[") and not never:
-                    self.say(stack[-1][1], m[0][9:-3], links)
+            tag = TAG.match(source, stop)
+            if not tag:
+                at = self.skip(source, m, None if never else stack[-1][1], opened["a"])
                 continue
-            name = name.lower()
-            if m[1]:
-                depth = len(stack) - 1
-                while depth > 0 and stack[depth][0] != name:
-                    depth -= 1
-                if depth > 0:
-                    for tag, _ in stack[depth:]:
-                        never -= tag in NEVER
-                        links -= tag == "a"
-                    if any(tag not in INLINE for tag, _ in stack[depth:]):
+            at, name = tag.end(), tag[1].lower()
+            if source[stop + 1] == "/":
+                if opened[name]:
+                    depth = len(stack) - 1
+                    while stack[depth][0] != name:
+                        depth -= 1
+                    if any(t not in INLINE for t, _ in stack[depth:]):
                         self.text.append((stack[depth - 1][1], None))
-                    del stack[depth:]
+                    close(depth)
                 elif name == "p":
                     self.text.append((stack[-1][1], None))
                 continue
             for key in OPEN_BY.get(name, ()):
-                depth = len(stack) - 1
-                while depth > 0 and stack[depth][0] != key and stack[depth][0] not in BARRIER[key]:
-                    depth -= 1
-                if depth > 0 and stack[depth][0] == key:
-                    for tag, _ in stack[depth:]:
-                        never -= tag in NEVER
-                        links -= tag == "a"
-                    del stack[depth:]
+                if opened[key]:
+                    depth = len(stack) - 1
+                    while depth > 0 and stack[depth][0] != key and stack[depth][0] not in BARRIER[key]:
+                        depth -= 1
+                    if depth > 0 and stack[depth][0] == key:
+                        close(depth)
             block = stack[-1][1]
             if name in VOID:
                 if name in ("br", "hr"):
                     self.text.append((block, " " if name == "br" else None))
                 continue
-            if m[0].endswith("/>") and (name in FOREIGN or any(t in FOREIGN for t, _ in stack)):
+            if source[at - 2] == "/" and (name in FOREIGN or any(opened[t] for t in FOREIGN)):
                 continue
-            if name in RAW:
-                end = re.compile(rf"</{name}(?![a-z0-9])[^>]*>", re.I).search(source, at)
-                at = end.end() if end else size if name in ("script", "style") else at
-                if end or name in ("script", "style"):
+            if name in RAW and name not in unended:
+                end = re.compile(rf"</{name}(?=[\s/>])", re.I).search(source, at)
+                stop = source.find(">", end.end()) + 1 if end else 0
+                if stop:
+                    at = stop
                     continue
+                unended.add(name)
+            if name in ("script", "style"):
+                break  # what follows is its text
             if name in INLINE:
                 self.tags[block] += 1
                 stack.append((name, block))
@@ -117,10 +126,27 @@ class Page:
                 self.parent.append(block)
                 self.tag.append(name)
                 self.depth.append(self.depth[block] + 1)
-                self.tokens.append(tokens_of(name, m[3]))
+                self.tokens.append(tokens_of(name, tag[2]))
                 stack.append((name, len(self.tag) - 1))
+            opened[name] += 1
             never += name in NEVER
-            links += name == "a"
+
+    def skip(self, source: str, m: re.Match, block: int | None, links: int) -> int:
+        """Where a comment, declaration or unfinished tag ends. The text of a CDATA section is said, unless it has no block."""
+        if m[0] == "<!--":
+            if source.startswith((">", "->"), m.end()):
+                return source.index(">", m.end()) + 1
+            end = re.compile("--!?>").search(source, m.end())
+            return end.end() if end else len(source)
+        if m[0] == "<![CDATA[":
+            end = source.find("]]>", m.end())
+            if block is not None:
+                self.say(block, source[m.end() : end if end >= 0 else len(source)], links)
+            return end + 3 if end >= 0 else len(source)
+        if m[0][1] in "!?" or m[0] == "</" and not source[m.end() : m.end() + 1].isalpha():
+            end = source.find(">", m.end())
+            return end + 1 if end >= 0 else len(source)
+        return len(source)  # a tag that nothing ends
 
     def say(self, block: int, text: str, links: int) -> None:
         if "&" in text:

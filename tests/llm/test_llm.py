@@ -554,6 +554,34 @@ def test_pages_keep_all_names_and_formulas():
     assert [t for _, t in p.segments()] == ["Let x=1 be", "s", "n", "o"]
 
 
+@pytest.mark.parametrize(
+    ("source", "want"),
+    [
+        ("<p title=it's>One two</p><p>don't stop</p>", ["One two", "don't stop"]),
+        ("<p title='a>b' data-x=\"c>d\">e</p>", ["e"]),
+        ("<p title = it\"s>f</p>", ["f"]),
+        ("<!-->g<!--->h<!-- i --!>j<!-- k -- > l -->m", ["ghjm"]),
+        ("a < b and 3<4 <5", ["a < b and 3<4 <5"]),
+        ("<a/href=x>n</a></>o</ p>q<!doctype x>r<?php s ?>t", ["noqrt"]),
+        ("u<![CDATA[v<w]]>x", ["uv<wx"]),
+        ("y<p class=\"z", ["y"]),
+        ("<title>no</title><textarea>no</p></textarea><p>yes<script>no", ["yes"]),
+        ("<p =x>y</p><p x= >z</p>", ["y", "z"]),
+    ],
+)
+def test_markup(source, want):
+    assert [t for _, t in H.Page(source).segments()] == want
+
+
+@pytest.mark.parametrize("part", ["<p ", "<p title=' ", "</script ", "<title>", "<div>", "</b>", "<b><li>", "<!--", "<![CDATA[", "<p a= b = c / = ", "<", "&lt"])
+def test_parsing_is_linear(part):
+    import time
+
+    began = time.process_time()
+    H.Page(part * (1_000_000 // len(part)))
+    assert time.process_time() - began < 8
+
+
 def test_rare_marked_pages_are_found(spark):
     body = "".join(f"<p>Sentence {i} of a longer text, with more words.</p>" for i in range(8))
     page = "<html><body><nav><a href=#>Home</a></nav>{}</body></html>"
