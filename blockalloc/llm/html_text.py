@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from blockalloc.llm.labelled import sigmoid
 from blockalloc.llm.tokens import strings
-from blockalloc.session import table
+from blockalloc.session import shuffle_partitions, table
 
 #: Pages that the trees are fitted on, at most.
 TRAIN_PAGES = 800
@@ -377,20 +377,37 @@ def hidden(page: Page) -> Page:
     return page
 
 
-def training_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Labelled blocks of training pages, as they are and varied: tokens, and features that don't depend on token values."""
+def variants(source: str) -> Iterator[tuple[Page, np.ndarray]]:
+    """A training page as it is and varied twice, each with the labels of its blocks."""
+    for variant in range(3):
+        page = Page(varied(source, zlib.crc32(source.encode()) + variant) if variant else source)
+        y = labels_of(page)
+        if (y >= 0).all():
+            yield hidden(page), y
+
+
+def count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many main and other blocks of training pages have a token."""
     for b in batches:
-        pages, ys, tokens = [], [], []
-        for source in strings(b.column(0)):
-            for variant in range(3):
-                text = varied(source, zlib.crc32(source.encode()) + variant) if variant else source
-                page = Page(text)
-                y = labels_of(page)
-                if (y >= 0).all():
-                    pages.append(text)
-                    ys.append(y.tolist())
-                    tokens.append([list(t) for t in hidden(page).tokens])
-        yield pa.RecordBatch.from_arrays([pa.array(pages, pa.string()), pa.array(ys, pa.list_(pa.float64())), pa.array(tokens, pa.list_(pa.list_(pa.string())))], ["html", "y", "tokens"])
+        seen = Counter((t, bool(k)) for source in strings(b.column(0)) for page, y in variants(source) for k, own in zip(y > 0, page.tokens, strict=True) for t in set(own))
+        cols = list(zip(*seen, strict=True)) or [(), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.bool_()), pa.array(seen.values(), pa.int64())], ["token", "main", "n"])
+
+
+def training_blocks(value):
+    """Features and labels of the blocks of training pages; one page in four, by its text, has no names."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for source in strings(b.column(0)):
+                for k, (page, y) in enumerate(variants(source)):
+                    x = features(page, page.segments(), {} if zlib.crc32(source.encode(), k) % 4 == 3 else value.value)
+                    rows.append((zlib.crc32(source.encode(), k), x.tobytes(), y.astype(np.float32).tobytes()))
+            cols = list(zip(*rows, strict=True)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], ["page", "x", "y"])
+
+    return run
 
 
 def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -410,27 +427,19 @@ def fit(pages: DataFrame, most: int = TRAIN_PAGES) -> tuple[dict[str, float], Tr
     share = 4 * most / max(1, named.count())
     while True:
         low = named.where(F.col("_h") < F.lit(int(2**64 * share) - 2**63)) if share < 1 else named
-        chosen = low.mapInArrow(marked, "html string, _h long, page_id long").orderBy("_h", "page_id").limit(most).select("html").checkpoint()
+        chosen = low.mapInArrow(marked, "html string, _h long, page_id long").orderBy("_h", "page_id").limit(most).select("html").repartition(shuffle_partitions(pages.sparkSession), "html").checkpoint()
         if share >= 1 or chosen.count() >= most:
             break
         share *= 8
-    data = chosen.mapInArrow(training_rows, "html string, y array<double>, tokens array<array<string>>").toPandas().sort_values("html")
-    seen = defaultdict(lambda: [0.0, 0.0])
-    for ys, ts in zip(data["y"], data["tokens"], strict=True):
-        for y, own in zip(ys, ts, strict=True):
-            for t in set(own):
-                seen[t][int(y > 0)] += 1
-    value = {t: float(np.log((a + 1) / (b + 1))) for t, (b, a) in seen.items() if a + b >= 5}
-    xs, yy = [], []
-    for k, (source, ys) in enumerate(zip(data["html"], data["y"], strict=True)):
-        page = hidden(Page(source))
-        known = {} if k % 4 == 3 else value  # a quarter without names
-        segments = page.segments()
-        xs.append(features(page, segments, known))
-        yy.append(ys)
-    if not xs:
+    seen = chosen.mapInArrow(count_tokens, "token string, main boolean, n long").groupBy("token").agg(F.sum(F.when(F.col("main"), F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("main"), 0).otherwise(F.col("n"))).alias("b")).where("a + b >= 5").toPandas()
+    value = {t: float(np.log((a + 1) / (b + 1))) for t, a, b in seen.sort_values("token").itertuples(index=False)}
+    shipped = pages.sparkSession.sparkContext.broadcast(value)
+    data = chosen.mapInArrow(training_blocks(shipped), "page long, x binary, y binary").toPandas().sort_values(["page", "x"])
+    shipped.destroy()
+    if not len(data):
         return value, None
-    x, y = np.concatenate(xs), np.concatenate(yy)
+    x = np.frombuffer(b"".join(data["x"]), np.float32).reshape(-1, FEATURES)
+    y = np.frombuffer(b"".join(data["y"]), np.float32).astype(float)
     return value, Trees(x, y, 0.2 + np.minimum(x[:, 0], 5))
 
 

@@ -117,10 +117,11 @@ def count_block(buckets: int):
             inside = np.fromiter((x in wanted for x in zip(docs["doc_id"].to_pylist(), docs["text_hash"].to_pylist(), strict=True)), bool, len(docs))
             everything, own = block.counts(np.ones(len(docs), bool)), block.counts(inside)
             cuts, name = block.cuts(buckets), docs["block"][0].as_py()
-            total, mine = int(block.sizes.sum()), int(block.sizes[inside].sum())
+            total, mine = int(block.sizes.sum()), int(block.sizes[inside].sum())  # on the first row alone, to be added up
             for b in np.flatnonzero(np.diff(cuts) > 0).tolist():
                 s = slice(cuts[b], cuts[b + 1])
                 out.append((b, name, total, mine, squeeze(np.diff(block.key[s], prepend=np.uint64(0)), block.extra[s], everything[s], own[s])))
+                total = mine = 0
         return rows_of(out, COUNTS)
 
     return run
@@ -152,34 +153,30 @@ def add_up(t: pa.Table) -> pa.Table:
     words, bucket = int((extra[new] >> np.uint16(15)).sum()), t["bucket"][0].as_py()
     blobs = [squeeze(a, i) for a, i in zip(*sums, strict=True)]
     heads = zip(*(t[c].to_pylist() for c in ("block", "tokens", "inside")), strict=True)
-    return rows_of([(block, bucket, words, tokens, inside, blob) for (block, tokens, inside), blob in zip(heads, blobs, strict=True)], SUMS)
+    return rows_of([(block, bucket, 0 if i else words, tokens, inside, blob) for i, ((block, tokens, inside), blob) in enumerate(zip(heads, blobs, strict=True))], SUMS)
 
 
-def score_block(everything: dict[str, int]):
+def score_block(docs: pa.Table, sums: pa.Table) -> pa.Table:
     """Losses of a block's documents from the sums of its keys."""
-
-    def run(docs: pa.Table, sums: pa.Table) -> pa.Table:
-        cols = [np.zeros(0, np.int64), *[np.zeros(0)] * 3]
-        if len(docs):
-            block = Block(docs["text"])
-            sums = sums.sort_by("bucket")
-            found = [np.concatenate(x) for x in zip(*(loosen(b, np.int64, np.int64) for b in sums["blob"].to_pylist()), strict=True)] or [np.zeros(0, np.int64)] * 2
-            if len(found[0]) != len(block.key):
-                raise RuntimeError("a block's sums are not those of its documents")
-            n, doc = len(block.names), np.repeat(np.arange(len(docs)), block.sizes)
-            before, word = block.kinds // n, block.kinds % n
-            mean = []
-            for tokens, here in zip((everything["tokens"], everything["inside"]), found, strict=True):
-                counts = np.empty(len(here))
-                counts[block.order] = here
-                one, context, pair = np.split(counts, [n - 1, 2 * n - 1])
-                single = np.r_[0, (one + 1) / (tokens + max(WORDS, everything["words"]))]
-                loss = -np.log((pair + TRUST * single[word]) / (context[before] + TRUST))
-                mean.append(np.bincount(doc, loss[block.pair], len(docs)) / np.maximum(block.sizes, 1))
-            cols = [block.sizes, mean[1], mean[0], mean[0] - mean[1]]
-        return pa.table({"doc_id": docs["doc_id"]} | dict(zip(("n_tokens", "target_loss", "background_loss", "score"), map(pa.array, cols), strict=True)))
-
-    return run
+    cols = [np.zeros(0, np.int64), *[np.zeros(0)] * 3]
+    if len(docs):
+        block = Block(docs["text"])
+        totals, sums = sums["totals"][0].as_py(), sums.sort_by("bucket")
+        found = [np.concatenate(x) for x in zip(*(loosen(b, np.int64, np.int64) for b in sums["blob"].to_pylist()), strict=True)]
+        if len(found[0]) != len(block.key):
+            raise RuntimeError("a block's sums are not those of its documents")
+        n, doc = len(block.names), np.repeat(np.arange(len(docs)), block.sizes)
+        before, word = block.kinds // n, block.kinds % n
+        mean = []
+        for tokens, here in zip((totals["tokens"], totals["inside"]), found, strict=True):
+            counts = np.empty(len(here))
+            counts[block.order] = here
+            one, context, pair = np.split(counts, [n - 1, 2 * n - 1])
+            single = np.r_[0, (one + 1) / (tokens + max(WORDS, totals["words"]))]
+            loss = -np.log((pair + TRUST * single[word]) / (context[before] + TRUST))
+            mean.append(np.bincount(doc, loss[block.pair], len(docs)) / np.maximum(block.sizes, 1))
+        cols = [block.sizes, mean[1], mean[0], mean[0] - mean[1]]
+    return pa.table({"doc_id": docs["doc_id"]} | dict(zip(("n_tokens", "target_loss", "background_loss", "score"), map(pa.array, cols), strict=True)))
 
 
 def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -191,8 +188,8 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, block_bytes
     id and text, to blocks of about ``block_bytes``; each block counts its own keys and
     sends each different one once to the owner of its part of the key range, owners add
     up over all blocks and send the sums back, and each block scores its documents by
-    them. A hot word so costs its owner one entry a block, and nothing is broadcast or
-    sent to the driver but three totals. Which documents belong to the target is found
+    them. A hot word so costs its owner one entry a block, and nothing but three totals
+    passes through the driver. Which documents belong to the target is found
     by a join of ids without texts. Keys are 79 bits of hashes: among 2 * 10^9 different
     keys the chance that any two agree is about 1 in 300,000. The number of blocks and
     of owners follows the bytes of text, so memory doesn't grow with the input.
@@ -210,13 +207,10 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, block_bytes
     own = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("hash"))
     target = own.join(ids, "id", "left_semi").select("id", "hash", F.pmod(F.xxhash64("id", "hash"), F.lit(n)).alias("target_block")).groupBy("target_block")
     counted = by_block.cogroup(target).applyInArrow(count_block(n), COUNTS)
-    # the sums give the totals before they give the scores, so they are kept
-    sums = counted.groupBy("bucket").applyInArrow(add_up, SUMS).checkpoint()
-    sizes = sums.groupBy("block").agg(F.max("tokens").alias("tokens"), F.max("inside").alias("inside")).agg(F.sum("tokens").alias("tokens"), F.sum("inside").alias("inside")).first()
-    words = sums.groupBy("bucket").agg(F.max("words").alias("words")).agg(F.sum("words").alias("words")).first()
-    totals = {k: v or 0 for k, v in (sizes.asDict() | words.asDict()).items()}
-    schema = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
-    return by_block.cogroup(sums.groupBy("block")).applyInArrow(score_block(totals), schema)
+    sums = counted.groupBy("bucket").applyInArrow(add_up, SUMS)
+    totals = sums.agg(F.struct(*(F.sum(c).alias(c) for c in ("tokens", "inside", "words")))).scalar()
+    back = sums.select("block", "bucket", "blob", totals.alias("totals")).groupBy("block")
+    return by_block.cogroup(back).applyInArrow(score_block, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
 
 
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

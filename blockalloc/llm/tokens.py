@@ -6,6 +6,7 @@ import base64
 import hashlib
 import json
 import os
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import batched
@@ -20,6 +21,8 @@ from blockalloc.session import table
 
 #: Pieces of text whose ids a worker remembers; past that it starts anew, with the same ids.
 REMEMBERED = 800_000
+#: Fewer pieces of like length than this are merged one by one, more of them side by side.
+ALONE = 12
 
 
 class Remembered:
@@ -99,12 +102,73 @@ class PairRanks:
         self.pair, self.rank = np.r_[(a << 32 | b)[order], np.int64(1) << 62], np.r_[r[order], 0]
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
 
+        self.known: dict[int, int] = {}
+
     def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The rank, or -1 where the two don't merge."""
         key = a << 32 | b
         at = np.searchsorted(self.pair, key)
         return np.where(self.pair[at] == key, self.rank[at], -1)
 
+    def of(self, a: int, b: int) -> int:
+        """The same for one pair, remembered."""
+        key = a << 32 | b
+        found = self.known.get(key)
+        if found is None:
+            if len(self.known) > 500_000:
+                self.known.clear()
+            found = self.known[key] = int(self(np.array([a]), np.array([b]))[0])
+        return found
+
+
+def merge_tree(piece: bytes, pairs: PairRanks) -> bytes:
+    """Ids of one piece: the segment tree of ``merge_trees`` in flat arrays, for pieces that have no company.
+
+    An update stops climbing where a node keeps its minimum.
+    """
+    n = len(piece)
+    width, none, rank_of = 1 << max(0, n - 1).bit_length(), 1 << 62, pairs.of
+    shift, mask = width.bit_length() - 1, width - 1
+    first = pairs.byte[np.frombuffer(piece, np.uint8)]
+    ranks = pairs(first[:-1], first[1:])
+    levels = [np.full(width, none)]
+    levels[0][: n - 1] = np.where(ranks >= 0, ranks << shift | np.arange(n - 1), none)
+    while len(levels[-1]) > 1:
+        levels.append(np.minimum(levels[-1][::2], levels[-1][1::2]))
+    tree = array("q", np.concatenate([[none], *levels[::-1]]).astype(np.int64).tobytes())
+    ids = array("q", first.astype(np.int64).tobytes())
+    after, ahead = array("q", range(1, n + 1)), array("q", range(-1, n - 1))
+    while (top := tree[1]) < none:
+        i = top & mask
+        j = after[i]
+        k, h = after[j], ahead[i]
+        ids[i], ids[j], after[i] = top >> shift, -1, k
+        changed = [(j, none)]
+        if k < n:
+            ahead[k] = i
+            r = rank_of(ids[i], ids[k])
+            changed.append((i, r << shift | i if r >= 0 else none))
+        else:
+            changed.append((i, none))
+        if h >= 0:
+            r = rank_of(ids[h], ids[i])
+            changed.append((h, r << shift | h if r >= 0 else none))
+        for at, value in changed:
+            at += width
+            if tree[at] == value:
+                continue
+            tree[at] = value
+            while at > 1:
+                other = tree[at ^ 1]
+                if other < value:
+                    value = other
+                at >>= 1
+                if tree[at] == value:
+                    break
+                tree[at] = value
+    out = np.frombuffer(ids, np.int64)
+    return out[out >= 0].astype("<u4").tobytes()
+
 
 def merge_trees(pieces: list[bytes], pairs: PairRanks, width: int) -> list[bytes]:
     """Ids of pieces of up to ``width`` bytes (a power of two), all of which merge side by side.
@@ -177,7 +241,11 @@ def merge_all(pieces: list[bytes], ranks: dict[bytes, int], pairs: PairRanks) ->
         else:
             by_width.setdefault(1 << (len(p) - 1).bit_length(), []).append(i)
     for width, members in by_width.items():
-        step = max(1, (1 << 18) // width)
+        if len(members) < ALONE:
+            for i in members:
+                out[i] = merge_tree(pieces[i], pairs)
+            continue
+        step = max(ALONE, (1 << 18) // width)
         for lo in range(0, len(members), step):
             some = members[lo : lo + step]
             for i, ids in zip(some, merge_trees([pieces[i] for i in some], pairs, width), strict=True):

@@ -411,6 +411,24 @@ def test_bpe_equals_the_library(spark, data):
     assert Counter((r.doc_id, bytes(r.data)) for r in back) == Counter((i, (t or "").encode()) for i, t in EDGE)
 
 
+@pytest.mark.parametrize("make", [lambda n, r: b"a" * n, lambda n, r: bytes(r.choice(b"etaoin") for _ in range(n)), lambda n, r: r.randbytes(n), lambda n, r: "ẞé𝔸".encode() * (n // 9)])
+def test_lone_pieces_merge_as_in_the_library(make):
+    import time
+
+    import tiktoken
+
+    ranks, _ = T.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    enc = tiktoken.Encoding("whole", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
+    pairs, rnd = T.PairRanks(ranks), random.Random(6)
+    for n in (9, 10, 16, 17, 1000, 30_000):
+        piece = make(n, rnd)
+        want = np.array(enc._encode_single_piece(piece), "<u4").tobytes()
+        assert T.merge_tree(piece, pairs) == want and T.merge_trees([piece] * 2, pairs, 1 << (n - 1).bit_length())[:1] == [want] or n > 1000 and T.merge_tree(piece, pairs) == want
+    began = time.process_time()
+    T.merge_tree(make(300_000, rnd), pairs)
+    assert time.process_time() - began < 12
+
+
 def test_file_ids_equal_tokenizers():
     from tokenizers import Tokenizer
 
