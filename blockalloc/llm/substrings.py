@@ -13,11 +13,12 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockalloc.llm.packed import binary_parts, by_bucket, unpack_all
-from blockalloc.session import shuffle_partitions, table
+from blockalloc.llm.packed import binary_parts, block_count, by_bucket, unpack_all
+from blockalloc.session import table
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -28,6 +29,12 @@ VALUE = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)
 CHUNK = 1 << 20
 #: Rows of a bucket whose prefix hashes are in memory at a time (a larger group is taken alone).
 ROWS = 1 << 15
+#: A seed that occurs more often than this is split into the strings around it.
+HOT = 1 << 13
+#: Bytes of documents in a block.
+BLOCK_BYTES = 8 << 20
+#: The lowest bits of a hash say how often it occurs (a logarithm), or in a reply whether that is hot.
+MARK = np.uint64(15)
 #: A row without doc_id stands before all others.
 NO_ID = np.iinfo(np.int64).min
 
@@ -118,7 +125,7 @@ def sorted_docs(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
 
 
 def find_seeds(length: int, buckets: int):
-    """Of a block: each seed hash once, its lowest bit telling whether the block has it twice."""
+    """Of a block: each seed hash once with how often the block has it, dealt to owners."""
 
     def run(t: pa.Table) -> pa.Table:
         block = t["block"][0].as_py()
@@ -127,29 +134,51 @@ def find_seeds(length: int, buckets: int):
         for lo, hi in chunks(offsets):
             part = data[offsets[lo] : offsets[hi]]
             found.append(seeds(Prefixes(part), offsets[lo:hi] - offsets[lo], offsets[lo + 1 : hi + 1] - offsets[lo], length)[1])
-        h, count = np.unique(np.concatenate(found) & ~np.uint64(1), return_counts=True)
-        rows = list(by_bucket(bucket_of(h, buckets), h | (count > 1).astype(np.uint64)))
-        return pa.table({"bucket": pa.array([x[0] for x in rows], pa.int64()), "block": pa.array([block] * len(rows), pa.int64()), "blob": pa.array([x[1] for x in rows], pa.binary())})
+        return to_owners([(0, b, blob) for b, blob in counted(found, buckets)], block)
 
     return run
 
 
+def counted(hashes: list[np.ndarray], buckets: int):
+    """(owner, packed hashes), each hash once with the logarithm of its count."""
+    h, count = np.unique(np.concatenate(hashes) & ~MARK, return_counts=True)
+    return by_bucket(bucket_of(h, buckets), h | np.minimum(np.log2(count).astype(np.uint64), MARK))
+
+
+def to_owners(rows: list[tuple[int, int, bytes]], block: int) -> pa.Table:
+    """Rows of (kind, owner, packed): kind 0 seeds or spans, 1 counts of strings."""
+    kind, bucket, blob = zip(*rows, strict=True) if rows else ((), (), ())
+    return pa.table({"kind": pa.array(kind, pa.int32()), "bucket": pa.array(bucket, pa.int64()), "block": pa.array([block] * len(rows), pa.int64()), "blob": pa.array(blob, pa.binary())})
+
+
+def to_blocks(rows: list[tuple[int, int, bytes]]) -> pa.Table:
+    kind, block, blob = zip(*rows, strict=True) if rows else ((), (), ())
+    return pa.table({"kind": pa.array(kind, pa.int32()), "block": pa.array(block, pa.int64()), "blob": pa.array(blob, pa.binary())})
+
+
+TO_OWNERS, TO_BLOCKS = "kind int, bucket long, block long, blob binary", "kind int, block long, blob binary"
+
+
 def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
 
 
-def repeated_seeds(t: pa.Table) -> pa.Table:
-    """Of a bucket's seed hashes, those that occur twice, sent back to the blocks that have them."""
+def repeated(t: pa.Table, hot: int) -> list[tuple[int, bytes]]:
+    """Of an owner's hashes, those that occur twice, sent back to the blocks that have them; marked where they occur more than ``hot`` times."""
     blocks, parts = t["block"].to_numpy(), [unpack_all([b], np.uint64)[0] for b in t["blob"].to_pylist()]
     block, h = np.repeat(blocks, [len(p) for p in parts]), np.concatenate(parts)
-    key = h & ~np.uint64(1)
-    order = np.argsort(key, kind="stable")
-    key, block, twice = key[order], block[order], (h[order] & np.uint64(1)).astype(bool)
+    order = np.argsort(h & ~MARK, kind="stable")
+    h, block = h[order], block[order]
+    key = h & ~MARK
     cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     size = np.diff(np.r_[cut, len(key)])
-    keep = np.repeat((size > 1) | np.logical_or.reduceat(twice, cut), size)
-    rows = list(by_bucket(block[keep], key[keep]))
-    return pa.table({"block": pa.array([x[0] for x in rows], pa.int64()), "blob": pa.array([x[1] for x in rows], pa.binary())})
+    many = np.repeat(np.add.reduceat(np.int64(1) << (h & MARK).astype(np.int64), cut), size)
+    keep = many > 1
+    return list(by_bucket(block[keep], (key | (many > hot).astype(np.uint64))[keep]))
+
+
+def repeated_seeds(hot: int):
+    return lambda t: to_blocks([(0, *x) for x in repeated(t, hot)])
 
 
 #: What a seed travels with: hash, document, row and place in the block, bytes at hand to the left and right.
@@ -162,50 +191,106 @@ def around_seeds(length: int, buckets: int):
     """Of a block, the repeated seeds with the bytes around them, dealt to the owners of their hashes.
 
     Seeds whose whole surroundings stand earlier in the block, byte for byte, are
-    settled here: their spans come back with bucket -1 - block.
+    settled here: their spans come back with bucket -1 - block. Of hot seeds only the
+    hashes of the strings that contain them are sent, so no owner gets all of them.
     """
     k = seed_size(length)
     side = length - k
 
     def run(docs: pa.Table, replies: pa.Table) -> pa.Table:
-        empty = pa.table({"bucket": pa.array([], pa.int64()), "block": pa.array([], pa.int64()), "blob": pa.array([], pa.binary())})
         if not len(docs) or not len(replies):
-            return empty
+            return to_owners([], 0)
         block = docs["block"][0].as_py()
         wanted = np.sort(unpack_all(replies["blob"].to_pylist(), np.uint64)[0])
         ids, data, offsets, _ = sorted_docs(docs)
-        cols = []
+        cols, strings = [], []
         for lo, hi in chunks(offsets):
             base = offsets[lo]
             p = Prefixes(data[base : offsets[hi]])
             at, h = seeds(p, offsets[lo:hi] - base, offsets[lo + 1 : hi + 1] - base, length)
-            h = h & ~np.uint64(1)
+            h = h & ~MARK
             spot = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
-            at, h = at[wanted[spot] == h], h[wanted[spot] == h]
+            good = (wanted[spot] & ~MARK) == h
+            at, h, hot = at[good], h[good], (wanted[spot[good]] & MARK) > 0
             row = lo + np.searchsorted(offsets[lo + 1 : hi + 1] - base, at, "right")
             left = np.minimum(side, at + base - offsets[row])
             right = np.minimum(side, offsets[row + 1] - base - at - k)
+            if hot.any():
+                some = hot & (left + right >= side)
+                inside = np.zeros(len(p.sums) + 1, np.int32)
+                np.add.at(inside, (at - left)[some], 1)
+                np.add.at(inside, (at + k + right - length + 1)[some], -1)
+                start = np.flatnonzero(np.cumsum(inside) > 0)
+                strings.append(spread(p.part(start, start + length)))
+                at, h, row, left, right = (x[~hot] for x in (at, h, row, left, right))
             cols.append((h, row, at + base - offsets[row], left, right, p.part(at - left, at + k + right)))
         h, row, pos, left, right, whole = (np.concatenate(x) for x in zip(*cols, strict=True))
         kind = spread(whole ^ h * np.uint64(3)) ^ (left * 1000 + right).astype(np.uint64)
-        _, first, back = np.unique(kind, return_index=True, return_inverse=True)
-        first = first[back]
-        again = np.flatnonzero(first != np.arange(len(h)))
         start = offsets[row] + pos
-        same = (left[again] == left[first[again]]) & (right[again] == right[first[again]])
-        for lo in range(0, len(again), ROWS):  # the bytes decide
-            i = again[lo : lo + ROWS]
-            same[lo : lo + ROWS] &= equal_parts(data, start[i] - left[i], start[first[i]] - left[first[i]], left[i] + k + right[i])
-        again = again[same]
-        rows = []
-        if len(again):
-            rows += [(-1 - block, x[1]) for x in by_bucket(np.zeros(len(again), np.int64), row[again].astype(np.int32), (pos - left)[again].astype(np.int32), (pos + k + right)[again].astype(np.int32))]
-        send = np.ones(len(h), bool)
-        send[again] = False
-        i = np.flatnonzero(send)
+        again = settled(kind, data, start - left, left, right, left + k + right)
+        rows = [(1, b, blob) for b, blob in counted(strings, buckets)] if strings else []
+        if again.any():
+            rows += [(0, -1 - block, x[1]) for x in by_bucket(np.zeros(again.sum(), np.int64), row[again].astype(np.int32), (pos - left)[again].astype(np.int32), (pos + k + right)[again].astype(np.int32))]
+        i = np.flatnonzero(~again)
         if len(i):
-            rows += sent(i, h, ids, row, pos, left, right, data, start, k, side, buckets)
-        return pa.table({"bucket": pa.array([x[0] for x in rows], pa.int64()), "block": pa.array([block] * len(rows), pa.int64()), "blob": pa.array([x[1] for x in rows], pa.binary())})
+            rows += [(0, *x) for x in sent(i, h, ids, row, pos, left, right, data, start, k, side, buckets)]
+        return to_owners(rows, block)
+
+    return run
+
+
+def settled(kind: np.ndarray, data: np.ndarray, start: np.ndarray, left: np.ndarray, right: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which parts of a block stand byte for byte at an earlier place of like ``kind``."""
+    _, first, back = np.unique(kind, return_index=True, return_inverse=True)
+    first = first[back]
+    again = np.flatnonzero(first != np.arange(len(kind)))
+    same = (left[again] == left[first[again]]) & (right[again] == right[first[again]])
+    for lo in range(0, len(again), ROWS):  # the bytes decide
+        i = again[lo : lo + ROWS]
+        same[lo : lo + ROWS] &= equal_parts(data, start[i], start[first[i]], size[i])
+    out = np.zeros(len(kind), bool)
+    out[again[same]] = True
+    return out
+
+
+def around_strings(length: int, buckets: int):
+    """Of a block, the first of each repeated string around hot seeds, dealt to owners; later ones and the spans found so far come back at once."""
+
+    def run(docs: pa.Table, found: pa.Table) -> pa.Table:
+        if not len(docs) or not len(found):
+            return to_owners([], 0)
+        block = docs["block"][0].as_py()
+        blobs = found["blob"].to_pylist()
+        rows = [(0, -1 - block, blob) for kind, blob in zip(found["kind"].to_pylist(), blobs, strict=True) if kind == 0]
+        wanted = np.sort(unpack_all([blob for kind, blob in zip(found["kind"].to_pylist(), blobs, strict=True) if kind], np.uint64)[0] & ~MARK)
+        if not len(wanted):
+            return to_owners(rows, block)
+        likely = np.zeros(1 << 20, bool)
+        likely[(wanted >> np.uint64(4)) & np.uint64(len(likely) - 1)] = True
+        ids, data, offsets, _ = sorted_docs(docs)
+        cols = []
+        for lo, hi in chunks(offsets):
+            part = data[offsets[lo] : offsets[hi]]
+            if len(part) < length:
+                continue
+            h = spread(Prefixes(part).grams(length)) & ~MARK
+            at = np.flatnonzero(likely[(h >> np.uint64(4)) & np.uint64(len(likely) - 1)])
+            at = at[wanted[np.minimum(np.searchsorted(wanted, h[at]), len(wanted) - 1)] == h[at]]
+            row = lo + np.searchsorted(offsets[lo + 1 : hi + 1] - offsets[lo], at, "right")
+            good = at + offsets[lo] + length <= offsets[row + 1]
+            cols.append((h[at][good], row[good], (at + offsets[lo] - offsets[row])[good]))
+        if not cols:
+            return to_owners(rows, block)
+        h, row, pos = (np.concatenate(x) for x in zip(*cols, strict=True))
+        start, none, size = offsets[row] + pos, np.zeros(len(h), np.int64), np.full(len(h), length)
+        again = settled(h, data, start, none, none, size)
+        i = np.flatnonzero(again)
+        if len(i):  # neighbouring strings make one span
+            new = np.flatnonzero(np.r_[True, (row[i][1:] != row[i][:-1]) | (pos[i][1:] != pos[i][:-1] + 1)])
+            last = np.r_[new[1:], len(i)] - 1
+            rows += [(0, -1 - block, x[1]) for x in by_bucket(np.zeros(len(new), np.int64), row[i][new].astype(np.int32), pos[i][new].astype(np.int32), (pos[i][last] + length).astype(np.int32))]
+        i = np.flatnonzero(~again)
+        return to_owners(rows + [(0, *x) for x in sent(i, h, ids, row, pos, none, none, data, start, length, 0, buckets)], block)
 
     return run
 
@@ -344,20 +429,22 @@ def covered(group, left, right, around, k: int, side: int) -> tuple[np.ndarray,
     return least, most
 
 
-def own_seeds(length: int):
-    """One owner: the spans that earlier strings cover, for each block."""
-    k = seed_size(length)
+def own_seeds(length: int, k: int):
+    """One owner: the spans that earlier strings cover, and the strings that occur twice, for each block."""
     side = length - k
 
     def run(t: pa.Table) -> pa.Table:
-        bucket = t["bucket"][0].as_py()
-        if bucket < 0:
-            return t.select(["block", "blob"])
+        if t["bucket"][0].as_py() < 0:
+            return t.select(["kind", "block", "blob"])
+        strings, t = t.filter(pc.equal(t["kind"], 1)), t.filter(pc.equal(t["kind"], 0))
+        rows = [(1, *x) for x in repeated(strings, len(strings))] if len(strings) else []
+        if not len(t):
+            return to_blocks(rows)
         blocks, blobs = t["block"].to_numpy(), t["blob"].to_pylist()
         *cols, around = unpack_all(blobs, *SEED, (np.uint8, 2 * side + k))
         block = np.repeat(blocks, [int(np.frombuffer(b, np.int64, 1)[0]) for b in blobs])
         h, doc, row, pos, left, right = cols
-        order = np.lexsort((pos, row, doc, h))
+        order = np.lexsort((pos, block, row, doc, h))
         order = order[(left[order] + right[order]) >= side]
         h = h[order]
         cut = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
@@ -376,8 +463,7 @@ def own_seeds(length: int):
             out.append((block[i], row[i], (pos[i] - most[hit]).astype(np.int32), (pos[i] - least[hit] + length).astype(np.int32)))
             at = to
         block, row, lo, hi = (np.concatenate(x) for x in zip(*out, strict=True)) if out else [np.zeros(0, np.int64)] * 4
-        rows = list(by_bucket(block, row, lo, hi))
-        return pa.table({"block": pa.array([x[0] for x in rows], pa.int64()), "blob": pa.array([x[1] for x in rows], pa.binary())})
+        return to_blocks(rows + [(0, *x) for x in by_bucket(block, row, lo, hi)])
 
     return run
 
@@ -408,39 +494,43 @@ def cut_spans(keep_text: bool, carry: list[str]):
     return run
 
 
-def drop_repeats(docs: DataFrame, length: int = 100, keep_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+def drop_repeats(docs: DataFrame, length: int = 100, keep_text: bool = False, carry: tuple[str, ...] = (), block_bytes: int = BLOCK_BYTES, hot: int = HOT) -> DataFrame:
     """Remove from ``docs(doc_id, text, ...)`` each byte of a ``length``-byte string that also starts earlier.
 
     Earlier means in a document with a smaller id, or earlier in the same one; strings
-    are judged on the input and never cross documents. The text is shuffled once, by
-    blocks of documents; later steps reuse that exchange. Between blocks and owners go
-    packed arrays: first each block's distinct seed hashes, then, for seeds that occur
-    twice, the bytes around them. A passage that many documents share leaves each block
-    once.
+    are judged on the input and never cross documents. The text is shuffled once, to
+    blocks of some ``block_bytes``; later steps reuse that exchange. Between blocks and
+    owners go packed arrays: first each block's distinct seed hashes, then, for seeds
+    that occur twice, the bytes around them. A passage that many documents share leaves
+    each block once. A seed that occurs more than ``hot`` times in varied surroundings is
+    split: each string that contains it has its own owner, and only strings that occur
+    twice are sent whole, the first of each block.
 
     Result per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with
     ``keep_text`` the remaining text as ``kept``: a character that lost some of its bytes
     goes whole there. Null text counts as empty; a null
-    doc_id stands before all others; rows that share a doc_id are ordered by their text
-    and count as different documents. Columns named in ``carry`` come along unchanged;
+    doc_id stands before all others; rows that share a doc_id count as different
+    documents, in an order of their own. Columns named in ``carry`` come along unchanged;
     others are not read.
     """
     if length < 2:
         raise ValueError("length must be at least 2")
-    # a block sends each owner one packed row, so few large blocks make fewer and larger rows
-    n = 2 * shuffle_partitions(docs.sparkSession)
+    data = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    n = block_count(docs.select(data.alias("text")), block_bytes)
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
-        F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("data"),
-        F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(n)).alias("block"),
+        data.cast("binary").alias("data"),
+        F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64(data)), F.lit(n)).alias("block"),
         *(F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry)),
     )
     carried = [f"carried_{i}" for i in range(len(carry))]
     by_block = rows.groupBy("block")
-    found = by_block.applyInArrow(find_seeds(length, n), "bucket long, block long, blob binary")
-    replies = found.groupBy("bucket").applyInArrow(repeated_seeds, "block long, blob binary")
-    around = by_block.cogroup(replies.groupBy("block")).applyInArrow(around_seeds(length, n), "bucket long, block long, blob binary")
-    spans = around.groupBy("bucket").applyInArrow(own_seeds(length), "block long, blob binary")
+    found = by_block.applyInArrow(find_seeds(length, n), TO_OWNERS)
+    replies = found.groupBy("bucket").applyInArrow(repeated_seeds(hot), TO_BLOCKS)
+    around = by_block.cogroup(replies.groupBy("block")).applyInArrow(around_seeds(length, n), TO_OWNERS)
+    spans = around.groupBy("bucket").applyInArrow(own_seeds(length, seed_size(length)), TO_BLOCKS)
+    strings = by_block.cogroup(spans.groupBy("block")).applyInArrow(around_strings(length, n), TO_OWNERS)
+    spans = strings.groupBy("bucket").applyInArrow(own_seeds(length, length), TO_BLOCKS)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * keep_text
     schema += "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in carried)
     out = by_block.cogroup(spans.groupBy("block")).applyInArrow(cut_spans(keep_text, carried), schema)

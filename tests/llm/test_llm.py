@@ -118,6 +118,16 @@ def test_substrings_against_brute_force(spark, seed):
     assert got == cut_by_hand([(i, t.encode()) for i, t in rows], length)
 
 
+@pytest.mark.parametrize(("hot", "block_bytes"), [(0, 1500), (3, 400), (20, 10**6)])
+def test_hot_seeds_are_split(spark, hot, block_bytes):
+    rnd = random.Random(hot)
+    passage = "".join(rnd.choice("abcdefgh") for _ in range(150))
+    edges = ["x" * k for k in (0, 1, 3)] + ["".join(rnd.choice("abcdefgh") for _ in range(n)) for n in (2, 30, 70, 70)]
+    rows = [(i, rnd.choice(edges) + passage[rnd.choice([0, 0, 0, 10, 40]) :] + rnd.choice(edges)) for i in range(80)] + [(200, passage[:99]), (201, "")]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in SU.drop_repeats(docs(spark, rows), 100, block_bytes=block_bytes, hot=hot).collect()}
+    assert got == cut_by_hand([(i, t.encode()) for i, t in rows], 100)
+
+
 def test_substrings_of_given_documents(spark, data, duck):
     rows = [(i, (t or "").encode()) for i, t in duck.execute("SELECT doc_id, text FROM documents").fetchall()]
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in QUERIES["op3_suffix_dedup"](spark, data).collect()}
