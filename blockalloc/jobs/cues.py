@@ -14,21 +14,29 @@ from blockalloc.sources.views import FLOWS_SQL, MANIFEST_SQL, PIXELS_SQL, TOKENS
 GRID, IMAGE, TUBELET = 4, 8, 2
 
 
+def segments(spark: SparkSession, d: str) -> DataFrame:
+    """Mean flow of each segment (two flows, one at the clip's end) and block."""
+    return flows(spark, d).groupBy("video_id", "clip_idx", F.floor(F.col("flow_idx") / TUBELET).cast("int").alias("u"), "b").agg(F.avg("dx").alias("dx"), F.avg("dy").alias("dy"))
+
+
+SEGMENTS_SQL = "seg AS (SELECT video_id, clip_idx, CAST(flow_idx // 2 AS INTEGER) AS u, b, avg(dx) AS dx, avg(dy) AS dy FROM flows GROUP BY ALL)"
+
+
 def cue_table(spark: SparkSession, d: str) -> DataFrame:
     """Cue columns by segment and block, from the flows."""
-    f = flows(spark, d).where("flow_idx < 8")
-    return f.select("video_id", "clip_idx", F.col("flow_idx").alias("u"), F.floor(F.col("b") / GRID).cast("int").alias("bi"), (F.col("b") % GRID).alias("bj"), F.round("dx", 6).alias("attn"), F.round("dy", 6).alias("temp"), F.round(F.col("dx") * F.col("dy"), 6).alias("tex"), F.round(F.col("dx") + F.col("dy"), 6).alias("flow"))
+    f = segments(spark, d)
+    return f.select("video_id", "clip_idx", "u", F.floor(F.col("b") / GRID).cast("int").alias("bi"), (F.col("b") % GRID).alias("bj"), F.round("dx", 6).alias("attn"), F.round("dy", 6).alias("temp"), F.round(F.col("dx") * F.col("dy"), 6).alias("tex"), F.round(F.col("dx") + F.col("dy"), 6).alias("flow"))
 
 
-CUES_SQL = f"""{FLOWS_SQL}, cues AS (SELECT video_id, clip_idx, flow_idx AS u, CAST(b // 4 AS INTEGER) AS bi, CAST(b % 4 AS INTEGER) AS bj, round(dx, 6) AS attn, round(dy, 6) AS temp, round(dx * dy, 6) AS tex, round(dx + dy, 6) AS flow FROM flows WHERE flow_idx < 8)"""
+CUES_SQL = f"""{FLOWS_SQL}, {SEGMENTS_SQL}, cues AS (SELECT video_id, clip_idx, u, CAST(b // 4 AS INTEGER) AS bi, CAST(b % 4 AS INTEGER) AS bj, round(dx, 6) AS attn, round(dy, 6) AS temp, round(dx * dy, 6) AS tex, round(dx + dy, 6) AS flow FROM seg)"""
 
 
 def risk(spark: SparkSession, d: str, digits: int = 6) -> DataFrame:
     """(…, u, block, score) in 0..1, from the flows."""
-    return flows(spark, d).where("flow_idx < 8").select("video_id", "clip_idx", F.col("flow_idx").alias("u"), F.col("b").alias("block"), C.unit(F.round(0.5 + F.col("dx") / 32, digits)).alias("score"))
+    return segments(spark, d).select("video_id", "clip_idx", "u", F.col("b").alias("block"), C.unit(F.round(0.5 + F.col("dx") / 32, digits)).alias("score"))
 
 
-RISK_SQL = "risk AS (SELECT video_id, clip_idx, flow_idx AS u, b AS block, least(1, greatest(0, round(0.5e0 + dx / 32, 6))) AS score FROM flows WHERE flow_idx < 8)"
+RISK_SQL = f"{SEGMENTS_SQL}, risk AS (SELECT video_id, clip_idx, u, b AS block, least(1, greatest(0, round(0.5e0 + dx / 32, 6))) AS score FROM seg)"
 
 
 def maps(spark: SparkSession, d: str) -> DataFrame:
@@ -123,7 +131,7 @@ def covered(spark: SparkSession, d: str) -> DataFrame:
 
 
 def g5(keys: list[str]):
-    return lambda s, d: rounded(C.centrality(tokens(s, d), ["video_id", "clip_idx", "u", *keys], 0.2))
+    return lambda s, d: rounded(C.centrality(tokens(s, d), ["video_id", "clip_idx", "u", *keys]))
 
 
 def g5_sql(keys: str) -> str:

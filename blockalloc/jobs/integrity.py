@@ -83,7 +83,8 @@ def calibrated(spark: SparkSession, d: str) -> DataFrame:
 
 def d4(spark: SparkSession, d: str) -> DataFrame:
     b = A.best_epsilon(F.col("frames"), F.lit(20), F.lit(2.0), F.col("sigma"), F.lit(1e-4))
-    return rounded(calibrated(spark, d).withColumn("b", b).select("video_id", "frames", "sigma", "b.eps", "b.alpha", "b.rho", "b.sensitivity"))
+    # inlined, not picked field by field, which would evaluate the curve for each field
+    return rounded(calibrated(spark, d).select("video_id", "frames", "sigma", F.inline(F.array(b))))
 
 
 SIGMA_SQL = "list_min(list_transform(list_filter(range(2, 129), lambda a: 8 > ln(1e4) / (a - 1)), lambda a: sqrt(a * frames * 320 / (2 * (8 - ln(1e4) / (a - 1))))))"

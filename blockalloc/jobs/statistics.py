@@ -11,7 +11,8 @@ from blockalloc.sources.views import RUNS_SQL, runs
 
 M = S.METRICS
 PAIRS = [("AF", "NO"), ("AF", "RF"), ("NO", "RF"), ("NF", "AF")]
-SUITE_SEED = 20260906
+#: Seeds of the published intervals.
+SUITE_SEED, MAIN_SEED, INCREMENTAL_SEED = 20260906, 20260901, 20260905
 #: Means of several runs carry rounding noise, so the queries call differences of up to 1e-12 ties.
 TIES = {"tie": 1e-12, "tie_in_test": 1e-12}
 
@@ -95,12 +96,12 @@ def h10(spark: SparkSession, d: str) -> DataFrame:
 
 def h10_large(spark: SparkSession, d: str) -> DataFrame:
     """Poisson resampling by partial sums, for comparisons over millions of videos."""
-    return nine(B.poisson_intervals(e1(spark, d), ["comparison", "metric"], "video_id", resamples=200))
+    return nine(B.poisson_intervals(e1(spark, d), ["comparison", "metric"], "video_id", resamples=B.RESAMPLES))
 
 
 def h11(spark: SparkSession, d: str) -> DataFrame:
     seeds = lambda c, m: B.stable_seed(SUITE_SEED, "median", c, m)
-    return nine(B.intervals(e1(spark, d), ["comparison", "metric"], "video_id", seeds, "median", 2000))
+    return nine(B.intervals(e1(spark, d), ["comparison", "metric"], "video_id", seeds, "median"))
 
 
 def h12(spark: SparkSession, d: str) -> DataFrame:
@@ -109,6 +110,42 @@ def h12(spark: SparkSession, d: str) -> DataFrame:
     return nine(s.select("comparison", "metric", "n", dz.alias("cohen_dz"), gz.alias("hedges_gz")))
 
 
+def seeded(*first: object):
+    """Seeds of a table's intervals from its name, what it is by, the two policies and the metric."""
+
+    def seed_of(*keys: object) -> int:
+        *by, comparison, metric = keys
+        return B.stable_seed(first[0], *first[1:], *by, *comparison.split(" vs "), metric)
+
+    return seed_of
+
+
+def with_ends(d: DataFrame, by: list[str], *first: object) -> DataFrame:
+    """A paired table with the interval of each mean difference."""
+    return nine(B.with_interval(S.paired_table(d, by=by, **TIES), d, [*by, "comparison", "metric"], "video_id", seeded(*first)))
+
+
+def h13_intervals(spark: SparkSession, d: str) -> DataFrame:
+    """The mean and median summary with an interval of each."""
+    x, keys = e1(spark, d), ["comparison", "metric"]
+    out = B.with_interval(S.summary_table(x), x, keys, "video_id", seeded(SUITE_SEED, "mean"), name="mean_ci95")
+    return nine(B.with_interval(out, x, keys, "video_id", seeded(SUITE_SEED, "median"), "median", "median_ci95"))
+
+
+def h17_intervals(spark: SparkSession, d: str, seed: int, metrics=("cover", "raw_errshare")) -> DataFrame:
+    return with_ends(S.paired_differences(S.grouped_means(runs(spark, d), ["video_id", "policy"]), CANDIDATES, metrics=metrics), [], seed)
+
+
+def h19_intervals(spark: SparkSession, d: str) -> DataFrame:
+    """Looked-up pairs with intervals; what is turned has its bounds turned."""
+    return S.pair_lookup(with_ends(e1(spark, d), [], SUITE_SEED, "E1"), [("AF", "NO"), ("RF", "AF"), ("RF", "NO")])
+
+
+def h20_intervals(spark: SparkSession, d: str) -> DataFrame:
+    """The paired tables of all metrics under each other: the main one and the incremental one."""
+    return h17_intervals(spark, d, MAIN_SEED).unionByName(h17_intervals(spark, d, INCREMENTAL_SEED, ("inc_errshare",)))
+
+
 CANDIDATES = [*PAIRS, ("AF", "missing policy"), ("RF", "NF")]
 
 
@@ -172,7 +209,7 @@ QUERIES = {
     ),
     "h9_sign_test": (lambda s, d: nine(S.paired_table(e1(s, d), **TIES).select("comparison", "metric", "exact_sign_p")), f"{D1}, {table_sql()} SELECT comparison, metric, round(exact_sign_p, 9) AS exact_sign_p FROM t2"),
     "h9_sign_test_large": (
-        lambda s, d: nine(S.paired_table(e1(s, d), **TIES).select("comparison", "metric", S.sign_p_large("left_wins", "right_wins").alias("exact_sign_p"))),
+        lambda s, d: nine(S.paired_table(e1(s, d), **TIES).select("comparison", "metric", S.sign_p("left_wins", "right_wins").alias("exact_sign_p"))),
         f"{D1}, {table_sql()} SELECT comparison, metric, round(exact_sign_p, 9) AS exact_sign_p FROM t2",
     ),
     "h10_bootstrap_mean": (h10, None),
@@ -204,6 +241,14 @@ QUERIES = {
         f"""{R}, {diff_sql(pairs=[("NO", "AF"), ("NO", "RF"), ("NO", "NF")])}, s AS (SELECT policy, count(*) AS n, {AGG}, CAST(list_position(['NO', 'AF', 'RF', 'NF'], policy) AS INTEGER) AS rank FROM means GROUP BY policy),
         a AS (SELECT split_part(comparison, ' vs ', 2) AS policy, {each("round(avg(difference) FILTER (metric = '{m}'), 9) AS {m}_diff")} FROM d GROUP BY 1) SELECT s.*, a.* EXCLUDE (policy) FROM s LEFT JOIN a USING (policy) WHERE rank > 0""",
     ),
+    "h13_summary_with_intervals": (h13_intervals, None),
+    "h14_e1_with_intervals": (lambda s, d: with_ends(e1(s, d), [], SUITE_SEED, "E1"), None),
+    "h15_e2_with_intervals": (lambda s, d: with_ends(e2(s, d), ["top_k"], SUITE_SEED, "E2"), None),
+    "h16_seeds_with_intervals": (lambda s, d: with_ends(per_seed(s, d), ["seed"], SUITE_SEED, "E1-seed-level"), None),
+    "h17_main_with_intervals": (lambda s, d: h17_intervals(s, d, MAIN_SEED), None),
+    "h18_incremental_with_intervals": (lambda s, d: h17_intervals(s, d, INCREMENTAL_SEED, ("inc_errshare",)), None),
+    "h19_pair_lookup_with_intervals": (h19_intervals, None),
+    "h20_paired_tables": (h20_intervals, None),
     "h21_formatting": (
         h21,
         f"""WITH {HOLED_SQL}, a AS (SELECT seed, policy, count(*) AS n, {each("coalesce(avg({m}) FILTER (isfinite({m})), 'NaN') AS {m}")} FROM holed GROUP BY ALL)

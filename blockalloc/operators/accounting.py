@@ -63,7 +63,9 @@ def best_epsilon(frames: Column, k: Column, clip: Column, sigma: Column, delta:
     """
     best = F.array_min(F.transform(rdp_curve(frames, k, clip, sigma, delta), lambda s: F.struct(s["eps"].alias("eps"), s["alpha"].alias("alpha"), s["rho"].alias("rho"))))
     valid = (frames > 0) & (k > 0) & (clip > 0) & (sigma > 0)
-    return F.when(valid, F.struct(best["eps"].alias("eps"), best["alpha"].alias("alpha"), best["rho"].alias("rho"), sensitivity(clip, k).alias("sensitivity")))
+    # through an array of one, so that the curve is evaluated once and not for each field
+    whole = lambda s: F.struct(s["eps"].alias("eps"), s["alpha"].alias("alpha"), s["rho"].alias("rho"), sensitivity(clip, k).alias("sensitivity"))
+    return F.when(valid, F.transform(F.array(best), whole)[0])
 
 
 def sigma_for(target: Column, frames: Column, k: Column, clip: Column, delta: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -60,11 +61,9 @@ def clipped_query(block: np.ndarray, clip: float) -> tuple[np.ndarray, float]:
 
 
 def keyed_normals(seed: int, video: str, frame: int, block: int, n: int) -> np.ndarray:
-    """Normals from a counter-based generator keyed by seed, video, frame and block: partitions don't matter."""
-    import zlib
-
-    key = (np.uint64(seed) << np.uint64(32)) | np.uint64(zlib.crc32(video.encode()))
-    return np.random.Generator(np.random.Philox(key=[int(key), (int(frame) << 32) | int(block)])).standard_normal(n)
+    """Normals from a counter-based generator keyed by 128 bits of a SHA-256 over seed, video, frame and block: partitions don't matter, and no two blocks share noise."""
+    key = hashlib.sha256(f"{seed}|{frame}|{block}|{video}".encode()).digest()
+    return np.random.Generator(np.random.Philox(key=int.from_bytes(key[:16], "little"))).standard_normal(n)
 
 
 RUNS = "video_id string, frame_idx int, height int, width int"

@@ -80,29 +80,20 @@ def paired_differences(rows: DataFrame, pairs: Sequence[tuple[str, str]], unit:
     return long.withColumn("difference", F.col("left_value") - F.col("right_value"))
 
 
-def sign_p(wins: Column, losses: Column) -> Column:
-    """Exact two-sided sign-test p of up to about 1,000 pairs; 1 where no pair differs. Tables take ``sign_p_large``.
+@F.pandas_udf(DoubleType())
+def sign_p(wins: pd.Series, losses: pd.Series) -> pd.Series:
+    """Exact two-sided sign-test p in logarithms, for any number of pairs; 1 where no pair differs.
 
-    Binomial terms follow each other by a recurrence that starts at 2^-n.
+    Binomial terms are added from the largest down. They fall at least as exp(-2 j^2 / n),
+    so the terms left out are below exp(-50) of the first.
     """
-    n, tail = (wins + losses).cast("double"), F.least(wins, losses)
-    start = F.struct(F.pow(F.lit(0.5), n).alias("term"), F.pow(F.lit(0.5), n).alias("total"))
-    step = lambda s, i: F.struct((s["term"] * (n - i + 1) / i).alias("term"), (s["total"] + s["term"] * (n - i + 1) / i).alias("total"))
-    steps = F.when(tail > 0, F.sequence(F.lit(1).cast("long"), tail.cast("long"))).otherwise(F.array().cast("array<bigint>"))
-    return F.least(F.lit(1.0), 2 * F.aggregate(steps, start, step, lambda s: s["total"]))
-
-
-@F.pandas_udf(DoubleType())
-def sign_p_large(wins: pd.Series, losses: pd.Series) -> pd.Series:
-    """The same in logarithms, for any number of pairs: terms are added from the largest down until they no longer count."""
     out = []
     for w, x in zip(wins, losses, strict=True):
         n, tail = int(w + x), int(min(w, x))
-        half = n * np.log(0.5)
-        # log C(n, tail) by Stirling's series is exact enough beyond 1,000, but sums of logarithms are exact
-        i = np.arange(1, tail + 1)
-        top = half + np.sum(np.log(n - tail + i) - np.log(i))
-        # terms fall at least as exp(-2 j^2 / n), so those left out are below exp(-50) of the first
+        top = n * np.log(0.5)
+        for lo in range(1, tail + 1, 1 << 20):  # sums of logarithms are exact where differences of lgamma are not
+            i = np.arange(lo, min(tail + 1, lo + (1 << 20)))
+            top += np.sum(np.log((n - tail) / i + 1))
         k = tail - np.arange(min(tail, 100 + int(5 * np.sqrt(n))))
         down = np.r_[0.0, np.cumsum(np.log(k) - np.log(n - k + 1))]
         out.append(min(1.0, 2 * float(np.exp(top + np.log(np.exp(down).sum())))))
@@ -121,7 +112,7 @@ def paired_table(differences: DataFrame, by: Sequence[str] = (), tie: float = 0.
     w, x, t = outcomes(tie, direction)
     tw, tx, _ = outcomes(tie_in_test)
     out = differences.groupBy(*by, "comparison", "metric").agg(F.count("*").alias("paired_units"), w.alias("left_wins"), x.alias("right_wins"), t.alias("ties"), F.avg("difference").alias("mean_diff"), tw.alias("_w"), tx.alias("_x"))
-    return out.withColumn("exact_sign_p", sign_p_large("_w", "_x")).drop("_w", "_x")
+    return out.withColumn("exact_sign_p", sign_p("_w", "_x")).drop("_w", "_x")
 
 
 def effect_sizes(mean: Column, sd: Column, n: Column) -> tuple[Column, Column]:
@@ -139,14 +130,19 @@ def summary_table(differences: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         F.sum((F.col("difference") > 0).cast("int")).alias("positive_pairs"), F.sum((F.col("difference") < 0).cast("int")).alias("negative_pairs"), t.alias("ties"), w.alias("_w"), x.alias("_x"),
     )
     dz, gz = effect_sizes(F.col("mean_difference"), F.col("difference_sd"), F.col("n"))
-    return out.withColumns({"cohen_dz": dz, "hedges_gz": gz, "exact_sign_p": sign_p_large("_w", "_x")}).drop("_w", "_x")
+    return out.withColumns({"cohen_dz": dz, "hedges_gz": gz, "exact_sign_p": sign_p("_w", "_x")}).drop("_w", "_x")
 
 
 def pair_lookup(stats: DataFrame, wanted: Sequence[tuple[str, str]]) -> DataFrame:
-    """Rows of the wanted comparisons; one that exists only the other way round is turned: wins swapped, differences and interval negated."""
+    """Rows of the wanted comparisons; one that exists only the other way round is turned.
+
+    Turning swaps wins and negates the mean difference; where the table has an interval,
+    its bounds are negated and swapped.
+    """
+    ends = [(-F.col("ci95_high")).alias("ci95_low"), (-F.col("ci95_low")).alias("ci95_high")] if "ci95_low" in stats.columns else []
     turned = stats.select(
         F.concat(F.substring_index("comparison", " vs ", -1), F.lit(" vs "), F.substring_index("comparison", " vs ", 1)).alias("comparison"), "metric", "paired_units",
-        F.col("right_wins").alias("left_wins"), F.col("left_wins").alias("right_wins"), "ties", (-F.col("mean_diff")).alias("mean_diff"), "exact_sign_p", F.lit(1).alias("turned"),
+        F.col("right_wins").alias("left_wins"), F.col("left_wins").alias("right_wins"), "ties", (-F.col("mean_diff")).alias("mean_diff"), *ends, "exact_sign_p", F.lit(1).alias("turned"),
     )
     both = stats.select(*turned.columns[:-1], F.lit(0).alias("turned")).unionByName(turned)
     both = both.where(F.col("comparison").isin([f"{a} vs {b}" for a, b in wanted]))

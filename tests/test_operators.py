@@ -1,6 +1,7 @@
 """Published values, properties and edge cases of the operators."""
 
 import math
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -50,15 +51,34 @@ def test_seed_mix_wraps():
     assert A.seed_mix(seeds, parts).tolist() == [plain(int(s), [int(p) for p in row]) for s, row in zip(seeds, parts, strict=True)]
 
 
-@pytest.mark.parametrize("wins, losses, p", [(20, 0, 2 / 2**20), (17, 3, 0.002577), (12, 8, 0.503445), (0, 0, 1.0), (5, 5, 1.0), (400, 500, None)])
+@pytest.mark.parametrize("wins, losses, p", [(20, 0, 2 / 2**20), (17, 3, 0.002577), (12, 8, 0.503445), (0, 0, 1.0), (5, 5, 1.0), (400, 500, None), (540, 540, 1.0), (1500, 1400, None), (50_300, 49_700, None)])
 def test_sign_test(spark, wins, losses, p):
-    d = spark.createDataFrame([(wins, losses)], "w long, x long")
-    small, large = d.select(S.sign_p(F.col("w"), F.col("x")), S.sign_p_large("w", "x")).first()
-    n = wins + losses
-    exact = min(1.0, 2 * sum(math.comb(n, i) for i in range(min(wins, losses) + 1)) / 2**n) if n else 1.0
-    assert small == pytest.approx(exact, rel=1e-9) and large == pytest.approx(exact, rel=1e-9)
+    got = spark.createDataFrame([(wins, losses)], "w long, x long").select(S.sign_p("w", "x")).first()[0]
+    n, term, total = wins + losses, 1, 0
+    for i in range(min(wins, losses) + 1):
+        total, term = total + term, term * (n - i) // (i + 1)
+    assert got == pytest.approx(min(1.0, float(Fraction(2 * total, 2**n))) if n else 1.0, rel=1e-9)
     if p:
-        assert small == pytest.approx(p, abs=1e-6)
+        assert got == pytest.approx(p, abs=1e-6)
+
+
+def test_sign_test_of_ten_million_pairs(spark):
+    n, lead = 10**7, 4000
+    got = spark.createDataFrame([((n + lead) // 2, (n - lead) // 2)], "w long, x long").select(S.sign_p("w", "x")).first()[0]
+    assert got == pytest.approx(math.erfc((lead - 1) / math.sqrt(2 * n)), rel=1e-4)  # the normal tail, corrected for continuity
+
+
+def test_intervals_stand_beside_their_rows_and_turn(spark):
+    rng = np.random.default_rng(9)
+    rows = [("L vs R", m, f"v{i:02}", float(x)) for m in ("a", "b") for i, x in enumerate(rng.normal(0.3, 1, 40))] + [("L vs S", "a", "v00", 0.25)]
+    d = spark.createDataFrame(rows, "comparison string, metric string, video_id string, difference double")
+    t = B.with_interval(S.paired_table(d), d, ["comparison", "metric"], "video_id", lambda c, m: len(c + m), resamples=500)
+    got = {(r.comparison, r.metric): r for r in t.collect()}
+    assert (got["L vs R", "a"].ci95_low, got["L vs R", "a"].ci95_high) == B.exact_interval([x[3] for x in rows[:40]], 7, resamples=500)
+    assert got["L vs S", "a"].ci95_low == got["L vs S", "a"].ci95_high == 0.25
+    back = {r.metric: r for r in S.pair_lookup(t, [("R", "L")]).collect()}
+    r = got["L vs R", "a"]
+    assert (back["a"].ci95_low, back["a"].ci95_high, back["a"].left_wins) == (-r.ci95_high, -r.ci95_low, r.right_wins)
 
 
 def test_bootstrap_edges_and_large_form(spark):
@@ -196,6 +216,7 @@ def test_release_keeps_other_blocks_and_ignores_partitions(spark):
 
 
 def test_keyed_normals_have_the_moments():
+    assert not np.array_equal(R.keyed_normals(1, "plumless", 0, 0, 4), R.keyed_normals(1, "buckeroo", 0, 0, 4))  # ids of one CRC-32
     x = np.concatenate([R.keyed_normals(1, "v", t, 0, 4) for t in range(5000)])
     assert abs(x.mean()) < 0.03 and abs(x.std() - 1) < 0.03
 
