@@ -537,6 +537,51 @@ def test_pipeline_stages(spark, data):
     assert [n for n, _ in cp.STAGES] == ["toxicity", "exact_dedup", "simhash_dedup", "suffix_dedup", "best_fit_packing"]
 
 
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, score double, bucket int, block string, fp long"
+ROUGH = [*EDGE, (8, "p" * 150 + " tail"), (9, "head " + "p" * 150), (10, "déjà vu " * 400), (11, "...")]
+
+
+def rough(spark, rows):
+    """Documents with nulls, repeated rows, long texts and further columns whose names the stages use inside."""
+    return spark.createDataFrame([(i, t, None if n % 3 else "en", "src", n, 0.5, 1, "b", 2) for n, (i, t) in enumerate(rows)], COLUMNS)
+
+
+@pytest.fixture
+def labelled(spark, tmp_path):
+    """A folder with labels for the rough rows, each of which may stand alone in its batch."""
+    spark.createDataFrame([(i, 1, int(i == 7)) for i in range(12)], LABELS).write.parquet(f"{tmp_path}/labels.parquet")
+    return str(tmp_path)
+
+
+@pytest.mark.parametrize("stage", range(5))
+@pytest.mark.parametrize("empty", [False, True])
+def test_each_stage_takes_rough_rows(spark, labelled, stage, empty):
+    import corpus_pipeline as cp
+
+    rows = [] if empty else ROUGH
+    name, run = cp.STAGES[stage]
+    d = rough(spark, rows).repartition(len(rows) + 1)
+    out = run(spark, d, labelled)
+    got = out.collect()
+    if name == "best_fit_packing":
+        assert Counter(r.doc_id for r in got if not r.piece) == Counter(i for i, _ in rows)
+        return
+    assert out.columns == list(cp.COLUMNS) and not (empty and got)
+    if empty:
+        return
+    before = {(i, t) for i, t in rows}
+    if name == "toxicity":
+        assert {(r.doc_id, r.text) for r in got} <= before and len(got) >= len(rows) - 2
+    elif name == "exact_dedup":
+        assert Counter(r.text or "" for r in got) == Counter({t or "" for _, t in rows}) and (4, "a b c d e") in {(r.doc_id, r.text) for r in got}
+    elif name == "simhash_dedup":
+        kept = {(r.doc_id, r.text) for r in got}
+        assert (1, None) in kept and not {(2, ""), (5, "  \t\n ")} & kept and (10, "déjà vu " * 400) in kept
+    else:
+        assert Counter(r.doc_id for r in got) == Counter(i for i, _ in rows) and all(r.n_chars == len(r.text) for r in got)
+        assert {r.text for r in got if r.doc_id in (8, 9)} == {"p" * 100 + " tail", "head " + "p" * 99} or sum(len(r.text) for r in got if r.doc_id in (8, 9)) < 310
+
+
 def test_word_vectors_come_from_all_documents(spark):
     texts = ["alpha beta gamma", "beta gamma, delta delta", "gamma omega"]
     rows = [(i, texts[i % 2]) for i in range(40)] + [(100 + i, texts[2]) for i in range(20)]
