@@ -120,16 +120,22 @@ def seeded(*first: object):
     return seed_of
 
 
+def steady(d: DataFrame) -> DataFrame:
+    """Differences to twelve places: the order in which means were added up then shows in no resample."""
+    return d.withColumn("difference", F.round("difference", 12))
+
+
 def with_ends(d: DataFrame, by: list[str], *first: object) -> DataFrame:
-    """A paired table with the interval of each mean difference, six places as published."""
-    return rounded(B.with_interval(S.paired_table(d, by=by, **TIES), d, [*by, "comparison", "metric"], "video_id", seeded(*first)))
+    """A paired table with the interval of each mean difference."""
+    return nine(B.with_interval(S.paired_table(d, by=by, **TIES), steady(d), [*by, "comparison", "metric"], "video_id", seeded(*first)))
 
 
 def h13_intervals(spark: SparkSession, d: str) -> DataFrame:
     """The mean and median summary with an interval of each."""
     x, keys = e1(spark, d), ["comparison", "metric"]
-    out = B.with_interval(S.summary_table(x), x, keys, "video_id", seeded(SUITE_SEED, "mean"), name="mean_ci95")
-    return rounded(B.with_interval(out, x, keys, "video_id", seeded(SUITE_SEED, "median"), "median", "median_ci95"))
+    out, x = S.summary_table(x), steady(x)
+    out = B.with_interval(out, x, keys, "video_id", seeded(SUITE_SEED, "mean"), name="mean_ci95")
+    return nine(B.with_interval(out, x, keys, "video_id", seeded(SUITE_SEED, "median"), "median", "median_ci95"))
 
 
 def h17_intervals(spark: SparkSession, d: str, seed: int, metrics=("cover", "raw_errshare")) -> DataFrame:
