@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from blockalloc.jobs import cues as U
 from blockalloc.jobs.statistics import rounded
 from blockalloc.operators import blocks as K
 from blockalloc.operators import release as R
@@ -155,21 +156,89 @@ def e22(spark: SparkSession, d: str) -> DataFrame:
     return rounded(K.error_map(f).select("video_id", "frame_idx", F.posexplode("e").alias("pos", "e")))
 
 
+def given_maps(spark: SparkSession, d: str) -> DataFrame:
+    """Motion maps as arrays a frame, of which some videos have one for all frames, one frame too few or a value too few."""
+    m = motion(spark, d).groupBy("video_id", "frame_idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("bi", "bj", "score"))), lambda x: x["score"]).alias("values"))
+    kind = F.substring("video_id", 2, 9).cast("int") % 5
+    m = m.where((kind > 1) | ((kind == 0) & (F.col("frame_idx") == 0)) | ((kind == 1) & (F.col("frame_idx") > 0)))
+    return m.select("video_id", F.when(kind != 0, F.col("frame_idx")).alias("frame_idx"), F.when(kind == 2, F.slice("values", 1, 15)).otherwise(F.col("values")).alias("values"))
+
+
+POLICIES = ("motion", "random", "semantic", "fusion", "trajectory", "shifted_fusion", "shifted_trajectory")
+
+
+def policies(spark: SparkSession, d: str) -> DataFrame:
+    """Score maps of the seven policies, with the offset of the shifted ones."""
+    m = motion(spark, d)
+    found = {"motion": m, "random": e17(spark, d)} | U.policy_maps(spark, d)
+    none = F.lit(None).cast("int")
+    rows = [(name, df, none) for name, df in found.items()] + [(f"shifted_{name}", K.shifted(found[name], 4), F.lit(1)) for name in ("fusion", "trajectory")]
+    out = None
+    for name, df, by in rows:
+        df = df.select("video_id", "frame_idx", "bi", "bj", "score", F.lit(name).alias("policy"), by.alias("offset_row"), by.alias("offset_col"))
+        out = df if out is None else out.unionByName(df)
+    return out
+
+
+RANDOM_SQL = "round(CAST(CAST('0x' || sha256('42|' || video_id || '|' || frame_idx || '|' || bi || '|' || bj)[1:13] AS UBIGINT) AS DOUBLE) / 4503599627370496e0, 6)"
+
+
+def policies_sql() -> str:
+    given = [(name, name) for name in ("semantic", "fusion", "trajectory")]
+    parts = [f"SELECT video_id, frame_idx, bi, bj, score, '{name}' AS policy, CAST(NULL AS INTEGER) AS moved FROM {source}" for name, source in [("motion", "scores"), *given]]
+    parts.append(f"SELECT video_id, frame_idx, bi, bj, {RANDOM_SQL}, 'random', NULL FROM scores")
+    parts += [f"SELECT video_id, frame_idx, CAST((bi + 1) % 4 AS INTEGER), CAST((bj + 1) % 4 AS INTEGER), score, 'shifted_{name}', 1 FROM {name}" for name in ("fusion", "trajectory")]
+    motion_views = scores_sql(4).replace(PIXELS_SQL + ",", "", 1)
+    return f"{U.POLICY_MAPS_SQL}, {motion_views}, pol AS ({' UNION ALL '.join(parts)})"
+
+
 def e24(spark: SparkSession, d: str) -> DataFrame:
-    """One row a run: region and alignment metrics against the motion mask and the run's own, prefixed, with short names."""
-    s = steady(motion(spark, d))
-    own, ref = K.top_blocks(K.shifted(s, 4), TOP), K.top_blocks(s, TOP)
-    rel = released(spark, d, own)
-    e = errors(rel, "v")
-    cells = e.select("video_id", "frame_idx", "bi", "bj", "n_px")
-    parts = {"motion_": K.region_error(e, ref), "own_region_": K.region_error(e, own), "motion_alignment_": K.alignment(own, ref, cells)}
+    """One row a run (a policy on a video): where its error fell and how its mask lies, against motion, trajectory and own masks, with short names."""
+    keys = ["video_id", "policy"]
+    # the masks are read eight times below
+    own = K.top_blocks(steady(policies(spark, d).select(*keys, *K.CELL, "score")), TOP, keys).checkpoint()
+    every = lambda name: own.where(F.col("policy") == name).drop("policy").withColumn("policy", F.explode(F.array(*map(F.lit, POLICIES))))
+    motion_mask, rat = every("motion"), every("trajectory")
+    # a run goes through the release as a video of its own
+    run = F.concat_ws("/", *keys)
+    f = frames(spark, d).withColumn("policy", F.explode(F.array(*map(F.lit, POLICIES)))).withColumn("video_id", run)
+    blocks = chosen_blocks(own.withColumn("video_id", run), 4)
+    rel = block_mean_release(backend(f).join(blocks, ["video_id", "frame_idx"], "left"), 4)
+    name = F.split("video_id", "/")
+    e = errors(rel, "v").withColumns({"policy": name[1], "video_id": name[0]}).checkpoint()
+    cells = e.select(*keys, *K.CELL, "n_px")
+    parts = {"motion_": K.region_error(e, motion_mask, keys), "rat_region_": K.region_error(e, rat, keys), "own_region_": K.region_error(e, own, keys)}
+    parts |= {"motion_alignment_": K.alignment(own, motion_mask, cells, keys), "rat_alignment_": K.alignment(own, rat, cells, keys)}
     out = None
     for prefix, df in parts.items():
-        df = df.select("video_id", *(F.col(c).alias(prefix + c) for c in df.columns if c != "video_id"))
-        out = df if out is None else out.join(df, "video_id")
+        df = df.select(*keys, *(F.col(c).alias(prefix + c) for c in df.columns if c not in keys))
+        out = df if out is None else out.join(df, keys)
     return rounded(out.withColumns({"cover": F.col("motion_alignment_reference_coverage"), "raw_errshare": F.col("motion_distortion_share")}))
 
 
+def e24_sql() -> str:
+    sums = ", ".join(f"sum(CASE WHEN {m} THEN e ELSE 0 END) AS {m}_s, sum(CASE WHEN {m} THEN 1 ELSE 0 END) AS {m}_n" for m in ("own", "motion", "rat"))
+    both = ", ".join(f"sum(CASE WHEN own AND {m} THEN 1 ELSE 0 END) AS {m}_i" for m in ("motion", "rat"))
+    columns = {}
+    for m, prefix in (("motion", "motion_"), ("rat", "rat_region_"), ("own", "own_region_")):
+        area, share = f"({m}_n / t_n)", f"(CASE WHEN t_s > 1e-12 THEN {m}_s / t_s ELSE 'NaN' END)"
+        high, low = f"({m}_s / greatest(3 * {m}_n, 1))", f"((t_s - {m}_s) / greatest(3 * (t_n - {m}_n), 1))"
+        columns |= {prefix + "area": area, prefix + "total_mse_psnr": psnr_sql("(t_s / (3 * t_n))"), prefix + "high_psnr": psnr_sql(high), prefix + "low_psnr": psnr_sql(low), prefix + "distortion_share": share}
+        columns |= {prefix + "distortion_lift": f"CASE WHEN {area} > 0 THEN {share} / {area} ELSE 'NaN' END", prefix + "high_low_mse_ratio": f"CASE WHEN {low} > 1e-12 THEN {high} / {low} ELSE 'Infinity' END"}
+    for m in ("motion", "rat"):
+        prefix, recall = f"{m}_alignment_", f"({m}_i / greatest({m}_n, 1))"
+        columns |= {prefix + "candidate_area": "own_n / t_n", prefix + "reference_area": f"{m}_n / t_n", prefix + "reference_coverage": recall, prefix + "candidate_precision": f"{m}_i / greatest(own_n, 1)"}
+        columns |= {prefix + "iou": f"{m}_i / greatest(own_n + {m}_n - {m}_i, 1)", prefix + "coverage_lift": f"CASE WHEN own_n > 0 THEN {recall} / (own_n / t_n) ELSE 'NaN' END"}
+    columns |= {"cover": columns["motion_alignment_reference_coverage"], "raw_errshare": columns["motion_distortion_share"]}
+    on = "m.video_id = p.video_id AND m.frame_idx = p.frame_idx AND m.bi = p.bi AND m.bj = p.bj AND m.policy"
+    marks = ", ".join(f"EXISTS (SELECT 1 FROM masks m WHERE {on} = {who}) AS {name}" for name, who in (("own", "p.policy"), ("motion", "'motion'"), ("rat", "'trajectory'")))
+    return f"""WITH {policies_sql()}, masks AS (SELECT policy, video_id, frame_idx, bi, bj FROM pol QUALIFY row_number() OVER (PARTITION BY policy, video_id, frame_idx ORDER BY round(score, 9) DESC, bi DESC, bj DESC) <= {TOP}),
+p AS (SELECT k.policy, video_id, frame_idx, {at_sql('y', 4)} AS bi, {at_sql('x', 4)} AS bj, v, least(255, v + (y * 8 + x) % 5) AS b FROM (SELECT DISTINCT policy FROM pol) k, pixels),
+marked AS (SELECT p.*, {marks} FROM p), out_ AS (SELECT *, 3 * (CASE WHEN own THEN floor(avg(b) OVER (PARTITION BY policy, video_id, frame_idx, bi, bj) + 0.5) ELSE b END - v) ** 2 AS e FROM marked),
+tot AS (SELECT video_id, policy, sum(e) AS t_s, count(*) AS t_n, {sums}, {both} FROM out_ GROUP BY ALL)
+SELECT video_id, policy, {', '.join(f'round({x}, 6) AS {c}' for c, x in columns.items())} FROM tot"""
+
+
 def with_blocks(spark: SparkSession, d: str) -> DataFrame:
     m = chosen_blocks(mask(spark, d), 4)
     planes = F.concat("v", F.transform("v", lambda v: v * 3 % 256), F.transform("v", lambda v: v * 7 % 256))
@@ -253,6 +322,16 @@ QUERIES = {
         lambda s, d: mask(s, d).where("frame_idx = 0").drop("frame_idx").join(frames(s, d).select("video_id", "frame_idx"), "video_id"),
         f"{S4}, {mask_sql()} SELECT m.video_id, f.frame_idx, m.bi, m.bj FROM mask m JOIN f ON f.video_id = m.video_id WHERE m.frame_idx = 0",
     ),
+    "a3_shape_failures": (
+        lambda s, d: K.shape_failures(given_maps(s, d), frames(s, d), 4),
+        f"""WITH {PIXELS_SQL}, n AS (SELECT video_id, CAST(substring(video_id, 2) AS INTEGER) % 5 AS kind, count(*) AS n FROM f GROUP BY 1)
+        SELECT video_id, n - 1 AS n_maps, n AS n_frames, CAST(0 AS BIGINT) AS n_bad, 'frame count' AS reason FROM n WHERE kind = 1 AND n > 1 UNION ALL SELECT video_id, n, n, n, 'map size' FROM n WHERE kind = 2""",
+    ),
+    "a4_map_cells": (
+        lambda s, d: rounded(K.map_cells(given_maps(s, d), frames(s, d), 4)),
+        f"""{S4} SELECT {CELLS} FROM scores WHERE CAST(substring(video_id, 2) AS INTEGER) % 5 > 2
+        UNION ALL SELECT s.video_id, f.frame_idx, bi, bj, round(score, 6) FROM scores s JOIN f ON f.video_id = s.video_id WHERE s.frame_idx = 0 AND CAST(substring(s.video_id, 2) AS INTEGER) % 5 = 0""",
+    ),
     "a5_frames": (
         lambda s, d: frames(s, d).select("video_id", "frame_idx", "height", "width", F.lit(25.0).alias("fps"), F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x).alias("total")),
         f"{P} SELECT video_id, frame_idx, 8 AS height, 8 AS width, 25e0 AS fps, CAST(sum(v) AS BIGINT) AS total FROM pixels GROUP BY 1, 2",
@@ -330,11 +409,8 @@ QUERIES = {
         lambda s, d: rounded(K.peak_frame(motion(s, d))),
         f"{S4}, t AS (SELECT video_id, frame_idx, round(sum(score), 9) AS total FROM scores GROUP BY ALL) SELECT video_id, frame_idx, round(total, 6) AS total FROM t QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY total DESC, frame_idx) = 1",
     ),
-    "e24_run_rows": (e24, None),
-    "c7_policy_scores": (
-        lambda s, d: (lambda m: rounded(m.withColumns({"policy": F.lit("motion"), "offset_row": F.lit(None).cast("int"), "offset_col": F.lit(None).cast("int")}).unionByName(K.shifted(m, 4).withColumns({"policy": F.lit("shifted"), "offset_row": F.lit(1), "offset_col": F.lit(1)}))))(motion(s, d)),
-        f"{S4} SELECT {CELLS}, 'motion' AS policy, CAST(NULL AS INTEGER) AS offset_row, CAST(NULL AS INTEGER) AS offset_col FROM scores UNION ALL SELECT video_id, frame_idx, CAST((bi + 1) % 4 AS INTEGER), CAST((bj + 1) % 4 AS INTEGER), round(score, 6), 'shifted', 1, 1 FROM scores",
-    ),
+    "e24_run_rows": (e24, e24_sql()),
+    "c7_policy_scores": (lambda s, d: rounded(policies(s, d)), f"WITH {policies_sql()} SELECT {CELLS}, policy, moved AS offset_row, moved AS offset_col FROM pol"),
     "f1_low_frequency_query": (f1, f"WITH {query_sql(1.0)} SELECT video_id, frame_idx, block, round(q00 * scale, 6) AS q00, round(q01 * scale, 6) AS q01, round(q10 * scale, 6) AS q10, round(q11 * scale, 6) AS q11, round(scale, 6) AS scale FROM sc"),
     "f2_release_without_noise": (f2, RELEASE_SQL),
     "f2_f3_release_with_noise": (f2_noise, None),

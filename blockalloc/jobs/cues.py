@@ -9,9 +9,10 @@ from blockalloc.jobs.statistics import rounded
 from blockalloc.operators import cues as C
 from blockalloc.operators import release as R
 from blockalloc.operators.blocks import quantile_clip
-from blockalloc.sources.views import FLOWS_SQL, MANIFEST_SQL, PIXELS_SQL, TOKENS_SQL, flows, frames, manifest, pixels, tokens
+from blockalloc.sources.views import FLOWS_SQL, MANIFEST_SQL, PIXELS_SQL, TOKENS_SQL, flows, frames, manifest, tokens
 
 GRID, IMAGE, TUBELET = 4, 8, 2
+ONLY = {"attn": 1.0, "temp": 0.0, "tex": 0.0, "flow": 0.0}
 
 
 def segments(spark: SparkSession, d: str) -> DataFrame:
@@ -28,7 +29,8 @@ def cue_table(spark: SparkSession, d: str) -> DataFrame:
     return f.select("video_id", "clip_idx", "u", F.floor(F.col("b") / GRID).cast("int").alias("bi"), (F.col("b") % GRID).alias("bj"), F.round("dx", 6).alias("attn"), F.round("dy", 6).alias("temp"), F.round(F.col("dx") * F.col("dy"), 6).alias("tex"), F.round(F.col("dx") + F.col("dy"), 6).alias("flow"))
 
 
-CUES_SQL = f"""{FLOWS_SQL}, {SEGMENTS_SQL}, cues AS (SELECT video_id, clip_idx, u, CAST(b // 4 AS INTEGER) AS bi, CAST(b % 4 AS INTEGER) AS bj, round(dx, 6) AS attn, round(dy, 6) AS temp, round(dx * dy, 6) AS tex, round(dx + dy, 6) AS flow FROM seg)"""
+CUE_TABLE_SQL = """cues AS (SELECT video_id, clip_idx, u, CAST(b // 4 AS INTEGER) AS bi, CAST(b % 4 AS INTEGER) AS bj, round(dx, 6) AS attn, round(dy, 6) AS temp, round(dx * dy, 6) AS tex, round(dx + dy, 6) AS flow FROM seg)"""
+CUES_SQL = f"{FLOWS_SQL}, {SEGMENTS_SQL}, {CUE_TABLE_SQL}"
 
 
 def risk(spark: SparkSession, d: str, digits: int = 6) -> DataFrame:
@@ -59,12 +61,12 @@ def smooth_sql(source: str, name: str, keys: str = "video_id, clip_idx, u", clam
       WHERE {on} AND s.bi = {mirror_sql('t.bi + dy')} AND s.bj = {mirror_sql('t.bj + dx')} GROUP BY ALL)"""
 
 
-def fuse_sql(weights: dict[str, float]) -> str:
+def fuse_sql(weights: dict[str, float], name: str = "fused") -> str:
     w = "(PARTITION BY video_id, clip_idx)"
     norm = ", ".join(f"({n} - min({n}) OVER {w}) / (max({n}) OVER {w} - min({n}) OVER {w} + 1e-8) AS {n}" for n in weights)
     total = " + ".join(f"{v}e0 * {n}" for n, v in weights.items())
-    return f"""n1 AS (SELECT video_id, clip_idx, u, bi, bj, {norm} FROM cues), n2 AS (SELECT video_id, clip_idx, u, bi, bj, {total} AS s FROM n1),
-    n3 AS (SELECT video_id, clip_idx, u, bi, bj, least(1, greatest(0, (s - min(s) OVER {w}) / (max(s) OVER {w} - min(s) OVER {w} + 1e-8))) AS score FROM n2), {smooth_sql('n3', 'fused')}"""
+    return f"""{name}_1 AS (SELECT video_id, clip_idx, u, bi, bj, {norm} FROM cues), {name}_2 AS (SELECT video_id, clip_idx, u, bi, bj, {total} AS s FROM {name}_1),
+    {name}_3 AS (SELECT video_id, clip_idx, u, bi, bj, least(1, greatest(0, (s - min(s) OVER {w}) / (max(s) OVER {w} - min(s) OVER {w} + 1e-8))) AS score FROM {name}_2), {smooth_sql(f'{name}_3', name)}"""
 
 
 def steps(spark: SparkSession, d: str) -> DataFrame:
@@ -98,31 +100,36 @@ def raw_map(spark: SparkSession, d: str) -> DataFrame:
     return C.scatter_mean(walk(spark, d), weights(spark, d), GRID)
 
 
-def g17(spark: SparkSession, d: str) -> DataFrame:
+def trajectory_map(spark: SparkSession, d: str) -> DataFrame:
     w = walk(spark, d)
     raw = C.scatter_mean(w, weights(spark, d), GRID)
-    return rounded(C.path_smoothing(w, raw, C.confidence(steps(spark, d), base=0.0), 0.25, GRID))
+    return C.path_smoothing(w, raw, C.confidence(steps(spark, d), base=0.0), 0.25, GRID)
 
 
-G17_SQL = f"""WITH {SCATTER_SQL}, cf AS (SELECT video_id, clip_idx, u, dest AS block, greatest(0, max(conf)) AS c FROM step GROUP BY ALL),
+TRAJECTORY_SQL = f"""{SCATTER_SQL}, cf AS (SELECT video_id, clip_idx, u, dest AS block, greatest(0, max(conf)) AS c FROM step GROUP BY ALL),
 pw AS (SELECT w.video_id, w.clip_idx, w.traj_id, w.u, w.block, m.score AS w, coalesce(cf.c, 1) AS c FROM walk w JOIN rawmap m ON m.video_id = w.video_id AND m.clip_idx = w.clip_idx AND m.u = w.u AND m.bi * 4 + m.bj = w.block
   LEFT JOIN cf ON cf.video_id = w.video_id AND cf.clip_idx = w.clip_idx AND cf.u = w.u AND cf.block = w.block),
 bars AS (SELECT video_id, clip_idx, traj_id, u, block, w AS bar FROM pw WHERE u = 0 UNION ALL SELECT p.video_id, p.clip_idx, p.traj_id, p.u, p.block, 0.25e0 * p.c * p.w + (1 - 0.25e0 * p.c) * b.bar
   FROM bars b JOIN pw p ON p.video_id = b.video_id AND p.clip_idx = b.clip_idx AND p.traj_id = b.traj_id AND p.u = b.u + 1),
 mb AS (SELECT video_id, clip_idx, u, block, avg(bar) AS bar FROM bars GROUP BY ALL),
-sb AS (SELECT m.video_id, m.clip_idx, m.u, m.bi, m.bj, least(1, greatest(0, coalesce(bar, score))) AS score FROM rawmap m LEFT JOIN mb ON mb.video_id = m.video_id AND mb.clip_idx = m.clip_idx AND mb.u = m.u AND mb.block = m.bi * 4 + m.bj), {smooth_sql('sb', 'done')}
-SELECT video_id, clip_idx, CAST(u AS INTEGER) AS u, bi, bj, round(score, 6) AS score FROM done"""
+sb AS (SELECT m.video_id, m.clip_idx, m.u, m.bi, m.bj, least(1, greatest(0, coalesce(bar, score))) AS score FROM rawmap m LEFT JOIN mb ON mb.video_id = m.video_id AND mb.clip_idx = m.clip_idx AND mb.u = m.u AND mb.block = m.bi * 4 + m.bj), {smooth_sql('sb', 'done')}"""
 
 
 def clip_frames(spark: SparkSession, d: str) -> DataFrame:
     return C.to_frames(maps(spark, d), TUBELET, 16)
 
 
-FRAMES_SQL = f"""{MAPS_SQL}, top AS (SELECT video_id, clip_idx, max(u) AS top FROM maps GROUP BY ALL), tt AS (SELECT CAST(unnest(range(16)) AS INTEGER) AS local_i),
-fs AS (SELECT a.video_id, a.clip_idx, local_i, a.bi, a.bj, (1 - (local_i / 2e0 - local_i // 2)) * a.score + (local_i / 2e0 - local_i // 2) * b.score AS score FROM tt, top
-  JOIN maps a USING (video_id, clip_idx) JOIN maps b ON b.video_id = a.video_id AND b.clip_idx = a.clip_idx AND b.bi = a.bi AND b.bj = a.bj WHERE a.u = least(local_i // 2, top) AND b.u = least(local_i // 2 + 1, top)),
-wf AS (SELECT *, clip_idx * 8 + local_i AS frame_idx, greatest(0, 1 - abs(local_i - 7.5e0) / 7.5e0) ** 1.7e0 AS w FROM fs),
-mg AS (SELECT video_id, CAST(frame_idx AS INTEGER) AS frame_idx, bi, bj, sum(w * score) AS ws, sum(w) AS w, avg(score) AS plain FROM wf GROUP BY ALL)"""
+def frames_sql(source: str, p: str = "") -> str:
+    """Maps of segments between frames, and weighted sums over overlapping clips; ``p`` begins the names."""
+    return f"""{p}top AS (SELECT video_id, clip_idx, max(u) AS top FROM {source} GROUP BY ALL), {p}tt AS (SELECT CAST(unnest(range(16)) AS INTEGER) AS local_i),
+{p}fs AS (SELECT a.video_id, a.clip_idx, local_i, a.bi, a.bj, (1 - (local_i / 2e0 - local_i // 2)) * a.score + (local_i / 2e0 - local_i // 2) * b.score AS score FROM {p}tt, {p}top
+  JOIN {source} a USING (video_id, clip_idx) JOIN {source} b ON b.video_id = a.video_id AND b.clip_idx = a.clip_idx AND b.bi = a.bi AND b.bj = a.bj WHERE a.u = least(local_i // 2, top) AND b.u = least(local_i // 2 + 1, top)),
+{p}wf AS (SELECT *, clip_idx * 8 + local_i AS frame_idx, greatest(0, 1 - abs(local_i - 7.5e0) / 7.5e0) ** 1.7e0 AS w FROM {p}fs),
+{p}mg AS (SELECT video_id, CAST(frame_idx AS INTEGER) AS frame_idx, bi, bj, sum(w * score) AS ws, sum(w) AS w, avg(score) AS plain FROM {p}wf GROUP BY ALL)"""
+
+
+MERGED = "least(1, greatest(0, CASE WHEN w > 0 THEN ws / greatest(w, 1e-6) ELSE coalesce(lag(ws) OVER (PARTITION BY video_id, bi, bj ORDER BY frame_idx), 0) END))"
+FRAMES_SQL = f"{MAPS_SQL}, {frames_sql('maps')}"
 
 
 def covered(spark: SparkSession, d: str) -> DataFrame:
@@ -172,7 +179,31 @@ SOBEL_SQL = f"""WITH {PIXELS_SQL}, o AS (SELECT unnest([-1, 0, 1]) AS o), t AS (
   SELECT video_id, frame_idx, py, px, round((score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w + 1e-8), 6) AS score FROM m WINDOW w AS (PARTITION BY video_id, frame_idx)"""
 
 MAP = "video_id, clip_idx, u, bi, bj, round(score, 6) AS score"
-ONLY = {"attn": 1.0, "temp": 0.0, "tex": 0.0, "flow": 0.0}
+
+def merged(spark: SparkSession, d: str, clip_maps: DataFrame) -> DataFrame:
+    """Maps of clips as maps of the frames there are; a frame beyond the last clip takes the last map."""
+    m = C.merge_overlaps(C.to_frames(clip_maps, TUBELET, 16), 16, 8)
+    last = m.groupBy("video_id").agg(F.max("frame_idx").alias("last"))
+    f = frames(spark, d).select("video_id", F.col("frame_idx").alias("at")).join(last, "video_id")
+    f = f.select("video_id", "at", F.least("at", "last").alias("frame_idx"))
+    return f.join(m, ["video_id", "frame_idx"]).select("video_id", F.col("at").alias("frame_idx"), "bi", "bj", "score")
+
+
+def merged_sql(name: str, source: str) -> str:
+    p = f"{name}_"
+    return f"""{frames_sql(source, p)}, {p}all AS (SELECT video_id, frame_idx, bi, bj, {MERGED} AS score FROM {p}mg), {p}last AS (SELECT video_id, max(frame_idx) AS last FROM {p}all GROUP BY 1),
+{name} AS (SELECT f.video_id, f.frame_idx, a.bi, a.bj, a.score FROM f JOIN {p}last l ON l.video_id = f.video_id JOIN {p}all a ON a.video_id = f.video_id AND a.frame_idx = least(f.frame_idx, l.last))"""
+
+
+def policy_maps(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """The three policies that come from cues: one cue alone, all fused, and along trajectories."""
+    found = {"semantic": C.fuse(cue_table(spark, d), GRID, ONLY), "fusion": C.fuse(cue_table(spark, d), GRID), "trajectory": trajectory_map(spark, d)}
+    return {name: merged(spark, d, m) for name, m in found.items()}
+
+
+#: To follow WITH, in front of the views of frames: three policies by frame.
+POLICY_MAPS_SQL = f"""{TRAJECTORY_SQL}, {PIXELS_SQL}, {CUE_TABLE_SQL}, {fuse_sql(ONLY, 'one')}, {fuse_sql(C.WEIGHTS, 'every')},
+{merged_sql('semantic', 'one')}, {merged_sql('fusion', 'every')}, {merged_sql('trajectory', 'done')}"""
 
 QUERIES = {
     "g1_clips": (
@@ -196,7 +227,7 @@ QUERIES = {
         lambda s, d: rounded(C.flow_magnitude(flows(s, d), TUBELET, 6.0)),
         f"WITH {FLOWS_SQL} SELECT video_id, clip_idx, CAST(flow_idx // 2 AS INTEGER) AS u, b, round(least(1, avg(sqrt(dx * dx + dy * dy) / 6)), 6) AS score FROM flows GROUP BY ALL",
     ),
-    "g7_texture": (lambda s, d: rounded(C.sobel_patches(pixels(frames(s, d)).withColumn("g", F.col("v").cast("double")), 2, 8, 8)), SOBEL_SQL),
+    "g7_texture": (lambda s, d: rounded(C.sobel_patches(frames(s, d).withColumnRenamed("v", "gray"), 2)), SOBEL_SQL),
     "g8_fusion": (lambda s, d: rounded(C.fuse(cue_table(s, d), GRID)), f"WITH {CUES_SQL}, {fuse_sql(C.WEIGHTS)} SELECT {MAP} FROM fused"),
     "g8_single_cue": (lambda s, d: rounded(C.fuse(cue_table(s, d), GRID, ONLY)), f"WITH {CUES_SQL}, {fuse_sql(ONLY)} SELECT {MAP} FROM fused"),
     "g9_grid_smoothing": (lambda s, d: rounded(C.smooth_grid(maps(s, d), GRID, ["video_id", "clip_idx", "u"])), f"WITH {MAPS_SQL}, {smooth_sql('maps', 'sm')} SELECT {MAP} FROM sm"),
@@ -207,11 +238,11 @@ QUERIES = {
     "g14_path_scores": (lambda s, d: rounded(C.path_scores(walk(s, d), risk(s, d), 0.6)), f"WITH {SCORE_SQL} SELECT video_id, clip_idx, traj_id, round(score, 6) AS score FROM ts"),
     "g15_softmax_weights": (lambda s, d: rounded(weights(s, d)), f"WITH {SCORE_SQL} SELECT video_id, clip_idx, traj_id, round(score, 6) AS score, round(weight, 6) AS weight FROM tw"),
     "g16_scatter_mean": (lambda s, d: rounded(raw_map(s, d)), f"WITH {SCATTER_SQL} SELECT video_id, clip_idx, CAST(u AS INTEGER) AS u, bi, bj, round(score, 6) AS score FROM rawmap"),
-    "g17_path_smoothing": (g17, G17_SQL),
+    "g17_path_smoothing": (lambda s, d: rounded(trajectory_map(s, d)), f"WITH {TRAJECTORY_SQL} SELECT video_id, clip_idx, CAST(u AS INTEGER) AS u, bi, bj, round(score, 6) AS score FROM done"),
     "g18_frame_interpolation": (lambda s, d: rounded(clip_frames(s, d)), f"WITH {FRAMES_SQL} SELECT video_id, clip_idx, local_i, bi, bj, round(score, 6) AS score FROM fs"),
     "g19_merge_weighted": (
         lambda s, d: rounded(C.merge_overlaps(clip_frames(s, d), 16, 8)),
-        f"WITH {FRAMES_SQL} SELECT video_id, frame_idx, bi, bj, round(least(1, greatest(0, CASE WHEN w > 0 THEN ws / greatest(w, 1e-6) ELSE coalesce(lag(ws) OVER (PARTITION BY video_id, bi, bj ORDER BY frame_idx), 0) END)), 6) AS score FROM mg",
+        f"WITH {FRAMES_SQL} SELECT video_id, frame_idx, bi, bj, round({MERGED}, 6) AS score FROM mg",
     ),
     "g20_merge_mean": (
         lambda s, d: rounded(C.merge_mean(clip_frames(s, d), 8, covered(s, d), GRID)),

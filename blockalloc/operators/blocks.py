@@ -150,6 +150,35 @@ def hashed_uniform(*parts: Column | str) -> Column:
     return F.conv(F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
+def shape_failures(maps: DataFrame, frames: DataFrame, grid: int) -> DataFrame:
+    """Videos whose maps can't be used: (video_id, n_maps, n_frames, n_bad, reason).
+
+    ``maps(video_id, frame_idx, values)`` holds flat arrays of grid * grid values: one a
+    frame, or a single one without frame_idx for the whole video. An array of another
+    length, a null among a video's other frames, or maps for more or fewer frames than
+    ``frames(video_id, frame_idx)`` has are failures; so is a video without frames. Videos
+    without maps are none.
+    """
+    bad = F.col("values").isNull() | (F.size("values") != grid * grid)
+    m = maps.groupBy("video_id").agg(F.count("*").alias("n_maps"), F.sum(F.when(bad, 1).otherwise(0)).alias("n_bad"), F.count_distinct("frame_idx").alias("_at"), F.sum(F.col("frame_idx").isNull().cast("int")).alias("_static"))
+    n = frames.groupBy("video_id").agg(F.count("*").alias("n_frames"))
+    rows = m.join(n, "video_id", "left").withColumn("n_frames", F.coalesce("n_frames", F.lit(0)))
+    static = (F.col("_static") == 1) & (F.col("n_maps") == 1) & (F.col("n_frames") > 0)
+    moving = (F.col("_static") == 0) & (F.col("_at") == F.col("n_maps")) & (F.col("n_maps") == F.col("n_frames"))
+    reason = F.when(F.col("n_bad") > 0, "map size").when(~(static | moving), "frame count")
+    return rows.withColumn("reason", reason).where("reason is not null").select("video_id", "n_maps", "n_frames", "n_bad", "reason")
+
+
+def map_cells(maps: DataFrame, frames: DataFrame, grid: int) -> DataFrame:
+    """(video_id, frame_idx, bi, bj, score) of the maps without a failure; a single map of a video serves all its frames."""
+    good = maps.join(shape_failures(maps, frames, grid).select("video_id"), "video_id", "left_anti")
+    at = frames.select("video_id", "frame_idx")
+    moving = good.where("frame_idx is not null").join(at, ["video_id", "frame_idx"], "left_semi").select("video_id", "frame_idx", "values")
+    static = good.where("frame_idx is null").select("video_id", "values").join(at, "video_id").select("video_id", "frame_idx", "values")
+    cells = moving.unionByName(static).select("video_id", "frame_idx", F.posexplode("values").alias("pos", "score"))
+    return cells.select("video_id", "frame_idx", F.floor(F.col("pos") / grid).cast("int").alias("bi"), (F.col("pos") % grid).alias("bj"), "score")
+
+
 def top_blocks(scores: DataFrame, k: int, keys: Sequence[str] = ("video_id",)) -> DataFrame:
     """The k highest blocks of each frame; ties go to the later block, NaN ranks highest. Fewer blocks than k: all."""
     if k <= 0:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from blockalloc.operators.blocks import min_max
+from blockalloc.operators.blocks import by_size, images, min_max
 
 CLIP = ("video_id", "clip_idx")
 
@@ -251,38 +254,42 @@ def merge_mean(rows: DataFrame, stride: int, frames: DataFrame, grid: int) -> Da
 def smooth_sigmas(maps: DataFrame, grid: int, keep: float = 0.85, floor: float = 1e-6) -> DataFrame:
     """Noise scales box-smoothed in each segment, then mixed along a video: out = keep * current + (1 - keep) * before, from clip to clip too; at least ``floor``.
 
-    The recurrence is a weighted sum of all segments before, folded over an ordered array
-    a block; only blocks are kept in memory, never pixels.
+    What came before fades by (1 - keep) a step, so a window reaches back as far as a
+    double can tell, and further segments add nothing to it.
     """
     s = smooth_grid(maps, grid, [*CLIP, "u"], clamp=False)
-    seq = s.groupBy("video_id", "bi", "bj").agg(F.array_sort(F.collect_list(F.struct("clip_idx", "u", "score"))).alias("p"))
+    fade = 1 - keep
+    back = Window.unboundedPreceding if fade >= 1 else -math.ceil(math.log(1e-18) / math.log(fade)) if fade > 0 else 0
+    near = Window.partitionBy("video_id", "bi", "bj").orderBy("clip_idx", "u").rowsBetween(back, Window.currentRow)
+    mix = F.aggregate(F.collect_list("score").over(near), F.lit(None).cast("double"), lambda before, x: F.coalesce(keep * x + fade * before, x))
+    return s.select("video_id", "bi", "bj", "clip_idx", "u", F.greatest(mix, F.lit(floor)).alias("score"))
 
-    def step(done, x):
-        v = F.when(F.size(done) == 0, x["score"]).otherwise(keep * x["score"] + (1 - keep) * F.element_at(done, -1)["score"])
-        return F.concat(done, F.array(F.struct(x["clip_idx"].alias("clip_idx"), x["u"].alias("u"), v.alias("score"))))
-
-    start = F.array().cast("array<struct<clip_idx:int,u:int,score:double>>")
-    return seq.select("video_id", "bi", "bj", F.inline(F.aggregate("p", start, step))).withColumn("score", F.greatest("score", F.lit(floor)))
 
+def sobel_patches(frames: DataFrame, patch: int) -> DataFrame:
+    """(video_id, frame_idx, py, px, score): mean 3 x 3 Sobel magnitude in each patch, min-max normalised a frame.
 
-def sobel_patches(pixels: DataFrame, patch: int, height: int, width: int) -> DataFrame:
-    """(video_id, frame_idx, py, px, score): mean 3 x 3 Sobel magnitude of ``pixels(…, y, x, g)`` in each patch, mirrored at the border, min-max normalised a frame.
-
-    Each pixel is sent to the nine that see it, with both kernels' factors.
+    ``frames`` has height, width and the values ``gray``; borders are mirrored without
+    repeating the edge, rows and columns beyond the last whole patch are left out. All
+    of it stays inside a frame's row: equal-sized frames of a batch are taken together
+    and only patches come out, without a shuffle.
     """
-    at = ["video_id", "frame_idx"]
-    offsets = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
-    kx = {(dy, dx): dx * (2 if dy == 0 else 1) for dy, dx in offsets}
-    ky = {(dy, dx): dy * (2 if dx == 0 else 1) for dy, dx in offsets}
-
-    def seen(n):  # source index -> (target, offset) pairs on one axis
-        return F.array(*(F.array(*(F.struct(F.lit(i).alias("t"), F.lit(d).alias("d")) for i in range(n) for d in (-1, 0, 1) if (-(i + d) if i + d < 0 else 2 * (n - 1) - (i + d) if i + d >= n else i + d) == s)) for s in range(n)))
-
-    rows = pixels.select(*at, "g", "x", F.inline(F.get(seen(height), F.col("y")))).withColumnsRenamed({"t": "ty", "d": "dy"})
-    rows = rows.select(*at, "g", "ty", "dy", F.inline(F.get(seen(width), F.col("x")))).withColumnsRenamed({"t": "tx", "d": "dx"})
-    factor = lambda k: F.coalesce(*(F.when((F.col("dy") == dy) & (F.col("dx") == dx), F.col("g") * float(v)) for (dy, dx), v in k.items()))
-    g = rows.groupBy(*at, "ty", "tx").agg(F.sum(factor(kx)).alias("gx"), F.sum(factor(ky)).alias("gy"))
-    mag = F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy"))
-    inside = (F.col("ty") < height // patch * patch) & (F.col("tx") < width // patch * patch)
-    p = g.where(inside).groupBy(*at, F.floor(F.col("ty") / patch).cast("int").alias("py"), F.floor(F.col("tx") / patch).cast("int").alias("px")).agg(F.avg(mag).alias("score"))
-    return min_max(p, at)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for h, w, t in by_size(pa.Table.from_batches([batch])):
+                rows, cols = h // patch, w // patch
+                if not rows * cols:
+                    continue
+                g = np.pad(images(t["gray"], h, w).astype(float), ((0, 0), (1, 1), (1, 1)), "reflect" if min(h, w) > 1 else "edge")
+                down = g[:, :-2] + 2 * g[:, 1:-1] + g[:, 2:]
+                across = g[:, :, :-2] + 2 * g[:, :, 1:-1] + g[:, :, 2:]
+                size = np.hypot(down[:, :, 2:] - down[:, :, :-2], across[:, 2:] - across[:, :-2])
+                mean = size[:, : rows * patch, : cols * patch].reshape(len(t), rows, patch, cols, patch).mean((2, 4)).reshape(len(t), -1)
+                low, high = mean.min(1, keepdims=True), mean.max(1, keepdims=True)
+                n, at = rows * cols, np.tile(np.arange(rows * cols), len(t))
+                source = pa.array(np.repeat(np.arange(len(t)), n))
+                columns = [t[c].combine_chunks().take(source) for c in ("video_id", "frame_idx")]
+                columns += [pa.array((at // cols).astype(np.int32)), pa.array((at % cols).astype(np.int32)), pa.array(((mean - low) / (high - low + 1e-8)).ravel())]
+                yield pa.RecordBatch.from_arrays(columns, ["video_id", "frame_idx", "py", "px", "score"])
+
+    return frames.select("video_id", "frame_idx", "height", "width", "gray").mapInArrow(run, "video_id string, frame_idx int, py int, px int, score double")
