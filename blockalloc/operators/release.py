@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from blockalloc.operators.blocks import edges
+from blockalloc.operators.blocks import by_size, edges, images
 
 #: BT.601 full-range conversion, rows Y, Cb, Cr.
 YCC = np.array([[0.299, 0.587, 0.114], [-0.168736, -0.331264, 0.5], [0.5, -0.418688, -0.081312]])
@@ -41,60 +41,71 @@ def basis(n: int) -> np.ndarray:
     return b
 
 
-def dct(block: np.ndarray) -> np.ndarray:
-    return basis(block.shape[0]) @ block @ basis(block.shape[1]).T
+def keyed_normals(seed: int, video: str, frame: int, block: int, n: int) -> np.ndarray:
+    """Normals from a counter-based generator keyed by 128 bits of a SHA-256 over seed, video, frame and block: partitions don't matter, and no two blocks share noise."""
+    key = hashlib.sha256(f"{seed}|{frame}|{block}|{video}".encode()).digest()
+    return np.random.Generator(np.random.Philox(key=int.from_bytes(key[:16], "little"))).standard_normal(n)
 
 
-def idct(coefficients: np.ndarray) -> np.ndarray:
-    return basis(coefficients.shape[0]).T @ coefficients @ basis(coefficients.shape[1])
+NAMES = ("video_id", "frame_idx", "height", "width")
+RUNS = "video_id string, frame_idx int, height int, width int"
 
 
-def clipped_query(block: np.ndarray, clip: float) -> tuple[np.ndarray, float]:
-    """The 2 x 2 low-frequency corner scaled to norm ``clip`` at most, and the scale; zeros and 1 for an empty block."""
-    if not block.size:
-        return np.zeros((2, 2)), 1.0
-    out = np.zeros((2, 2))
-    h, w = min(2, block.shape[0]), min(2, block.shape[1])
-    out[:h, :w] = basis(block.shape[0])[:h] @ block @ basis(block.shape[1])[:w].T
-    scale = min(1.0, clip / (float(np.sqrt((out**2).sum())) + 1e-6))
-    return out * scale, scale
+@lru_cache(64)
+def side_by_side(length: int, grid: int, most: int | None = None) -> np.ndarray:
+    """The DCT bases of all parts of a side, along the diagonal: every part's own ``most`` first rows (zeros where it is shorter), or all."""
+    cut = edges(length, grid)
+    start = cut if most is None else most * np.arange(grid + 1)
+    out = np.zeros((int(start[-1]), length))
+    for p, (lo, hi) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
+        if hi > lo:
+            rows = basis(int(hi - lo))[:most]
+            out[start[p] : start[p] + len(rows), lo:hi] = rows
+    return out
 
 
-def keyed_normals(seed: int, video: str, frame: int, block: int, n: int) -> np.ndarray:
-    """Normals from a counter-based generator keyed by 128 bits of a SHA-256 over seed, video, frame and block: partitions don't matter, and no two blocks share noise."""
-    key = hashlib.sha256(f"{seed}|{frame}|{block}|{video}".encode()).digest()
-    return np.random.Generator(np.random.Philox(key=int.from_bytes(key[:16], "little"))).standard_normal(n)
+def queries_of(luma: np.ndarray, grid: int, clip: float) -> tuple[np.ndarray, np.ndarray]:
+    """Clipped 2 x 2 queries [n, blocks, 2, 2] of all blocks of [n, H, W], and their scales."""
+    n, h, w = luma.shape
+    q = side_by_side(h, grid, 2) @ luma @ side_by_side(w, grid, 2).T
+    q = q.reshape(n, grid, 2, grid, 2).swapaxes(2, 3).reshape(n, grid * grid, 2, 2)
+    scale = np.minimum(1.0, clip / (np.sqrt((q**2).sum((2, 3))) + 1e-6))
+    return q * scale[:, :, None, None], scale
 
 
-RUNS = "video_id string, frame_idx int, height int, width int"
+def listed(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row and flat index of each listed block, and how many each row lists; a null list is empty."""
+    lists = [b or [] for b in t["blocks"].to_pylist()]
+    sizes = np.array([len(b) for b in lists], np.int64)
+    return np.repeat(np.arange(len(lists)), sizes), np.array([x for b in lists for x in b], np.int64), sizes
 
 
-def planes(row, at: int) -> np.ndarray:
-    return row.reshape(3, -1)[at]
+def colours(t: pa.Table, h: int, w: int) -> np.ndarray:
+    """Equal-sized frames of three planes each as [n, 3, H, W]."""
+    return images(t["rgb"], 3 * h, w).astype(float).reshape(len(t), 3, h, w)
 
 
 def low_frequency_queries(frames: DataFrame, grid: int, clip: float) -> DataFrame:
     """(video_id, frame_idx, block, q00, q01, q10, q11, scale) for the blocks listed in ``blocks``.
 
     ``frames`` has height, width, rgb (array of 3 planes after each other, values 0..255
-    or 0..1) and blocks (flat indices). One pass over each frame, no shuffle.
+    or 0..1) and blocks (flat indices). One pass over each batch, all blocks of its
+    equal-sized frames at once; no shuffle.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in batches:
-            rows = []
-            for video, t, h, w, rgb, blocks in f.itertuples(index=False):
-                x = np.asarray(rgb, float).reshape(3, h, w)
-                x = x / 255 if x.max(initial=0) > 1 else x
-                y, ys, xs = np.tensordot(YCC[0], x, 1), edges(h, grid), edges(w, grid)
-                for b in blocks:
-                    i, j = divmod(int(b), grid)
-                    q, s = clipped_query(y[ys[i] : ys[i + 1], xs[j] : xs[j + 1]], clip)
-                    rows.append((video, t, int(b), *q.ravel(), s))
-            yield pd.DataFrame(rows, columns=["video_id", "frame_idx", "block", "q00", "q01", "q10", "q11", "scale"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for h, w, t in by_size(pa.Table.from_batches([batch])):
+                x = colours(t, h, w)
+                x /= np.where(x.max((1, 2, 3), initial=0) > 1, 255, 1)[:, None, None, None]
+                q, scale = queries_of(np.tensordot(x, YCC[0], (1, 0)), grid, clip)
+                row, block, _ = listed(t)
+                found = q[row, block].reshape(-1, 4)
+                of = [t[c].combine_chunks().take(pa.array(row)) for c in ("video_id", "frame_idx")]
+                yield pa.RecordBatch.from_arrays([*of, pa.array(block.astype(np.int32)), *(pa.array(found[:, i].copy()) for i in range(4)), pa.array(scale[row, block])], ["video_id", "frame_idx", "block", "q00", "q01", "q10", "q11", "scale"])
 
     cols = frames.select("video_id", "frame_idx", "height", "width", "rgb", "blocks")
-    return cols.mapInPandas(run, "video_id string, frame_idx int, block int, q00 double, q01 double, q10 double, q11 double, scale double")
+    return cols.mapInArrow(run, "video_id string, frame_idx int, block int, q00 double, q01 double, q10 double, q11 double, scale double")
 
 
 def release(frames: DataFrame, grid: int, clip: float, sigma: float, seed: int = 42, neutral: float = 0.5) -> DataFrame:
@@ -103,36 +114,34 @@ def release(frames: DataFrame, grid: int, clip: float, sigma: float, seed: int =
     A selected block's luma is the inverse DCT of the clipped 2 x 2 query plus Gaussian
     noise, its chroma ``neutral``; other blocks pass through the colour conversion.
     Values are clipped and cut to whole numbers. Noise is keyed by (seed, video, frame,
-    block), so frames are released in any order and on any partition alike.
+    block), so frames are released in any order and on any partition alike; only the
+    draws go block by block.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in batches:
-            rows = []
-            for video, t, h, w, rgb, blocks in f.itertuples(index=False):
-                x = np.asarray(rgb, float).reshape(3, h, w) / 255
-                ycc = np.tensordot(YCC, x, 1)
-                ycc[1:] += 0.5
-                ys, xs, scales = edges(h, grid), edges(w, grid), []
-                for b in blocks:
-                    i, j = divmod(int(b), grid)
-                    at = (slice(ys[i], ys[i + 1]), slice(xs[j], xs[j + 1]))
-                    q, s = clipped_query(ycc[0][at], clip)
-                    scales.append(s)
-                    if not ycc[0][at].size:
-                        continue
-                    if sigma > 0:
-                        q = q + sigma * keyed_normals(seed, video, t, int(b), 4).reshape(2, 2)
-                    bh, bw = ycc[0][at].shape
-                    ycc[0][at] = basis(bh)[:2].T @ q[: min(2, bh), : min(2, bw)] @ basis(bw)[:2]
-                    ycc[1][at] = ycc[2][at] = neutral
-                y, cb, cr = ycc[0], ycc[1] - 0.5, ycc[2] - 0.5
-                out = np.stack([y + RED_CR * cr, y - GREEN_CB * cb - GREEN_CR * cr, y + BLUE_CB * cb])
-                rows.append((video, t, h, w, (np.clip(out, 0, 1) * 255 + 1e-9).astype(np.int32).ravel(), scales))
-            yield pd.DataFrame(rows, columns=["video_id", "frame_idx", "height", "width", "rgb", "scales"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for h, w, t in by_size(pa.Table.from_batches([batch])):
+                n = len(t)
+                ycc = np.tensordot(YCC, colours(t, h, w) / 255, (1, 1))
+                q, scale = queries_of(ycc[0], grid, clip)
+                row, block, sizes = listed(t)
+                if sigma > 0 and len(row):
+                    video, frame = t["video_id"].to_pylist(), t["frame_idx"].to_pylist()
+                    noise = np.array([keyed_normals(seed, video[r], frame[r], int(b), 4) for r, b in zip(row, block, strict=True)])
+                    q[row, block] += sigma * noise.reshape(-1, 2, 2)
+                chosen = np.zeros((n, grid * grid), bool)
+                chosen[row, block] = True
+                wide = q.reshape(n, grid, grid, 2, 2).swapaxes(2, 3).reshape(n, 2 * grid, 2 * grid)
+                smooth = side_by_side(h, grid, 2).T @ wide @ side_by_side(w, grid, 2)
+                inside = chosen.reshape(n, grid, grid).repeat(np.diff(edges(h, grid)), axis=1).repeat(np.diff(edges(w, grid)), axis=2)
+                y, cb, cr = np.where(inside, smooth, ycc[0]), *(np.where(inside, neutral - 0.5, c) for c in ycc[1:])
+                out = np.stack([y + RED_CR * cr, y - GREEN_CB * cb - GREEN_CR * cr, y + BLUE_CB * cb], axis=1)
+                whole = (np.clip(out, 0, 1) * 255 + 1e-9).astype(np.int32)
+                scales = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(scale[row, block]))
+                yield pa.RecordBatch.from_arrays([*(t[c].combine_chunks() for c in NAMES), pa.array(list(whole.reshape(n, -1)), pa.list_(pa.int32())), scales], [*NAMES, "rgb", "scales"])
 
     cols = frames.select("video_id", "frame_idx", "height", "width", "rgb", "blocks")
-    return cols.mapInPandas(run, f"{RUNS}, rgb array<int>, scales array<double>")
+    return cols.mapInArrow(run, f"{RUNS}, rgb array<int>, scales array<double>")
 
 
 def over_time(frames: DataFrame, step, column: str = "v", state: int = 1) -> DataFrame:
@@ -215,30 +224,35 @@ def radial_ramp(size: int, r_low: float, r_high: float, cosine: bool = True, dc_
 
 
 def perturb_blocks(frames: DataFrame, grid: int, sigma: float, seed: int, low_cut: float = 0.0, power: float = 1.0, clip_k: float = 0.0) -> DataFrame:
-    """Every block and channel perturbed over its whole DCT by frequency-weighted, softly clipped noise, keyed by frame, block and channel; clipped and rounded."""
+    """Every block and channel perturbed over its whole DCT by frequency-weighted, softly clipped noise, keyed by frame, block and channel; clipped and rounded.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in batches:
-            rows = []
-            for video, t, h, w, rgb in f.itertuples(index=False):
-                x = np.asarray(rgb, float).reshape(3, h, w) / 255
+    The transform is linear: the noise alone is turned back, for all blocks of equal-sized
+    frames at once, and added to the pixels. Only the draws go block by block.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for h, w, t in by_size(pa.Table.from_batches([batch])):
                 ys, xs = edges(h, grid), edges(w, grid)
-                for b in range(grid * grid):
-                    i, j = divmod(b, grid)
-                    at = (slice(None), slice(ys[i], ys[i + 1]), slice(xs[j], xs[j + 1]))
-                    bh, bw = x[at].shape[1:]
-                    if not bh * bw:
-                        continue
-                    g = (np.arange(bh)[:, None] / max(1, bh - 1) + np.arange(bw) / max(1, bw - 1)) / 2
-                    weight = np.exp(-(np.maximum(0, (g - low_cut) / max(1e-6, 1 - low_cut)) ** power))
-                    for c in range(3):
-                        noise = sigma * keyed_normals(seed, video, t, 4 * b + c, bh * bw).reshape(bh, bw)
-                        noise = clip_k * np.tanh(noise / clip_k) if clip_k > 0 else noise
-                        x[at][c] = idct(dct(x[at][c]) + weight * noise)
-                rows.append((video, t, h, w, np.round(np.clip(x, 0, 1) * 255).astype(np.int32).ravel()))
-            yield pd.DataFrame(rows, columns=["video_id", "frame_idx", "height", "width", "rgb"])
-
-    return frames.select("video_id", "frame_idx", "height", "width", "rgb").mapInPandas(run, f"{RUNS}, rgb array<int>")
+                place = lambda cut: np.concatenate([np.arange(s) / max(1, s - 1) for s in np.diff(cut)])
+                g = (place(ys)[:, None] + place(xs)) / 2
+                weight = np.exp(-(np.maximum(0, (g - low_cut) / max(1e-6, 1 - low_cut)) ** power))
+                noise = np.zeros((len(t), 3, h, w))
+                for r, (video, frame) in enumerate(zip(t["video_id"].to_pylist(), t["frame_idx"].to_pylist(), strict=True)):
+                    for b in range(grid * grid):
+                        i, j = divmod(b, grid)
+                        size = (int(ys[i + 1] - ys[i]), int(xs[j + 1] - xs[j]))
+                        if size[0] * size[1]:
+                            for c in range(3):
+                                noise[r, c, ys[i] : ys[i + 1], xs[j] : xs[j + 1]] = keyed_normals(seed, video, frame, 4 * b + c, size[0] * size[1]).reshape(size)
+                noise *= sigma
+                if clip_k > 0:
+                    noise = clip_k * np.tanh(noise / clip_k)
+                x = colours(t, h, w) / 255 + side_by_side(h, grid).T @ (weight * noise) @ side_by_side(w, grid)
+                whole = np.round(np.clip(x, 0, 1) * 255).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*(t[c].combine_chunks() for c in NAMES), pa.array(list(whole.reshape(len(t), -1)), pa.list_(pa.int32()))], [*NAMES, "rgb"])
+
+    return frames.select("video_id", "frame_idx", "height", "width", "rgb").mapInArrow(run, f"{RUNS}, rgb array<int>")
 
 
 def bilinear(image: np.ndarray, y: np.ndarray, x: np.ndarray, reflect: bool = False) -> np.ndarray:

@@ -194,14 +194,87 @@ def test_alignment_with_itself_and_region_sums(spark):
     assert math.isnan(z.distortion_share) and z.total_mse_psnr == math.inf == z.high_low_mse_ratio
 
 
-def test_transform_there_and_back():
-    for shape in ((17, 23), (2, 2), (1, 5)):
-        x = np.random.default_rng(1).random(shape)
-        assert np.allclose(R.idct(R.dct(x)), x)
-    q, s = R.clipped_query(np.zeros((0, 3)), 1.0)
-    assert not q.any() and s == 1.0
-    q, s = R.clipped_query(np.full((4, 4), 9.0), 2.0)
-    assert np.sqrt((q**2).sum()) <= 2.0 and s < 1
+def plain_query(block, clip):
+    """The 2 x 2 low-frequency corner of one block, clipped, written out."""
+    out = np.zeros((2, 2))
+    h, w = (min(2, n) for n in block.shape)
+    if block.size:
+        out[:h, :w] = R.basis(block.shape[0])[:h] @ block @ R.basis(block.shape[1])[:w].T
+    scale = min(1.0, clip / (float(np.sqrt((out**2).sum())) + 1e-6))
+    return out * scale, scale
+
+
+@pytest.mark.parametrize("h, w, grid", [(8, 8, 4), (7, 11, 3), (4, 5, 4), (2, 9, 3)])
+def test_queries_of_all_blocks_equal_one_block_at_a_time(h, w, grid):
+    assert np.allclose(R.side_by_side(h, grid) @ R.side_by_side(h, grid).T, np.eye(h))
+    luma = np.random.default_rng(1).random((3, h, w))
+    q, scale = R.queries_of(luma, grid, 0.8)
+    ys, xs = K.edges(h, grid), K.edges(w, grid)
+    for f in range(3):
+        for b in range(grid * grid):
+            i, j = divmod(b, grid)
+            one_q, one_s = plain_query(luma[f, ys[i] : ys[i + 1], xs[j] : xs[j + 1]], 0.8)
+            assert np.allclose(q[f, b], one_q) and scale[f, b] == pytest.approx(one_s)
+            assert np.sqrt((q[f, b] ** 2).sum()) <= 0.8 + 1e-9
+
+
+def test_release_and_perturbation_of_mixed_sizes_and_empty_lists(spark):
+    rng = np.random.default_rng(3)
+    rows = [("a", i, h, w, [int(v) for v in rng.integers(0, 255, 3 * h * w)], b) for i, (h, w, b) in enumerate([(4, 6, [0, 3]), (5, 3, [1]), (4, 6, []), (5, 3, None)])]
+    f = spark.createDataFrame(rows, "video_id string, frame_idx int, height int, width int, rgb array<int>, blocks array<int>").coalesce(1)
+    got = {r.frame_idx: r for r in R.release(f, 2, 1.0, 0.0).collect()}
+    assert [len(got[i].scales) for i in range(4)] == [2, 1, 0, 0] and [len(got[i].rgb) for i in range(4)] == [72, 45, 72, 45]
+    ours = {(r.frame_idx, r.block): (r.q00, r.q01, r.q10, r.q11) for r in R.low_frequency_queries(f, 2, 1.0).collect()}
+    assert sorted(ours) == [(0, 0), (0, 3), (1, 1)]
+    x = np.array(rows[1][4], float).reshape(3, 5, 3) / 255
+    assert np.allclose(ours[1, 1], plain_query(np.tensordot(R.YCC[0], x, 1)[:3, 2:], 1.0)[0].ravel())
+    still = {r.frame_idx: r.rgb for r in R.perturb_blocks(f, 2, 0.0, 1).collect()}
+    assert all(still[r[1]] == r[4] for r in rows)
+    moved = {r.frame_idx: r.rgb for r in R.perturb_blocks(f, 2, 0.2, 1, clip_k=0.3).collect()}
+    assert all(moved[r[1]] != r[4] for r in rows)
+
+
+def test_texture_of_odd_sizes(spark):
+    rng = np.random.default_rng(4)
+    h, w, patch = 7, 5, 2
+    g = rng.integers(0, 255, (h, w))
+    f = spark.createDataFrame([("a", 0, h, w, g.ravel().tolist()), ("b", 0, 4, 4, [9] * 16), ("c", 0, 1, 1, [3])], "video_id string, frame_idx int, height int, width int, gray array<int>")
+    got = {(r.video_id, r.py, r.px): r.score for r in C.sobel_patches(f, patch).collect()}
+    at = lambda i, n: -i if i < 0 else 2 * (n - 1) - i if i >= n else i
+    size = np.zeros((h, w))
+    for y in range(h):
+        for x in range(w):
+            near = [(dy, dx, g[at(y + dy, h), at(x + dx, w)]) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
+            size[y, x] = math.hypot(sum(dx * (2 - abs(dy)) * v for dy, dx, v in near), sum(dy * (2 - abs(dx)) * v for dy, dx, v in near))
+    mean = {(i, j): size[2 * i : 2 * i + 2, 2 * j : 2 * j + 2].mean() for i in range(3) for j in range(2)}
+    low, high = min(mean.values()), max(mean.values())
+    assert {k[1:] for k in got if k[0] == "a"} == set(mean)
+    assert all(got["a", *k] == pytest.approx((v - low) / (high - low + 1e-8)) for k, v in mean.items())
+    assert all(v == 0 for k, v in got.items() if k[0] == "b") and not any(k[0] == "c" for k in got)
+
+
+@pytest.mark.parametrize("keep", [0.85, 0.3, 1.0, 0.0])
+def test_noise_scales_mix_along_a_long_video(spark, keep):
+    values = np.random.default_rng(5).random(200)
+    rows = [("a", i // 8, i % 8, y, x, float(v)) for i, v in enumerate(values) for y in (0, 1) for x in (0, 1)]
+    f = spark.createDataFrame(rows, "video_id string, clip_idx int, u int, bi int, bj int, score double")
+    got = [r.score for r in C.smooth_sigmas(f, 2, keep).where("bi = 0 and bj = 1").orderBy("clip_idx", "u").collect()]
+    want = [values[0]]
+    for v in values[1:]:
+        want.append(keep * v + (1 - keep) * want[-1])
+    assert got == pytest.approx(want, rel=1e-12)
+
+
+def test_given_maps_are_checked_and_spread(spark):
+    frames = spark.createDataFrame([(v, i) for v in "abcdef" for i in range(3)], "video_id string, frame_idx int")
+    four = [0.1, 0.2, 0.3, 0.4]
+    maps = [("a", i, four) for i in range(3)] + [("b", None, four), ("c", 0, four), ("d", 0, four), ("d", 1, four[:3]), ("d", 2, None), ("e", None, four), ("e", 1, four), ("f", 0, four), ("f", 0, four), ("f", 1, four), ("g", None, four)]
+    maps = spark.createDataFrame(maps, "video_id string, frame_idx int, values array<double>")
+    bad = {r.video_id: (r.n_maps, r.n_frames, r.n_bad, r.reason) for r in K.shape_failures(maps, frames, 2).collect()}
+    assert bad == {"c": (1, 3, 0, "frame count"), "d": (3, 3, 2, "map size"), "e": (2, 3, 0, "frame count"), "f": (3, 3, 0, "frame count"), "g": (1, 0, 0, "frame count")}
+    cells = sorted(tuple(r) for r in K.map_cells(maps, frames, 2).collect())
+    assert cells == sorted((v, i, b // 2, b % 2, four[b]) for v in "ab" for i in range(3) for b in range(4))
+    assert K.map_cells(maps.where("false"), frames, 2).count() == 0
 
 
 def test_release_keeps_other_blocks_and_ignores_partitions(spark):
