@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from blockalloc.llm.components import connected_components
+from blockalloc.llm.components import HOT, connected_components, look_up
 from blockalloc.llm.packed import by_bucket, components, unpack_all
 from blockalloc.session import shuffle_partitions, table
 
@@ -18,6 +18,10 @@ from blockalloc.session import shuffle_partitions, table
 BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 #: Pairs that one verification step holds at a time.
 STEP = 1 << 20
+#: Fingerprints with one value of a segment, beyond which its table key is split.
+CROWDED = 1 << 14
+#: Rows of a bucket, and rows of crowded keys that are dealt on at a time.
+BUCKET, SPLIT = 1 << 19, 1 << 14
 
 
 def fingerprint(data: bytes, words: int = 4) -> int:
@@ -53,47 +57,95 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
     return rows.mapInArrow(fingerprints_of(words), "doc_id long, fp long")
 
 
-def segments(radius: int) -> list[tuple[int, int, int]]:
-    """(shift, bits, ball radius) of each segment.
+def segments(places: list[int], radius: int) -> list[tuple[np.uint64, np.ndarray]]:
+    """Three segments of the given bits: each one's mask, and all differences inside it of at most its radius.
 
     Three segments with radii r1, r2, r3 find every pair within r1 + r2 + r3 + 2 bits:
     if each distance exceeded its radius, their sum would exceed that.
     """
-    spare = max(0, radius - 2)
-    radii = [spare // 3 + (i < spare % 3) for i in range(3)]
-    return [(0, 21, radii[0]), (21, 21, radii[1]), (42, 22, radii[2])]
+    spare, out = max(0, radius - 2), []
+    for i in range(3):
+        own = places[len(places) * i // 3 : len(places) * (i + 1) // 3]
+        out.append((np.uint64(sum(1 << p for p in own)), ball(own, spare // 3 + (i < spare % 3))))
+    return out
 
 
-def ball(bits: int, radius: int) -> np.ndarray:
-    """Every mask of ``bits`` bits with at most ``radius`` ones."""
+def ball(places: list[int], radius: int) -> np.ndarray:
+    """Every mask of at most ``radius`` ones among the given bits."""
     masks = {0}
     for _ in range(radius):
-        masks |= {m ^ (1 << i) for m in masks for i in range(bits)}
+        masks |= {m ^ (1 << p) for m in masks for p in places}
     return np.array(sorted(masks), np.uint64)
 
 
-def probes_of(radius: int, buckets: int):
-    """Table entries and the probes of each fingerprint's balls, dealt to buckets of segment values."""
-    parts = [(s, b, ball(b, r)) for s, b, r in segments(radius)]
+#: First bit and the one after the last of each segment of a whole fingerprint.
+SPANS = ((0, 21), (21, 42), (42, 64))
+
+
+def crowded_keys(prints: DataFrame, radius: int, hot: int) -> list[np.ndarray | None]:
+    """For each segment a bitmap of its table keys that may be probed by many fingerprints.
+
+    A key is crowded if its segment has more than ``hot`` fingerprints at that value or
+    at another in the ball around it; any other key has at most ``hot`` for each value
+    of the ball. The bitmaps have one bit a segment value, 1 MB in all; at most three
+    values for every ``hot`` fingerprints come to the driver.
+    """
+    own = [F.struct(F.lit(i).alias("i"), F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << hi - lo) - 1)).alias("value")) for i, (lo, hi) in enumerate(SPANS)]
+    counts = prints.select(F.explode(F.array(*own)).alias("s")).groupBy("s.i", "s.value").count()
+    found = counts.where(F.col("count") > hot).select("i", "value").toPandas()
+    out = []
+    for i, ((lo, hi), (_, masks)) in enumerate(zip(SPANS, segments(list(range(64)), radius), strict=True)):
+        value = found["value"][found["i"] == i].to_numpy(np.uint64)
+        full = np.zeros(1 << hi - lo, bool)
+        for m in masks:
+            full[value ^ (m >> np.uint64(lo))] = True
+        out.append(np.packbits(full, bitorder="little") if len(value) else None)
+    return out
+
+
+def probes_of(radius: int, buckets: int, crowded=None):
+    """Table entries and the probes of each fingerprint's balls, dealt to buckets of table keys.
+
+    What falls to a crowded key goes on to the tables of three segments of the remaining
+    bits inside it, with their own balls, so that it is dealt by those bits as well.
+    ``crowded`` is a broadcast of ``crowded_keys``.
+    """
+    first = segments(list(range(64)), radius)
+    second = [segments([p for p in range(64) if not lo <= p < hi], radius) for lo, hi in SPANS]
+
+    def rows(fp: np.ndarray, full: list) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        plain = []
+        for i, (mask, masks) in enumerate(first):
+            at = ((fp & mask)[:, None] ^ masks).ravel()
+            who, probe = np.repeat(fp, len(masks)), np.tile(masks != 0, len(fp))
+            if full[i] is not None:
+                value = (at >> np.uint64(SPANS[i][0])).astype(np.int64)
+                hot = (full[i][value >> 3] >> (value & 7).astype(np.uint8)) & 1 > 0
+                for some in np.split(np.flatnonzero(hot), range(SPLIT, int(hot.sum()), SPLIT)):
+                    for j, (inner, more) in enumerate(second[i]):
+                        key = at[some][:, None] | ((who[some] & inner)[:, None] ^ more)
+                        yield table_key(3 + 3 * i + j, key.ravel()), np.repeat(who[some], len(more)), (probe[some][:, None] | (more != 0)).ravel()
+                at, who, probe = at[~hot], who[~hot], probe[~hot]
+            plain.append((table_key(i, at), who, probe))
+        yield tuple(np.concatenate(x) for x in zip(*plain, strict=True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        full = crowded.value if crowded else [None] * 3
         for batch in batches:
-            fp = batch.column(0).to_numpy().view(np.uint64)
-            keys, owners, probe = [], [], []
-            for i, (shift, bits, masks) in enumerate(parts):
-                own = (fp >> np.uint64(shift)) & np.uint64((1 << bits) - 1)
-                at = own[:, None] ^ masks[None, :]
-                keys.append((at | np.uint64(i << 32)).ravel())
-                owners.append(np.repeat(fp, len(masks)))
-                probe.append(np.tile(masks != 0, len(fp)))
-            key, fps, probe = np.concatenate(keys), np.concatenate(owners), np.concatenate(probe)
-            mixed = (key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-            packed = list(by_bucket((mixed % np.uint64(buckets)).astype(np.int64), key, fps, probe))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in packed], pa.int64()), pa.array([x[1] for x in packed], pa.binary())], ["bucket", "blob"])
+            for key, fp, probe in rows(batch.column(0).to_numpy().view(np.uint64), full):
+                packed = list(by_bucket(((key >> np.uint64(16)) % np.uint64(buckets)).astype(np.int64), key, fp, probe))
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in packed], pa.int64()), pa.array([x[1] for x in packed], pa.binary())], ["bucket", "blob"])
 
     return run
 
 
+def table_key(number: int, value: np.ndarray) -> np.ndarray:
+    """A hash of a table's number and a key in it; where two share one, the whole distance still decides."""
+    h = (value + np.uint64((number + 1) * 0xD6E8FEB86659FD93 % 2**64)) * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+    return h ^ (h >> np.uint64(32))
+
+
 def near(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
     return np.bitwise_count(a ^ b) <= radius
 
@@ -160,22 +212,31 @@ def links_of(radius: int, dense: int = 1 << 22):
     return run
 
 
-def fingerprint_links(prints: DataFrame, radius: int = 4) -> DataFrame:
-    """Links (a, b) between distinct fingerprints ``fp`` that join all within ``radius`` bits: spanning links, not all pairs."""
-    buckets = 4 * shuffle_partitions(prints.sparkSession)
-    probes = prints.select("fp").mapInArrow(probes_of(radius, buckets), "bucket long, blob binary")
+def fingerprint_links(prints: DataFrame, radius: int = 4, hot: int = CROWDED) -> DataFrame:
+    """Links (a, b) between distinct fingerprints ``fp`` that join all within ``radius`` bits: spanning links, not all pairs.
+
+    Table keys are dealt to buckets of some ``BUCKET`` rows; keys crowded by more than
+    ``hot`` fingerprints are split (``crowded_keys``).
+    """
+    spark = prints.sparkSession
+    tables = sum(len(masks) for _, masks in segments(list(range(64)), radius))
+    buckets = max(4 * shuffle_partitions(spark), -(-prints.count() * tables // BUCKET))
+    crowded = spark.sparkContext.broadcast(crowded_keys(prints, radius, hot))
+    probes = prints.select("fp").mapInArrow(probes_of(radius, buckets, crowded), "bucket long, blob binary")
     return probes.groupBy("bucket").applyInArrow(links_of(radius), "a long, b long")
 
 
-def simhash_groups(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
+def simhash_groups(docs: DataFrame, words: int = 4, radius: int = 4, crowded: int = CROWDED, hot: int = HOT) -> DataFrame:
     """Near-duplicate groups of ``docs(doc_id, text, ...)`` by SimHash.
 
     Fingerprints link at ``radius`` or fewer differing bits; a group is all that links
     reach. Equal fingerprints merge first (smallest id each), so exact copies cost
     nothing further. Multi-index hashing: each distinct fingerprint enters the tables
     of its three segments and probes a small Hamming ball of each; matches are held to
-    the whole distance. A bucket returns spanning links only, and a crowded table key
-    is flooded instead of paired.
+    the whole distance. A bucket returns spanning links only; a crowded table key is
+    split by the remaining bits, and flooded where many still meet. The smallest id
+    reaches the members of a large group by broadcast (``look_up``); fingerprints
+    without links join nothing.
 
     Result: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id of the
     group). Null text counts as empty (fingerprint zero, linked like any other); rows
@@ -184,10 +245,11 @@ def simhash_groups(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFram
     """
     prints = fingerprints(docs, words).checkpoint()
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("low")).checkpoint()
-    found = connected_components(fingerprint_links(distinct, radius))
-    of = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("component", "fp").alias("component"))
-    least = of.groupBy("component").agg(F.min("low").alias("component_id"))
-    ids = of.join(least, "component").select("fp", "component_id")
+    found = connected_components(fingerprint_links(distinct, radius, crowded), hot=hot)
+    linked = found.join(distinct, found["node"] == distinct["fp"]).select("fp", "low", "component")
+    least = linked.groupBy("component").agg(F.min("low").alias("component_id"), F.count("*").alias("n"))
+    of = look_up(linked.select("fp", "component"), least, "component", "component_id", "fp", hot)
+    ids = distinct.join(of.withColumn("linked", F.lit(True)), "fp", "left").select("fp", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("low")).alias("component_id"))
     return prints.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

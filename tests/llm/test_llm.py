@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
@@ -22,7 +23,7 @@ from blockalloc.llm import substrings as SU
 from blockalloc.llm import tokens as T
 from blockalloc.llm import topk as TK
 from blockalloc.llm import toxicity as TX
-from blockalloc.llm.components import connected_components
+from blockalloc.llm.components import connected_components, look_up
 from blockalloc.llm.exact_dedup import RadixTrie, exact_dedup, one_of_each_text
 from blockalloc.llm.quality import quality
 from blockalloc.llm.registry import QUERIES, SQL
@@ -207,6 +208,60 @@ def test_links_find_every_near_pair(dense):
     assert (got == components(len(fp), i, j)).all()
 
 
+def near_groups(rng, centres: int, members: int) -> np.ndarray:
+    """Distinct fingerprints within four bits of some centres; a second half of the centres differs from the first in few bits."""
+    some = rng.integers(0, 2**63, centres, dtype=np.uint64)
+    some = np.r_[some, some ^ np.uint64(0b1011)]
+    return np.unique(np.array([c ^ np.uint64(sum(1 << int(b) for b in set(rng.integers(0, 64, rng.integers(0, 5))))) for c in some for _ in range(members)]))
+
+
+@pytest.mark.parametrize("hot", [0, 20, 1 << 14])
+def test_crowded_keys_are_split_and_lose_no_link(spark, hot):
+    fp = near_groups(np.random.default_rng(8), 4, 60)
+    prints = spark.createDataFrame([(int(x),) for x in fp.view(np.int64)], "fp long").repartition(3)
+    links = SH.fingerprint_links(prints, 4, hot).toPandas()
+    at = {v: i for i, v in enumerate(fp.view(np.int64).tolist())}
+    from blockalloc.llm.packed import components
+
+    got = components(len(fp), links["a"].map(at).to_numpy(np.int64), links["b"].map(at).to_numpy(np.int64))
+    i, j = np.nonzero(np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 4)
+    assert (got == components(len(fp), i, j)).all()
+    full = SH.crowded_keys(prints, 4, hot)
+    assert all((f is not None) == (hot < 1 << 14) for f in full)
+
+
+def test_crowded_key_is_dealt_by_other_bits(spark):
+    rng = np.random.default_rng(9)
+    fp = np.unique((rng.integers(0, 2**42, 4000, dtype=np.uint64) << np.uint64(21)) | np.uint64(77))
+
+    class crowded:
+        value = SH.crowded_keys(spark.createDataFrame([(int(x),) for x in fp.view(np.int64)], "fp long"), 4, 1000)
+
+    assert [f is not None for f in crowded.value] == [True, False, False]
+    batch = pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64))], ["fp"])
+    most = {}
+    for given in (None, crowded):
+        t = pa.Table.from_batches(list(SH.probes_of(4, 64, given)(iter([batch]))))
+        sizes = pd.Series([len(b) for b in t["blob"].to_pylist()]).groupby(t["bucket"].to_pylist()).sum()
+        most[given] = sizes.max() / sizes.sum()
+    assert most[None] > 0.04 and most[crowded] < 0.03
+
+
+def test_groups_alike_at_every_hotness(spark, data):
+    d = spark.read.parquet(f"{data}/documents.parquet")
+    d = d.union(d.limit(5).withColumn("doc_id", F.lit(None).cast("long")))
+    want = values(SH.simhash_groups(d).toPandas())
+    assert values(SH.simhash_groups(d, crowded=1, hot=1).toPandas()) == want
+
+
+def test_look_up_of_hot_keys(spark):
+    rows = spark.createDataFrame([(i % 3, i) for i in range(60)] + [(9, 1), (None, 2)], "a long, b long")
+    each = spark.createDataFrame([(0, 10, 20), (1, None, 20), (2, 12, 3), (9, 19, 1)], "a long, m long, n long")
+    got = {(r.a, r.b, r.m) for r in look_up(rows, each, "a", "m", "b", 5).collect()}
+    m = {0: 10, 1: None, 2: 12, 9: 19, None: None}
+    assert got == {(i % 3, i, m[i % 3]) for i in range(60)} | {(9, 1, 19), (None, 2, None)}
+
+
 def test_simhash_edges(spark):
     got = {(r.doc_id, r.fingerprint): r.component_id for r in SH.simhash_groups(docs(spark, EDGE)).collect()}
     assert got[1, "0" * 16] == got[2, "0" * 16] == got[5, "0" * 16] == 1
