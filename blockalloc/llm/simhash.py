@@ -235,8 +235,8 @@ def simhash_groups(docs: DataFrame, words: int = 4, radius: int = 4, crowded: in
     of its three segments and probes a small Hamming ball of each; matches are held to
     the whole distance. A bucket returns spanning links only; a crowded table key is
     split by the remaining bits, and flooded where many still meet. The smallest id
-    reaches the members of a large group by broadcast (``look_up``); fingerprints
-    without links join nothing.
+    reaches the members of a large group, and the rows of a frequent fingerprint, by
+    broadcast (``look_up``); fingerprints without links join nothing.
 
     Result: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id of the
     group). Null text counts as empty (fingerprint zero, linked like any other); rows
@@ -244,13 +244,14 @@ def simhash_groups(docs: DataFrame, words: int = 4, radius: int = 4, crowded: in
     Repeated rows each get a row; ties cannot occur. Other columns are not read.
     """
     prints = fingerprints(docs, words).checkpoint()
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("low")).checkpoint()
+    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")).checkpoint()
     found = connected_components(fingerprint_links(distinct, radius, crowded), hot=hot)
     linked = found.join(distinct, found["node"] == distinct["fp"]).select("fp", "low", "component")
     least = linked.groupBy("component").agg(F.min("low").alias("component_id"), F.count("*").alias("n"))
     of = look_up(linked.select("fp", "component"), least, "component", "component_id", "fp", hot)
-    ids = distinct.join(of.withColumn("linked", F.lit(True)), "fp", "left").select("fp", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("low")).alias("component_id"))
-    return prints.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    ids = distinct.join(of.withColumn("linked", F.lit(True)), "fp", "left").select("fp", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("low")).alias("component_id"), "n")
+    rows = look_up(prints.withColumn("spread", F.monotonically_increasing_id()), ids, "fp", "component_id", "spread", hot)
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
