@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockalloc.jobs.statistics import rounded
+from blockalloc.jobs.statistics import nine, rounded
 from blockalloc.operators import cues as C
 from blockalloc.operators import release as R
 from blockalloc.operators.blocks import quantile_clip
@@ -235,8 +235,8 @@ QUERIES = {
     "g11_next_block": (lambda s, d: rounded(steps(s, d)), f"WITH {NEXT_SQL} SELECT video_id, clip_idx, u, b, dest, round(conf, 6) AS conf FROM step"),
     "g12_confidence": (lambda s, d: rounded(C.confidence(steps(s, d), 0.0)), f"WITH {NEXT_SQL} SELECT video_id, clip_idx, u, dest AS block, round(max(conf), 6) AS c FROM step GROUP BY ALL"),
     "g13_paths": (walk, f"WITH {WALK_SQL} SELECT video_id, clip_idx, traj_id, CAST(u AS INTEGER) AS u, block FROM walk"),
-    "g14_path_scores": (lambda s, d: rounded(C.path_scores(walk(s, d), risk(s, d), 0.6)), f"WITH {SCORE_SQL} SELECT video_id, clip_idx, traj_id, round(score, 6) AS score FROM ts"),
-    "g15_softmax_weights": (lambda s, d: rounded(weights(s, d)), f"WITH {SCORE_SQL} SELECT video_id, clip_idx, traj_id, round(score, 6) AS score, round(weight, 6) AS weight FROM tw"),
+    "g14_path_scores": (lambda s, d: nine(C.path_scores(walk(s, d), risk(s, d), 0.6)), f"WITH {SCORE_SQL} SELECT video_id, clip_idx, traj_id, round(score, 9) AS score FROM ts"),
+    "g15_softmax_weights": (lambda s, d: nine(weights(s, d)), f"WITH {SCORE_SQL} SELECT video_id, clip_idx, traj_id, round(score, 9) AS score, round(weight, 9) AS weight FROM tw"),
     "g16_scatter_mean": (lambda s, d: rounded(raw_map(s, d)), f"WITH {SCATTER_SQL} SELECT video_id, clip_idx, CAST(u AS INTEGER) AS u, bi, bj, round(score, 6) AS score FROM rawmap"),
     "g17_path_smoothing": (lambda s, d: rounded(trajectory_map(s, d)), f"WITH {TRAJECTORY_SQL} SELECT video_id, clip_idx, CAST(u AS INTEGER) AS u, bi, bj, round(score, 6) AS score FROM done"),
     "g18_frame_interpolation": (lambda s, d: rounded(clip_frames(s, d)), f"WITH {FRAMES_SQL} SELECT video_id, clip_idx, local_i, bi, bj, round(score, 6) AS score FROM fs"),

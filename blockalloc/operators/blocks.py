@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from blockalloc.operators.quantiles import alike, exact_quantiles
+
 CELL = ("frame_idx", "bi", "bj")
 
 
@@ -124,7 +126,8 @@ def quantile_clip(scores: DataFrame, keys: Sequence[str] = ("video_id",), low: f
     Where the quantiles coincide scores stay as they are, or with ``clip_degenerate``
     are clipped as they are.
     """
-    q = scores.groupBy(*keys).agg(F.percentile("score", F.array(F.lit(low), F.lit(high))).alias("_q"))
+    scores = scores.checkpoint()  # read by the quantiles and again below
+    q = exact_quantiles(scores, keys, "score", (low, high)).withColumnRenamed("q", "_q")
     lo, hi = F.col("_q")[0], F.col("_q")[1]
     unit = lambda c: F.least(F.lit(1.0), F.greatest(F.lit(0.0), c))
     wide = hi - lo >= eps if clip_degenerate else hi > lo + eps
@@ -133,10 +136,11 @@ def quantile_clip(scores: DataFrame, keys: Sequence[str] = ("video_id",), low: f
 
 
 def min_max(rows: DataFrame, keys: Sequence[str], column: str = "score") -> DataFrame:
-    """(x - min) / (max - min + 1e-8) over each group."""
-    w = Window.partitionBy(*keys)
-    lo, hi = F.min(column).over(w), F.max(column).over(w)
-    return rows.withColumn(column, (F.col(column) - lo) / (hi - lo + 1e-8))
+    """(x - min) / (max - min + 1e-8) over each group; the ends are aggregated and joined back, so a large group stays in many tasks."""
+    names = [f"_key_{i}" for i in range(len(keys))]
+    ends = rows.groupBy(*(F.col(k).alias(n) for k, n in zip(keys, names, strict=True))).agg(F.min(column).alias("_lo"), F.max(column).alias("_hi"))
+    scaled = (F.col(column) - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1e-8)
+    return rows.join(ends, alike(keys, names)).withColumn(column, scaled).drop(*names, "_lo", "_hi")
 
 
 def shifted(scores: DataFrame, grid: int, rows: int | None = None, cols: int | None = None) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from blockalloc.operators.blocks import by_size, edges, images
+from blockalloc.operators.recurrence import BUCKET, WARM, affine_carries, replay, settled_carries
 
 #: BT.601 full-range conversion, rows Y, Cb, Cr.
 YCC = np.array([[0.299, 0.587, 0.114], [-0.168736, -0.331264, 0.5], [0.5, -0.418688, -0.081312]])
@@ -144,41 +145,26 @@ def release(frames: DataFrame, grid: int, clip: float, sigma: float, seed: int =
     return cols.mapInArrow(run, f"{RUNS}, rgb array<int>, scales array<double>")
 
 
-def over_time(frames: DataFrame, step, column: str = "v", state: int = 1) -> DataFrame:
-    """A recurrence over a video's frames in order: ``step(state, frame) -> (state, output)`` on arrays.
+def temporal_ema(frames: DataFrame, ema: float, column: str = "v", bucket: int = BUCKET) -> DataFrame:
+    """Exponential smoothing of released frames: the carry isn't rounded, the output is; ``ema`` is clipped to 0..0.99.
 
-    The carry needs the whole video in order, frame by frame: the group is streamed in
-    sorted batches and only the carry is held, so a long video costs time, not memory.
+    The recurrence is affine, so buckets of frames run side by side once their summaries are scanned.
     """
-    rows = frames.select("video_id", "frame_idx", "height", "width", column).repartition("video_id").sortWithinPartitions("video_id", "frame_idx")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, carry = None, None
-        for b in batches:
-            out = []
-            for video, values in zip(b.column(0).to_pylist(), b.column(4).to_pylist(), strict=True):
-                if video != of:
-                    of, carry = video, None
-                carry, v = step(carry, np.asarray(values, float))
-                out.append(v.astype(np.int32))
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), pa.array(out, pa.list_(pa.int32()))], [*b.schema.names[:4], column])
-
-    return rows.mapInArrow(run, f"{RUNS}, {column} array<int>")
-
-
-def temporal_ema(frames: DataFrame, ema: float, column: str = "v") -> DataFrame:
-    """Exponential smoothing of released frames: the carry isn't rounded, the output is; ``ema`` is clipped to 0..0.99."""
     ema = min(0.99, max(0.0, ema))
 
     def step(carry, cur):
         carry = cur if carry is None else ema * carry + (1 - ema) * cur
         return carry, np.clip(np.round(carry), 0, 255)
 
-    return over_time(frames, step, column)
+    return replay(frames, affine_carries(frames, ema, column, bucket), step, column, bucket)
+
 
+def causal_smoothing(frames: DataFrame, mix: float = 0.72, keep: float = 0.82, column: str = "v", bucket: int = BUCKET, warm: int = WARM) -> DataFrame:
+    """Each frame mixed twice with the smoothed one before it, rounded after each step.
 
-def causal_smoothing(frames: DataFrame, mix: float = 0.72, keep: float = 0.82, column: str = "v") -> DataFrame:
-    """Each frame mixed twice with the smoothed one before it, rounded after each step."""
+    Rounding keeps steps from composing, but each forgets three fifths of its carry:
+    buckets guess theirs from some frames before them and run again where the guess was wrong.
+    """
 
     def step(carry, cur):
         if carry is not None:
@@ -186,7 +172,7 @@ def causal_smoothing(frames: DataFrame, mix: float = 0.72, keep: float = 0.82, c
             cur = np.clip(np.round(keep * once + (1 - keep) * carry), 0, 255)
         return cur, cur
 
-    return over_time(frames, step, column)
+    return replay(frames, settled_carries(frames, step, column, bucket, warm), step, column, bucket)
 
 
 def sigma_of_weight(weight: Column, low: float, high: float, gamma: float = 1.0, invert: bool = False) -> Column:

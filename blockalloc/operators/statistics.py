@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from blockalloc.operators.quantiles import alike, exact_quantiles
+
 METRICS = ("cover", "raw_errshare", "inc_errshare")
 
 
@@ -125,10 +127,15 @@ def summary_table(differences: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Mean, median, sample deviation, effect sizes, wins and sign p of each comparison and metric."""
     tie = 1e-12
     w, x, t = outcomes(tie)
-    out = differences.groupBy(*by, "comparison", "metric").agg(
-        F.count("*").alias("n"), F.avg("difference").alias("mean_difference"), F.percentile("difference", 0.5).alias("median_difference"), F.stddev_samp("difference").alias("difference_sd"),
+    keys = [*by, "comparison", "metric"]
+    differences = differences.select(*keys, "difference").checkpoint()  # read by the medians and below
+    names = [f"_key_{i}" for i in range(len(keys))]
+    medians = exact_quantiles(differences, keys, "difference", (0.5,)).select(*(F.col(k).alias(n) for k, n in zip(keys, names, strict=True)), F.col("q")[0].alias("median_difference"))
+    out = differences.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.avg("difference").alias("mean_difference"), F.stddev_samp("difference").alias("difference_sd"),
         F.sum((F.col("difference") > 0).cast("int")).alias("positive_pairs"), F.sum((F.col("difference") < 0).cast("int")).alias("negative_pairs"), t.alias("ties"), w.alias("_w"), x.alias("_x"),
     )
+    out = out.join(medians, alike(keys, names), "left").drop(*names)
     dz, gz = effect_sizes(F.col("mean_difference"), F.col("difference_sd"), F.col("n"))
     return out.withColumns({"cohen_dz": dz, "hedges_gz": gz, "exact_sign_p": sign_p("_w", "_x")}).drop("_w", "_x")
 

@@ -8,20 +8,25 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from blockalloc.operators.numbering import numbered
 from blockalloc.session import table
 
 
+def placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``embeddings`` with the number ``n`` of each row in the order of its label's ids: ids are numbered over range partitions, payloads follow by a join."""
+    e = table(spark, sf_dir, "embeddings").where("vec_id is not null")
+    place = numbered(e.select(F.col("label").alias("_label"), F.col("vec_id").alias("_id")), ["_label"], ["_id"], "n")
+    same = e["vec_id"].eqNullSafe(place["_id"]) & e["label"].eqNullSafe(place["_label"])
+    return e.join(place, same).select("label", "vec_id", "embedding", F.col("n").cast("int").alias("n"))
+
+
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(video_id, frame_idx, height, width, v): one row a frame, ``v`` its 64 values 0..255 in row order.
 
-    Frames are numbered inside a video; the window carries ids only, pixels follow by a join.
+    Frames are numbered inside a video by ``placed``.
     """
-    e = table(spark, sf_dir, "embeddings").where("vec_id is not null")
-    order = Window.partitionBy("label").orderBy("vec_id")
-    place = e.select("label", "vec_id").withColumn("frame_idx", F.row_number().over(order) - 1)
-    rows = e.select("vec_id", "embedding").join(place, "vec_id")
+    rows = placed(spark, sf_dir).withColumn("frame_idx", F.col("n").cast("int"))
     v = F.transform("embedding", lambda x: F.least(F.lit(255.0), F.greatest(F.lit(0.0), F.round(128 + 256 * x.cast("double")))).cast("int"))
     return rows.select(F.concat(F.lit("v"), F.col("label").cast("string")).alias("video_id"), "frame_idx", F.lit(8).alias("height"), F.lit(8).alias("width"), v.alias("v"))
 
@@ -105,9 +110,7 @@ files AS (SELECT lang || '/' || source || '/' || CAST(doc_id AS VARCHAR) AS path
 
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(video_id, clip_idx, flow_idx, b, dx, dy): mean flow of each block of a 4 x 4 grid over 8 x 8 images, 15 flows a clip."""
-    e = table(spark, sf_dir, "embeddings").where("vec_id is not null")
-    place = e.select("label", "vec_id").withColumn("n", F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1)
-    e = e.select("vec_id", "embedding").join(place, "vec_id")
+    e = placed(spark, sf_dir)
     blocks = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda b: F.struct(b.alias("b"), (16 * F.get("embedding", 2 * b).cast("double")).alias("dx"), (16 * F.get("embedding", 2 * b + 1).cast("double")).alias("dy")))
     return e.select(F.concat(F.lit("v"), F.col("label").cast("string")).alias("video_id"), F.expr("cast(n div 15 as int)").alias("clip_idx"), (F.col("n") % 15).alias("flow_idx"), F.inline(blocks))
 
@@ -122,9 +125,7 @@ flows AS (SELECT video_id, CAST(n // 15 AS INTEGER) AS clip_idx, CAST(n % 15 AS
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(video_id, clip_idx, u, py, px, vec): 2 x 2 patch tokens of 64 numbers, 8 segments a clip."""
-    e = table(spark, sf_dir, "embeddings").where("vec_id is not null")
-    place = e.select("label", "vec_id").withColumn("n", F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1)
-    e = e.select("vec_id", "embedding").join(place, "vec_id")
+    e = placed(spark, sf_dir)
     return e.select(
         F.concat(F.lit("v"), F.col("label").cast("string")).alias("video_id"),
         F.expr("cast(n div 32 as int)").alias("clip_idx"),
