@@ -309,10 +309,11 @@ OTHER_TAGS = {"nav", "header", "footer", "aside", "form"}
 OTHER = {w for ws in OTHER_WORDS.values() for w in ws} - {"banner", "text", "content"}
 
 
-def labels_of(page: Page) -> np.ndarray:
-    """1 for blocks in the marked main part and in no marked other part, else 0; -1 where a page marks no main part."""
+def labels_of(page: Page, whole: bool = False) -> np.ndarray:
+    """1 for blocks in the marked main part and in no marked other part, else 0; -1 where a page marks no main part. ``whole``: the page is the main part."""
     n = len(page.tag)
     state = np.zeros(n, np.int8)  # 0 outside, 1 main, 2 other
+    state[0] = whole
     for i in range(1, n):
         own = set(page.tokens[i][1:])
         if state[page.parent[i]] == 2 or page.tag[i] in OTHER_TAGS or own & OTHER:
@@ -371,6 +372,86 @@ def varied(source: str, seed: int) -> str:
     return source[: m.start()] + before + body + after + source[m.end() :]
 
 
+#: Names of main and other parts in pages of other languages.
+FOREIGN_MAIN = ["inhalt", "contenu", "contenido", "texto", "artikel", "beitrag", "corps", "cuerpo", "nota", "seite", "hauptteil", "articulo"]
+FOREIGN_OTHER = ["kopf", "fuss", "leiste", "werbung", "pied", "entete", "barre", "publicite", "pie", "cabecera", "barra", "anuncio", "randspalte", "lateral", "cote", "verwandte"]
+
+
+def rebuilt(source: str, seed: int) -> tuple[str, bool]:
+    """The main part of a page in a layout that the given pages don't have; and whether it is the whole page.
+
+    Straight in the body, as bare paragraphs or without any markup, in a cell of a table,
+    under foreign or meaningless names, with line breaks or boxes for paragraphs, with
+    menus and notices around it or without.
+    """
+    m = re.search(r"<(article|main)\b[^>]*>(.*)</\1>", source, re.S | re.I)
+    if not m:
+        return source, False
+    rng = np.random.default_rng(seed)
+    pick = lambda xs: xs[int(rng.integers(len(xs)))]
+    inner = re.sub(r"<(script|style|aside|nav|form)\b.*?</\1>", " ", m[2], flags=re.S | re.I)
+    plain = [t for t in (SPACE.sub(" ", x).strip() for x in re.findall(r">([^<>]+)<", f">{inner}<")) if t] or ["Lorem ipsum dolor sit amet."]
+    few = plain[: int(rng.integers(1, len(plain) + 1))]
+    if rng.random() < 0.5:  # shorter texts of the same page
+        inner = "".join(f"<p>{t}</p>" for t in few)
+        if rng.random() < 0.4:
+            inner = f"<{pick(['h1', 'h2'])}>{' '.join(few[0].split(' ')[:8])}</h1>" + inner
+    shape = int(rng.integers(4))
+    if shape == 1:
+        inner = inner.replace("<p>", "<div>").replace("</p>", "</div>")
+    elif shape == 2:
+        inner = "<br><br>".join(few)
+    words = " ".join(plain).split(" ")
+
+    def some(n: int) -> str:
+        at = int(rng.integers(len(words)))
+        return " ".join(words[at : at + 1 + int(rng.integers(n))])
+
+    def name() -> str:
+        return pick([f' class="{pick(FOREIGN_OTHER)}"', f' id="{pick(FOREIGN_OTHER)}"', f' class="{pick("bcdfghk")}{pick("aeiou")}{pick("lmnrst")}{pick("aeiou")}"', ""])
+
+    def links(tag: str) -> str:
+        item = pick(["<li>{}</li>", "{} | ", "<div>{}</div>", "{} "])
+        return f"<{tag}{name()}>" + "".join(item.format(f'<a href="#">{some(4)}</a>') for _ in range(rng.integers(3, 9))) + f"</{tag}>"
+
+    def other(tag: str) -> str:
+        kind = int(rng.integers(4))
+        if kind < 2:
+            return links(tag)
+        if kind == 2:
+            return f"<{tag}{name()}>&copy; {some(6)}</{tag}>"
+        return f'<{tag} class="{pick(["ad", "notice", "cookie", "werbung", "anuncio", "publicite"])}">{some(14)} <a href="#">{some(3)}</a></{tag}>'
+
+    if rng.random() < 0.35:
+        listed = "".join(f"<li>{some(24)}</li>" for _ in range(rng.integers(2, 6)))
+        inner += pick([f"<ul>{listed}</ul>", f"<ol>{listed}</ol>", f"<blockquote>{some(40)}</blockquote><ul>{listed}</ul>"])
+    head = f"<html><head><title>{some(6)}</title></head>"
+    layout = int(rng.integers(8))
+    if layout == 0:
+        return f'{head}<body class="marked">{inner}</body></html>', False
+    if layout == 1:
+        return inner, True
+    if layout == 2:
+        return " ".join(few) if rng.random() < 0.5 else "\n\n".join(few), True
+    if layout == 3:
+        around = [other("td") for _ in range(rng.integers(1, 3))]
+        cells = [*around, f'<td{pick(["", " valign=top", " width=70%"])} class="marked">{inner}</td>']
+        if rng.random() < 0.3:
+            cells = cells[::-1]
+        rows = pick(["<tr>" + "".join(cells) + "</tr>", "".join(f"<tr>{c}</tr>" for c in cells)])
+        return f"{head}<body><table>{rows}</table></body></html>", False
+    around = [other(pick(["div", "div", "section", "ul", "p"])) for _ in range(rng.integers(0, 5))]
+    cut = int(rng.integers(len(around) + 1))
+    if layout == 4:  # beside the main part's blocks, straight in the body
+        body = re.sub(r"<(p|div|h[1-6]|ul|ol|blockquote|table|pre|figure)(?=[\s>])", r'<\1 data-x class="marked"', inner) if shape != 2 else f'<p class="marked">{inner}</p>'
+        return f"{head}<body>{''.join(around[:cut])}{body}{''.join(around[cut:])}</body></html>", False
+    label = pick([f' class="marked {pick(FOREIGN_MAIN)}"', f' class="marked" id="{pick(FOREIGN_MAIN)}"', ' class="marked"', f' class="marked {pick("bcdfghk")}{pick("aeiou")}{pick("lmnrst")}{pick("aeiou")}"'])
+    main = f"<div{label}>{inner}</div>"
+    if layout == 6:
+        main = f"<div><div{name()}>{main}</div></div>"
+    return f"{head}<body>{''.join(around[:cut])}{main}{''.join(around[cut:])}</body></html>", False
+
+
 def hidden(page: Page) -> Page:
     """The page without the label that a varied one carries; some lose their other names too, so that shape counts."""
     page.tokens = [tuple(t for t in ts if t != "marked") for ts in page.tokens]
@@ -378,10 +459,12 @@ def hidden(page: Page) -> Page:
 
 
 def variants(source: str) -> Iterator[tuple[Page, np.ndarray]]:
-    """A training page as it is and varied twice, each with the labels of its blocks."""
-    for variant in range(3):
-        page = Page(varied(source, zlib.crc32(source.encode()) + variant) if variant else source)
-        y = labels_of(page)
+    """A training page as it is, varied, and twice rebuilt in another layout, each with the labels of its blocks."""
+    seed = zlib.crc32(source.encode())
+    made = [(source, False), (varied(source, seed + 1), False), rebuilt(source, seed + 2), rebuilt(source, seed + 3)]
+    for text, whole in made:
+        page = Page(text)
+        y = labels_of(page, whole)
         if (y >= 0).all():
             yield hidden(page), y
 
@@ -495,11 +578,13 @@ def main_text(pages: DataFrame, most: int = TRAIN_PAGES) -> DataFrame:
     the tag and attribute names on its path, depth, place and siblings; gradient-boosted
     trees score it, and a dynamic programme over the DOM keeps ancestors and descendants
     consistent. The trees are fitted on at most ``most`` pages, chosen among all that name
-    their main part by <article> or <main>, as they are and rearranged under other names.
+    their main part by <article> or <main>: as they are, rearranged under other names, and
+    rebuilt in layouts that mark nothing (straight in the body, bare paragraphs, no markup,
+    table cells, foreign names).
 
     Result per row: page_id, url, text (blocks in page order, white space reduced,
-    joined by a space), n_chars. Null, empty and markup-free html work like any other;
-    a page without main text gives an empty text. Without pages to learn from, all text
+    joined by a space), n_chars. Null counts as empty; html without markup is a page whose
+    root holds all its text; a page without main text gives an empty text. Without pages to learn from, all text
     outside scripts, styles and controls counts as main. Repeated rows each get a row;
     other columns are not read.
     """
