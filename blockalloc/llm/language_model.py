@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -17,16 +17,14 @@ from blockalloc.llm.tokens import strings
 from blockalloc.session import table
 
 WORD = re.compile(r"\w+|[^\w\s]")
-#: The uniform choice is among the different words of all documents, but at least among this many.
-WORDS = 1 << 19
 #: Bytes of text in a block of documents, and so about what an owner of counts holds.
 BLOCK_BYTES = 8 << 20
 #: How many pairs' worth of trust a word gives to the model without context.
 TRUST = 4.0
 #: Documents that are split into words together.
 TOGETHER = 500
-COUNTS = "bucket int, block long, tokens long, inside long, blob binary"
-SUMS = "block long, bucket int, words long, tokens long, inside long, blob binary"
+COUNTS = "bucket int, block long, tokens long, inside long, members binary, blob binary"
+SUMS = "block long, bucket int, words long, tokens long, inside long, members binary, blob binary"
 
 
 def squeeze(*arrays: np.ndarray) -> bytes:
@@ -52,6 +50,18 @@ def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+class Own(NamedTuple):
+    """A document's different pairs as columns."""
+
+    doc: np.ndarray
+    kind: np.ndarray
+    before: np.ndarray
+    word: np.ndarray
+    n_pair: np.ndarray
+    n_before: np.ndarray
+    n_word: np.ndarray
+
+
 class Block:
     """A block of documents: their words by number, and the keys of its words, contexts and pairs.
 
@@ -101,6 +111,20 @@ class Block:
         one, context = np.bincount(self.kinds % n, here, n)[1:], np.bincount(self.kinds // n, here, n)
         return np.concatenate([one, context, here]).astype(np.int64)[self.order]
 
+    def own_counts(self) -> Own:
+        """Each document's different pairs, and how often it has the pair, its word and its context."""
+        n, doc = max(1, len(self.names)), np.repeat(np.arange(len(self.sizes)), self.sizes)
+        at, both = pd.factorize(doc * max(1, len(self.kinds)) + self.pair)
+        n_pair = np.bincount(at, minlength=len(both))
+        doc, kind = both // max(1, len(self.kinds)), both % max(1, len(self.kinds))
+        before, word = self.kinds[kind] // n, self.kinds[kind] % n
+
+        def total(part: np.ndarray) -> np.ndarray:
+            at, _ = pd.factorize(doc * n + part)
+            return np.bincount(at, n_pair)[at]
+
+        return Own(doc, kind, before, word, n_pair, total(before), total(word))
+
     def cuts(self, buckets: int) -> np.ndarray:
         """Where the keys of each part of the key range begin."""
         return np.searchsorted(((self.key >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32), np.arange(buckets + 1))
@@ -118,10 +142,11 @@ def count_block(buckets: int):
             everything, own = block.counts(np.ones(len(docs), bool)), block.counts(inside)
             cuts, name = block.cuts(buckets), docs["block"][0].as_py()
             total, mine = int(block.sizes.sum()), int(block.sizes[inside].sum())  # on the first row alone, to be added up
+            members = np.array(sorted(wanted), np.int64).tobytes()
             for b in np.flatnonzero(np.diff(cuts) > 0).tolist():
                 s = slice(cuts[b], cuts[b + 1])
-                out.append((b, name, total, mine, squeeze(np.diff(block.key[s], prepend=np.uint64(0)), block.extra[s], everything[s], own[s])))
-                total = mine = 0
+                out.append((b, name, total, mine, members, squeeze(np.diff(block.key[s], prepend=np.uint64(0)), block.extra[s], everything[s], own[s])))
+                total, mine, members = 0, 0, None
         return rows_of(out, COUNTS)
 
     return run
@@ -152,12 +177,12 @@ def add_up(t: pa.Table) -> pa.Table:
         sums.append(np.split(of_key[group], ends))
     words, bucket = int((extra[new] >> np.uint16(15)).sum()), t["bucket"][0].as_py()
     blobs = [squeeze(a, i) for a, i in zip(*sums, strict=True)]
-    heads = zip(*(t[c].to_pylist() for c in ("block", "tokens", "inside")), strict=True)
-    return rows_of([(block, bucket, 0 if i else words, tokens, inside, blob) for i, ((block, tokens, inside), blob) in enumerate(zip(heads, blobs, strict=True))], SUMS)
+    heads = zip(*(t[c].to_pylist() for c in ("block", "tokens", "inside", "members")), strict=True)
+    return rows_of([(block, bucket, 0 if i else words, tokens, inside, members, blob) for i, ((block, tokens, inside, members), blob) in enumerate(zip(heads, blobs, strict=True))], SUMS)
 
 
 def score_block(docs: pa.Table, sums: pa.Table) -> pa.Table:
-    """Losses of a block's documents from the sums of its keys."""
+    """Losses of a block's documents from the sums of its keys, each without what the document itself added."""
     cols = [np.zeros(0, np.int64), *[np.zeros(0)] * 3]
     if len(docs):
         block = Block(docs["text"])
@@ -165,16 +190,21 @@ def score_block(docs: pa.Table, sums: pa.Table) -> pa.Table:
         found = [np.concatenate(x) for x in zip(*(loosen(b, np.int64, np.int64) for b in sums["blob"].to_pylist()), strict=True)]
         if len(found[0]) != len(block.key):
             raise RuntimeError("a block's sums are not those of its documents")
-        n, doc = len(block.names), np.repeat(np.arange(len(docs)), block.sizes)
-        before, word = block.kinds // n, block.kinds % n
+        wanted = {tuple(x) for m in sums["members"].to_pylist() if m for x in np.frombuffer(m, np.int64).reshape(-1, 2).tolist()}
+        inside = np.fromiter((x in wanted for x in zip(docs["doc_id"].to_pylist(), docs["text_hash"].to_pylist(), strict=True)), bool, len(docs))
+        own = block.own_counts()
+        size = block.sizes[own.doc]
         mean = []
-        for tokens, here in zip((totals["tokens"], totals["inside"]), found, strict=True):
+        for tokens, here, counted in zip((totals["tokens"], totals["inside"]), found, (np.ones(len(docs)), inside.astype(float)), strict=True):
             counts = np.empty(len(here))
             counts[block.order] = here
+            n = len(block.names)
             one, context, pair = np.split(counts, [n - 1, 2 * n - 1])
-            single = np.r_[0, (one + 1) / (tokens + max(WORDS, totals["words"]))]
-            loss = -np.log((pair + TRUST * single[word]) / (context[before] + TRUST))
-            mean.append(np.bincount(doc, loss[block.pair], len(docs)) / np.maximum(block.sizes, 1))
+            # what a document itself added is taken off before it is scored
+            off = counted[own.doc]
+            single = (one[own.word - 1] - off * own.n_word + 1) / (tokens - off * size + totals["words"])
+            loss = -np.log((pair[own.kind] - off * own.n_pair + TRUST * single) / (context[own.before] - off * own.n_before + TRUST))
+            mean.append(np.bincount(own.doc, loss * own.n_pair, len(docs)) / np.maximum(block.sizes, 1))
         cols = [block.sizes, mean[1], mean[0], mean[0] - mean[1]]
     return pa.table({"doc_id": docs["doc_id"]} | dict(zip(("n_tokens", "target_loss", "background_loss", "score"), map(pa.array, cols), strict=True)))
 
@@ -190,7 +220,9 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, block_bytes
     up over all blocks and send the sums back, and each block scores its documents by
     them. A hot word so costs its owner one entry a block, and nothing but three totals
     passes through the driver. Which documents belong to the target is found
-    by a join of ids without texts. Keys are 79 bits of hashes: among 2 * 10^9 different
+    by a join of ids without texts. A document is scored by models that never saw it: what
+    it added itself is taken off the counts and totals of both, so that a target document
+    and one like it that nobody marked score alike. Keys are 79 bits of hashes: among 2 * 10^9 different
     keys the chance that any two agree is about 1 in 300,000. The number of blocks and
     of owners follows the bytes of text, so memory doesn't grow with the input.
 
@@ -209,7 +241,7 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, block_bytes
     counted = by_block.cogroup(target).applyInArrow(count_block(n), COUNTS)
     sums = counted.groupBy("bucket").applyInArrow(add_up, SUMS)
     totals = sums.agg(F.struct(*(F.sum(c).alias(c) for c in ("tokens", "inside", "words")))).scalar()
-    back = sums.select("block", "bucket", "blob", totals.alias("totals")).groupBy("block")
+    back = sums.select("block", "bucket", "members", "blob", totals.alias("totals")).groupBy("block")
     return by_block.cogroup(back).applyInArrow(score_block, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
 
 

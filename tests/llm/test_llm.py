@@ -408,28 +408,44 @@ def test_packing_edges(spark):
 # language model
 
 
+def pair_loss(texts, own=None):
+    """The loss of a text under pair counts of some texts, less those of its own."""
+    one, pair, ctx = Counter(), Counter(), Counter()
+    for w, sign in [(w, 1) for w in texts] + [(own, -1)] * (own is not None):
+        for a, b in zip(["", *w], w, strict=False):
+            one[b] += sign
+            pair[a, b] += sign
+            ctx[a] += sign
+    n = sum(one.values())
+    return lambda a, b, kinds: -np.log((pair[a, b] + LM.TRUST * (one[b] + 1) / (n + kinds)) / (ctx[a] + LM.TRUST))
+
+
 def test_losses_against_brute_force(spark):
-    rows = [(1, "a b a b"), (2, "a c!"), (3, None), (4, "b b b"), (4, "b b b"), (None, "c c")]
-    got = LM.cross_entropy_difference(docs(spark, rows), spark.createDataFrame([(1,), (1,), (4,)], "doc_id long")).toPandas()
+    rows = [(1, "a b a b"), (2, "a c!"), (3, None), (4, "b b b"), (4, "b b b"), (None, "c c"), (5, "a b " * 400), (6, "b c a")]
+    got = LM.cross_entropy_difference(docs(spark, rows), spark.createDataFrame([(1,), (1,), (4,), (5,)], "doc_id long")).toPandas()
     words = [(i, LM.WORD.findall((t or "").lower())) for i, t in rows]
-
-    def model(some):
-        one, pair, ctx = Counter(), Counter(), Counter()
-        for w in some:
-            for a, b in zip(["", *w], w, strict=False):
-                one[b] += 1
-                pair[a, b] += 1
-                ctx[a] += 1
-        n = sum(one.values())
-        return lambda a, b: -np.log((pair[a, b] + LM.TRUST * (one[b] + 1) / (n + LM.WORDS)) / (ctx[a] + LM.TRUST))
-
-    everything, target = model([w for _, w in words]), model([w for i, w in words if i in (1, 4)])
+    kinds = len({x for _, w in words for x in w})
     for r in got.itertuples():
         w = next(w for i, w in words if i == r.doc_id or pd.isna(r.doc_id) and i is None)
-        t, g = ([f(a, b) for a, b in zip(["", *w], w, strict=False)] for f in (target, everything))
+        everything = pair_loss([w for _, w in words], w)
+        target = pair_loss([w for i, w in words if i in (1, 4, 5)], w if r.doc_id in (1, 4, 5) else None)
+        t, g = ([f(a, b, kinds) for a, b in zip(["", *w], w, strict=False)] for f in (target, everything))
         assert r.n_tokens == len(w)
-        assert r.target_loss == pytest.approx(np.mean(t) if w else 0, rel=1e-5) and r.score == pytest.approx(np.mean(g) - np.mean(t) if w else 0, abs=1e-5)
+        assert r.target_loss == pytest.approx(np.mean(t) if w else 0, rel=1e-9) and r.score == pytest.approx(np.mean(g) - np.mean(t) if w else 0, abs=1e-9)
     assert LM.cross_entropy_difference(docs(spark, []), spark.createDataFrame([], "doc_id long")).count() == 0
+    alone = LM.cross_entropy_difference(docs(spark, [(1, "a")]), spark.createDataFrame([(1,)], "doc_id long")).first()
+    assert alone.score == 0 and np.isfinite(alone.target_loss)
+
+
+def test_membership_does_not_decide_the_score(spark, data):
+    """With half of the good documents as target, the other half scores like it, and low ones far below."""
+    data = data.replace("sf0.001", "sf0.01")
+    labels = spark.read.parquet(f"{data}/labels.parquet").toPandas().set_index("doc_id")["quality"].dropna()
+    good, low = labels[labels == 1].index, labels[labels == 0].index
+    half = [int(i) for i in good if zlib.crc32(str(i).encode()) % 2]
+    got = LM.cross_entropy_difference(spark.read.parquet(f"{data}/documents.parquet"), spark.createDataFrame([(i,) for i in half], "doc_id long")).toPandas().set_index("doc_id")["score"]
+    inside, outside, bad = got[half].mean(), got[[i for i in good if i not in set(half)]].mean(), got[low].mean()
+    assert abs(inside - outside) < 0.1 * (outside - bad), (inside, outside, bad)
 
 
 def test_losses_are_exact_beyond_any_table_size(spark):
@@ -437,20 +453,11 @@ def test_losses_are_exact_beyond_any_table_size(spark):
     rows = [(i, " ".join(f"w{i * 900 + j}" for j in range(900)) + f" x{i % 7} x{i % 5}") for i in range(600)]
     got = LM.cross_entropy_difference(docs(spark, rows), spark.createDataFrame([(i,) for i in range(0, 600, 3)], "doc_id long"), 100_000).toPandas().set_index("doc_id")
 
-    def loss(some):
-        one, pair, ctx = Counter(), Counter(), Counter()
-        for _, t in some:
-            w = t.split()
-            one.update(w)
-            ctx.update(["", *w[:-1]])
-            pair.update(zip(["", *w], w, strict=False))
-        n = sum(one.values()) + 540_007
-        return lambda w: np.mean([-np.log((pair[a, b] + LM.TRUST * (one[b] + 1) / n) / (ctx[a] + LM.TRUST)) for a, b in zip(["", *w], w, strict=False)])
-
-    everything, target = loss(rows), loss(rows[::3])
-    for i in (0, 1, 300, 301, 599):
-        w = rows[i][1].split()
-        assert got.loc[i, "background_loss"] == pytest.approx(everything(w), rel=1e-9) and got.loc[i, "target_loss"] == pytest.approx(target(w), rel=1e-9)
+    words = [t.split() for _, t in rows]
+    for i in (0, 301):
+        w = words[i]
+        for column, f in (("background_loss", pair_loss(words, w)), ("target_loss", pair_loss(words[::3], None if i % 3 else w))):
+            assert got.loc[i, column] == pytest.approx(np.mean([f(a, b, 540_007) for a, b in zip(["", *w], w, strict=False)]), rel=1e-9)
 
 
 # tokens
