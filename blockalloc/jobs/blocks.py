@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from blockalloc.jobs import cues as U
 from blockalloc.jobs.statistics import rounded
 from blockalloc.operators import blocks as K
+from blockalloc.operators import integrity as I
 from blockalloc.operators import release as R
-from blockalloc.sources.views import PIXELS_SQL, frames, pixels, rgb
+from blockalloc.sources.views import PIXELS_SQL, frames, pixels, rgb, stored_frames
 
 TOP = 4
 
@@ -307,6 +308,62 @@ EMA_SQL = recurrence_sql("0.4e0 * r.carry + 0.6e0 * s.v", "least(255, greatest(0
 ONCE = "round_even(0.72e0 * s.v + (1 - 0.72e0) * r.carry, 0)"
 CAUSAL_SQL = recurrence_sql(f"least(255, greatest(0, round_even(0.82e0 * {ONCE} + (1 - 0.82e0) * r.carry, 0)))", "carry")
 
+
+
+def axis_sql(name: str, size: int, out: int) -> str:
+    """Where each of ``out`` positions stands between two of ``size``."""
+    at = f"least({size - 1}, greatest(0, (i + 0.5e0) * {size} / {out}e0 - 0.5e0))"
+    return f"{name} AS (SELECT CAST(i AS INTEGER) AS i, CAST(floor({at}) AS INTEGER) AS lo, CAST(least({size - 1}, floor({at}) + 1) AS INTEGER) AS hi, {at} - floor({at}) AS f FROM (SELECT unnest(range({out})) AS i))"
+
+
+def resize_sql(name: str, source: str, size: int, out: int) -> str:
+    """Square frames as lists, from one size to another."""
+    row = lambda r: f"((1 - b.f) * v[a.{r} * {size} + b.lo + 1] + b.f * v[a.{r} * {size} + b.hi + 1])"
+    value = f"CAST(floor((1 - a.f) * {row('lo')} + a.f * {row('hi')} + 0.5e0 + 1e-9) AS INTEGER)"
+    return f"{axis_sql(name + '_axis', size, out)}, {name} AS (SELECT video_id, frame_idx, list({value} ORDER BY a.i, b.i) AS v FROM {source}, {name}_axis a, {name}_axis b GROUP BY ALL)"
+
+
+LISTS_SQL = "lists AS (SELECT video_id, frame_idx, list(v ORDER BY y, x) AS v FROM pixels GROUP BY ALL)"
+DIGEST = "sha256(array_to_string(v, ','))"
+
+
+def truth_kinds(f: DataFrame) -> DataFrame:
+    """Frames in another size, of which some videos lack the first and some are one place late."""
+    kind = F.substring("video_id", 2, 9).cast("int") % 3
+    return f.where((kind != 0) | (F.col("frame_idx") > 0)).withColumn("frame_idx", F.when(kind == 1, F.col("frame_idx") + 1).otherwise(F.col("frame_idx")))
+
+
+def warped(spark: SparkSession, d: str) -> DataFrame:
+    return R.warp(frames(spark, d).withColumns({"dx": F.transform("v", lambda v, i: (i % 5 - 2) * 0.5), "dy": F.transform("v", lambda v, i: (i % 3 - 1) * 0.75)}))
+
+
+def warp_sql() -> str:
+    mirrored = lambda k: f"(CASE WHEN ({k} + 16) % 16 < 8 THEN ({k} + 16) % 16 ELSE 15 - ({k} + 16) % 16 END)"
+    at = lambda j, i: f"v[{mirrored(f'(y0 + {j})')} * 8 + {mirrored(f'(x0 + {i})')} + 1]"
+    row = lambda j: f"((1 - fx) * {at(j, 0)} + fx * {at(j, 1)})"
+    return f"""WITH {PIXELS_SQL}, {LISTS_SQL}, p AS (SELECT i, i // 8 - (i % 3 - 1) * 0.75e0 AS ay, i % 8 - (i % 5 - 2) * 0.5e0 AS ax FROM (SELECT CAST(unnest(range(64)) AS INTEGER) AS i)),
+    q AS (SELECT i, CAST(floor(ay) AS INTEGER) AS y0, CAST(floor(ax) AS INTEGER) AS x0, ay - floor(ay) AS fy, ax - floor(ax) AS fx FROM p),
+    o AS (SELECT video_id, frame_idx, list(CAST(floor((1 - fy) * {row(0)} + fy * {row(1)} + 0.5e0 + 1e-9) AS INTEGER) ORDER BY i) AS v FROM lists, q GROUP BY ALL)
+    SELECT video_id, frame_idx, 8 AS height, 8 AS width, {DIGEST} AS digest FROM o"""
+
+
+def in_order_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Random maps of all videos as one generator a video draws them."""
+    counted = frames(spark, d).groupBy("video_id").agg((F.max("frame_idx") + 1).alias("frames"))
+    return K.random_maps(counted, 4)
+
+
+def stored(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Stored frames beside a list of videos that names one more after each label."""
+    raw = stored_frames(spark, d)
+    number = F.substring("video_id", 2, 9).cast("int")
+    some = raw.select("video_id").distinct()
+    return I.frame_table(raw, some.unionByName(some.select(F.concat(F.lit("v"), (number + 1).cast("string")).alias("video_id"))))
+
+
+STORED_SQL = f"""WITH {PIXELS_SQL}, s AS (SELECT video_id, frame_idx, unhex(string_agg(printf('%02X%02X%02X', v, v * 3 % 256, v * 7 % 256), '' ORDER BY y, x)) AS rgb, CAST(substring(video_id, 2) AS INTEGER) % 4 AS kind FROM pixels GROUP BY ALL)
+SELECT video_id, frame_idx, 8 AS height, 8 AS width, CASE WHEN kind = 0 THEN 29.97e0 ELSE 25e0 END AS fps, CAST(octet_length(rgb) AS INTEGER) AS n_bytes, sha256(rgb) AS digest FROM s"""
+
 P, S4 = f"WITH {PIXELS_SQL}", f"WITH {scores_sql(4)}"
 CELLS = "video_id, frame_idx, bi, bj, round(score, 6) AS score"
 YCC_SQL = "WITH {p}, c AS (SELECT *, v / 255e0 AS r, (v * 3 % 256) / 255e0 AS g, (v * 7 % 256) / 255e0 AS b FROM pixels)"
@@ -336,6 +393,11 @@ QUERIES = {
         lambda s, d: frames(s, d).select("video_id", "frame_idx", "height", "width", F.lit(25.0).alias("fps"), F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x).alias("total")),
         f"{P} SELECT video_id, frame_idx, 8 AS height, 8 AS width, 25e0 AS fps, CAST(sum(v) AS BIGINT) AS total FROM pixels GROUP BY 1, 2",
     ),
+    "a5_stored_frames": (lambda s, d: stored(s, d)[0].select("video_id", "frame_idx", "height", "width", "fps", F.length("rgb").alias("n_bytes"), F.sha2("rgb", 256).alias("digest")), STORED_SQL),
+    "a5_frame_failures": (
+        lambda s, d: stored(s, d)[1],
+        "WITH v AS (SELECT DISTINCT label AS v FROM embeddings WHERE label IS NOT NULL) SELECT DISTINCT 'v' || CAST(v + 1 AS VARCHAR) AS video_id, 'no frames' AS error FROM v WHERE v + 1 NOT IN (SELECT v FROM v)",
+    ),
     "e1_block_bounds": (
         e1_bounds,
         """WITH v AS (SELECT DISTINCT 'v' || CAST(label AS VARCHAR) AS video_id FROM embeddings), g AS (SELECT * FROM v, (VALUES (3), (4), (14)) p(parts), (VALUES (8), (240)) l(length)),
@@ -359,8 +421,20 @@ QUERIES = {
         """WITH g AS (SELECT p_partkey, p_size * 7 + 50 AS h, p_size * 5 + 90 AS w, 224e0 / greatest(p_size * 7 + 50, p_size * 5 + 90) AS scale FROM part), n AS (SELECT *, CAST(round_even(h * scale, 0) AS INTEGER) AS new_h, CAST(round_even(w * scale, 0) AS INTEGER) AS new_w FROM g),
         t AS (SELECT *, CAST((224 - new_h) // 2 AS INTEGER) AS top, CAST((224 - new_w) // 2 AS INTEGER) AS l FROM n) SELECT p_partkey, round(scale, 6) AS scale, new_h, new_w, top, l AS "left", CAST(224 - new_h - top AS INTEGER) AS bottom, CAST(224 - new_w - l AS INTEGER) AS "right" FROM t""",
     ),
-    "e5_letterbox": (lambda s, d: plain(R.letterbox(frames(s, d), 14)), None),
-    "e5_letterbox_restore": (lambda s, d: plain(R.unletterbox(R.letterbox(frames(s, d), 16).withColumns({"full_h": F.lit(8), "full_w": F.lit(8)}))), None),
+    "e5_letterbox": (lambda s, d: plain(R.letterbox(frames(s, d), 14)), f"WITH {PIXELS_SQL}, {LISTS_SQL}, {resize_sql('box', 'lists', 8, 14)} SELECT video_id, frame_idx, 14 AS height, 14 AS width, {DIGEST} AS digest FROM box"),
+    "e5_letterbox_restore": (
+        lambda s, d: plain(R.unletterbox(R.letterbox(frames(s, d), 16).withColumns({"full_h": F.lit(8), "full_w": F.lit(8)}))),
+        f"WITH {PIXELS_SQL}, {LISTS_SQL}, {resize_sql('box', 'lists', 8, 16)}, {resize_sql('back', 'box', 16, 8)} SELECT video_id, frame_idx, 8 AS height, 8 AS width, {DIGEST} AS digest FROM back",
+    ),
+    "e6_aligned": (
+        lambda s, d: (lambda f: R.aligned(truth_kinds(R.letterbox(f, 12)), f).select("video_id", "frame_idx", "height", "width", F.sha2(F.array_join("v", ","), 256).alias("digest"), "resized"))(frames(s, d)),
+        f"WITH {PIXELS_SQL}, {LISTS_SQL}, {resize_sql('box', 'lists', 8, 12)}, {resize_sql('back', 'box', 12, 8)} SELECT video_id, frame_idx, 8 AS height, 8 AS width, {DIGEST} AS digest, true AS resized FROM back WHERE CAST(substring(video_id, 2) AS INTEGER) % 3 = 2",
+    ),
+    "e6_count_failures": (
+        lambda s, d: (lambda f: R.count_failures(truth_kinds(f), f))(frames(s, d)),
+        f"""WITH {PIXELS_SQL}, n AS (SELECT video_id, CAST(substring(video_id, 2) AS INTEGER) % 3 AS kind, count(*) AS n FROM f GROUP BY 1)
+        SELECT video_id, CAST(n - 1 + kind AS BIGINT) AS n_frames, n AS n_truth, CASE kind WHEN 0 THEN 'frame count' ELSE 'frame places' END AS reason FROM n WHERE kind < 2""",
+    ),
     "e6_match_size": (lambda s, d: R.match_size(R.letterbox(frames(s, d), 12).unionByName(frames(s, d).where("frame_idx = 0")), frames(s, d)).select("video_id", "frame_idx", "height", "width", "resized"), f"WITH {PIXELS_SQL} SELECT video_id, frame_idx, 8 AS height, 8 AS width, true AS resized FROM f UNION ALL SELECT video_id, frame_idx, 8, 8, false FROM f WHERE frame_idx = 0"),
     "e7_channel_normalisation": (
         lambda s, d: rounded(pixels(frames(s, d)).groupBy("video_id", "frame_idx").agg(*(F.avg((c / 255 - m) / sd).alias(n) for n, c, m, sd in zip("rgb", rgb(), (0.485, 0.456, 0.406), (0.229, 0.224, 0.225), strict=True)))),
@@ -391,6 +465,7 @@ QUERIES = {
         e17,
         f"{S4} SELECT video_id, frame_idx, bi, bj, round(CAST(CAST('0x' || sha256('42|' || video_id || '|' || frame_idx || '|' || bi || '|' || bj)[1:13] AS UBIGINT) AS DOUBLE) / 4503599627370496e0, 6) AS score FROM scores",
     ),
+    "e17_random_scores_in_order": (in_order_scores, None),
     "e18_alignment": (
         e18,
         f"{S4}, sh AS (SELECT video_id, frame_idx, (bi + 1) % 4 AS bi, (bj + 1) % 4 AS bj, score FROM scores), {mask_sql('cand', 'sh')}, {mask_sql('ref')}, {ALIGN_SQL} SELECT video_id, round(c / t, 6) AS candidate_area, round(r / t, 6) AS reference_area, round(i / r, 6) AS reference_coverage, round(i / c, 6) AS candidate_precision, round(i / (c + r - i), 6) AS iou, round(i / r / (c / t), 6) AS coverage_lift FROM a",
@@ -421,5 +496,5 @@ QUERIES = {
         f"WITH {query_sql(1.0)} SELECT video_id, round(avg(scale), 6) AS avg_clip_scale, count(*) AS selected_blocks, count(DISTINCT frame_idx) AS frames FROM sc GROUP BY 1",
     ),
     "g22_causal_smoothing": (lambda s, d: plain(R.causal_smoothing(frames(s, d))), CAUSAL_SQL),
-    "g23_warp": (lambda s, d: plain(R.warp(frames(s, d).withColumns({"dx": F.transform("v", lambda v, i: (i % 5 - 2) * 0.5), "dy": F.transform("v", lambda v, i: (i % 3 - 1) * 0.75)}))), None),
+    "g23_warp": (lambda s, d: plain(warped(s, d)), warp_sql()),
 }

@@ -178,6 +178,18 @@ SOBEL_SQL = f"""WITH {PIXELS_SQL}, o AS (SELECT unnest([-1, 0, 1]) AS o), t AS (
   m AS (SELECT video_id, frame_idx, CAST(y // 2 AS INTEGER) AS py, CAST(x // 2 AS INTEGER) AS px, avg(sqrt(CAST(gx * gx + gy * gy AS DOUBLE))) AS score FROM t GROUP BY ALL)
   SELECT video_id, frame_idx, py, px, round((score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w + 1e-8), 6) AS score FROM m WINDOW w AS (PARTITION BY video_id, frame_idx)"""
 
+
+def texture_cue(spark: SparkSession, d: str) -> DataFrame:
+    """The texture cue of clips of eight frames, four apart, by a block of 2 x 2 patches."""
+    f = frames(spark, d).withColumnRenamed("v", "gray")
+    n = f.groupBy("video_id").agg((F.max("frame_idx") + 1).alias("frames"))
+    return C.texture_cue(f, C.clips(n, 8, 4).select("video_id", "clip_idx", "start_idx"), 2, 2)
+
+
+TEXTURE_SQL = f"""{SOBEL_SQL.rpartition('SELECT video_id, frame_idx, py, px, round')[0].rstrip()}, z AS (SELECT video_id, frame_idx, py, px, (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w + 1e-8) AS score FROM m WINDOW w AS (PARTITION BY video_id, frame_idx)),
+  cl AS (SELECT video_id, unnest(range(0, greatest(0, CAST(ceil((max(frame_idx) + 1 - 8) / 4e0) AS BIGINT)) + 1)) AS clip_idx FROM pixels GROUP BY 1)
+  SELECT cl.video_id, CAST(clip_idx AS INTEGER) AS clip_idx, CAST(py // 2 AS INTEGER) AS bi, CAST(px // 2 AS INTEGER) AS bj, round(avg(score), 6) AS score FROM cl JOIN z ON z.video_id = cl.video_id AND z.frame_idx = clip_idx * 4 GROUP BY ALL"""
+
 MAP = "video_id, clip_idx, u, bi, bj, round(score, 6) AS score"
 
 def merged(spark: SparkSession, d: str, clip_maps: DataFrame) -> DataFrame:
@@ -228,6 +240,7 @@ QUERIES = {
         f"WITH {FLOWS_SQL} SELECT video_id, clip_idx, CAST(flow_idx // 2 AS INTEGER) AS u, b, round(least(1, avg(sqrt(dx * dx + dy * dy) / 6)), 6) AS score FROM flows GROUP BY ALL",
     ),
     "g7_texture": (lambda s, d: rounded(C.sobel_patches(frames(s, d).withColumnRenamed("v", "gray"), 2)), SOBEL_SQL),
+    "g7_texture_cue": (lambda s, d: rounded(texture_cue(s, d)), TEXTURE_SQL),
     "g8_fusion": (lambda s, d: rounded(C.fuse(cue_table(s, d), GRID)), f"WITH {CUES_SQL}, {fuse_sql(C.WEIGHTS)} SELECT {MAP} FROM fused"),
     "g8_single_cue": (lambda s, d: rounded(C.fuse(cue_table(s, d), GRID, ONLY)), f"WITH {CUES_SQL}, {fuse_sql(ONLY)} SELECT {MAP} FROM fused"),
     "g9_grid_smoothing": (lambda s, d: rounded(C.smooth_grid(maps(s, d), GRID, ["video_id", "clip_idx", "u"])), f"WITH {MAPS_SQL}, {smooth_sql('maps', 'sm')} SELECT {MAP} FROM sm"),

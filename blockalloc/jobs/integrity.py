@@ -141,6 +141,15 @@ def d8(spark: SparkSession, d: str) -> DataFrame:
     return m.select("video_id", A.mixed_seed(F.col("frames").cast("long"), F.lit(1), F.lit(2), F.lit(3), F.lit(4), F.lit(0)).alias("seed"))
 
 
+def mix_sql(parts: list[int]) -> str:
+    """The wrapping mix, a step a part, in whole numbers of 128 bits."""
+    steps = ["mix_0 AS (SELECT video_id, CAST(frames AS UBIGINT) AS h FROM manifest)"]
+    for i, p in enumerate(parts):
+        times = f"CAST((CAST(xor(h, CAST({(p + A.MIX_ADD) % 2**64} AS UBIGINT)) AS UHUGEINT) * CAST({A.MIX_TIMES} AS UHUGEINT)) % CAST({2**64} AS UHUGEINT) AS UBIGINT)"
+        steps.append(f"mix_{i + 1} AS (SELECT video_id, xor(h, h >> {A.MIX_SHIFT}) AS h FROM (SELECT video_id, {times} AS h FROM mix_{i}))")
+    return ", ".join(steps)
+
+
 M, V = f"WITH {MANIFEST_SQL}", f"WITH {VIDEOS_SQL}"
 
 QUERIES = {
@@ -172,7 +181,8 @@ QUERIES = {
     "b9_forbidden_paths": (lambda s, d: I.forbidden(manifest(s, d), ["Brand_11", "tmp"], ["txt", "mov"]).select("path"), f"{M} SELECT path FROM manifest WHERE list_has_any(string_split(path, '/'), ['Brand_11', 'tmp']) OR lower(regexp_extract(path, '\\.([^./]+)$', 1)) IN ('txt', 'mov')"),
     "b10_asset_manifest": (
         lambda s, d: rounded(I.asset_manifest(motion(s, d).withColumns({"policy": F.lit("motion"), "seed": F.lit(42)})), "total"),
-        f"WITH {scores_sql(4)} SELECT video_id, 'motion' AS policy, 42 AS seed, CAST(max(frame_idx) + 1 AS INTEGER) AS frames, CAST(max(bi) + 1 AS INTEGER) AS block_grid, count(*) AS cells, round(sum(score), 6) AS total FROM scores GROUP BY 1",
+        f"""WITH {scores_sql(4)}, fd AS (SELECT video_id, frame_idx, max(bi) AS bi, count(*) AS n, sum(score) AS total, sha256(string_agg(CAST(CAST(round(score * 1e6) AS BIGINT) AS VARCHAR), ',' ORDER BY bi, bj)) AS d FROM scores GROUP BY ALL)
+        SELECT video_id, 'motion' AS policy, 42 AS seed, CAST(max(frame_idx) + 1 AS INTEGER) AS frames, CAST(max(bi) + 1 AS INTEGER) AS block_grid, CAST(sum(n) AS BIGINT) AS cells, round(sum(total), 6) AS total, sha256(string_agg(d, ',' ORDER BY frame_idx)) AS digest FROM fd GROUP BY 1""",
     ),
     "c1_balanced_subset": (
         c1,
@@ -216,5 +226,5 @@ QUERIES = {
         "SELECT event_id AS id, CASE WHEN event_id % 3 < 2 THEN 'covered' ELSE 'not covered' END AS claim, CASE WHEN event_id % 3 < 2 THEN NULL ELSE 'mask depends on the released data' END AS warning FROM events",
     ),
     "d7_release_gate": (d7, D7_SQL),
-    "d8_seed_mix": (d8, None),
+    "d8_seed_mix": (d8, f"{M}, {mix_sql([1, 2, 3, 4, 0])} SELECT video_id, CAST(h % 4294967295 AS BIGINT) AS seed FROM mix_5"),
 }

@@ -95,8 +95,37 @@ def h10(spark: SparkSession, d: str) -> DataFrame:
 
 
 def h10_large(spark: SparkSession, d: str) -> DataFrame:
-    """Poisson resampling by partial sums, for comparisons over millions of videos."""
-    return nine(B.poisson_intervals(e1(spark, d), ["comparison", "metric"], "video_id", resamples=B.RESAMPLES))
+    """Exact resampling cell by cell, for comparisons over millions of videos."""
+    seeds = lambda c, m: B.stable_seed(SUITE_SEED, "E1", *c.split(" vs "), m)
+    return nine(B.multinomial_intervals(steady(e1(spark, d)), ["comparison", "metric"], "video_id", seeds))
+
+
+def h11_large(spark: SparkSession, d: str) -> DataFrame:
+    seeds = lambda c, m: B.stable_seed(SUITE_SEED, "median", c, m)
+    return nine(B.multinomial_intervals(steady(e1(spark, d)), ["comparison", "metric"], "video_id", seeds, "median"))
+
+
+def h11_in_order(spark: SparkSession, d: str) -> DataFrame:
+    """Means and medians of all comparisons from one generator, metric by metric."""
+    order = [(f"{a} vs {b}", m) for m in M for a, b in PAIRS]
+    return nine(B.in_order_intervals(steady(e1(spark, d)), ["comparison", "metric"], order, "video_id", SUITE_SEED))
+
+
+def h6_units(spark: SparkSession, d: str) -> DataFrame:
+    """Methods that a merge requires and doesn't find whole, by metric rows of every run's method."""
+    m = S.grouped_means(runs(spark, d), ["video_id", "policy"])
+    left = m.where("not (policy = 'RF' and video_id like '%3')").select("video_id", "policy", "cover")
+    right = m.select("video_id", "policy", "inc_errshare")
+    return S.checked_merge(left, right, ["video_id", "policy"], ["inc_errshare"], "policy", ("AF", "NF", "NO", "RF", "XX"))[1]
+
+
+def h8_exact(spark: SparkSession, d: str) -> DataFrame:
+    """Wins and ties of single runs, where only equal values tie; seeds and budgets pair with themselves."""
+    unit = F.concat_ws("/", "video_id", F.col("seed").cast("string"), F.col("top_k").cast("string"))
+    return rounded(nine(S.paired_table(S.paired_differences(runs(spark, d).withColumn("video_id", unit), PAIRS), tie=0.0, tie_in_test=0.0)), "exact_sign_p")
+
+
+RUN_UNITS_SQL = f"{RUNS_SQL}, unit AS (SELECT * REPLACE (video_id || '/' || seed || '/' || top_k AS video_id) FROM runs)"
 
 
 def h11(spark: SparkSession, d: str) -> DataFrame:
@@ -208,6 +237,14 @@ QUERIES = {
         h6,
         f"{R}, m AS (SELECT video_id, policy FROM runs GROUP BY ALL) SELECT 'duplicate on the left' AS problem, video_id || '/' || policy AS key FROM m WHERE video_id = 'v1' UNION ALL SELECT 'missing metric', video_id || '/' || policy FROM (SELECT * FROM m UNION ALL SELECT * FROM m WHERE video_id = 'v1') WHERE video_id LIKE '%7'",
     ),
+    "h6_method_units": (
+        h6_units,
+        f"""{R}, m AS (SELECT video_id, policy FROM runs GROUP BY ALL), l AS (SELECT * FROM m WHERE NOT (policy = 'RF' AND video_id LIKE '%3')), n AS (SELECT policy, count(DISTINCT video_id) AS n FROM l GROUP BY 1), w AS (SELECT unnest(['AF', 'NF', 'NO', 'RF', 'XX']) AS policy)
+        SELECT 'missing method' AS problem, policy AS key FROM w WHERE policy NOT IN (SELECT policy FROM n) UNION ALL SELECT 'units of a method', policy FROM n JOIN w USING (policy) WHERE n.n <> (SELECT count(DISTINCT video_id) FROM l)""",
+    ),
+    "h8_exact_ties": (h8_exact, f"WITH {RUN_UNITS_SQL}, {diff_sql(source='unit')}, {table_sql(tie='0', tie_in_test='0')} {pick().replace('round(exact_sign_p, 9)', 'round(exact_sign_p, 6)')}"),
+    "h11_bootstrap_median_large": (h11_large, None),
+    "h11_bootstrap_in_order": (h11_in_order, None),
     "h7_paired_differences": (lambda s, d: nine(e1(s, d)), f"{D1} SELECT video_id, comparison, metric, round(left_value, 9) AS left_value, round(right_value, 9) AS right_value, round(difference, 9) AS difference FROM d"),
     "h8_wins_lower_is_better": (
         lambda s, d: nine(S.paired_table(e1(s, d), tie=0.001, direction="lower", tie_in_test=1e-12)),

@@ -57,14 +57,22 @@ def rdp_curve(frames: Column, k: Column, clip: Column, sigma: Column, delta: Col
 
 
 def best_epsilon(frames: Column, k: Column, clip: Column, sigma: Column, delta: Column) -> Column:
-    """Struct (eps, alpha, rho, delta_sensitivity) at the smallest eps, the first alpha that attains it.
+    """Struct (eps, alpha, rho, sensitivity) at the smallest eps, the first alpha that attains it.
 
-    Null where frames, k, clip or sigma isn't positive: such a row is invalid.
+    eps = c alpha + ln(1 / delta) / (alpha - 1) is convex in alpha, with its minimum at
+    1 + sqrt(ln(1 / delta) / c): the whole numbers around it, inside the curve's ends, are all
+    that is compared. Null where frames, k, clip or sigma isn't positive: such a row is invalid.
     """
-    best = F.array_min(F.transform(rdp_curve(frames, k, clip, sigma, delta), lambda s: F.struct(s["eps"].alias("eps"), s["alpha"].alias("alpha"), s["rho"].alias("rho"))))
+    d = sensitivity(clip, k)
+    low, high = ALPHAS
+    per = lambda a: frames * a * d * d / (2 * sigma * sigma)
+    loss = F.log(1 / clamped(delta))
     valid = (frames > 0) & (k > 0) & (clip > 0) & (sigma > 0)
-    # through an array of one, so that the curve is evaluated once and not for each field
-    whole = lambda s: F.struct(s["eps"].alias("eps"), s["alpha"].alias("alpha"), s["rho"].alias("rho"), sensitivity(clip, k).alias("sensitivity"))
+    bottom = F.floor(F.least(F.lit(float(high)), 1 + F.sqrt(loss / F.when(valid, per(F.lit(1)))))).cast("int")
+    near = F.sequence(F.greatest(F.lit(low), bottom - 1), F.greatest(F.lit(low), F.least(F.lit(high), bottom + 2)))
+    best = F.array_min(F.transform(near, lambda a: F.struct((per(a) + loss / (a - 1)).alias("eps"), a.alias("alpha"), per(a).alias("rho"))))
+    # through an array of one, so that the candidates are evaluated once and not for each field
+    whole = lambda s: F.struct(s["eps"].alias("eps"), s["alpha"].alias("alpha"), s["rho"].alias("rho"), d.alias("sensitivity"))
     return F.when(valid, F.transform(F.array(best), whole)[0])
 
 

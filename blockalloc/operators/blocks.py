@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from blockalloc.operators.bootstrap import stable_seed
+from blockalloc.operators.draws import random_frames
 from blockalloc.operators.quantiles import alike, exact_quantiles
 
 CELL = ("frame_idx", "bi", "bj")
@@ -135,14 +137,41 @@ def quantile_clip(scores: DataFrame, keys: Sequence[str] = ("video_id",), low: f
     return scores.join(q, list(keys)).withColumn("score", F.when(wide, inside).otherwise(unit(F.col("score")) if clip_degenerate else F.col("score"))).drop("_q")
 
 
-def min_max(rows: DataFrame, keys: Sequence[str], column: str = "score") -> DataFrame:
-    """(x - min) / (max - min + 1e-8) over each group; the ends are aggregated and joined back, so a large group stays in many tasks."""
+def min_max(rows: DataFrame, keys: Sequence[str], column: str = "score", bounded: bool = False) -> DataFrame:
+    """(x - min) / (max - min + 1e-8) over each group.
+
+    The ends are aggregated and joined back, so a large group stays in many tasks; where
+    groups are ``bounded`` (a clip) a window saves the join.
+    """
+    if bounded:
+        w = Window.partitionBy(*keys)
+        lo, hi = F.min(column).over(w), F.max(column).over(w)
+        return rows.withColumn(column, (F.col(column) - lo) / (hi - lo + 1e-8))
     names = [f"_key_{i}" for i in range(len(keys))]
     ends = rows.groupBy(*(F.col(k).alias(n) for k, n in zip(keys, names, strict=True))).agg(F.min(column).alias("_lo"), F.max(column).alias("_hi"))
     scaled = (F.col(column) - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1e-8)
     return rows.join(ends, alike(keys, names)).withColumn(column, scaled).drop(*names, "_lo", "_hi")
 
 
+def random_maps(videos: DataFrame, grid: int, seed: int = 42, label: str = "random-mask", bucket: int = 256) -> DataFrame:
+    """(video_id, frame_idx, bi, bj, score): the score maps that one generator a video draws for its ``frames`` frames in order, in single precision.
+
+    A video's buckets of frames jump to their place in its stream, so they run side by side and give the same numbers as one pass.
+    """
+    counted = videos.select("video_id", F.col("frames").cast("long").alias("frames")).where("frames > 0")
+    first = F.explode(F.sequence(F.lit(0).cast("long"), F.col("frames") - 1, F.lit(bucket).cast("long")))
+    parts = counted.select("video_id", "frames", first.alias("first")).repartition("video_id", "first")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for video, frames, at in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                n = min(bucket, frames - at)
+                scores = random_frames(stable_seed(seed, video, label), at, n, grid * grid)
+                yield from exploded(pa.chunked_array([pa.array([video] * n, pa.string())]), np.arange(at, at + n), grid, score=scores).to_batches()
+
+    return parts.mapInArrow(run, "video_id string, frame_idx int, bi int, bj int, score float")
+
+
 def shifted(scores: DataFrame, grid: int, rows: int | None = None, cols: int | None = None) -> DataFrame:
     """Each score map rolled around the grid, by a quarter of its rows and a third of its columns unless told."""
     dr, dc = max(1, grid // 4) if rows is None else rows, max(1, grid // 3) if cols is None else cols

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from blockalloc.operators.blocks import by_size, images, min_max
+from blockalloc.operators.blocks import block_of, by_size, images, min_max
 
 CLIP = ("video_id", "clip_idx")
 
@@ -55,7 +55,7 @@ def temporal_change(tokens: DataFrame) -> DataFrame:
     diff = F.when(before.isNull(), 0.0).otherwise(norm(F.zip_with("vec", before, lambda a, b: a - b)))
     rows = tokens.withColumn("score", diff).drop("vec")
     w = Window.partitionBy(*CLIP)
-    return min_max(rows, CLIP).withColumn("score", F.when(F.max("u").over(w) > F.min("u").over(w), F.col("score")).otherwise(0.0))
+    return min_max(rows, CLIP, bounded=True).withColumn("score", F.when(F.max("u").over(w) > F.min("u").over(w), F.col("score")).otherwise(0.0))
 
 
 def centrality(tokens: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -102,9 +102,9 @@ WEIGHTS = {"attn": 0.85, "temp": 0.10, "tex": 0.03, "flow": 0.02}
 def fuse(cues: DataFrame, grid: int, weights: dict[str, float] = WEIGHTS) -> DataFrame:
     """Risk maps (video_id, clip_idx, u, bi, bj, score) from cue columns: each min-max normalised over its clip, weighted, normalised, smoothed and clamped."""
     for name in weights:
-        cues = min_max(cues, CLIP, name)
+        cues = min_max(cues, CLIP, name, bounded=True)
     rows = cues.select(*CLIP, "u", "bi", "bj", sum((w * F.col(n) for n, w in weights.items()), F.lit(0.0)).alias("score"))
-    rows = min_max(rows, CLIP).withColumn("score", unit(F.col("score")))
+    rows = min_max(rows, CLIP, bounded=True).withColumn("score", unit(F.col("score")))
     return smooth_grid(rows, grid, [*CLIP, "u"])
 
 
@@ -293,3 +293,19 @@ def sobel_patches(frames: DataFrame, patch: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, ["video_id", "frame_idx", "py", "px", "score"])
 
     return frames.select("video_id", "frame_idx", "height", "width", "gray").mapInArrow(run, "video_id string, frame_idx int, py int, px int, score double")
+
+
+def texture_cue(frames: DataFrame, clips: DataFrame, patch: int, grid: int) -> DataFrame:
+    """(video_id, clip_idx, bi, bj, score): the texture of each clip's first frame, by block.
+
+    ``clips(video_id, clip_idx, start_idx)`` name the reference frames; their Sobel
+    magnitudes are averaged over patches, min-max normalised over the frame, and
+    averaged over the patches of each of grid x grid blocks. A frame that several clips begin with is read once.
+    """
+    starts = clips.select("video_id", "clip_idx", F.col("start_idx").cast("int").alias("frame_idx")).distinct()
+    first = frames.join(starts.select("video_id", "frame_idx").distinct(), ["video_id", "frame_idx"], "left_semi")
+    sides = first.select("video_id", "frame_idx", F.floor(F.col("height") / patch).cast("int").alias("_rows"), F.floor(F.col("width") / patch).cast("int").alias("_cols"))
+    patches = sobel_patches(first, patch).join(sides, ["video_id", "frame_idx"])
+    at = patches.withColumns({"bi": block_of(F.col("py"), F.col("_rows"), grid), "bj": block_of(F.col("px"), F.col("_cols"), grid)})
+    blocks = at.groupBy("video_id", "frame_idx", "bi", "bj").agg(F.avg("score").alias("score"))
+    return starts.join(blocks, ["video_id", "frame_idx"]).select("video_id", "clip_idx", "bi", "bj", "score")

@@ -119,8 +119,16 @@ def forbidden(paths: DataFrame, parts: Sequence[str], suffixes: Sequence[str]) -
 
 
 def asset_manifest(scores: DataFrame) -> DataFrame:
-    """(video_id, policy, seed, frames, block_grid, cells, total) of each score map."""
-    return scores.groupBy("video_id", "policy", "seed").agg((F.max("frame_idx") + 1).alias("frames"), (F.max("bi") + 1).alias("block_grid"), F.count("*").alias("cells"), F.round(F.sum("score"), 6).alias("total"))
+    """(video_id, policy, seed, frames, block_grid, cells, total, digest) of each score map.
+
+    The digest is a SHA-256 over the digests of the frames in order; a frame's is over its
+    cells' scores in row order, as whole millionths.
+    """
+    run = ("video_id", "policy", "seed")
+    cells = F.array_sort(F.collect_list(F.struct("bi", "bj", F.round(F.col("score") * 1e6).cast("long").alias("s"))))
+    frame = scores.groupBy(*run, "frame_idx").agg(F.max("bi").alias("bi"), F.count("*").alias("n"), F.sum("score").alias("total"), F.sha2(F.array_join(F.transform(cells, lambda c: c["s"].cast("string")), ","), 256).alias("d"))
+    digests = F.transform(F.array_sort(F.collect_list(F.struct("frame_idx", "d"))), lambda s: s["d"])
+    return frame.groupBy(*run).agg((F.max("frame_idx") + 1).alias("frames"), (F.max("bi") + 1).alias("block_grid"), F.sum("n").alias("cells"), F.round(F.sum("total"), 6).alias("total"), F.sha2(F.array_join(digests, ","), 256).alias("digest"))
 
 
 def with_path_parts(paths: DataFrame) -> DataFrame:
@@ -135,10 +143,12 @@ def balanced_subset(videos: DataFrame, classes: int, per_class: int) -> DataFram
     """The first ``per_class`` videos by path of the first ``classes`` classes that have as many.
 
     Class sizes are aggregated first and classes ranked among themselves, so only
-    surviving classes are windowed.
+    surviving classes are windowed. An error where fewer than ``classes`` qualify.
     """
     sizes = videos.groupBy("class").count().where(F.col("count") >= per_class).select("class")
     kept = sizes.orderBy("class").limit(classes)
+    if (found := kept.count()) < classes:
+        raise ValueError(f"{found} classes have {per_class} videos; {classes} are asked for")
     place = F.row_number().over(Window.partitionBy("class").orderBy("path"))
     return videos.join(kept, "class").withColumn("place", place).where(F.col("place") <= per_class)
 
@@ -165,3 +175,24 @@ def by_method(rows: DataFrame, methods: Sequence[str], value: str) -> tuple[Data
     wide = rows.groupBy("video_id").agg(*(F.max(F.when(F.col("method") == m, F.col(value))).alias(m) for m in methods))
     gaps = F.array_compact(F.array(*(F.when(F.col(m).isNull(), F.lit(m)) for m in methods)))
     return split_failures(wide, F.when(F.size(gaps) > 0, F.concat(F.lit("missing method: "), F.array_join(gaps, ","))))
+
+
+#: Frames a second of a source that tells none.
+FPS = 25.0
+
+
+def frame_table(raw: DataFrame, videos: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Frames as stored and failures: ((video_id, frame_idx, height, width, fps, rgb), (video_id, error)).
+
+    ``raw`` has a frame's bytes ``rgb`` (three a pixel, row by row) and its source's ``fps``,
+    which is ``FPS`` where it is null, NaN or not positive. A video of ``videos(video_id)`` without frames
+    is a failure, and so is one with a frame of another number of bytes than its size asks for; the frames of failed videos are left out.
+    """
+    fps = F.when((F.col("fps") > 0) & ~F.isnan("fps"), F.col("fps").cast("double")).otherwise(FPS)
+    rows = raw.select("video_id", "frame_idx", "height", "width", fps.alias("fps"), "rgb")
+    wrong = ~F.coalesce(F.length("rgb") == 3 * F.col("height") * F.col("width"), F.lit(False))
+    held = rows.groupBy("video_id").agg(F.sum(wrong.cast("int")).alias("_wrong"))
+    listed = videos.select("video_id").distinct().join(held, "video_id", "left")
+    error = F.when(F.col("_wrong").isNull(), "no frames").when(F.col("_wrong") > 0, "frame size")
+    failures = listed.select("video_id", error.alias("error")).where("error is not null")
+    return rows.join(listed.where("_wrong = 0").select("video_id"), "video_id", "left_semi"), failures

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from blockalloc.operators.accounting import seed_mix
 from blockalloc.operators.blocks import by_size, edges, images
+from blockalloc.operators.draws import named_keys, stream_normals
 from blockalloc.operators.recurrence import BUCKET, WARM, affine_carries, replay, settled_carries
 
 #: BT.601 full-range conversion, rows Y, Cb, Cr.
@@ -42,12 +42,6 @@ def basis(n: int) -> np.ndarray:
     return b
 
 
-def keyed_normals(seed: int, video: str, frame: int, block: int, n: int) -> np.ndarray:
-    """Normals from a counter-based generator keyed by 128 bits of a SHA-256 over seed, video, frame and block: partitions don't matter, and no two blocks share noise."""
-    key = hashlib.sha256(f"{seed}|{frame}|{block}|{video}".encode()).digest()
-    return np.random.Generator(np.random.Philox(key=int.from_bytes(key[:16], "little"))).standard_normal(n)
-
-
 NAMES = ("video_id", "frame_idx", "height", "width")
 RUNS = "video_id string, frame_idx int, height int, width int"
 
@@ -114,9 +108,9 @@ def release(frames: DataFrame, grid: int, clip: float, sigma: float, seed: int =
 
     A selected block's luma is the inverse DCT of the clipped 2 x 2 query plus Gaussian
     noise, its chroma ``neutral``; other blocks pass through the colour conversion.
-    Values are clipped and cut to whole numbers. Noise is keyed by (seed, video, frame,
-    block), so frames are released in any order and on any partition alike; only the
-    draws go block by block.
+    Values are clipped and cut to whole numbers. Noise comes from a counter-based generator
+    keyed by seed and video, whose counters name frame and block: frames are released in
+    any order and on any partition alike, and all blocks of a batch draw at once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,8 +121,8 @@ def release(frames: DataFrame, grid: int, clip: float, sigma: float, seed: int =
                 q, scale = queries_of(ycc[0], grid, clip)
                 row, block, sizes = listed(t)
                 if sigma > 0 and len(row):
-                    video, frame = t["video_id"].to_pylist(), t["frame_idx"].to_pylist()
-                    noise = np.array([keyed_normals(seed, video[r], frame[r], int(b), 4) for r, b in zip(row, block, strict=True)])
+                    keys, frame = named_keys(seed, t["video_id"].to_pylist()), t["frame_idx"].to_numpy()
+                    noise = stream_normals(4, keys[row], frame[row], block, np.zeros(len(row), np.int64))
                     q[row, block] += sigma * noise.reshape(-1, 2, 2)
                 chosen = np.zeros((n, grid * grid), bool)
                 chosen[row, block] = True
@@ -209,11 +203,13 @@ def radial_ramp(size: int, r_low: float, r_high: float, cosine: bool = True, dc_
     return F.transform(cells, lambda c: F.struct(c["y"].alias("y"), c["x"].alias("x"), (F.when(c["y"] + c["x"] > 0, w(c)).otherwise(0.0) if dc_zero else w(c)).alias("weight")))
 
 
-def perturb_blocks(frames: DataFrame, grid: int, sigma: float, seed: int, low_cut: float = 0.0, power: float = 1.0, clip_k: float = 0.0) -> DataFrame:
-    """Every block and channel perturbed over its whole DCT by frequency-weighted, softly clipped noise, keyed by frame, block and channel; clipped and rounded.
+def perturb_blocks(frames: DataFrame, grid: int, sigma: float, seed: int, low_cut: float = 0.0, power: float = 1.0, clip_k: float = 0.0, tubelet: int = 2) -> DataFrame:
+    """Every block and channel perturbed over its whole DCT by frequency-weighted, softly clipped noise; clipped and rounded.
 
+    The noise of a block's channel is keyed by the seed mix of frame, segment (``tubelet``
+    frames), block row, block column and channel, beside 64 bits of the video's name.
     The transform is linear: the noise alone is turned back, for all blocks of equal-sized
-    frames at once, and added to the pixels. Only the draws go block by block.
+    frames at once, and added to the pixels.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,13 +220,16 @@ def perturb_blocks(frames: DataFrame, grid: int, sigma: float, seed: int, low_cu
                 g = (place(ys)[:, None] + place(xs)) / 2
                 weight = np.exp(-(np.maximum(0, (g - low_cut) / max(1e-6, 1 - low_cut)) ** power))
                 noise = np.zeros((len(t), 3, h, w))
-                for r, (video, frame) in enumerate(zip(t["video_id"].to_pylist(), t["frame_idx"].to_pylist(), strict=True)):
-                    for b in range(grid * grid):
-                        i, j = divmod(b, grid)
-                        size = (int(ys[i + 1] - ys[i]), int(xs[j + 1] - xs[j]))
-                        if size[0] * size[1]:
-                            for c in range(3):
-                                noise[r, c, ys[i] : ys[i + 1], xs[j] : xs[j + 1]] = keyed_normals(seed, video, frame, 4 * b + c, size[0] * size[1]).reshape(size)
+                video = np.repeat(named_keys(seed, t["video_id"].to_pylist())[:, 1], 3)
+                frame, channel = np.repeat(t["frame_idx"].to_numpy().astype(np.int64), 3), np.tile(np.arange(3), len(t))
+                for b in range(grid * grid):
+                    i, j = divmod(b, grid)
+                    size = (int(ys[i + 1] - ys[i]), int(xs[j + 1] - xs[j]))
+                    if size[0] * size[1]:
+                        named = np.stack([frame, frame // tubelet, np.full_like(frame, i), np.full_like(frame, j), channel], axis=1)
+                        mixed = seed_mix(np.full(len(frame), seed, np.uint64), named)
+                        drawn = stream_normals(size[0] * size[1], np.stack([mixed, video], axis=1), *np.zeros((3, len(frame)), np.int64))
+                        noise[:, :, ys[i] : ys[i + 1], xs[j] : xs[j + 1]] = drawn.reshape(len(t), 3, *size)
                 noise *= sigma
                 if clip_k > 0:
                     noise = clip_k * np.tanh(noise / clip_k)
@@ -241,27 +240,21 @@ def perturb_blocks(frames: DataFrame, grid: int, sigma: float, seed: int, low_cu
     return frames.select("video_id", "frame_idx", "height", "width", "rgb").mapInArrow(run, f"{RUNS}, rgb array<int>")
 
 
-def bilinear(image: np.ndarray, y: np.ndarray, x: np.ndarray, reflect: bool = False) -> np.ndarray:
-    """Values of [H, W] at real coordinates; outside, the nearest edge or (``reflect``) the mirror that repeats the edge."""
-    h, w = image.shape
-
-    def inside(i, n):
-        if not reflect:
-            return np.clip(i, 0, n - 1)
-        i = i % (2 * n)
-        return np.where(i < n, i, 2 * n - 1 - i)
-
-    y0, x0 = np.floor(y).astype(int), np.floor(x).astype(int)
-    fy, fx = y - y0, x - x0
-    at = lambda a, b: image[inside(a, h), inside(b, w)]
-    return (at(y0, x0) * (1 - fx) + at(y0, x0 + 1) * fx) * (1 - fy) + (at(y0 + 1, x0) * (1 - fx) + at(y0 + 1, x0 + 1) * fx) * fy
+@lru_cache(256)
+def weights_between(size: int, lo: int, hi: int, full: int, pad: int = 0, out: int | None = None) -> np.ndarray:
+    """[out, size]: rows ``pad`` .. ``pad + full`` interpolate linearly, pixel centres aligned, between positions lo .. hi of a side; other rows are zero."""
+    y = np.clip((np.arange(full) + 0.5) * (hi - lo) / full - 0.5, 0, hi - lo - 1)
+    y0 = np.floor(y).astype(int)
+    m = np.zeros((full if out is None else out, size))
+    rows = pad + np.arange(full)
+    np.add.at(m, (rows, lo + y0), 1 - (y - y0))
+    np.add.at(m, (rows, lo + np.minimum(y0 + 1, hi - lo - 1)), y - y0)
+    return m
 
 
-def resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Bilinear, with pixel centres aligned."""
-    y = (np.arange(height) + 0.5) * image.shape[0] / height - 0.5
-    x = (np.arange(width) + 0.5) * image.shape[1] / width - 0.5
-    return bilinear(image, np.broadcast_to(y[:, None], (height, width)), np.broadcast_to(x[None, :], (height, width)))
+def nearest(x: np.ndarray) -> np.ndarray:
+    """The nearest whole number, halves up; what is a half but for rounding noise counts as one."""
+    return np.floor(x + 0.5 + 1e-9)
 
 
 def letterbox_geometry(height: Column, width: Column, target: int) -> dict[str, Column]:
@@ -272,62 +265,101 @@ def letterbox_geometry(height: Column, width: Column, target: int) -> dict[str,
     return {"scale": scale, "new_h": nh, "new_w": nw, "top": top, "left": left, "bottom": target - nh - top, "right": target - nw - left}
 
 
-def mapped(frames: DataFrame, change, column: str = "v") -> DataFrame:
-    """A function of (image, row) on each frame's values; it may change the size."""
+def fitted(h: int, w: int, target: int) -> tuple[int, int, int, int]:
+    """New size and pads of a frame in a square."""
+    s = target / max(h, w)
+    nh, nw = round(h * s), round(w * s)
+    return nh, nw, (target - nh) // 2, (target - nw) // 2
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in batches:
-            rows = []
-            for r in f.itertuples(index=False):
-                out = change(np.asarray(getattr(r, column), float).reshape(r.height, r.width), r)
-                rows.append((r.video_id, r.frame_idx, *out.shape, np.round(out).astype(np.int32).ravel()))
-            yield pd.DataFrame(rows, columns=["video_id", "frame_idx", "height", "width", column])
 
-    return frames.mapInPandas(run, f"{RUNS}, {column} array<int>")
+def sized(t: pa.Table, *names: str) -> Iterator[tuple[tuple[int, ...], pa.Table]]:
+    """Rows of a table by the values of some whole-number columns."""
+    values = np.stack([t[n].to_numpy() for n in names], axis=1)
+    for v in np.unique(values, axis=0):
+        yield tuple(v.tolist()), t.filter(pa.array((values == v).all(1)))
+
+
+def resampled(frames: DataFrame, matrices: Callable[..., tuple[np.ndarray, np.ndarray]], sizes: tuple[str, ...], column: str) -> DataFrame:
+    """Frames through one pair of matrices a combination of ``sizes``: rows @ frame @ columns, for all such frames of a batch at once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for size, t in sized(pa.Table.from_batches([batch]), *sizes):
+                rows, columns = matrices(*size)
+                out = nearest(rows @ images(t[column], size[0], size[1]).astype(float) @ columns.T).astype(np.int32)
+                n = pa.array(np.full(len(t), out.shape[1], np.int32)), pa.array(np.full(len(t), out.shape[2], np.int32))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(t) + 1, dtype=np.int32) * out[0].size), pa.array(out.ravel()))
+                yield from pa.Table.from_arrays([t["video_id"], t["frame_idx"], *n, lists], [*NAMES, column]).to_batches()
+
+    return frames.select("video_id", "frame_idx", *sizes, column).mapInArrow(run, f"{RUNS}, {column} array<int>")
 
 
 def letterbox(frames: DataFrame, target: int, column: str = "v") -> DataFrame:
     """Frames resampled into a zero-padded square."""
 
-    def change(image, _):
-        h, w = image.shape
-        s = target / max(h, w)
-        nh, nw = round(h * s), round(w * s)
-        out = np.zeros((target, target))
-        out[(target - nh) // 2 : (target - nh) // 2 + nh, (target - nw) // 2 : (target - nw) // 2 + nw] = resize(image, nh, nw)
-        return out
+    def matrices(h: int, w: int) -> tuple[np.ndarray, np.ndarray]:
+        nh, nw, top, left = fitted(h, w, target)
+        return weights_between(h, 0, h, nh, top, target), weights_between(w, 0, w, nw, left, target)
 
-    return mapped(frames.select("video_id", "frame_idx", "height", "width", column), change, column)
+    return resampled(frames, matrices, ("height", "width"), column)
 
 
 def unletterbox(frames: DataFrame, column: str = "v") -> DataFrame:
     """Frames cut out of their square and resampled to ``full_h`` x ``full_w``."""
 
-    def change(image, r):
-        target = image.shape[0]
-        s = target / max(r.full_h, r.full_w)
-        nh, nw = round(r.full_h * s), round(r.full_w * s)
-        top, left = (target - nh) // 2, (target - nw) // 2
-        return resize(image[top : top + nh, left : left + nw], r.full_h, r.full_w)
+    def matrices(h: int, w: int, full_h: int, full_w: int) -> tuple[np.ndarray, np.ndarray]:
+        nh, nw, top, left = fitted(full_h, full_w, h)
+        return weights_between(h, top, top + nh, full_h), weights_between(w, left, left + nw, full_w)
 
-    return mapped(frames.select("video_id", "frame_idx", "height", "width", "full_h", "full_w", column), change, column)
+    return resampled(frames, matrices, ("height", "width", "full_h", "full_w"), column)
+
+
+def count_failures(frames: DataFrame, truth: DataFrame) -> DataFrame:
+    """(video_id, n_frames, n_truth, reason) of videos whose frames can't stand beside the ground truth: another number of them, or other places."""
+    of = lambda df, side: df.select("video_id", "frame_idx", F.lit(side).alias("side"))
+    both = of(frames, 0).unionByName(of(truth, 1)).groupBy("video_id", "frame_idx").agg(F.sum(1 - F.col("side")).alias("a"), F.sum("side").alias("b"))
+    n = both.groupBy("video_id").agg(F.sum("a").alias("n_frames"), F.sum("b").alias("n_truth"), F.sum((F.col("a") != F.col("b")).cast("int")).alias("apart"))
+    reason = F.when(F.col("n_frames") != F.col("n_truth"), "frame count").when(F.col("apart") > 0, "frame places")
+    return n.withColumn("reason", reason).where("reason is not null").select("video_id", "n_frames", "n_truth", "reason")
 
 
 def match_size(frames: DataFrame, truth: DataFrame, column: str = "v") -> DataFrame:
     """Frames brought to the size of the ground truth: (…, column, resized). Only rows of another size go through Python."""
     sizes = truth.select("video_id", "frame_idx", F.col("height").alias("full_h"), F.col("width").alias("full_w"))
-    rows = frames.join(sizes, ["video_id", "frame_idx"])
+    rows = frames.select("video_id", "frame_idx", "height", "width", column).join(sizes, ["video_id", "frame_idx"])
     same = (F.col("height") == F.col("full_h")) & (F.col("width") == F.col("full_w"))
-    changed = mapped(rows.where(~same), lambda image, r: resize(image, r.full_h, r.full_w), column)
+    matrices = lambda h, w, full_h, full_w: (weights_between(h, 0, h, full_h), weights_between(w, 0, w, full_w))
+    changed = resampled(rows.where(~same), matrices, ("height", "width", "full_h", "full_w"), column)
     return rows.where(same).select("video_id", "frame_idx", "height", "width", column, F.lit(False).alias("resized")).unionByName(changed.withColumn("resized", F.lit(True)))
 
 
+def aligned(frames: DataFrame, truth: DataFrame, column: str = "v") -> DataFrame:
+    """As ``match_size``, for the videos without a failure of ``count_failures``; those are left out whole."""
+    bad = count_failures(frames, truth).select("video_id")
+    return match_size(frames.join(bad, "video_id", "left_anti"), truth.join(bad, "video_id", "left_anti"), column)
+
+
 def warp(frames: DataFrame, column: str = "v") -> DataFrame:
-    """Frames gathered at (x - dx, y - dy) of the flow arrays ``dx`` and ``dy``, mirrored at the border with the edge repeated."""
+    """Frames gathered at (x - dx, y - dy) of the flow arrays ``dx`` and ``dy``, mirrored at the border with the edge repeated.
 
-    def change(image, r):
-        h, w = image.shape
-        y, x = np.mgrid[:h, :w].astype(float)
-        return bilinear(image, y - np.asarray(r.dy, float).reshape(h, w), x - np.asarray(r.dx, float).reshape(h, w), reflect=True)
+    All frames of a size and batch are gathered at once, from four neighbours with their weights.
+    """
 
-    return mapped(frames.select("video_id", "frame_idx", "height", "width", "dx", "dy", column), change, column)
+    def mirrored(i: np.ndarray, n: int) -> np.ndarray:
+        i = i % (2 * n)
+        return np.where(i < n, i, 2 * n - 1 - i)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for h, w, t in by_size(pa.Table.from_batches([batch])):
+                x, dy, dx = (images(t[c], h, w).astype(float) for c in (column, "dy", "dx"))
+                at_y, at_x = np.arange(h)[:, None] - dy, np.arange(w) - dx
+                y, x0 = np.floor(at_y).astype(np.int64), np.floor(at_x).astype(np.int64)
+                fy, fx = at_y - y, at_x - x0
+                frame = np.arange(len(t))[:, None, None]
+                row = lambda i: (1 - fx) * x[frame, i, mirrored(x0, w)] + fx * x[frame, i, mirrored(x0 + 1, w)]  # noqa: B023, E731
+                out = nearest((1 - fy) * row(mirrored(y, h)) + fy * row(mirrored(y + 1, h))).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(t) + 1, dtype=np.int32) * (h * w)), pa.array(out.ravel()))
+                yield from pa.Table.from_arrays([*(t[c] for c in NAMES), lists], [*NAMES, column]).to_batches()
+
+    return frames.select("video_id", "frame_idx", "height", "width", "dx", "dy", column).mapInArrow(run, f"{RUNS}, {column} array<int>")

@@ -50,17 +50,27 @@ def seed_aggregate(rows: DataFrame, keys: Sequence[str] = ("video_id", "policy")
     return rows.groupBy(*keys).agg(F.count("*").alias("n_seeds"), *parts)
 
 
-def checked_merge(left: DataFrame, right: DataFrame, keys: Sequence[str], required: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+def checked_merge(left: DataFrame, right: DataFrame, keys: Sequence[str], required: Sequence[str], method: str = "", methods: Sequence[str] = (), units: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Left join, one to one: (merged rows, problems as (problem, keys)).
 
     A key that stands twice on either side is a problem, and so is a required column
-    that is null or NaN after the join.
+    that is null or NaN after the join. With ``methods``, so is each of them that the key column ``method`` lacks,
+    or that doesn't have ``units`` different units (combinations of the other keys; by default as many as there are in all).
     """
     name = F.concat_ws("/", *(F.col(k).cast("string") for k in keys)).alias("key")
     twice = [x.groupBy(*keys).count().where("count > 1").select(F.lit(f"duplicate on the {side}").alias("problem"), name) for x, side in ((left, "left"), (right, "right"))]
     merged = left.join(right, list(keys), "left")
     gap = reduce(Column.__or__, (F.col(c).isNull() | F.isnan(c) for c in required))
-    return merged, twice[0].union(twice[1]).union(merged.where(gap).select(F.lit("missing metric").alias("problem"), name))
+    problems = twice[0].union(twice[1]).union(merged.where(gap).select(F.lit("missing metric").alias("problem"), name))
+    if not methods:
+        return merged, problems
+    unit = F.struct(*(k for k in keys if k != method))
+    seen = left.groupBy(F.col(method).alias("_method")).agg(F.count_distinct(unit).alias("_units"))
+    whole = F.lit(units).cast("long") if units is not None else left.agg(F.count_distinct(unit)).scalar()
+    wanted = left.sparkSession.createDataFrame([(m,) for m in methods], "key string")
+    found = wanted.join(seen, F.col("key") == F.col("_method"), "left")
+    problem = F.when(F.col("_units").isNull(), "missing method").when(F.col("_units") != whole, "units of a method")
+    return merged, problems.union(found.select(problem.alias("problem"), "key").where("problem is not null"))
 
 
 def paired_differences(rows: DataFrame, pairs: Sequence[tuple[str, str]], unit: Sequence[str] = ("video_id",), by: Sequence[str] = (), policy: str = "policy", metrics: Sequence[str] = METRICS) -> DataFrame:

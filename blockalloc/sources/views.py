@@ -31,6 +31,16 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.concat(F.lit("v"), F.col("label").cast("string")).alias("video_id"), "frame_idx", F.lit(8).alias("height"), F.lit(8).alias("width"), v.alias("v"))
 
 
+def stored_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(video_id, frame_idx, height, width, fps, rgb): frames as bytes, three a pixel in row order; some videos tell no usable rate."""
+    f = frames(spark, sf_dir)
+    two = lambda c: F.lpad(F.hex(c), 2, "0")
+    rgb = F.unhex(F.array_join(F.transform("v", lambda v: F.concat(two(v), two(v * 3 % 256), two(v * 7 % 256))), ""))
+    kind = F.substring("video_id", 2, 9).cast("int") % 4
+    fps = F.when(kind == 0, 29.97).when(kind == 1, 0.0).when(kind == 2, float("nan"))
+    return f.select("video_id", "frame_idx", "height", "width", fps.alias("fps"), rgb.alias("rgb"))
+
+
 def pixels(frames: DataFrame) -> DataFrame:
     """(video_id, frame_idx, y, x, v): frames pixel by pixel, for per-pixel projections on small inputs."""
     p = frames.select("video_id", "frame_idx", "width", F.posexplode("v").alias("pos", "v"))

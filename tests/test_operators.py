@@ -11,6 +11,7 @@ from blockalloc.operators import accounting as A
 from blockalloc.operators import blocks as K
 from blockalloc.operators import bootstrap as B
 from blockalloc.operators import cues as C
+from blockalloc.operators import draws as W
 from blockalloc.operators import integrity as I
 from blockalloc.operators import release as R
 from blockalloc.operators import statistics as S
@@ -84,15 +85,53 @@ def test_intervals_stand_beside_their_rows_and_turn(spark):
 def test_bootstrap_edges_and_large_form(spark):
     assert all(map(math.isnan, B.exact_interval([], 1))) and B.exact_interval([0.5], 1) == (0.5, 0.5)
     rng = np.random.default_rng(3)
-    rows = [("a", f"v{i}", float(x)) for i, x in enumerate(rng.normal(0.2, 1, 600))]
+    rows = [("a", f"v{i}", float(x)) for i, x in enumerate(rng.normal(0.2, 1, 600))] + [("b", "v0", 0.25), ("b", "v1", float("nan")), ("b", "v2", None)]
     d = spark.createDataFrame(rows, "k string, u string, difference double")
-    lo, hi = B.exact_interval([r[2] for r in rows], 1)
-    for parts in (1, 5):
-        r = B.poisson_intervals(d.repartition(parts), ["k"], "u", resamples=400).first()
-        assert r["n"] == 600 and r["ci95_low"] == pytest.approx(lo, abs=0.03) and r["ci95_high"] == pytest.approx(hi, abs=0.03)
-    m = B.poisson_intervals(d, ["k"], "u", resamples=300, bins=200).first()
-    lo, hi = B.exact_interval([r[2] for r in rows], 1, "median", 2000)
-    assert m["ci95_low"] == pytest.approx(lo, abs=0.06) and m["ci95_high"] == pytest.approx(hi, abs=0.06)
+    for statistic in ("mean", "median"):
+        lo, hi = B.exact_interval([r[2] for r in rows[:600]], 1, statistic, 2000)
+        found = [{r.k: (r.n, round(r.ci95_low, 12), round(r.ci95_high, 12)) for r in B.multinomial_intervals(d.repartition(parts), ["k"], "u", lambda _: 5, statistic, 2000, 64).collect()} for parts in (1, 5)]
+        assert found[0] == found[1], "nothing depends on partitions"
+        assert found[0]["a"] == (600, pytest.approx(lo, abs=0.02), pytest.approx(hi, abs=0.02)) and found[0]["b"] == (1, 0.25, 0.25)
+
+
+@pytest.mark.parametrize("n, size", [(1, 4), (9, 4), (1000, 64), (1000, 1)])
+def test_cells_share_one_multinomial(n, size):
+    cells, resamples = -(-n // size), 400
+    each = [B.cell_draws(n, c, size, 11, resamples) for c in range(cells)]
+    counts = np.array([x[0] for x in each])
+    assert (counts >= 0).all() and (counts.sum(0) == n).all(), "the draws of a resample are n"
+    assert (np.cumsum(counts, axis=0) - counts == np.array([x[1] for x in each])).all()
+    units = np.diff(np.minimum(np.arange(cells + 1) * size, n))
+    if cells > 1 and size > 1:
+        assert np.abs(counts.mean(1) - units).max() < 5 * np.sqrt(size / resamples)
+        assert counts[0].var() == pytest.approx(units[0] * (1 - units[0] / n), rel=0.3)
+
+
+def test_median_of_a_resample_is_that_of_its_draws(spark):
+    values = np.sort(np.random.default_rng(8).normal(0, 1, 101))
+    d = spark.createDataFrame([(f"v{i}", float(x)) for i, x in enumerate(values)], "u string, difference double").select(F.lit("k").alias("k"), "u", "difference")
+    size, resamples, want = 10, 300, []
+    for r in range(resamples):
+        drawn = [c * size + np.random.default_rng([4, c, r]).integers(0, min(size, 101 - c * size), B.cell_draws(101, c, size, 4, resamples)[0][r]) for c in range(11)]
+        want.append(np.median(values[np.concatenate(drawn)]))
+    got = B.multinomial_intervals(d, ["k"], "u", lambda _: 4, "median", resamples, size).first()
+    assert (got.ci95_low, got.ci95_high) == (pytest.approx(np.quantile(want, 0.025), abs=1e-12), pytest.approx(np.quantile(want, 0.975), abs=1e-12))
+
+
+def test_one_generator_in_order(spark):
+    rng = np.random.default_rng(6)
+    groups = {("x", "m"): rng.normal(0, 1, 20), ("y", "m"): rng.normal(1, 1, 20), ("x", "o"): rng.normal(2, 1, 13)}
+    rows = [(*k, f"v{i:02}", float(v)) for k, vs in groups.items() for i, v in enumerate(vs)]
+    d = spark.createDataFrame(rows[::-1], "c string, m string, u string, difference double")
+    order = [("y", "m"), ("nowhere", "m"), ("x", "m"), ("x", "o")]
+    got = {(r.c, r.m): r for r in B.in_order_intervals(d, ["c", "m"], order, "u", 99, resamples=500).collect()}
+    draws = np.random.default_rng(99)
+    for k in (order[0], order[2], order[3]):
+        for s, f in (("mean", np.mean), ("median", np.median)):
+            v = groups[k]
+            ends = np.quantile(f(draws.choice(v, size=(500, len(v)), replace=True), axis=1), [0.025, 0.975])
+            assert (got[k][f"{s}_ci95_low"], got[k][f"{s}_ci95_high"]) == tuple(ends)
+    assert len(got) == 3
 
 
 def test_tables_take_the_sign_test_of_many_pairs(spark):
@@ -103,7 +142,7 @@ def test_tables_take_the_sign_test_of_many_pairs(spark):
         assert table.first()["exact_sign_p"] == pytest.approx(exact, rel=1e-9)
 
 
-def test_intervals_draw_in_blocks_and_leave_many_pairs_to_partial_sums(spark, monkeypatch):
+def test_intervals_draw_in_blocks_and_leave_many_pairs_to_cells(spark, monkeypatch):
     values = np.random.default_rng(5).normal(0.2, 1, 501)
     whole = np.random.default_rng(7).choice(values, size=(3000, 501), replace=True).mean(axis=1)
     monkeypatch.setattr(B, "BLOCK", 10_000)
@@ -116,7 +155,7 @@ def test_intervals_draw_in_blocks_and_leave_many_pairs_to_partial_sums(spark, mo
         assert (got["few"]["ci95_low"], got["few"]["ci95_high"]) == B.exact_interval(values[:50], 7, statistic, 400)
         lo, hi = B.exact_interval(values, 7, statistic, 400)
         assert got["many"]["n"] == 501 and got["many"]["ci95_low"] == pytest.approx(lo, abs=0.06) and got["many"]["ci95_high"] == pytest.approx(hi, abs=0.06)
-        assert got["many"]["ci95_low"] != lo
+        assert statistic == "median" or got["many"]["ci95_low"] != lo  # other draws
 
 
 def test_paired_differences_skip_gaps_and_nan(spark):
@@ -288,10 +327,111 @@ def test_release_keeps_other_blocks_and_ignores_partitions(spark):
         assert np.abs(a - b)[:, :2].max() <= 1 and np.abs(a - b)[:, :, :2].max() <= 1
 
 
-def test_keyed_normals_have_the_moments():
-    assert not np.array_equal(R.keyed_normals(1, "plumless", 0, 0, 4), R.keyed_normals(1, "buckeroo", 0, 0, 4))  # ids of one CRC-32
-    x = np.concatenate([R.keyed_normals(1, "v", t, 0, 4) for t in range(5000)])
-    assert abs(x.mean()) < 0.03 and abs(x.std() - 1) < 0.03
+@pytest.mark.parametrize("key", [0, 1, 2**64 + 5, 2**127 + 12345])
+def test_counter_based_words_are_those_of_philox(key):
+    counter = np.zeros((10, 4), np.uint64)
+    counter[:, 0] = np.arange(1, 11)
+    words = W.philox(counter, np.array([key % 2**64, key >> 64], np.uint64))
+    assert (words == np.random.Philox(key=key).random_raw(40).reshape(10, 4)).all()
+    far = np.array([[2**64 - 1, 7, 0, 2**63], [3, 2**64 - 1, 2**64 - 1, 1]], np.uint64)
+    for c, w in zip(far, W.philox(far, np.array([[key % 2**64, key >> 64]] * 2, np.uint64)), strict=True):
+        at = sum(int(x) << (64 * i) for i, x in enumerate(c)) - 1
+        assert (np.random.Philox(key=key, counter=at % 2**256).random_raw(4) == w).all()
+
+
+def test_normals_have_the_moments_and_their_own_streams():
+    keys = W.named_keys(1, ["plumless", "buckeroo"])  # names of one CRC-32
+    zero = np.zeros(2, np.int64)
+    x = W.stream_normals(4, keys, zero, zero, zero)
+    assert not np.array_equal(x[0], x[1])
+    x = W.stream_normals(50, keys[0], np.arange(4000), np.zeros(4000, np.int64), np.zeros(4000, np.int64))
+    assert x.shape == (4000, 50) and abs(x.mean()) < 0.01 and abs(x.std() - 1) < 0.01 and abs((x**3).mean()) < 0.03 and abs((x**4).mean() - 3) < 0.08
+    assert np.abs(np.corrcoef(x[:6])[np.triu_indices(6, 1)]).max() < 0.6 and np.isfinite(x).all()
+    again = W.stream_normals(50, keys[0], *[np.array([i]) for i in (77, 0, 0)])
+    assert (again[0] == x[77]).all(), "a stream doesn't depend on the others of its batch"
+
+
+@pytest.mark.parametrize("grid, bucket", [(14, 3), (3, 4), (3, 256)])
+def test_random_maps_are_those_of_one_generator(spark, grid, bucket):
+    videos = spark.createDataFrame([("a", 11), ("b", 1), ("none", 0)], "video_id string, frames int")
+    rows = K.random_maps(videos, grid, bucket=bucket).collect()
+    for video, n in (("a", 11), ("b", 1)):
+        whole = np.random.default_rng(B.stable_seed(42, video, "random-mask")).random((n, grid, grid), dtype=np.float32)
+        got = {(r.frame_idx, r.bi, r.bj): r.score for r in rows if r.video_id == video}
+        assert got == {(t, i, j): float(whole[t, i, j]) for t in range(n) for i in range(grid) for j in range(grid)}
+    assert len(rows) == 12 * grid * grid
+
+
+def sampled(image, y, x, reflect):
+    """A value between four pixels, one at a time."""
+    h, w = image.shape
+    inside = (lambda i, n: min(i % (2 * n), 2 * n - 1 - i % (2 * n))) if reflect else (lambda i, n: min(max(i, 0), n - 1))
+    y0, x0 = math.floor(y), math.floor(x)
+    at = lambda i, j: image[inside(y0 + i, h), inside(x0 + j, w)]
+    fy, fx = y - y0, x - x0
+    return (1 - fy) * ((1 - fx) * at(0, 0) + fx * at(0, 1)) + fy * ((1 - fx) * at(1, 0) + fx * at(1, 1))
+
+
+def test_resampling_is_pixel_by_pixel(spark):
+    rng = np.random.default_rng(4)
+    sizes = [(5, 7), (8, 3), (1, 1), (5, 7), (6, 6)]
+    images = [rng.integers(0, 256, s) for s in sizes]
+    rows = [("v", i, *x.shape, x.ravel().tolist(), 4, 9) for i, x in enumerate(images)]
+    f = spark.createDataFrame(rows, "video_id string, frame_idx int, height int, width int, v array<int>, full_h int, full_w int").coalesce(1)
+    target = 10
+    boxes = {r.frame_idx: np.array(r.v).reshape(r.height, r.width) for r in R.letterbox(f, target).collect()}
+    for i, x in enumerate(images):
+        h, w = x.shape
+        nh, nw = round(h * target / max(h, w)), round(w * target / max(h, w))
+        want = np.zeros((target, target))
+        for y in range(nh):
+            for z in range(nw):
+                want[(target - nh) // 2 + y, (target - nw) // 2 + z] = math.floor(sampled(x, (y + 0.5) * h / nh - 0.5, (z + 0.5) * w / nw - 0.5, False) + 0.5 + 1e-9)
+        assert (boxes[i] == want).all()
+    truth = f.select("video_id", "frame_idx", F.lit(5).alias("height"), F.lit(7).alias("width"))
+    matched = {r.frame_idx: r for r in R.match_size(f, truth).collect()}
+    assert [matched[i].resized for i in range(5)] == [False, True, True, False, True] and {(r.height, r.width) for r in matched.values()} == {(5, 7)}
+    back = {r.frame_idx: r for r in R.unletterbox(R.letterbox(f, 18).join(f.select("video_id", "frame_idx", F.col("height").alias("full_h"), F.col("width").alias("full_w")), ["video_id", "frame_idx"])).collect()}
+    assert all((back[i].height, back[i].width) == s for i, s in enumerate(sizes)) and back[2].v == images[2].ravel().tolist()
+    flow = [(float(a), float(b)) for a, b in rng.normal(0, 6, (35, 2))]
+    g = f.where("height = 5").withColumns({"dx": F.array(*(F.lit(a) for a, _ in flow)), "dy": F.array(*(F.lit(b) for _, b in flow))})
+    for r in R.warp(g).collect():
+        x = images[r.frame_idx]
+        assert r.v == [math.floor(sampled(x, i // 7 - dy, i % 7 - dx, True) + 0.5 + 1e-9) for i, (dx, dy) in enumerate(flow)]
+    assert R.letterbox(f.where("false"), 4).count() == 0
+
+
+def test_frames_that_cannot_stand_beside_the_truth(spark):
+    f = spark.createDataFrame([(v, i, 1, 1, [i]) for v, places in (("ok", (0, 1)), ("short", (0,)), ("late", (1, 2)), ("extra", (0, 1))) for i in places], "video_id string, frame_idx int, height int, width int, v array<int>")
+    truth = spark.createDataFrame([(v, i, 1, 2, [i, i]) for v in ("ok", "short", "late", "gone") for i in (0, 1)], f.schema)
+    bad = {r.video_id: (r.n_frames, r.n_truth, r.reason) for r in R.count_failures(f, truth).collect()}
+    assert bad == {"short": (1, 2, "frame count"), "late": (2, 2, "frame places"), "gone": (0, 2, "frame count"), "extra": (2, 0, "frame count")}
+    assert sorted((r.video_id, r.frame_idx, r.v) for r in R.aligned(f, truth).collect()) == [("ok", 0, [0, 0]), ("ok", 1, [1, 1])]
+
+
+def test_stored_frames_and_their_failures(spark):
+    rows = [("a", 0, 1, 2, None, bytes(6)), ("a", 1, 1, 2, float("nan"), bytes(6)), ("b", 0, 1, 1, 24.0, bytes(3)), ("c", 0, 1, 1, -1.0, bytes(2)), ("d", 0, 1, 1, 30.0, None)]
+    raw = spark.createDataFrame(rows, "video_id string, frame_idx int, height int, width int, fps double, rgb binary")
+    frames, failures = I.frame_table(raw, spark.createDataFrame([(v,) for v in "abcdde"], "video_id string"))
+    assert sorted((r.video_id, r.frame_idx, r.fps) for r in frames.collect()) == [("a", 0, 25.0), ("a", 1, 25.0), ("b", 0, 24.0)]
+    assert sorted(map(tuple, failures.collect())) == [("c", "frame size"), ("d", "frame size"), ("e", "no frames")]
+
+
+def test_too_few_classes_are_an_error(spark):
+    v = spark.createDataFrame([("x", "x/1"), ("x", "x/2"), ("y", "y/1")], "class string, path string")
+    assert I.balanced_subset(v, 1, 2).count() == 2
+    with pytest.raises(ValueError, match="1 classes"):
+        I.balanced_subset(v, 2, 2)
+
+
+def test_epsilon_at_the_bottom_of_the_curve(spark):
+    rng = np.random.default_rng(1)
+    rows = [(int(rng.integers(1, 10**5)), int(rng.integers(1, 60)), float(10 ** rng.uniform(-2, 3)), float(10 ** rng.uniform(-1, 7)), float(10 ** rng.uniform(-14, 0))) for _ in range(500)]
+    df = spark.createDataFrame(rows, "t int, k int, c double, s double, d double")
+    cols = [F.col(x) for x in "tkcsd"]
+    curve = F.array_min(F.transform(A.rdp_curve(*cols), lambda p: F.struct(p["eps"].alias("eps"), p["alpha"].alias("alpha"), p["rho"].alias("rho"))))
+    for r in df.select(A.best_epsilon(*cols).alias("a"), curve.alias("b")).collect():
+        assert (r.a.eps, r.a.alpha, r.a.rho) == (r.b.eps, r.b.alpha, r.b.rho)
 
 
 def test_ema_and_letterbox(spark):
