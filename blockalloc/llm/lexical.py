@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from blockalloc.llm.words import words
+from blockalloc.operators.numbering import numbered
 from blockalloc.session import table
 
 #: Most different terms of items that are sent to all tasks, so that postings of other terms are never made.
@@ -20,17 +21,27 @@ VOCABULARY = 1 << 20
 SALTS = 16
 
 
-def lengths(texts: DataFrame) -> DataFrame:
-    """(documents, terms): how many rows have a term, and all their terms, one row a task."""
+def counts(texts: DataFrame, known: list[bytes] | None) -> DataFrame:
+    """(term, documents, terms): how many rows have a term; under the null term, how many have any, and all terms of all rows."""
+    held = texts.sparkSession.sparkContext.broadcast(known) if known is not None else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = pa.array(held.value, pa.large_binary()) if held else None
         documents = terms = 0
         for b in batches:
-            _, _, row = words(b.column(0))
+            kinds, code, row = words(b.column(0))
             documents, terms = documents + len(np.unique(row)), terms + len(row)
-        yield pa.RecordBatch.from_pydict({"documents": pa.array([documents], pa.int64()), "terms": pa.array([terms], pa.int64())})
+            if held:
+                chosen = pc.is_in(kinds, wanted).to_numpy(zero_copy_only=False)[code]
+                code, row = code[chosen], row[chosen]
+            df = np.bincount(np.unique(row * max(1, len(kinds)) + code) % max(1, len(kinds)), minlength=len(kinds))
+            some = np.flatnonzero(df)
+            found = [kinds.take(pa.array(some)).cast(pa.string()), pa.array(df[some].astype(np.int64)), pa.array(np.zeros(len(some), np.int64))]
+            yield pa.RecordBatch.from_arrays(found, ["term", "documents", "terms"])
+        yield pa.RecordBatch.from_pydict({"term": pa.array([None], pa.string()), "documents": pa.array([documents], pa.int64()), "terms": pa.array([terms], pa.int64())})
 
-    return texts.select("text").mapInArrow(run, "documents long, terms long")
+    each = texts.select("text").mapInArrow(run, "term string, documents long, terms long")
+    return each.groupBy("term").agg(F.sum("documents").alias("documents"), F.sum("terms").alias("terms")).checkpoint()
 
 
 def postings(docs: DataFrame, documents: int, terms: int, known: list[bytes] | None) -> DataFrame:
@@ -75,15 +86,15 @@ def item_terms(items: DataFrame) -> DataFrame:
 def search(docs: DataFrame, items: DataFrame, k: int = 50, vocabulary: int = VOCABULARY, salts: int = SALTS) -> DataFrame:
     """(item_id, rank, doc_id, score): the k highest-scoring rows of ``docs(doc_id, text, ...)`` for each of ``items(item_id, text, ...)``.
 
-    Postings are dealt to buckets of terms, a term to ``salts`` of them by the number of its
-    row, so that a word that stands in every text is no hot key. Each bucket counts its
-    terms' documents and meets the weighted terms of items in a join, where every match
-    gets its whole-number score once, with the list of the items that ask for the term.
-    Scored matches are dealt to their documents, spread over those items there and added up
-    by item and document without another shuffle; a task sends on its k best of each item.
-    Terms of weight 0 can't add to a score and drop out. Where items have at most
-    ``vocabulary`` different terms, those are sent to all tasks and other postings are never
-    made; beyond it the join alone sorts them out.
+    One pass over the texts counts documents by term. In another postings are dealt to buckets of terms, a term
+    to ``salts`` of them by the number of its row, so that a word that stands in every text
+    is no hot key, and meet the weighted terms of items in a join, where every match gets
+    its whole-number score once, with the list of the items that ask for the term (as
+    small numbers). Scored matches are dealt to their documents, spread over those items
+    there and added up by item and document without another shuffle; a task sends on its k
+    best of each item. Terms of weight 0 can't add to a score and drop out. Where items
+    have at most ``vocabulary`` different terms, those are sent to all tasks and other
+    postings are never made; beyond it the join alone sorts them out.
 
     Each row is a document of its own, also where a doc_id repeats; null ids come after all
     others on ties, and a null item_id is an item like any other. Null, empty and term-free
@@ -91,22 +102,25 @@ def search(docs: DataFrame, items: DataFrame, k: int = 50, vocabulary: int = VOC
     not read.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    total = lengths(rows).agg(F.coalesce(F.sum("documents"), F.lit(0)), F.coalesce(F.sum("terms"), F.lit(0))).first()
     asked = item_terms(items).checkpoint()
+    names = numbered(asked.select("item_id").distinct(), [], ["item_id"], "item").withColumn("item", F.col("item").cast("int")).checkpoint()
+    asked = asked.join(names.withColumnRenamed("item_id", "_id"), F.col("item_id").eqNullSafe(F.col("_id"))).select("item", "term")
     some = asked.select("term").distinct().limit(vocabulary + 1).toArrow()["term"]
     known = some.cast(pa.large_binary()).to_pylist() if len(some) <= vocabulary else None
+    held = counts(rows, known)
+    total = held.where("term is null").agg(F.coalesce(F.sum("documents"), F.lit(0)), F.coalesce(F.sum("terms"), F.lit(0))).first()
     salt = F.pmod("row", F.lit(salts)).cast("int").alias("salt")
     dealt = postings(rows, *total, known).select("row", "doc_id", "term", "part", salt).repartition("term", "salt")
     # 1000 ln of the share of documents without the term
-    held = dealt.groupBy("term").agg(F.count("*").alias("df"))
-    weight = F.floor(1000 * F.log((2.0 * total[0] + 2) / (2.0 * F.col("df") + 1))).cast("long").alias("weight")
-    wanted = asked.join(held.select("term", weight).where("weight > 0"), "term").groupBy("term", "weight").agg(F.collect_list(F.struct("item_id")).alias("items"))
+    weight = F.floor(1000 * F.log((2.0 * total[0] + 2) / (2.0 * F.col("documents") + 1))).cast("long").alias("weight")
+    wanted = asked.join(held.select("term", weight).where("weight > 0"), "term").groupBy("term", "weight").agg(F.collect_list("item").alias("items"))
     wanted = wanted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     scored = dealt.join(wanted.hint("shuffle_hash"), ["term", "salt"]).select("row", "doc_id", (F.col("weight") * F.col("part")).alias("match"), "items")
-    each = scored.repartition("row").select("row", "doc_id", "match", F.inline("items"))
-    found = each.groupBy("item_id", "row", "doc_id").agg(F.sum("match").alias("score")).where("score > 0")
-    order = Window.partitionBy("item_id").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"), "row")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("item_id", "rank", "doc_id", "score")
+    each = scored.repartition("row").select("row", "doc_id", "match", F.explode("items").alias("item"))
+    found = each.groupBy("item", "row", "doc_id").agg(F.sum("match").alias("score")).where("score > 0")
+    order = Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"), "row")
+    best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return best.join(names, "item").select("item_id", "rank", "doc_id", "score")
 
 
 def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
