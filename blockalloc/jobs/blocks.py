@@ -274,6 +274,12 @@ def f2_noise(spark: SparkSession, d: str) -> DataFrame:
     return r.select("video_id", "frame_idx", F.sha2(F.array_join("rgb", ","), 256).alias("digest"))
 
 
+def f3_in_order(spark: SparkSession, d: str) -> DataFrame:
+    """Released frames whose noise one generator a video draws in order."""
+    r = R.release_in_order(with_blocks(spark, d), 4, 1.0, 2.0)
+    return r.select("video_id", "frame_idx", F.sha2(F.array_join("rgb", ","), 256).alias("digest"))
+
+
 def plain(f: DataFrame, column: str = "v") -> DataFrame:
     return f.select("video_id", "frame_idx", "height", "width", F.sha2(F.array_join(column, ","), 256).alias("digest"))
 
@@ -489,6 +495,7 @@ QUERIES = {
     "f1_low_frequency_query": (f1, f"WITH {query_sql(1.0)} SELECT video_id, frame_idx, block, round(q00 * scale, 6) AS q00, round(q01 * scale, 6) AS q01, round(q10 * scale, 6) AS q10, round(q11 * scale, 6) AS q11, round(scale, 6) AS scale FROM sc"),
     "f2_release_without_noise": (f2, RELEASE_SQL),
     "f2_f3_release_with_noise": (f2_noise, None),
+    "f3_release_in_order": (f3_in_order, None),
     "f4_temporal_ema": (lambda s, d: plain(R.temporal_ema(frames(s, d), 0.4)), EMA_SQL),
     "f9_full_block_perturbation": (lambda s, d: plain(R.perturb_blocks(with_blocks(s, d), 3, 0.1, 42, 0.18, 2.0, 1.0), "rgb"), None),
     "d9_clip_scales": (

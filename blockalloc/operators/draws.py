@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Fixed values of Philox 4x64: the multipliers, and what is added to the key after each round.
 PHILOX_TIMES = (np.uint64(0xD2E7470EE14C6C93), np.uint64(0xCA5A826395121157))
@@ -88,3 +92,76 @@ def random_frames(seed: int, first: int, frames: int, cells: int) -> np.ndarray:
     source = np.random.PCG64(seed).advance(start // 2)
     skip = start % 2
     return np.random.Generator(source).random(skip + frames * cells, dtype=np.float32)[skip:].reshape(frames, cells)
+
+
+#: Fixed value of PCG64: what a step multiplies the state by.
+PCG_TIMES = 0x2360ED051FC65DA44385DF649FCCF645
+#: Words of a chunk of a sequential stream.
+CHUNK = 4096
+
+
+def normals_of_chunk(seed: int, chunk: int, skip: int, size: int = CHUNK) -> tuple[int, int]:
+    """How many standard normals of a generator begin in a chunk of its words, from its word ``skip`` on, and how many words the last of them takes from the next chunk.
+
+    Normals are drawn by rejection, so each takes one word or more; which ones is seen from
+    the generator's state, whose steps through the chunk are known beforehand.
+    """
+    source = np.random.PCG64(seed).advance(chunk * size + skip)
+    draw = np.random.Generator(source).standard_normal
+    inside = source.state["state"]
+    state, inc, at = inside["state"], inside["inc"], {}
+    for word in range(skip, 2 * size):
+        at[state] = word
+        state = (state * PCG_TIMES + inc) % 2**128
+    n, word = 0, skip
+    while word < size:
+        many = (size - word) // 2 if size - word > 64 else 1  # half as many normals as words don't reach the end
+        before = source.state
+        draw(many)
+        after = at.get(source.state["state"]["state"], 2 * size)
+        if many > 1 and after >= size:  # all but impossible; then one at a time
+            source.state, many = before, 1
+            draw(1)
+            after = at[source.state["state"]["state"]]
+        n, word = n + many, after
+    return n, word - size
+
+
+def stream_places(asked: DataFrame, seed_of: Callable[[str], int], size: int = CHUNK) -> DataFrame:
+    """(video_id, bucket, word, drop): where a bucket's normals begin in the stream that one generator a video draws for its buckets in order.
+
+    ``asked(video_id, bucket, draws)`` tells how many normals each bucket takes. A stream is cut
+    into chunks of words, which count their normals side by side, as if the one before ended
+    at its border. Where its last normal reached over, the next chunk counts again from there,
+    until all agree; sums over the chunks then tell which chunk a normal is in. A bucket's
+    generator jumps to ``word`` and drops ``drop`` normals, fewer than a chunk has.
+    """
+    totals = asked.groupBy("video_id").agg(F.sum("draws").alias("total")).where("total > 0")
+    many = F.floor(F.col("total") * 1.05 / size).cast("long") + 2
+    chunks = totals.select("video_id", F.explode(F.sequence(F.lit(0).cast("long"), many)).alias("chunk"), F.lit(0).cast("long").alias("skip"))
+    schema = "video_id string, chunk long, skip long, n long, over long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            video, chunk, skip = (b.column(i).to_pylist() for i in range(3))
+            found = [normals_of_chunk(seed_of(v), c, s, size) for v, c, s in zip(video, chunk, skip, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *(pa.array([f[i] for f in found], pa.int64()) for i in range(2))], ["video_id", "chunk", "skip", "n", "over"])
+
+    held = chunks.repartition("video_id", "chunk").mapInArrow(run, schema).checkpoint()
+    while True:
+        last = held.select("video_id", (F.col("chunk") + 1).alias("chunk"), F.col("over").alias("wanted"))
+        wrong = held.join(last, ["video_id", "chunk"]).where("skip <> wanted").select("video_id", "chunk", F.col("wanted").alias("skip")).checkpoint()
+        if wrong.isEmpty():
+            break
+        held = held.join(wrong.select("video_id", "chunk"), ["video_id", "chunk"], "left_anti").unionByName(wrong.repartition("video_id", "chunk").mapInArrow(run, schema)).checkpoint()
+    earlier = Window.partitionBy("video_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)  # a row for some thousand normals
+    lies = held.select(F.col("video_id").alias("_v"), "chunk", "skip", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_first"), "n")
+    before = Window.partitionBy("video_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = asked.where("draws > 0").select("video_id", "bucket", F.coalesce(F.sum("draws").over(before), F.lit(0)).alias("_at"))
+    inside = (F.col("video_id") == F.col("_v")) & (F.col("_at") >= F.col("_first")) & (F.col("_at") < F.col("_first") + F.col("n"))
+    return starts.join(lies, inside).select(F.col("video_id").alias("video_id"), F.col("bucket").alias("bucket"), (F.col("chunk") * size + F.col("skip")).alias("word"), (F.col("_at") - F.col("_first")).alias("drop"))
+
+
+def normals_from(seed: int, word: int, drop: int, n: int) -> np.ndarray:
+    """The n normals of a sequential stream that follow ``drop`` others after a word."""
+    return np.random.Generator(np.random.PCG64(seed).advance(word)).standard_normal(drop + n)[drop:]

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from blockalloc.operators.accounting import seed_mix
 from blockalloc.operators.blocks import by_size, edges, images
-from blockalloc.operators.draws import named_keys, stream_normals
+from blockalloc.operators.bootstrap import stable_seed
+from blockalloc.operators.draws import CHUNK, named_keys, normals_from, stream_normals, stream_places
 from blockalloc.operators.recurrence import BUCKET, WARM, affine_carries, replay, settled_carries
 
 #: BT.601 full-range conversion, rows Y, Cb, Cr.
@@ -103,6 +104,29 @@ def low_frequency_queries(frames: DataFrame, grid: int, clip: float) -> DataFram
     return cols.mapInArrow(run, "video_id string, frame_idx int, block int, q00 double, q01 double, q10 double, q11 double, scale double")
 
 
+def released(t: pa.Table, h: int, w: int, grid: int, clip: float, neutral: float, noise: np.ndarray | None) -> pa.RecordBatch:
+    """Equal-sized frames with their listed blocks replaced; ``noise`` has four numbers a listed block."""
+    n = len(t)
+    ycc = np.tensordot(YCC, colours(t, h, w) / 255, (1, 1))
+    q, scale = queries_of(ycc[0], grid, clip)
+    row, block, sizes = listed(t)
+    if noise is not None:
+        q[row, block] += noise.reshape(-1, 2, 2)
+    chosen = np.zeros((n, grid * grid), bool)
+    chosen[row, block] = True
+    wide = q.reshape(n, grid, grid, 2, 2).swapaxes(2, 3).reshape(n, 2 * grid, 2 * grid)
+    smooth = side_by_side(h, grid, 2).T @ wide @ side_by_side(w, grid, 2)
+    inside = chosen.reshape(n, grid, grid).repeat(np.diff(edges(h, grid)), axis=1).repeat(np.diff(edges(w, grid)), axis=2)
+    y, cb, cr = np.where(inside, smooth, ycc[0]), *(np.where(inside, neutral - 0.5, c) for c in ycc[1:])
+    out = np.stack([y + RED_CR * cr, y - GREEN_CB * cb - GREEN_CR * cr, y + BLUE_CB * cb], axis=1)
+    whole = (np.clip(out, 0, 1) * 255 + 1e-9).astype(np.int32)
+    scales = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(scale[row, block]))
+    return pa.RecordBatch.from_arrays([*(t[c].combine_chunks() for c in NAMES), pa.array(list(whole.reshape(n, -1)), pa.list_(pa.int32())), scales], [*NAMES, "rgb", "scales"])
+
+
+RELEASED = f"{RUNS}, rgb array<int>, scales array<double>"
+
+
 def release(frames: DataFrame, grid: int, clip: float, sigma: float, seed: int = 42, neutral: float = 0.5) -> DataFrame:
     """Frames with the listed blocks replaced by their noisy low-frequency query: (…, rgb, scales).
 
@@ -116,27 +140,45 @@ def release(frames: DataFrame, grid: int, clip: float, sigma: float, seed: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for h, w, t in by_size(pa.Table.from_batches([batch])):
-                n = len(t)
-                ycc = np.tensordot(YCC, colours(t, h, w) / 255, (1, 1))
-                q, scale = queries_of(ycc[0], grid, clip)
-                row, block, sizes = listed(t)
+                row, block, _ = listed(t)
+                noise = None
                 if sigma > 0 and len(row):
                     keys, frame = named_keys(seed, t["video_id"].to_pylist()), t["frame_idx"].to_numpy()
-                    noise = stream_normals(4, keys[row], frame[row], block, np.zeros(len(row), np.int64))
-                    q[row, block] += sigma * noise.reshape(-1, 2, 2)
-                chosen = np.zeros((n, grid * grid), bool)
-                chosen[row, block] = True
-                wide = q.reshape(n, grid, grid, 2, 2).swapaxes(2, 3).reshape(n, 2 * grid, 2 * grid)
-                smooth = side_by_side(h, grid, 2).T @ wide @ side_by_side(w, grid, 2)
-                inside = chosen.reshape(n, grid, grid).repeat(np.diff(edges(h, grid)), axis=1).repeat(np.diff(edges(w, grid)), axis=2)
-                y, cb, cr = np.where(inside, smooth, ycc[0]), *(np.where(inside, neutral - 0.5, c) for c in ycc[1:])
-                out = np.stack([y + RED_CR * cr, y - GREEN_CB * cb - GREEN_CR * cr, y + BLUE_CB * cb], axis=1)
-                whole = (np.clip(out, 0, 1) * 255 + 1e-9).astype(np.int32)
-                scales = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(scale[row, block]))
-                yield pa.RecordBatch.from_arrays([*(t[c].combine_chunks() for c in NAMES), pa.array(list(whole.reshape(n, -1)), pa.list_(pa.int32())), scales], [*NAMES, "rgb", "scales"])
+                    noise = sigma * stream_normals(4, keys[row], frame[row], block, np.zeros(len(row), np.int64))
+                yield released(t, h, w, grid, clip, neutral, noise)
 
-    cols = frames.select("video_id", "frame_idx", "height", "width", "rgb", "blocks")
-    return cols.mapInArrow(run, f"{RUNS}, rgb array<int>, scales array<double>")
+    return frames.select("video_id", "frame_idx", "height", "width", "rgb", "blocks").mapInArrow(run, RELEASED)
+
+
+def release_in_order(frames: DataFrame, grid: int, clip: float, sigma: float, seed: int = 42, neutral: float = 0.5, bucket: int = BUCKET, chunk: int = CHUNK) -> DataFrame:
+    """The same release with the noise that one generator a video draws, frame by frame and in the order of each frame's ``blocks``.
+
+    Blocks without pixels draw nothing. Buckets of frames draw side by side: each jumps to
+    its place in the video's stream, which ``stream_places`` finds.
+    """
+    held = frames.select("video_id", "frame_idx", "height", "width", "rgb", "blocks", F.floor(F.col("frame_idx") / bucket).alias("bucket"))
+    full = F.size(F.filter(F.coalesce("blocks", F.array().cast("array<int>")), lambda b: (F.floor(b / grid) < F.col("height")) & (b % grid < F.col("width"))))
+    asked = held.groupBy("video_id", "bucket").agg(F.sum(4 * full).cast("long").alias("draws")).checkpoint()
+    seed_of = lambda video: stable_seed(seed, video, "release")
+    places = stream_places(asked, seed_of, chunk)
+
+    def run(t: pa.Table, place: pa.Table) -> pa.Table:
+        t = t.sort_by("frame_idx")
+        row, block, _ = listed(t)
+        h, w = t["height"].to_numpy()[row], t["width"].to_numpy()[row]
+        full = (block // grid < h) & (block % grid < w)
+        noise = np.zeros((len(row), 4))
+        if full.any():
+            video, word, drop = t["video_id"][0].as_py(), place["word"][0].as_py(), place["drop"][0].as_py()
+            noise[full] = sigma * normals_from(seed_of(video), word, drop, 4 * int(full.sum())).reshape(-1, 4)
+        out = []
+        for h, w, part in by_size(t.append_column("_row", pa.array(np.arange(len(t))))):
+            mine = np.isin(row, part["_row"].to_numpy())
+            out.append(released(part, h, w, grid, clip, neutral, noise[mine]))
+        return pa.Table.from_batches(out)
+
+    by = ["video_id", "bucket"]
+    return held.groupBy(*by).cogroup(places.groupBy(*by)).applyInArrow(run, RELEASED)
 
 
 def temporal_ema(frames: DataFrame, ema: float, column: str = "v", bucket: int = BUCKET) -> DataFrame:

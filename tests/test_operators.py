@@ -4,6 +4,7 @@ import math
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -362,6 +363,32 @@ def test_random_maps_are_those_of_one_generator(spark, grid, bucket):
     assert len(rows) == 12 * grid * grid
 
 
+@pytest.mark.parametrize("size", [8, 64, 4096])
+def test_chunks_count_the_normals_of_a_stream(size):
+    """Chunk after chunk, each from where the one before ended, gives the stream that one generator draws."""
+    skip, first = 0, 0
+    whole = np.random.default_rng(5).standard_normal(20 * size)
+    for chunk in range(15):
+        n, over = W.normals_of_chunk(5, chunk, skip, size)
+        assert (W.normals_from(5, chunk * size + skip, 0, n) == whole[first : first + n]).all()
+        first, skip = first + n, over
+    assert 0.9 * 15 * size < first <= 15 * size
+
+
+@pytest.mark.parametrize("bucket, chunk", [(3, 8), (2, 64), (256, 4096)])
+def test_release_in_order_draws_from_one_generator(spark, bucket, chunk):
+    rng = np.random.default_rng(2)
+    rows = [(v, i, 4, 4 if v == "a" else 2, rng.integers(0, 255, 48 if v == "a" else 24).tolist(), rng.permutation(9)[: int(rng.integers(0, 6))].tolist() if i % 4 else None) for v, n in (("a", 40), ("b", 9)) for i in range(n)]
+    schema = "video_id string, frame_idx int, height int, width int, rgb array<int>, blocks array<int>"
+    f = spark.createDataFrame(rows, schema)
+    got = {(r.video_id, r.frame_idx): r.rgb for r in R.release_in_order(f.repartition(3), 3, 1.0, 0.4, bucket=bucket, chunk=chunk).collect()}
+    draws = {v: np.random.default_rng(B.stable_seed(42, v, "release")) for v in "ab"}
+    for v, i, h, w, rgb, blocks in rows:
+        t = pa.Table.from_pylist([{"video_id": v, "frame_idx": i, "height": h, "width": w, "rgb": rgb, "blocks": blocks}], pa.schema([("video_id", pa.string()), ("frame_idx", pa.int32()), ("height", pa.int32()), ("width", pa.int32()), ("rgb", pa.list_(pa.int32())), ("blocks", pa.list_(pa.int32()))]))
+        noise = np.array([draws[v].normal(0, 0.4, 4) if b // 3 < h and b % 3 < w else np.zeros(4) for b in blocks or []]).reshape(-1, 4)
+        assert got[v, i] == R.released(t, h, w, 3, 1.0, 0.5, noise).column("rgb")[0].as_py()
+
+
 def sampled(image, y, x, reflect):
     """A value between four pixels, one at a time."""
     h, w = image.shape
