@@ -534,6 +534,44 @@ def test_search_edges(spark):
     assert TK.top_k(v.where("false")).count() == 0
 
 
+def brute_search(rows, every, k):
+    """The k best of each query row among the rows of other ids."""
+    held = [(i, [int(np.floor(256 * float(x))) for x in e]) for i, e in rows if i is not None and e is not None and all(x is not None and np.isfinite(x) for x in e)]
+    out = []
+    for i, q in held:
+        if i % every == 0:
+            scores = sorted((-sum(a * b for a, b in zip(q, e, strict=True)), j) for j, e in held if j != i and len(e) == len(q))
+            out += [(i, r, j, -s) for r, (s, j) in enumerate(scores[:k], 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("shard, pivots", [(16, 1024), (16, 3), (40, 12), (5, 1)])
+def test_search_over_many_shards(spark, shard, pivots):
+    """Clusters, repeated ids and vectors, a hot vector, several lengths; up to some 90 shards."""
+    rng = np.random.default_rng(12)
+    centres = rng.normal(0, 1, (9, 6))
+    rows = [(i, (centres[i % 9] * (1 + i % 3) + rng.normal(0, 0.05, 6)).tolist()) for i in range(300)]
+    rows += [(1000 + i, centres[0].tolist()) for i in range(100)] + [(50, rows[3][1]), (50, rows[50][1]), (7, rows[7][1])] + [(400 + 10 * i, rng.normal(0, 1, 3).tolist()) for i in range(20)]
+    v = spark.createDataFrame([(i, e, "x", 1) for i, e in rows], "vec_id long, embedding array<double>, q string, pivot int").repartition(5)
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in TK.top_k(v, 10, 4, shard, pivots).collect())
+    assert got == brute_search(rows, 10, 4)
+
+
+def test_clustered_queries_visit_few_gatherings(spark):
+    rng = np.random.default_rng(3)
+    centres = 8 * np.eye(16)
+    around = TK.Pivots(centres.tolist())
+    members = np.floor(256 * (centres[np.arange(1600) % 16] + rng.normal(0, 0.02, (1600, 16))))
+    at, away = around.nearest(members)
+    for p in range(16):
+        around.radius[16][p] = away[at == p].max()
+    bounds = around.bounds(members[:64])
+    kth = np.sort(members[:64] @ members.T, axis=1)[:, -6]
+    assert ((bounds >= kth[:, None]).sum(1) == 1).all()
+    exact = np.array([(members[:64] @ members[at == p].T).max(1) for p in range(16)]).T
+    assert (bounds >= exact).all()
+
+
 # pages
 
 
