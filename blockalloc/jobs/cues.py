@@ -166,6 +166,17 @@ def f7(spark: SparkSession, d: str) -> DataFrame:
     return rounded(a.unionByName(b).unionByName(c))
 
 
+def f7_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """Frequency weights of blocks whose size follows each video's length."""
+    v = manifest(spark, d).select("video_id", (F.col("frames") % 5 + 1).alias("height"), (F.col("frames") % 7 + 1).alias("width"))
+    return rounded(v.select("video_id", "height", "width", F.inline(R.frequency_weights(F.col("height"), F.col("width"), 0.18, 2.0))))
+
+
+F7_SIZES_SQL = f"""WITH {MANIFEST_SQL}, v AS (SELECT video_id, CAST(frames % 5 + 1 AS INTEGER) AS height, CAST(frames % 7 + 1 AS INTEGER) AS width FROM manifest),
+g AS (SELECT *, CAST(i // width AS INTEGER) AS y, CAST(i % width AS INTEGER) AS x FROM (SELECT *, unnest(range(height * width)) AS i FROM v))
+SELECT video_id, height, width, y, x, round(exp(-(greatest(0, ((CAST(y AS DOUBLE) / greatest(1, height - 1) + CAST(x AS DOUBLE) / greatest(1, width - 1)) / 2 - 0.18e0) / 0.82e0) ** 2)), 6) AS weight FROM g"""
+
+
 F7_SQL = f"""WITH {MANIFEST_SQL}, v AS (SELECT DISTINCT class FROM manifest), a AS (SELECT CAST(unnest(range(6)) AS INTEGER) AS i), g AS (SELECT p.i AS y, q.i AS x FROM a p, a q),
 k AS (SELECT 'exponential' AS kind, y, x, exp(-(greatest(0, ((y / 3e0 + x / 5e0) / 2 - 0.18e0) / 0.82e0) ** 2)) AS weight FROM g WHERE y < 4
  UNION ALL SELECT 'cosine', y, x, CASE WHEN y + x = 0 THEN 0 ELSE 0.5e0 - 0.5e0 * cos(pi() * least(1, greatest(0, (sqrt(y * y + x * x) - 1) / 3e0))) END FROM g WHERE y < 5 AND x < 5
@@ -273,6 +284,7 @@ QUERIES = {
         SELECT video_id, clip_idx, u, bi, bj, round(greatest(score, 1e-6), 6) AS score FROM rec""",
     ),
     "f7_frequency_weights": (f7, F7_SQL),
+    "f7_frequency_weights_by_size": (f7_sizes, F7_SIZES_SQL),
     "f8_soft_clip": (
         lambda s, d: rounded(flows(s, d).select("video_id", "clip_idx", "flow_idx", "b", R.soft_clip(F.col("dx"), 1.5).alias("dx"), R.soft_clip(F.col("dy"), 0.0).alias("dy"))),
         f"WITH {FLOWS_SQL} SELECT video_id, clip_idx, flow_idx, b, round(1.5e0 * tanh(dx / 1.5e0), 6) AS dx, round(dy, 6) AS dy FROM flows",

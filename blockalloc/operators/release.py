@@ -225,10 +225,11 @@ def soft_clip(x: Column, k: float) -> Column:
     return k * F.tanh(x / k) if k and k > 0 else x
 
 
-def frequency_weights(height: int, width: int, low_cut: float, power: float) -> Column:
-    """Array of (y, x, weight): exp(-f^power) of the normalised mean frequency above ``low_cut``."""
-    cells = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(height - 1)), lambda y: F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda x: F.struct(y.alias("y"), x.alias("x")))))
-    f = lambda c: (c["y"] / max(1, height - 1) + c["x"] / max(1, width - 1)) / 2
+def frequency_weights(height: Column | int, width: Column | int, low_cut: float, power: float) -> Column:
+    """Array of (y, x, weight): exp(-f^power) of the normalised mean frequency above ``low_cut``, for blocks of one size or of a size a row."""
+    h, w = (F.lit(n) if isinstance(n, int) else n for n in (height, width))
+    cells = F.flatten(F.transform(F.sequence(F.lit(0), h - 1), lambda y: F.transform(F.sequence(F.lit(0), w - 1), lambda x: F.struct(y.alias("y"), x.alias("x")))))
+    f = lambda c: (c["y"] / F.greatest(F.lit(1), h - 1) + c["x"] / F.greatest(F.lit(1), w - 1)) / 2
     above = lambda c: F.greatest(F.lit(0.0), (f(c) - low_cut) / max(1e-6, 1 - low_cut))
     return F.transform(cells, lambda c: F.struct(c["y"].alias("y"), c["x"].alias("x"), F.exp(-F.pow(above(c), F.lit(power))).alias("weight")))
 

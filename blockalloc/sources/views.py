@@ -121,14 +121,15 @@ files AS (SELECT lang || '/' || source || '/' || CAST(doc_id AS VARCHAR) AS path
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(video_id, clip_idx, flow_idx, b, dx, dy): mean flow of each block of a 4 x 4 grid over 8 x 8 images, 15 flows a clip."""
     e = placed(spark, sf_dir)
-    blocks = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda b: F.struct(b.alias("b"), (16 * F.get("embedding", 2 * b).cast("double")).alias("dx"), (16 * F.get("embedding", 2 * b + 1).cast("double")).alias("dy")))
+    at = lambda i: 16 * F.get("embedding", i).cast("double") + 16 * F.get("embedding", i + 32).cast("double")  # noqa: E731  all 64 numbers
+    blocks = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda b: F.struct(b.alias("b"), at(2 * b).alias("dx"), at(2 * b + 1).alias("dy")))
     return e.select(F.concat(F.lit("v"), F.col("label").cast("string")).alias("video_id"), F.expr("cast(n div 15 as int)").alias("clip_idx"), (F.col("n") % 15).alias("flow_idx"), F.inline(blocks))
 
 
 FLOWS_SQL = """
 fl AS (SELECT 'v' || CAST(label AS VARCHAR) AS video_id, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS INTEGER) AS n, embedding FROM embeddings),
 flows AS (SELECT video_id, CAST(n // 15 AS INTEGER) AS clip_idx, CAST(n % 15 AS INTEGER) AS flow_idx, CAST(b AS INTEGER) AS b,
-                 16 * CAST(embedding[2 * b + 1] AS DOUBLE) AS dx, 16 * CAST(embedding[2 * b + 2] AS DOUBLE) AS dy
+                 16 * CAST(embedding[2 * b + 1] AS DOUBLE) + 16 * CAST(embedding[2 * b + 33] AS DOUBLE) AS dx, 16 * CAST(embedding[2 * b + 2] AS DOUBLE) + 16 * CAST(embedding[2 * b + 34] AS DOUBLE) AS dy
           FROM fl, (SELECT unnest(range(16)) AS b))
 """
 
