@@ -20,9 +20,11 @@ from blockalloc.session import table
 #: Terms: words, runs of other signs, line ends.
 TERM = re.compile(r"\w+|[^\w\s]+|\n")
 DIM = 32
-#: A term that repeats one of so many before it is followed by a mark, which is a term itself.
-NEAR = 4
-#: Rows of the word-vector table; terms share a row when their hashes agree.
+#: Terms of the windows whose summed vectors give a document's second moments.
+WIDTH = 5
+#: Terms whose vectors are held at a time.
+PIECE = 1 << 16
+#: Rows of the word-vector table; terms share a row when their hashes agree. By cross-validation four times as many rows pass as many low documents, a fourth two more.
 TABLE = 1 << 16
 #: Ones in a sparse random index vector.
 ONES = 6
@@ -35,8 +37,8 @@ HIDDEN = 32
 
 
 def row_of(term: str) -> int:
-    """The table row of a term; row 0 is the mark's."""
-    return 1 + zlib.crc32(term.encode("utf-8", "surrogatepass")) % (TABLE - 1)
+    """The table row of a term."""
+    return zlib.crc32(term.encode("utf-8", "surrogatepass")) % TABLE
 
 
 class Rows:
@@ -46,7 +48,7 @@ class Rows:
         self.known, self.most = {}, most
 
     def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Rows of all terms and marks of the texts in order, and how many each text has."""
+        """Rows of all terms of the texts in order, and how many each text has."""
         docs = [TERM.findall(t.lower()) for t in texts]
         sizes = np.fromiter(map(len, docs), np.int64, len(docs))
         code, kinds = pd.factorize(np.array([w for d in docs for w in d], object))
@@ -56,13 +58,7 @@ class Rows:
         for i, f in enumerate(found):
             if f is None:
                 found[i] = self.known[kinds[i]] = row_of(kinds[i])
-        code, doc = code.astype(np.int32), np.repeat(np.arange(len(docs), dtype=np.int32), sizes)
-        near = np.zeros(len(code), bool)
-        for back in range(1, NEAR + 1):
-            near[back:] |= (code[back:] == code[:-back]) & (doc[back:] == doc[:-back])
-        out = np.zeros(len(code) + int(near.sum()), np.int64)
-        out[np.arange(len(code)) + np.cumsum(near) - near] = np.array(found, np.int64)[code]
-        return out, sizes + np.bincount(doc[near], minlength=len(docs))
+        return np.array(found, np.int64)[code], sizes
 
 
 def index_places() -> list[tuple[np.ndarray, np.ndarray]]:
@@ -112,24 +108,32 @@ def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def pooled(texts: list[str], rows: Rows, vectors: np.ndarray) -> np.ndarray:
-    """The mean word vector of each text; zero for a text without terms."""
+    """The mean word vector of each text, and the mean square of the sums over each ``WIDTH`` terms in a row; zero for a text without terms.
+
+    Sums over windows tell how terms keep company: those of terms that repeat are long,
+    those of different ones cancel out. A text shorter than a window is one window.
+    """
     r, sizes = rows.of(texts)
-    out = np.zeros((len(texts), vectors.shape[1]), np.float32)
-    full = np.flatnonzero(sizes)
-    starts = (np.cumsum(sizes) - sizes)[full]
-    lo = 0
-    while lo < len(full):  # a bounded number of terms at a time
-        hi = max(lo + 1, int(np.searchsorted(starts, starts[lo] + (1 << 19), "left")))
-        a, z = starts[lo], starts[hi] if hi < len(full) else len(r)
-        out[full[lo:hi]] = np.add.reduceat(vectors[r[a:z]], starts[lo:hi] - a, axis=0)
-        lo = hi
-    out[full] /= sizes[full, None]
-    return out
+    n, dim = len(texts), vectors.shape[1]
+    doc, total, square = np.repeat(np.arange(n), sizes), np.zeros((n, dim)), np.zeros((n, dim))
+    for lo in range(0, len(r), PIECE):
+        a, z = max(0, lo - WIDTH + 1), min(len(r), lo + PIECE)
+        upto = np.concatenate([np.zeros((1, dim)), np.cumsum(vectors[r[a:z]], axis=0, dtype=float)])
+        cut = lo + np.flatnonzero(np.r_[True, doc[lo + 1 : z] != doc[lo : z - 1]])
+        total[doc[cut]] += upto[np.r_[cut[1:], z] - a] - upto[cut - a]
+        ends = np.arange(a + WIDTH - 1, z) if z - a >= WIDTH else np.zeros(0, np.int64)
+        ends = ends[(ends >= lo) & (doc[ends - WIDTH + 1] == doc[ends])]
+        if len(ends):
+            of = doc[ends]
+            first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+            square[of[first]] += np.add.reduceat((upto[ends + 1 - a] - upto[ends + 1 - WIDTH - a]) ** 2, first, axis=0)
+    square = np.where((sizes < WIDTH)[:, None], total**2, square)
+    return np.concatenate([total / np.maximum(sizes, 1)[:, None], square / (WIDTH * np.maximum(sizes - WIDTH + 1, 1))[:, None]], axis=1).astype(np.float32)
 
 
 def pool_all(texts: Iterator[str], rows: Rows, vectors: np.ndarray) -> np.ndarray:
     parts = [pooled(list(some), rows, vectors) for some in batched(texts, 500)]
-    return np.concatenate(parts) if parts else np.zeros((0, vectors.shape[1]), np.float32)
+    return np.concatenate(parts) if parts else np.zeros((0, 2 * vectors.shape[1]), np.float32)
 
 
 class Network:
@@ -208,9 +212,9 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, modulus:
     """Score every whole text of ``docs(doc_id, text, ...)`` for quality as ``labels(doc_id, quality)`` marks it.
 
     Random indexing: each term has a sparse ternary index vector, and its word vector
-    sums those of its neighbours, rolled by side. A term that repeats one just before it
-    is followed by a mark, a term like any other. A document pools the vectors of all its
-    terms and nothing else; a two-layer network scores the pool, and a temperature chosen on rows
+    sums those of its neighbours, rolled by side. A document pools the vectors of all its
+    terms and nothing else: their mean, and the mean square of their sums over windows; a
+    two-layer network scores the pool, and a temperature chosen on rows
     that it wasn't trained on calibrates the probabilities. Word vectors come from all
     documents, without their labels. Network and temperature are fitted on at most
     ``per_class`` labelled rows of each class, never on rows whose crc32(doc_id) mod

@@ -703,18 +703,46 @@ def test_word_vectors_come_from_all_documents(spark):
     assert network is not None
 
 
-def test_pooling_by_hand():
+@pytest.mark.parametrize("piece", [1, 3, 7, 1 << 16])
+def test_pooling_by_hand(monkeypatch, piece):
+    monkeypatch.setattr(Q, "PIECE", piece)
     vectors = np.random.default_rng(1).normal(size=(Q.TABLE, Q.DIM)).astype(np.float32)
-    texts = ["", "One two, one\nthree three", "***", "a b c d e a"]
+    texts = ["", "One two, one\nthree three", "***", "a b c d e a", "", "x y z w", "p " * 23, "q r s t u"]
     got = Q.pooled(texts, Q.Rows(), vectors)
     for text, g in zip(texts, got, strict=True):
-        terms, rows = Q.TERM.findall(text.lower()), []
-        for i, t in enumerate(terms):
-            rows += [Q.row_of(t)] + [0] * (t in terms[max(0, i - Q.NEAR) : i])
-        assert g == pytest.approx(vectors[rows].mean(0) if rows else np.zeros(Q.DIM), abs=1e-5)
+        v = np.array([vectors[Q.row_of(t)] for t in Q.TERM.findall(text.lower())]).reshape(-1, Q.DIM)
+        sums = [v[i : i + Q.WIDTH].sum(0) for i in range(max(1, len(v) - Q.WIDTH + 1))]
+        want = np.r_[v.mean(0), np.mean(np.square(sums), axis=0) / Q.WIDTH] if len(v) else np.zeros(2 * Q.DIM)
+        assert g == pytest.approx(want, abs=1e-4)
     assert len(Q.pool_all(iter([]), Q.Rows(), vectors)) == 0
 
 
+def test_word_vectors_by_hand(spark, data):
+    """Index vectors of neighbours summed from scratch, and scores from vectors, pool and network in plain steps."""
+    texts = ["a b a c", "b b\nd", ""]
+    index = Q.index_vectors()
+    want = Counter()
+    for t in texts:
+        terms = Q.TERM.findall(t)
+        for i, w in enumerate(terms):
+            for j in range(max(0, i - Q.WINDOW), min(len(terms), i + Q.WINDOW + 1)):
+                if j != i:
+                    want[w] = want[w] + np.roll(index[Q.row_of(terms[j])], 1 if j < i else -1)
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    got = {r: (n, v) for b in Q.contexts(iter([batch])) for r, n, v in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True)}
+    for w in want:
+        n, v = got[Q.row_of(w)]
+        assert n == sum(Q.TERM.findall(t).count(w) for t in texts) and v == want[w].tolist()
+    documents, labels = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels"))
+    vectors, network = Q.fit(documents, labels, 5, 0, Q.PER_CLASS)
+    some = [r for r in documents.collect() if r.doc_id % 7 == 0]
+    scores = {r.doc_id: r.score for r in quality(documents, labels).collect()}
+    for r in some:
+        x = Q.pooled([r.text or ""], Q.Rows(), vectors)[0]
+        h = np.maximum((x - network.mean) / network.scale @ network.p[0] + network.p[1], 0)
+        assert scores[r.doc_id] == pytest.approx(1 / (1 + np.exp(-(h @ network.p[2] + network.p[3]) / network.temperature)), abs=1e-5)
+
+
 def test_quality_of_an_empty_table(spark):
     labels = spark.createDataFrame([(1, 1, 0)], LABELS)
     assert quality(docs(spark, []), labels).count() == 0
