@@ -92,17 +92,18 @@ def walk(spark: SparkSession, d: str) -> DataFrame:
     return C.along(C.paths(steps(spark, d), GRID))
 
 
-def weights(spark: SparkSession, d: str) -> DataFrame:
-    return C.softmax_weights(C.path_scores(walk(spark, d), risk(spark, d), 0.6), 4.0)
+def weights(spark: SparkSession, d: str, w: DataFrame | None = None) -> DataFrame:
+    return C.softmax_weights(C.path_scores(walk(spark, d) if w is None else w, risk(spark, d), 0.6), 4.0)
 
 
 def raw_map(spark: SparkSession, d: str) -> DataFrame:
-    return C.scatter_mean(walk(spark, d), weights(spark, d), GRID)
+    w = walk(spark, d).checkpoint()  # read by the weights and below
+    return C.scatter_mean(w, weights(spark, d, w), GRID)
 
 
 def trajectory_map(spark: SparkSession, d: str) -> DataFrame:
-    w = walk(spark, d)
-    raw = C.scatter_mean(w, weights(spark, d), GRID)
+    w = walk(spark, d).checkpoint()  # read three times
+    raw = C.scatter_mean(w, weights(spark, d, w), GRID)
     return C.path_smoothing(w, raw, C.confidence(steps(spark, d), base=0.0), 0.25, GRID)
 
 
