@@ -17,13 +17,13 @@ from blockalloc.operators.numbering import numbered
 from blockalloc.session import shuffle_partitions, table
 
 BUCKETS = 10_000
-#: Bytes of text whose features are counted together, and whose rows are weighed together: some ten times as much is held meanwhile.
-COUNT_BYTES, WEIGH_BYTES = 8 << 20, 4 << 20
+#: Bytes of text whose features are counted or weighed together: some twenty times as much is held meanwhile.
+LOT_BYTES = 4 << 20
 #: Owners of features for each shuffle partition, and into how many owners the features of one first word are dealt.
 OWNERS, SPREAD = 16, 16
 
 
-def lots(batches: Iterator[pa.RecordBatch], column: int, most: int) -> Iterator[pa.Table]:
+def lots(batches: Iterator[pa.RecordBatch], column: int, most: int = LOT_BYTES) -> Iterator[pa.Table]:
     """Batches put together until their text has so many bytes."""
     held, size = [], 0
     for b in batches:
@@ -67,7 +67,7 @@ def count_features(owners: int) -> Callable:
     """For each lot and owner one row with the owner's features, joined by line ends, and their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in lots(batches, 0, COUNT_BYTES):
+        for t in lots(batches, 0):
             f = Features(t.column(0))
             h = np.array([crc32(w, 1) for w in f.words.to_pylist()], np.int64)
             owner = np.concatenate([h * SPREAD % owners, (h[f.first] * SPREAD + h[f.second] % SPREAD) % owners])
@@ -112,7 +112,7 @@ def weigh(docs: DataFrame, gains: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gain = held.value
-        for t in lots(batches, 1, WEIGH_BYTES):
+        for t in lots(batches, 1):
             f = Features(t.column(1))
             single, pairs = f.crcs()
             n = len(t)
