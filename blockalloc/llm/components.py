@@ -6,16 +6,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-#: A key with more rows than this is hot.
-HOT = 1 << 16
+#: A key with more rows than this is hot; and at most so many keys are, since beyond HOT * MOST rows the bound rises with the table.
+HOT = MOST = 1 << 16
+
+
+def hot_bound(rows: int, hot: int = HOT) -> int:
+    """Rows beyond which a key counts as hot, so that a table of so many rows has at most ``MOST`` hot keys."""
+    return max(hot, -(-rows // MOST))
 
 
 def look_up(rows: DataFrame, values: DataFrame, key: str, value: str, spread: str, hot: int = HOT) -> DataFrame:
     """``rows`` with the ``value`` of their key, from ``values(key, value, n)``; n is at least the number of rows of a key.
 
-    A key of more than ``hot`` rows gets its value by broadcast (at most one such key for
-    every ``hot`` rows), and its rows are dealt by the long column ``spread``, so that no
-    key meets in one task.
+    A key of more than ``hot`` rows gets its value by broadcast, and its rows are dealt by
+    the long column ``spread``, so that no key meets in one task. With ``hot`` from
+    ``hot_bound`` the broadcast has at most ``MOST`` keys, whatever the size of the table.
     """
     many = values.where(F.col("n") > hot).select(F.col(key).alias("_many"), F.col(value).alias("_hot_value"), F.lit(True).alias("_hot"))
     few = values.where(F.col("n") <= hot).select(F.col(key).alias("_few"), F.col(value).alias("_value"))
@@ -36,7 +41,7 @@ def connected_components(edges: DataFrame, rounds: int = 60, hot: int = HOT) ->
     repeated links count once. An empty table gives an empty table.
     """
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a is not null and b is not null and a <> b").distinct().checkpoint()
-    last = None
+    last, hot = None, hot_bound(2 * e.count(), hot)
     for _ in range(rounds):
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count("*").alias("n"))

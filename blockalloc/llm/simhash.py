@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from blockalloc.llm.components import HOT, connected_components, look_up
+from blockalloc.llm.components import HOT, connected_components, hot_bound, look_up
 from blockalloc.llm.packed import by_bucket, components, unpack_all
 from blockalloc.session import shuffle_partitions, table
 
@@ -245,6 +245,7 @@ def simhash_groups(docs: DataFrame, words: int = 4, radius: int = 4, crowded: in
     """
     prints = fingerprints(docs, words).checkpoint()
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")).checkpoint()
+    hot = hot_bound(prints.count(), hot)
     found = connected_components(fingerprint_links(distinct, radius, crowded), hot=hot)
     linked = found.join(distinct, found["node"] == distinct["fp"]).select("fp", "low", "component")
     least = linked.groupBy("component").agg(F.min("low").alias("component_id"), F.count("*").alias("n"))

@@ -23,7 +23,7 @@ from blockalloc.llm import substrings as SU
 from blockalloc.llm import tokens as T
 from blockalloc.llm import topk as TK
 from blockalloc.llm import toxicity as TX
-from blockalloc.llm.components import connected_components, look_up
+from blockalloc.llm.components import HOT, MOST, connected_components, hot_bound, look_up
 from blockalloc.llm.exact_dedup import RadixTrie, exact_dedup, one_of_each_text
 from blockalloc.llm.quality import quality
 from blockalloc.llm.registry import QUERIES, SQL
@@ -572,6 +572,12 @@ def test_clustered_queries_visit_few_gatherings(spark):
     assert (bounds >= exact).all()
 
 
+def test_hot_keys_are_few_at_any_size():
+    for rows in (0, 10, HOT * MOST, 10**12):
+        assert rows / hot_bound(rows) <= MOST and hot_bound(rows) >= HOT
+    assert hot_bound(1000, 3) == 3
+
+
 # pages
 
 
