@@ -113,7 +113,7 @@ def test_median_of_a_resample_is_that_of_its_draws(spark):
     d = spark.createDataFrame([(f"v{i}", float(x)) for i, x in enumerate(values)], "u string, difference double").select(F.lit("k").alias("k"), "u", "difference")
     size, resamples, want = 10, 300, []
     for r in range(resamples):
-        drawn = [c * size + np.random.default_rng([4, c, r]).integers(0, min(size, 101 - c * size), B.cell_draws(101, c, size, 4, resamples)[0][r]) for c in range(11)]
+        drawn = [c * size + np.random.default_rng([4, B.MIDDLE, c, r]).integers(0, min(size, 101 - c * size), B.cell_draws(101, c, size, 4, resamples)[0][r]) for c in range(11)]
         want.append(np.median(values[np.concatenate(drawn)]))
     got = B.multinomial_intervals(d, ["k"], "u", lambda _: 4, "median", resamples, size).first()
     assert (got.ci95_low, got.ci95_high) == (pytest.approx(np.quantile(want, 0.025), abs=1e-12), pytest.approx(np.quantile(want, 0.975), abs=1e-12))
