@@ -119,9 +119,9 @@ def e16(spark, d):
     return rounded(K.shifted(motion(spark, d), 4))
 
 
-def e17(spark: SparkSession, d: str) -> DataFrame:
+def e17(spark: SparkSession, d: str, cells: DataFrame | None = None) -> DataFrame:
     """Key-hashed random score maps; any frame's map can be made by itself."""
-    s = motion(spark, d).select("video_id", "frame_idx", "bi", "bj")
+    s = (motion(spark, d) if cells is None else cells).select("video_id", "frame_idx", "bi", "bj")
     return s.withColumn("score", F.round(K.hashed_uniform(F.lit("42"), "video_id", *(F.col(c).cast("string") for c in ("frame_idx", "bi", "bj"))), 6))
 
 
@@ -170,8 +170,8 @@ POLICIES = ("motion", "random", "semantic", "fusion", "trajectory", "shifted_fus
 
 def policies(spark: SparkSession, d: str) -> DataFrame:
     """Score maps of the seven policies, with the offset of the shifted ones."""
-    m = motion(spark, d)
-    found = {"motion": m, "random": e17(spark, d)} | U.policy_maps(spark, d)
+    m = motion(spark, d).checkpoint()  # the shifted policies and the random one read what others have made
+    found = {"motion": m, "random": e17(spark, d, m)} | {name: x.checkpoint() for name, x in U.policy_maps(spark, d).items()}
     none = F.lit(None).cast("int")
     rows = [(name, df, none) for name, df in found.items()] + [(f"shifted_{name}", K.shifted(found[name], 4), F.lit(1)) for name in ("fusion", "trajectory")]
     out = None

@@ -156,12 +156,13 @@ def steady(d: DataFrame) -> DataFrame:
 
 def with_ends(d: DataFrame, by: list[str], *first: object) -> DataFrame:
     """A paired table with the interval of each mean difference."""
+    d = d.checkpoint()  # read by the table and by the intervals
     return nine(B.with_interval(S.paired_table(d, by=by, **TIES), steady(d), [*by, "comparison", "metric"], "video_id", seeded(*first)))
 
 
 def h13_intervals(spark: SparkSession, d: str) -> DataFrame:
     """The mean and median summary with an interval of each."""
-    x, keys = e1(spark, d), ["comparison", "metric"]
+    x, keys = e1(spark, d).checkpoint(), ["comparison", "metric"]  # read by the summary and both intervals
     out, x = S.summary_table(x), steady(x)
     out = B.with_interval(out, x, keys, "video_id", seeded(SUITE_SEED, "mean"), name="mean_ci95")
     return nine(B.with_interval(out, x, keys, "video_id", seeded(SUITE_SEED, "median"), "median", "median_ci95"))
