@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_intdigest
 
-from blockalloc.llm.packed import block_count
+from blockalloc.llm.packed import block_count, by_number
 from blockalloc.llm.tokens import strings
 from blockalloc.session import table
 
@@ -23,8 +23,8 @@ BLOCK_BYTES = 8 << 20
 TRUST = 4.0
 #: Documents that are split into words together.
 TOGETHER = 500
-COUNTS = "bucket int, block long, tokens long, inside long, members binary, blob binary"
-SUMS = "block long, bucket int, words long, tokens long, inside long, members binary, blob binary"
+COUNTS = "bucket int, block int, tokens long, inside long, members binary, blob binary"
+SUMS = "block int, bucket int, words long, tokens long, inside long, members binary, blob binary"
 
 
 def squeeze(*arrays: np.ndarray) -> bytes:
@@ -233,15 +233,15 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, block_bytes
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     n = block_count(texts, block_bytes)
-    block = F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(n)).alias("block")
-    by_block = texts.withColumn("text_hash", F.xxhash64("text")).select("doc_id", "text", "text_hash", block).groupBy("block")
+    block = F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(n)).cast("int").alias("block")
+    by_block = by_number(texts.withColumn("text_hash", F.xxhash64("text")).select("doc_id", "text", "text_hash", block), "block")
     ids = target_ids.select(F.col("doc_id").cast("long").alias("id"))
     own = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("hash"))
-    target = own.join(ids, "id", "left_semi").select("id", "hash", F.pmod(F.xxhash64("id", "hash"), F.lit(n)).alias("target_block")).groupBy("target_block")
+    target = by_number(own.join(ids, "id", "left_semi").select("id", "hash", F.pmod(F.xxhash64("id", "hash"), F.lit(n)).cast("int").alias("target_block")), "target_block")
     counted = by_block.cogroup(target).applyInArrow(count_block(n), COUNTS)
-    sums = counted.groupBy("bucket").applyInArrow(add_up, SUMS)
+    sums = by_number(counted, "bucket").applyInArrow(add_up, SUMS)
     totals = sums.agg(F.struct(*(F.sum(c).alias(c) for c in ("tokens", "inside", "words")))).scalar()
-    back = sums.select("block", "bucket", "members", "blob", totals.alias("totals")).groupBy("block")
+    back = by_number(sums.select("block", "bucket", "members", "blob", totals.alias("totals")), "block")
     return by_block.cogroup(back).applyInArrow(score_block, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from blockalloc.session import shuffle_partitions
@@ -78,3 +78,13 @@ def block_count(texts: DataFrame, block_bytes: int) -> int:
     """Into how many blocks of about ``block_bytes`` the column ``text`` is dealt; at least one a shuffle partition."""
     held = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     return max(shuffle_partitions(texts.sparkSession), -(-held // block_bytes))
+
+
+def by_number(rows: DataFrame, key: str) -> GroupedData:
+    """Groups by an int column of numbers that are dealt in turn, one after another, to the shuffle partitions.
+
+    Blocks and owners are about as many as partitions and alike in size; by hash, several
+    of them would share a partition by chance while others stay empty. Cogroups of two
+    such sides stay where they are.
+    """
+    return rows.repartitionById(shuffle_partitions(rows.sparkSession), key).groupBy(key)
