@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockalloc.llm.packed import binary_parts, block_count, by_bucket, unpack_all
+from blockalloc.llm.packed import binary_parts, block_count, by_bucket, by_number, unpack_all
 from blockalloc.session import table
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -148,15 +148,15 @@ def counted(hashes: list[np.ndarray], buckets: int):
 def to_owners(rows: list[tuple[int, int, bytes]], block: int) -> pa.Table:
     """Rows of (kind, owner, packed): kind 0 seeds or spans, 1 counts of strings."""
     kind, bucket, blob = zip(*rows, strict=True) if rows else ((), (), ())
-    return pa.table({"kind": pa.array(kind, pa.int32()), "bucket": pa.array(bucket, pa.int64()), "block": pa.array([block] * len(rows), pa.int64()), "blob": pa.array(blob, pa.binary())})
+    return pa.table({"kind": pa.array(kind, pa.int32()), "bucket": pa.array(bucket, pa.int32()), "block": pa.array([block] * len(rows), pa.int32()), "blob": pa.array(blob, pa.binary())})
 
 
 def to_blocks(rows: list[tuple[int, int, bytes]]) -> pa.Table:
     kind, block, blob = zip(*rows, strict=True) if rows else ((), (), ())
-    return pa.table({"kind": pa.array(kind, pa.int32()), "block": pa.array(block, pa.int64()), "blob": pa.array(blob, pa.binary())})
+    return pa.table({"kind": pa.array(kind, pa.int32()), "block": pa.array(block, pa.int32()), "blob": pa.array(blob, pa.binary())})
 
 
-TO_OWNERS, TO_BLOCKS = "kind int, bucket long, block long, blob binary", "kind int, block long, blob binary"
+TO_OWNERS, TO_BLOCKS = "kind int, bucket int, block int, blob binary", "kind int, block int, blob binary"
 
 
 def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -520,20 +520,20 @@ def drop_repeats(docs: DataFrame, length: int = 100, keep_text: bool = False, ca
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         data.cast("binary").alias("data"),
-        F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64(data)), F.lit(n)).alias("block"),
+        F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64(data)), F.lit(n)).cast("int").alias("block"),
         *(F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry)),
     )
     carried = [f"carried_{i}" for i in range(len(carry))]
-    by_block = rows.groupBy("block")
+    by_block = by_number(rows, "block")
     found = by_block.applyInArrow(find_seeds(length, n), TO_OWNERS)
-    replies = found.groupBy("bucket").applyInArrow(repeated_seeds(hot), TO_BLOCKS)
-    around = by_block.cogroup(replies.groupBy("block")).applyInArrow(around_seeds(length, n), TO_OWNERS)
-    spans = around.groupBy("bucket").applyInArrow(own_seeds(length, seed_size(length)), TO_BLOCKS)
-    strings = by_block.cogroup(spans.groupBy("block")).applyInArrow(around_strings(length, n), TO_OWNERS)
-    spans = strings.groupBy("bucket").applyInArrow(own_seeds(length, length), TO_BLOCKS)
+    replies = by_number(found, "bucket").applyInArrow(repeated_seeds(hot), TO_BLOCKS)
+    around = by_block.cogroup(by_number(replies, "block")).applyInArrow(around_seeds(length, n), TO_OWNERS)
+    spans = by_number(around, "bucket").applyInArrow(own_seeds(length, seed_size(length)), TO_BLOCKS)
+    strings = by_block.cogroup(by_number(spans, "block")).applyInArrow(around_strings(length, n), TO_OWNERS)
+    spans = by_number(strings, "bucket").applyInArrow(own_seeds(length, length), TO_BLOCKS)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * keep_text
     schema += "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in carried)
-    out = by_block.cogroup(spans.groupBy("block")).applyInArrow(cut_spans(keep_text, carried), schema)
+    out = by_block.cogroup(by_number(spans, "block")).applyInArrow(cut_spans(keep_text, carried), schema)
     return out.withColumnsRenamed(dict(zip(carried, carry, strict=True)))
 
 
