@@ -135,6 +135,33 @@ def test_one_generator_in_order(spark):
     assert len(got) == 3
 
 
+def test_slices_of_many_pairs_follow_the_one_generator(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(c, f"u{i}", float(x)) for c, n in (("a", 37), ("b", 1), ("c", 64), ("d", 1001)) for i, x in enumerate(rng.normal(0, 1, n))]
+    rows += [("c", "nan", math.nan), ("e", "u", None)]
+    d = spark.createDataFrame(rows, "c string, u string, difference double").withColumn("m", F.lit("m"))
+    order = [(c, "m") for c in "dbxecad"]
+    one = B.in_order_intervals(d, ["c", "m"], order, "u", 7, resamples=300).collect()
+    monkeypatch.setattr(B, "EXACT", 10)
+    monkeypatch.setattr(B, "WORDS", 5000)
+    monkeypatch.setattr(B, "SLICE", 70)
+    many = B.in_order_intervals(d.repartition(3), ["c", "m"], order, "u", 7, resamples=300).collect()
+    near = lambda found: sorted(tuple(round(x, 12) if isinstance(x, float) and not math.isnan(x) else str(x) for x in r) for r in found)
+    assert len(one) == 6 and list(map(str, near(many))) == list(map(str, near(one)))
+
+
+def test_words_passed_over_are_counted(spark, monkeypatch):
+    monkeypatch.setattr(B, "WORDS", 100)
+    n = 3_000_000_001  # nearly a third of all words is passed over
+    places, end = B.slice_places(spark, 3, 5, n, [0, 250, 1000, 1001])
+    whole = B.generator_at(3, 5).integers(0, n, 1001)
+    for t, (word, drop) in zip((0, 250, 1000), places, strict=False):
+        assert (B.generator_at(3, word).integers(0, n, drop + 1)[drop:] == whole[t : t + 1]).all()
+    after = B.generator_at(3, 5)
+    after.integers(0, n, 1001)
+    assert (after.integers(0, 1 << 32, 9, dtype=np.uint32) == B.generator_at(3, end).integers(0, 1 << 32, 9, dtype=np.uint32)).all()
+
+
 def test_tables_take_the_sign_test_of_many_pairs(spark):
     n, wins = 3000, 1450
     d = spark.range(n).select(F.lit("L vs R").alias("comparison"), F.lit("m").alias("metric"), F.when(F.col("id") < wins, 1.0).otherwise(-1.0).alias("difference"))
