@@ -111,8 +111,8 @@ def fuse(cues: DataFrame, grid: int, weights: dict[str, float] = WEIGHTS) -> Dat
 def next_block(flows: DataFrame, image: int, grid: int, tubelet: int, frames: int = 16, tau: float = 12.0) -> DataFrame:
     """(video_id, clip_idx, u, b, dest, conf) for segments u >= 1: where each block's mean flow of the segment before takes its centre.
 
-    The nearest centre is found on each axis by itself, since the grid is separable; the
-    first wins ties. Segment u takes flows (u - 1) * tubelet to u * tubelet - 1; there
+    Squared distances to all centres are compared to nine places, so that rounding noise of
+    a mean flow decides no tie; the first wins ties. Segment u takes flows (u - 1) * tubelet to u * tubelet - 1; there
     are as many segments as ``frames`` fill, the first of which has no move.
     """
     q, r = divmod(image, grid)
@@ -122,12 +122,13 @@ def next_block(flows: DataFrame, image: int, grid: int, tubelet: int, frames: in
     m = rows.groupBy(*CLIP, "u", "b").agg(F.avg("dx").alias("dx"), F.avg("dy").alias("dy"))
     m = m.withColumns({"bi": F.floor(F.col("b") / grid).cast("int"), "bj": F.col("b") % grid})
 
-    def nearest(index: str, shift: str) -> Column:
-        at = F.get(centres, F.col(index)) + F.col(shift)
-        return F.array_min(F.transform(F.sequence(F.lit(0), F.lit(grid - 1)), lambda i: F.struct(F.abs(F.get(centres, i) - at).alias("d"), i.alias("i"))))["i"]
+    def off(index: Column, own: str, shift: str) -> Column:
+        return F.pow(F.get(centres, index.cast("int")) - F.get(centres, F.col(own)) - F.col(shift), F.lit(2.0))
 
+    far = lambda c: F.round((off(c % grid, "bj", "dx") + off(F.floor(c / grid), "bi", "dy")) * 1e9)
+    nearest = F.array_min(F.transform(F.sequence(F.lit(0), F.lit(grid * grid - 1)), lambda c: F.struct(far(c).alias("d"), c.alias("c"))))["c"]
     mag = F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"))
-    return m.select(*CLIP, "u", "b", (nearest("bi", "dy") * grid + nearest("bj", "dx")).alias("dest"), unit(F.exp(-mag / max(tau, 1e-6))).alias("conf"))
+    return m.select(*CLIP, "u", "b", nearest.alias("dest"), unit(F.exp(-mag / max(tau, 1e-6))).alias("conf"))
 
 
 def confidence(steps: DataFrame, base: float = 1.0) -> DataFrame:

@@ -517,6 +517,17 @@ def test_no_moves_keep_paths_in_place(spark):
     assert len(p) == 16 and all(r.path == [r.traj_id] * 8 for r in p)
 
 
+@pytest.mark.parametrize("axis", ["dx", "dy"])
+def test_noise_of_a_mean_flow_decides_no_tie(spark, axis):
+    pairs = [(-i / 10_000, round(2 + i / 10_000, 4)) for i in range(300_000, 303_000)]
+    more, less = [p for p in pairs if sum(p) > 2][:40], [p for p in pairs if sum(p) < 2][:40]
+    rows = [("v", k, i, 5, x, 0.0) for k, pair in enumerate(more) for i, x in enumerate(pair)]
+    rows += [("w", k, i, 5, -x, 0.0) for k, pair in enumerate(less) for i, x in enumerate(pair)]
+    f = spark.createDataFrame(rows, f"video_id string, clip_idx int, flow_idx int, b int, {axis} double, {'dy' if axis == 'dx' else 'dx'} double")
+    got = {(r.video_id, r.dest) for r in C.next_block(f, 8, 4, 2).collect()}
+    assert got == {("v", 5), ("w", 4 if axis == "dx" else 1)}, "halfway between two blocks the first one wins"
+
+
 def test_missing_csv_has_no_rows(spark, tmp_path):
     assert I.read_csv(spark, str(tmp_path / "none"), "a int, b string").count() == 0
     I.write_csv(spark.createDataFrame([(1, "x")], "a int, b string"), str(tmp_path / "t"), ["b", "a"])
