@@ -15,6 +15,8 @@ PAIRS = [("AF", "NO"), ("AF", "RF"), ("NO", "RF"), ("NF", "AF")]
 SUITE_SEED, MAIN_SEED, INCREMENTAL_SEED = 20260906, 20260901, 20260905
 #: Means of several runs carry rounding noise, so the queries call differences of up to 1e-12 ties.
 TIES = {"tie": 1e-12, "tie_in_test": 1e-12}
+#: Places to which wins by means are told where the tolerance is none, or one that differences can meet.
+PLACES = 12
 
 
 def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
@@ -163,7 +165,7 @@ def with_ends(d: DataFrame, by: list[str], *first: object) -> DataFrame:
 def h13_intervals(spark: SparkSession, d: str) -> DataFrame:
     """The mean and median summary with an interval of each."""
     x, keys = e1(spark, d).checkpoint(), ["comparison", "metric"]  # read by the summary and both intervals
-    out, x = S.summary_table(x), steady(x)
+    out, x = S.summary_table(x, places=PLACES), steady(x)
     out = B.with_interval(out, x, keys, "video_id", seeded(SUITE_SEED, "mean"), name="mean_ci95")
     return nine(B.with_interval(out, x, keys, "video_id", seeded(SUITE_SEED, "median"), "median", "median_ci95"))
 
@@ -248,7 +250,7 @@ QUERIES = {
     "h11_bootstrap_in_order": (h11_in_order, None),
     "h7_paired_differences": (lambda s, d: nine(e1(s, d)), f"{D1} SELECT video_id, comparison, metric, round(left_value, 9) AS left_value, round(right_value, 9) AS right_value, round(difference, 9) AS difference FROM d"),
     "h8_wins_lower_is_better": (
-        lambda s, d: nine(S.paired_table(e1(s, d), tie=0.001, direction="lower", tie_in_test=1e-12)),
+        lambda s, d: nine(S.paired_table(e1(s, d), tie=0.001, direction="lower", tie_in_test=1e-12, places=PLACES)),
         f"{D1}, {table_sql(tie='0.001e0', direction=-1)} {pick()}",
     ),
     "h9_sign_test": (lambda s, d: nine(S.paired_table(e1(s, d), **TIES).select("comparison", "metric", "exact_sign_p")), f"{D1}, {table_sql()} SELECT comparison, metric, round(exact_sign_p, 9) AS exact_sign_p FROM t2"),
@@ -264,7 +266,7 @@ QUERIES = {
         f"{D1} SELECT comparison, metric, count(*) AS n, round(CASE WHEN stddev_samp(difference) > 0 THEN avg(difference) / stddev_samp(difference) ELSE 'NaN' END, 9) AS cohen_dz, round(CASE WHEN stddev_samp(difference) > 0 THEN avg(difference) / stddev_samp(difference) ELSE 'NaN' END * (1 - 3e0 / (4 * count(*) - 9)), 9) AS hedges_gz FROM d GROUP BY ALL",
     ),
     "h13_summary": (
-        lambda s, d: nine(S.summary_table(e1(s, d))),
+        lambda s, d: nine(S.summary_table(e1(s, d), places=PLACES)),
         f"""{D1}, t AS (SELECT comparison, metric, count(*) AS n, avg(difference) AS m, median(difference) AS md, stddev_samp(difference) AS sd, CAST(sum(CASE WHEN difference > 0 THEN 1 ELSE 0 END) AS BIGINT) AS positive_pairs,
         CAST(sum(CASE WHEN difference < 0 THEN 1 ELSE 0 END) AS BIGINT) AS negative_pairs, CAST(sum(CASE WHEN abs(difference) <= 1e-12 THEN 1 ELSE 0 END) AS BIGINT) AS ties, CAST(sum(CASE WHEN difference > 1e-12 THEN 1 ELSE 0 END) AS BIGINT) AS w, CAST(sum(CASE WHEN difference < -1e-12 THEN 1 ELSE 0 END) AS BIGINT) AS x FROM d GROUP BY ALL)
         SELECT comparison, metric, n, round(m, 9) AS mean_difference, round(md, 9) AS median_difference, round(sd, 9) AS difference_sd, positive_pairs, negative_pairs, ties, round(m / sd, 9) AS cohen_dz, round(m / sd * (1 - 3e0 / (4 * n - 9)), 9) AS hedges_gz, round(CASE WHEN w + x = 0 THEN 1 ELSE {SIGN} END, 9) AS exact_sign_p FROM t""",

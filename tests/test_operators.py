@@ -186,6 +186,27 @@ def test_intervals_draw_in_blocks_and_leave_many_pairs_to_cells(spark, monkeypat
         assert statistic == "median" or got["many"]["ci95_low"] != lo  # other draws
 
 
+@pytest.mark.parametrize("more", [0.0, 0.001])
+def test_noise_of_means_is_no_win(spark, more):
+    covers = {"A": 0.1 + 0.2 + 0.3, "B": 0.3 + 0.2 + 0.1}  # 0.6000000000000001 and 0.6, by order
+    assert covers["A"] != covers["B"]
+    d = S.paired_differences(spark.createDataFrame([("v", p, c / 3 + more * (p == "A")) for p, c in covers.items()], "video_id string, policy string, x double"), [("A", "B"), ("B", "A")], metrics=["x"])
+    assert {(r.positive_pairs + r.negative_pairs, r.ties) for r in S.summary_table(d, places=12).collect()} == {(1, 0) if more else (0, 1)}
+    assert {(r.left_wins + r.right_wins, r.ties) for r in S.paired_table(d, tie=more, places=12).collect()} == {(0, 1)}
+
+
+@pytest.mark.parametrize("name", ["h8_wins_lower_is_better", "h13_summary", "h13_summary_with_intervals"])
+def test_queries_by_means_tell_wins_to_twelve_places(spark, data, monkeypatch, name):
+    from blockalloc.jobs import registry
+    from blockalloc.jobs import statistics as T
+
+    unit = T.e1(spark, data).limit(1).withColumn("difference", F.lit(0.0010000000000000001 if name[1] == "8" else 1e-17) * 1.0000000000000002)
+    monkeypatch.setattr(T, "e1", lambda spark, d: unit)
+    (row,) = registry.QUERIES[name](spark, data).collect()
+    wins = (row.left_wins, row.right_wins) if name[1] == "8" else (row.positive_pairs, row.negative_pairs)
+    assert (*wins, row.ties) == (0, 0, 1)
+
+
 def test_paired_differences_skip_gaps_and_nan(spark):
     nan, inf = float("nan"), float("inf")
     rows = [("a", "L", 1.0), ("a", "R", 0.5), ("b", "L", nan), ("b", "R", 1.0), ("c", "L", 1.0), ("d", "L", inf), ("d", "R", 0.0)]
