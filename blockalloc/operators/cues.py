@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from blockalloc.operators.blocks import block_of, by_size, images, min_max
+from blockalloc.session import dealt
 
 CLIP = ("video_id", "clip_idx")
 
@@ -24,8 +25,10 @@ def clips(videos: DataFrame, length: int = 16, stride: int = 8) -> DataFrame:
     """(video_id, clip_idx, start_idx, local_i, src_frame_idx) of ``videos(video_id, frames)``.
 
     Clips start every ``stride`` frames until one reaches the end; a short last clip
-    repeats the last frame.
+    repeats the last frame. A row becomes many, so the videos are dealt out first: their
+    table may be a file of one partition.
     """
+    videos = dealt(videos)
     last = F.greatest(F.lit(0), F.ceil((F.col("frames") - length) / stride)).cast("int")
     c = videos.where("frames > 0").select("video_id", "frames", F.explode(F.sequence(F.lit(0), last)).alias("clip_idx"))
     c = c.withColumn("start_idx", F.col("clip_idx") * stride)

@@ -42,3 +42,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows of a small table dealt evenly to all shuffle partitions, before each becomes many."""
+    return rows.repartition(shuffle_partitions(rows.sparkSession))
