@@ -11,7 +11,7 @@ from blockalloc.operators import accounting as A
 from blockalloc.operators import blocks as K
 from blockalloc.operators import integrity as I
 from blockalloc.sources.views import FILES_SQL, MANIFEST_SQL, PIXELS_SQL, RUNS_SQL, files, frames, manifest, runs
-from blockalloc.session import table
+from blockalloc.session import dealt, table
 
 
 def videos(spark: SparkSession, d: str) -> DataFrame:
@@ -78,7 +78,7 @@ def c6(spark: SparkSession, d: str) -> DataFrame:
 def calibrated(spark: SparkSession, d: str) -> DataFrame:
     """Videos with the sigma that meets eps 8 at delta 1e-4 for 20 blocks of clip 2."""
     args = F.col("frames"), F.lit(20), F.lit(2.0)
-    return manifest(spark, d).withColumn("sigma", A.sigma_for(F.lit(8.0), *args, F.lit(1e-4)))
+    return dealt(manifest(spark, d)).withColumn("sigma", A.sigma_for(F.lit(8.0), *args, F.lit(1e-4)))
 
 
 def d4(spark: SparkSession, d: str) -> DataFrame:
