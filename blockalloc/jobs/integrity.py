@@ -45,8 +45,8 @@ def b5(spark: SparkSession, d: str) -> DataFrame:
 
 
 def run_grid(spark: SparkSession, d: str) -> DataFrame:
-    r = runs(spark, d)
-    return r.select("video_id").distinct().select("*", F.explode(F.sequence(F.lit(1), F.lit(7))).alias("seed")).select("*", F.explode(F.array(*map(F.lit, (10, 20, 30, 40)))).alias("top_k")).select("*", F.explode(F.array(*map(F.lit, ("AF", "NO", "RF")))).alias("policy"))
+    videos = dealt(runs(spark, d).select("video_id").distinct())  # few and small, so they would else be spread out in one task
+    return videos.select("*", F.explode(F.sequence(F.lit(1), F.lit(7))).alias("seed")).select("*", F.explode(F.array(*map(F.lit, (10, 20, 30, 40)))).alias("top_k")).select("*", F.explode(F.array(*map(F.lit, ("AF", "NO", "RF")))).alias("policy"))
 
 
 KEYS = ["video_id", "seed", "top_k", "policy"]

@@ -523,6 +523,15 @@ def test_clip_split_edges(spark):
     assert c.where("video_id = 'a'").agg(F.max("src_frame_idx")).first()[0] == 0
 
 
+def test_rows_that_become_many_are_dealt_out_first(spark, data):
+    from blockalloc.jobs import integrity as J
+
+    tasks = lambda rows: rows.select(F.spark_partition_id()).distinct().count()
+    videos = spark.createDataFrame([(f"v{i}", 30) for i in range(200)], "video_id string, frames int").coalesce(1)
+    for rows in (C.clips(videos), J.calibrated(spark, data), J.run_grid(spark, data)):
+        assert tasks(rows) == 4
+
+
 def test_overlap_fallbacks(spark):
     rows = [("a", c, i, 0, 0, 0.5) for c in range(2) for i in range(16)]
     f = spark.createDataFrame(rows, "video_id string, clip_idx int, local_i int, bi int, bj int, score double")
