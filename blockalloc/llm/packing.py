@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, bisect_right, insort
-from collections import defaultdict
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -64,107 +63,87 @@ def best_fit(lengths: list[int], size: int) -> list[list[int]]:
 
 
 class Search:
-    """Moves and swaps between underfull bins, each of which raises the sum of squared fills, until none is left.
+    """Moves and exchanges between underfull bins, each of which raises the sum of squared fills, until none is left.
 
-    Items are indexed by length, so a bin finds the best partner by bisection; the
-    squares are whole numbers with a ceiling, so the search ends.
+    A bin gives nothing, an item or two, and takes an item of another bin that is longer in
+    all; for nothing or an item it may take two. For every sum that one or two items of a bin
+    have, the bins that can give it are held in order of fill: the emptiest is the best
+    partner, so looking at it alone leaves none out. The squares are whole numbers with a ceiling, so the search ends.
     """
 
     def __init__(self, lengths: list[int], bins: list[list[int]], size: int):
         self.lengths, self.bins, self.size = lengths, bins, size
         self.fill = [sum(lengths[i] for i in b) for b in bins]
         self.live = {b for b in range(len(bins)) if self.fill[b] < size}
-        self.at: dict[int, set[tuple[int, int]]] = defaultdict(set)  # length: (bin, item)
-        self.known: list[int] = []
+        self.gives: dict[int, tuple[dict[int, tuple[int, ...]], ...]] = {}
+        self.at: tuple[list[list[tuple[int, int]]], ...] = tuple([[] for _ in range(size + 1)] for _ in range(2))  # by sum: (fill, bin)
+        self.low = np.full((2, size + 1), 2 * size)  # the least fill there
         for b in self.live:
-            for i in bins[b]:
-                self.enter(b, i)
-
-    def enter(self, b: int, i: int) -> None:
-        n = self.lengths[i]
-        if not self.at[n]:
-            insort(self.known, n)
-        self.at[n].add((b, i))
-
-    def leave(self, b: int, i: int) -> None:
-        n = self.lengths[i]
-        self.at[n].discard((b, i))
-        if not self.at[n]:
-            del self.known[bisect_left(self.known, n)]
-
-    def exchange(self, a: int, out: tuple[int, ...], b: int, into: tuple[int, ...]) -> None:
-        """Items ``out`` go from bin a to b, items ``into`` from b to a."""
-        for x, y, items in ((a, b, out), (b, a, into)):
-            for i in items:
-                self.leave(x, i)
-                self.bins[x].remove(i)
-                self.bins[y].append(i)
-                self.enter(y, i)
-        gain = sum(self.lengths[i] for i in into) - sum(self.lengths[i] for i in out)
+            self.enter(b)
+
+    def enter(self, b: int) -> None:
+        ones: dict[int, tuple[int, ...]] = {}
+        twos: dict[int, tuple[int, ...]] = {}
+        alike = set()
+        for i in self.bins[b]:
+            n = self.lengths[i]
+            if n in alike:
+                continue
+            if n in ones:  # two of a length give one sum more, further ones none
+                alike.add(n)
+                twos[2 * n] = (*ones[n], i)
+                continue
+            twos |= {n + m: (*j, i) for m, j in ones.items()}
+            ones[n] = (i,)
+        self.gives[b] = ones, twos
+        for at, low, sums in zip(self.at, self.low, self.gives[b], strict=True):
+            for n in sums:
+                insort(at[n], (self.fill[b], b))
+                low[n] = at[n][0][0]
+
+    def leave(self, b: int) -> None:
+        for at, low, sums in zip(self.at, self.low, self.gives.pop(b), strict=True):
+            for n in sums:
+                del at[n][bisect_left(at[n], (self.fill[b], b))]
+                low[n] = at[n][0][0] if at[n] else 2 * self.size
+
+    def improve(self, a: int) -> bool:
+        ones, twos = self.gives[a]
+        self.leave(a)
+        room = self.size - self.fill[a]
+        after = self.fill[a] + np.arange(1, room + 1)
+        best = 0, (), 0, 0
+        for give, items, kinds in [(0, (), (0, 1)), *((n, i, (0, 1)) for n, i in ones.items()), *((n, i, (0,)) for n, i in twos.items())]:
+            for kind in kinds:
+                # (fa + g)^2 + (fb - g)^2 > fa^2 + fb^2 when fa + g > fb
+                hits = np.flatnonzero(self.low[kind, give + 1 : give + room + 1] < after)
+                if len(hits) and hits[-1] + 1 > best[0]:
+                    best = int(hits[-1]) + 1, items, kind, give
+        gain, out, kind, give = best
+        if not gain:
+            self.enter(a)
+            return False
+        b = self.at[kind][give + gain][0][1]
+        into = self.gives[b][kind][give + gain]
+        self.leave(b)
+        self.bins[a] = [i for i in self.bins[a] if i not in out] + [*into]
+        self.bins[b] = [i for i in self.bins[b] if i not in into] + [*out]
         self.fill[a] += gain
         self.fill[b] -= gain
         for x in (a, b):
-            if x in self.live and self.fill[x] in (0, self.size):
+            if 0 < self.fill[x] < self.size:
+                self.enter(x)
+            else:
                 self.live.discard(x)
-                for i in self.bins[x]:
-                    self.leave(x, i)
-
-    def partner(self, a: int, give: int, room: int) -> tuple[int, int] | None:
-        """The longest item of at most ``give + room``, longer than ``give``, of a bin from which taking it raises the squares."""
-        k = bisect_right(self.known, give + room) - 1
-        tries = 0
-        while k >= 0 and self.known[k] > give and tries < 8:
-            gain = self.known[k] - give
-            for b, i in self.at[self.known[k]]:
-                # (fa + g)^2 + (fb - g)^2 > fa^2 + fb^2 when fa + g > fb
-                if b != a and self.fill[a] + gain > self.fill[b]:
-                    return b, i
-            k, tries = k - 1, tries + 1
-        return None
-
-    def improve(self, a: int) -> bool:
-        room = self.size - self.fill[a]
-        own = self.bins[a]
-        found = self.partner(a, 0, room)
-        if found:
-            self.exchange(a, (), found[0], (found[1],))
-            return True
-        best = None
-        gives = {self.lengths[i]: (i,) for i in own}
-        gives |= {self.lengths[i] + self.lengths[j]: (i, j) for k, i in enumerate(own) for j in own[k + 1 :]}
-        for give, items in gives.items():
-            found = self.partner(a, give, room)
-            if found and (best is None or self.lengths[found[1]] - give > best[0]):
-                best = (self.lengths[found[1]] - give, items, *found)
-        for i in own:  # one for two of another bin
-            give = self.lengths[i]
-            k = bisect_right(self.known, give + room) - 1
-            tries = 0
-            while k >= 0 and tries < 8:
-                x = self.known[k]
-                for b, j in list(self.at[x])[:4]:
-                    if b == a:
-                        continue
-                    for m in self.bins[b]:
-                        gain = x + self.lengths[m] - give
-                        if m != j and 0 < gain <= room and self.fill[a] + gain > self.fill[b] and (best is None or gain > best[0]):
-                            best = (gain, (i,), b, (j, m))
-                k, tries = k - 1, tries + 1
-        if best:
-            _, items, b, into = best
-            self.exchange(a, items, b, into if isinstance(into, tuple) else (into,))
-            return True
-        return False
+        return True
 
     def run(self) -> list[list[int]]:
-        todo = sorted(self.live, key=lambda b: (self.fill[b], b))
-        while todo:
-            a = todo.pop()
-            if a not in self.live:
-                continue
-            before = self.live
-            if self.improve(a):
-                todo = sorted(before & self.live, key=lambda b: (self.fill[b], b)) if len(self.live) <= 64 else [*todo, a]
+        again = True
+        while again:  # until a round over all bins finds nothing
+            again = False
+            for a in sorted(self.live, key=lambda b: (-self.fill[b], b)):
+                while a in self.live and self.improve(a):
+                    again = True
         return [b for b in self.bins if b]
 
 

@@ -399,6 +399,24 @@ def test_search_beats_or_equals_best_fit_and_keeps_items():
     assert len(worse) == 2
 
 
+@pytest.mark.parametrize("low, high, size, n", [(300, 700, 1024, 400), (1, 90, 100, 500), (20, 60, 100, 500)])
+def test_search_leaves_no_exchange_between_any_bins(low, high, size, n):
+    from itertools import combinations
+
+    lengths = np.random.default_rng(n + low).integers(low, high, n).tolist()
+    bins = P.Search(lengths, P.best_fit(lengths, size), size).run()
+    assert sorted(i for b in bins for i in b) == list(range(n))
+    fill = [sum(lengths[i] for i in b) for b in bins]
+    assert max(fill) <= size
+    parts = [[{sum(lengths[i] for i in c) for c in combinations(b, k)} for k in range(3)] for b in bins]
+    for a in range(len(bins)):
+        for b in range(len(bins)):
+            if a != b and fill[a] < size and fill[b] < size:
+                for out, into in ((0, 1), (0, 2), (1, 1), (1, 2), (2, 1)):
+                    gains = {y - x for x in parts[a][out] for y in parts[b][into] if 0 < y - x <= size - fill[a]}
+                    assert all(fill[a] + g <= fill[b] for g in gains), "an exchange was left"
+
+
 def test_packing_edges(spark):
     got = P.pack(docs(spark, EDGE), public_tokenizers.path("byte_bpe_50k.json")).toPandas()
     assert got[got["doc_id"].isin([1, 2])]["length"].tolist() == [1, 1] and len(got[got["doc_id"] == 3]) == 2
