@@ -102,9 +102,10 @@ def raw_map(spark: SparkSession, d: str) -> DataFrame:
 
 
 def trajectory_map(spark: SparkSession, d: str) -> DataFrame:
-    w = walk(spark, d).checkpoint()  # read three times
+    moves = steps(spark, d).checkpoint()  # read by the walk and by the confidence
+    w = C.along(C.paths(moves, GRID)).checkpoint()  # read three times
     raw = C.scatter_mean(w, weights(spark, d, w), GRID)
-    return C.path_smoothing(w, raw, C.confidence(steps(spark, d), base=0.0), 0.25, GRID)
+    return C.path_smoothing(w, raw, C.confidence(moves, base=0.0), 0.25, GRID)
 
 
 TRAJECTORY_SQL = f"""{SCATTER_SQL}, cf AS (SELECT video_id, clip_idx, u, dest AS block, greatest(0, max(conf)) AS c FROM step GROUP BY ALL),
@@ -204,11 +205,11 @@ TEXTURE_SQL = f"""{SOBEL_SQL.rpartition('SELECT video_id, frame_idx, py, px, rou
 
 MAP = "video_id, clip_idx, u, bi, bj, round(score, 6) AS score"
 
-def merged(spark: SparkSession, d: str, clip_maps: DataFrame) -> DataFrame:
-    """Maps of clips as maps of the frames there are; a frame beyond the last clip takes the last map."""
+def merged(there: DataFrame, clip_maps: DataFrame) -> DataFrame:
+    """Maps of clips as maps of the frames ``there(video_id, frame_idx)``; a frame beyond the last clip takes the last map."""
     m = C.merge_overlaps(C.to_frames(clip_maps, TUBELET, 16), 16, 8)
     last = m.groupBy("video_id").agg(F.max("frame_idx").alias("last"))
-    f = frames(spark, d).select("video_id", F.col("frame_idx").alias("at")).join(last, "video_id")
+    f = there.select("video_id", F.col("frame_idx").alias("at")).join(last, "video_id")
     f = f.select("video_id", "at", F.least("at", "last").alias("frame_idx"))
     return f.join(m, ["video_id", "frame_idx"]).select("video_id", F.col("at").alias("frame_idx"), "bi", "bj", "score")
 
@@ -221,8 +222,10 @@ def merged_sql(name: str, source: str) -> str:
 
 def policy_maps(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     """The three policies that come from cues: one cue alone, all fused, and along trajectories."""
-    found = {"semantic": C.fuse(cue_table(spark, d), GRID, ONLY), "fusion": C.fuse(cue_table(spark, d), GRID), "trajectory": trajectory_map(spark, d)}
-    return {name: merged(spark, d, m) for name, m in found.items()}
+    # the embeddings are numbered once for the cues and once for the frames, which all policies read
+    cues, there = cue_table(spark, d).checkpoint(), frames(spark, d).select("video_id", "frame_idx").checkpoint()
+    found = {"semantic": C.fuse(cues, GRID, ONLY), "fusion": C.fuse(cues, GRID), "trajectory": trajectory_map(spark, d)}
+    return {name: merged(there, m) for name, m in found.items()}
 
 
 #: To follow WITH, in front of the views of frames: three policies by frame.

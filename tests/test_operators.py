@@ -532,6 +532,16 @@ def test_rows_that_become_many_are_dealt_out_first(spark, data):
         assert tasks(rows) == 4
 
 
+def test_policies_share_what_they_number(spark, data, monkeypatch):
+    from blockalloc.jobs import blocks as J
+    from blockalloc.sources import views as V
+
+    calls, placed = [], V.placed
+    monkeypatch.setattr(V, "placed", lambda spark, d: calls.append(d) or placed(spark, d))
+    assert J.policies(spark, data).select("policy").distinct().count() == len(J.POLICIES)
+    assert len(calls) <= 5, "motion, cues, moves, risk and frames"
+
+
 def test_overlap_fallbacks(spark):
     rows = [("a", c, i, 0, 0, 0.5) for c in range(2) for i in range(16)]
     f = spark.createDataFrame(rows, "video_id string, clip_idx int, local_i int, bi int, bj int, score double")
