@@ -367,6 +367,46 @@ def test_each_sampled_row_may_stand_alone(spark):
     assert empty[0].num_rows == 0
 
 
+def counted_words(homes):
+    parts = [(TX.unpacked_words(r.words), TX.unpacked_counts(r.counts, len(TX.COUNTS))) for r in homes.collect()]
+    return pd.DataFrame(np.concatenate([n for _, n in parts], 1).T, index=[w for some, _ in parts for w in some], columns=TX.COUNTS)
+
+
+def test_toxicity_learns_from_every_labelled_row(spark):
+    rows = [(i, f"plain{i:04d} words") for i in range(4000)] + [(i, f"vile{i:04d} words") for i in range(4000, 4020)]
+    d, labels = docs(spark, rows), spark.createDataFrame([(i, 1, int(i >= 4000)) for i, _ in rows], LABELS)
+    learning = {i for i, _ in rows if zlib.crc32(str(i).encode()) % 3 != 1}
+    counts = counted_words(TX.word_counts(d, labels, 3, 1, 5))
+    assert len(learning) > 2500 and counts.loc["words"][["n00", "n01"]].sum() == len([i for i in learning if i < 4000]) and counts.loc["words"].sum() == len(rows)
+    assert all(counts.loc[t.split()[0]][list(TX.COUNTS[:-1])].sum() == (i in learning) for i, t in rows)
+
+
+@pytest.mark.parametrize("homes", [1, 23])
+def test_word_scores_from_tasks_equal_one_model(spark, homes):
+    rnd = random.Random(5)
+    found = sorted({"".join(rnd.choice("abcé") for _ in range(rnd.randint(1, 12))) for _ in range(150)})
+    rows = [(w, *((rnd.randint(0, 3) for _ in range(4)) if i % 3 else (0, 0, 0, 0))) for i, w in enumerate(found)]
+    counts = spark.createDataFrame(TX.lots([Counter({r[0]: r[1 + i] for r in rows}) for i in range(4)] + [Counter({w: 1 for w in found})], homes).to_pandas(), TX.HOME)
+    got = TX.word_scores(counts, homes).toPandas().set_index("word")
+    seen = [r for r in rows if sum(r[1:])]
+    m = TX.KneserNey([r[0] for r in seen], np.array([r[1] + r[2] for r in seen], float), np.array([r[3] + r[4] for r in seen], float))
+    assert got.loc[found, "d2"].to_numpy() == pytest.approx(m.differences(found), abs=1e-4)
+    halves = TX.KneserNey([r[0] for r in seen], *(np.array([r[c] for r in seen], float) for c in (2, 4)))
+    assert got.loc[found, "d0"].to_numpy() == pytest.approx(halves.differences(found), abs=1e-4)
+
+
+@pytest.mark.parametrize("frequent", [0, 3, 1000])
+def test_joined_words_give_the_same_features(spark, frequent):
+    rnd = random.Random(6)
+    kinds = ["".join(rnd.choice("abcde") for _ in range(rnd.randint(1, 6))) for _ in range(40)]
+    rows = [(i, " ".join(rnd.choice(kinds) for _ in range(rnd.choice([0, 1, 4, 90])))) for i in range(60)]
+    d, labels = docs(spark, rows), spark.createDataFrame([(i, 1, i % 2) for i, _ in rows], LABELS)
+    counts = counted_words(TX.word_counts(d, labels, 3, 1, 2))
+    m = TX.KneserNey(counts.index.tolist(), *((counts[f"n{y}0"] + counts[f"n{y}1"]).to_numpy(float) for y in (0, 1))) if (counts[list(TX.COUNTS[:-1])].sum(axis=1) > 0).all() else None
+    got = TX.features(d, labels, 3, 1, frequent=frequent).toPandas().set_index("doc_id").loc[range(60), TX.NAMES].to_numpy()
+    assert m and got == pytest.approx(TX.Scorer(m).features([t for _, t in rows]), abs=1e-4)
+
+
 # packing
 
 
