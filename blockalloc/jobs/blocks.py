@@ -15,6 +15,8 @@ from blockalloc.operators import release as R
 from blockalloc.sources.views import PIXELS_SQL, frames, pixels, rgb, stored_frames
 
 TOP = 4
+#: Frames whose pixels a task holds as numbers at once where it only sums them up.
+FRAMES_AT_ONCE = 512
 
 
 def grays(spark: SparkSession, d: str) -> DataFrame:
@@ -64,25 +66,48 @@ def backend(f: DataFrame) -> DataFrame:
     return f.withColumn("back", F.transform("v", lambda v, i: F.least(F.lit(255), v + i % 5)))
 
 
+def block_means(t: pa.Table, h: int, w: int, grid: int) -> np.ndarray:
+    """Backend frames of one size with each selected block replaced by its rounded mean."""
+    x = K.images(t["back"], h, w).astype(float)
+    sums, n = K.block_sums(x, grid)
+    chosen = np.zeros((len(t), grid * grid), bool)
+    for i, bs in enumerate(t["blocks"].to_pylist()):
+        chosen[i, bs or []] = True
+    ys, xs = np.diff(K.edges(h, grid)), np.diff(K.edges(w, grid))
+    mean = np.floor(sums / np.maximum(n, 1) + 0.5).repeat(ys, axis=1).repeat(xs, axis=2)
+    return np.where(chosen.reshape(-1, grid, grid).repeat(ys, axis=1).repeat(xs, axis=2), mean, x)
+
+
 def block_mean_release(f: DataFrame, grid: int) -> DataFrame:
     """Backend frames with each selected block replaced by its rounded mean, as array ``out``."""
 
     def run(batches):
         for b in batches:
             for h, w, t in K.by_size(pa.Table.from_batches([b])):
-                x = K.images(t["back"], h, w).astype(float)
-                sums, n = K.block_sums(x, grid)
-                chosen = np.zeros((len(t), grid * grid), bool)
-                for i, bs in enumerate(t["blocks"].to_pylist()):
-                    chosen[i, bs or []] = True
-                ys, xs = np.diff(K.edges(h, grid)), np.diff(K.edges(w, grid))
-                mean = np.floor(sums / np.maximum(n, 1) + 0.5).repeat(ys, axis=1).repeat(xs, axis=2)
-                x = np.where(chosen.reshape(-1, grid, grid).repeat(ys, axis=1).repeat(xs, axis=2), mean, x)
+                x = block_means(t, h, w, grid)
                 yield pa.RecordBatch.from_arrays([*(t[c].combine_chunks() for c in ("video_id", "frame_idx", "height", "width", "v", "back")), pa.array(list(x.reshape(len(t), -1).astype(np.int32)), pa.list_(pa.int32()))], ["video_id", "frame_idx", "height", "width", "v", "back", "out"])
 
     return f.select("video_id", "frame_idx", "height", "width", "v", "back", "blocks").mapInArrow(run, f"{R.RUNS}, v array<int>, back array<int>, out array<int>")
 
 
+def release_errors(f: DataFrame, grid: int) -> DataFrame:
+    """The errors of ``block_mean_release`` against raw frames (``v``), in one step.
+
+    A task has one Python worker instead of two, no released frame leaves it, and frames
+    are taken ``FRAMES_AT_ONCE`` at a time, so that its memory follows neither the table nor a batch.
+    """
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, len(b), FRAMES_AT_ONCE):
+                for h, w, t in K.by_size(pa.Table.from_batches([b.slice(at, FRAMES_AT_ONCE)])):
+                    d = block_means(t, h, w, grid) - K.images(t["v"], h, w)
+                    sums, n = K.block_sums(d * d, grid)
+                    yield from K.exploded(t["video_id"], t["frame_idx"].to_numpy(), grid, n_px=np.broadcast_to(n, sums.shape).astype(np.int64).copy(), sse=3 * sums).to_batches()
+
+    return f.select("video_id", "frame_idx", "height", "width", "v", "back", "blocks").mapInArrow(run, "video_id string, frame_idx int, bi int, bj int, n_px long, sse double")
+
+
 def chosen_blocks(m: DataFrame, grid: int) -> DataFrame:
     return m.groupBy("video_id", "frame_idx").agg(F.array_sort(F.collect_list(F.col("bi") * grid + F.col("bj"))).alias("blocks"))
 
@@ -204,9 +229,8 @@ def e24(spark: SparkSession, d: str) -> DataFrame:
     run = F.concat_ws("/", *keys)
     f = frames(spark, d).withColumn("policy", F.explode(F.array(*map(F.lit, POLICIES)))).withColumn("video_id", run)
     blocks = chosen_blocks(own.withColumn("video_id", run), 4)
-    rel = block_mean_release(backend(f).join(blocks, ["video_id", "frame_idx"], "left"), 4)
     name = F.split("video_id", "/")
-    e = errors(rel, "v").withColumns({"policy": name[1], "video_id": name[0]}).checkpoint()
+    e = release_errors(backend(f).join(blocks, ["video_id", "frame_idx"], "left"), 4).withColumns({"policy": name[1], "video_id": name[0]}).checkpoint()
     cells = e.select(*keys, *K.CELL, "n_px")
     parts = {"motion_": K.region_error(e, motion_mask, keys), "rat_region_": K.region_error(e, rat, keys), "own_region_": K.region_error(e, own, keys)}
     parts |= {"motion_alignment_": K.alignment(own, motion_mask, cells, keys), "rat_alignment_": K.alignment(own, rat, cells, keys)}

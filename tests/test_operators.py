@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from blockalloc.jobs import blocks as JB
 from blockalloc.operators import accounting as A
 from blockalloc.operators import blocks as K
 from blockalloc.operators import bootstrap as B
@@ -605,3 +606,15 @@ def test_published_paired_statistics(spark):
         assert s[name] == pytest.approx(x, abs=1e-9)
     ci = B.exact_intervals(d, ["comparison", "metric"], "video_id", lambda *_: COVER_SEED).first()
     assert (round(ci.ci95_low, 6), round(ci.ci95_high, 6)) == (0.111120, 0.195839)
+
+
+def test_errors_of_a_release_in_one_python_step(spark):
+    rng = np.random.default_rng(4)
+    rows = [(f"v{i % 3}", i, 5, 8 - i % 2, rng.integers(0, 256, 5 * (8 - i % 2)).tolist(), None if i % 4 == 0 else sorted(rng.choice(16, i % 5, replace=False).tolist())) for i in range(1300)]
+    f = JB.backend(spark.createDataFrame(rows, "video_id string, frame_idx int, height int, width int, v array<int>, blocks array<int>"))
+    one, two = JB.release_errors(f, 4), JB.errors(JB.block_mean_release(f, 4), "v")
+    key = ["frame_idx", "bi", "bj"]
+    got, want = (d.toPandas().sort_values(key, ignore_index=True) for d in (one, two))
+    assert got.equals(want[got.columns]) and len(got) == 1300 * 16
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString().count("MapInArrow")
+    assert plan(one) == 1 and plan(two) == 2
